@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .op3_lines import OP3_SQL, op3_line_first
 from .op6_secrets import op6_ownership
+from .op7_decontaminate import op7_containment
+from .op8_jaccard import op8_ngram_join
 from .op9_bpe import op9_bpe_backtrack
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_first, op6_ownership, op9_bpe_backtrack)}
+    return {f.__name__: f for f in (op3_line_first, op6_ownership, op7_containment, op8_ngram_join, op9_bpe_backtrack)}
 
 
 def oracle_sql() -> dict[str, str]:
