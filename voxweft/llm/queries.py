@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op10_lines import op10_segment_edit
 from .op3_lines import OP3_SQL, op3_line_first
 from .op6_secrets import op6_ownership
 from .op7_decontaminate import op7_containment
@@ -10,7 +11,7 @@ from .op9_bpe import op9_bpe_backtrack
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_line_first, op6_ownership, op7_containment, op8_ngram_join, op9_bpe_backtrack)}
+    return {f.__name__: f for f in (op3_line_first, op6_ownership, op7_containment, op8_ngram_join, op9_bpe_backtrack, op10_segment_edit)}
 
 
 def oracle_sql() -> dict[str, str]:

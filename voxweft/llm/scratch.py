@@ -8,10 +8,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +30,7 @@ class Scratch:
     executor costs at most a re-read; the folder goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
         atexit.register(self.drop)
