@@ -3,8 +3,8 @@
 The encoder finds, for each position of a pre-token, the longest vocabulary entries with an Aho-Corasick automaton
 and walks forward; two neighbouring tokens may stand only if merging could have left them so (the pair-compatibility
 check). Where they may not, it takes the next shorter token or steps back. Each position is given up at most once, so
-the time is linear in the text; the result is the one the merge rules give. Pre-tokens that repeat within a slice of
-the input are encoded once. Decoding gathers every token's bytes from one array through a table of offsets.
+the time is linear in the text; the result is the one the merge rules give. Words that a worker meets
+again are encoded once, as far as a bounded store holds them. Decoding gathers every token's bytes from one array through a table of offsets.
 
 Defined cases: a null or empty text has no tokens and decodes to an empty text; texts of any length are taken whole;
 repeated rows each get their result; an empty table gives an empty table; other columns of the input are not read.
@@ -25,10 +25,10 @@ from .scratch import read_table
 
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pre-tokens whose ids a worker keeps; the rest are encoded when met.
-KEPT = 300_000
-#: Longer pre-tokens aren't kept.
-KEPT_BYTES = 64
+#: Words whose ids a worker keeps, for each of two generations; the rest are encoded when met.
+KEPT = 500_000
+#: Longer words aren't kept.
+KEPT_CHARS = 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -170,47 +170,91 @@ class Vocabulary:
 
 
 class Ids(dict):
-    """Ids by pre-token, made when first met; a bounded number is kept."""
+    """Ids by word, made when first met. Two generations of ``KEPT`` words at most are kept: when the younger is full
+    it becomes the older, and words that are met again come back from there."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make):
         super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        ids = self.vocabulary.encode_piece(data)
-        if len(data) <= KEPT_BYTES:
+        self.make = make
+        self.old: dict = {}
+
+    def __missing__(self, word: str):
+        found = self.old.get(word, 0)
+        if found == 0:
+            found = self.make(word)
+        if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = ids
-        return ids
+            self[word] = found
+        return found
 
 
-_loaded: dict[str, tuple] = {}
+_loaded: dict = {}
 
 
-def coder(content: bytes) -> tuple:
-    """The vocabulary, the ids kept, and the patterns, once for each worker process."""
-    key = hashlib.sha256(content).hexdigest()
-    if key not in _loaded:
+class Coder:
+    """A vocabulary with its patterns, and ids of words between single spaces.
+
+    A space between two other characters begins a pre-token, and a line feed between two is one, so words can be
+    encoded one by one. A word of no characters, or with white space at an end, may not; None stands for it, and the
+    text is then taken by the pattern as a whole.
+    """
+
+    def __init__(self, content: bytes):
         import re
 
         import regex
 
-        v = Vocabulary(content.decode())
-        added = re.compile("(" + "|".join(re.escape(t) for t in sorted(v.added, key=len, reverse=True)) + ")") if v.added else None
+        self.vocabulary = v = Vocabulary(content.decode())
+        self.pieces = regex.compile(PATTERN).findall
+        self.added = re.compile("(" + "|".join(re.escape(t) for t in sorted(v.added, key=len, reverse=True)) + ")") if v.added else None
+        self.first = Ids(lambda word: self.word(word, word))
+        self.later = Ids(lambda word: self.word(word, " " + word))
+        self.feed = self.whole("\n")
+
+    def word(self, word: str, text: str) -> bytes | None:
+        return None if not word or word[0].isspace() or word[-1].isspace() else self.whole(text)
+
+    def whole(self, text: str) -> bytes:
+        encode = self.vocabulary.encode_piece
+        return b"".join([encode(p.encode()) for p in self.pieces(text)])
+
+    def plain(self, text: str) -> bytes:
+        out: list = []
+        first, later = self.first, self.later.__getitem__
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(self.feed)
+            out.append(first[words[0]])
+            del words[0]
+            out.extend(map(later, words))
+        try:
+            return b"".join(out[1:])
+        except TypeError:
+            return self.whole(text)
+
+    def encode(self, text: str) -> bytes:
+        """Token ids of a text, four bytes each, little-endian."""
+        if not text:
+            return b""
+        if self.added is None or not self.added.search(text):
+            return self.plain(text)
+        v = self.vocabulary
+        return b"".join(v.little[v.added[part]] if part in v.added else self.encode(part) for part in self.added.split(text))
+
+
+def coder(content: bytes) -> Coder:
+    """Made once for each worker process."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _loaded:
         _loaded.clear()
-        _loaded[key] = v, Ids(v), regex.compile(PATTERN), added
+        _loaded[key] = Coder(content)
     return _loaded[key]
 
 
 def encode(text: str, content: bytes) -> bytes:
-    """Token ids of a text, four bytes each, little-endian."""
-    v, ids, pattern, added = coder(content)
-    get, pieces = ids.__getitem__, pattern.findall
-    if added is None or not added.search(text):
-        return b"".join(map(get, pieces(text)))
-    return b"".join(v.little[v.added[part]] if part in v.added else b"".join(map(get, pieces(part))) for part in added.split(text))
+    return coder(content).encode(text)
 
 
 def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decode: bool = True) -> DataFrame:
@@ -223,11 +267,12 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     kept = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = coder(content)[0]
+        c = coder(content)
+        v = c.vocabulary
         for batch in batches:
             key, texts = batch.column(0), batch.column(1)
             for at in range(0, len(texts), 64):
-                got = [encode(t or "", content) for t in texts.slice(at, 64).to_pylist()]
+                got = [c.encode(t or "") for t in texts.slice(at, 64).to_pylist()]
                 columns = {"id": key.slice(at, 64), "n_tokens": pa.array([len(x) // 4 for x in got], pa.int64())}
                 if ids:
                     columns["ids"] = pa.array(got, pa.binary())
