@@ -10,9 +10,9 @@ an absolute discount; the discounted mass is the probability of a token that tra
 probabilities of all seen tokens and the unseen one add up to 1 after every context. Scoring uses the longest retained
 suffix.
 
-Counts cover all training texts. Words are counted by the workers and summed by a shuffle. An n-gram that is frequent
-over all texts is frequent in one task's share at least, so each task names those of its own share and a second pass
-counts the named ones everywhere; the result is exact. Frequent n-grams number at most 1 / p_min for each length, whatever
+Counts cover all training texts. Words are counted by the workers and summed by a shuffle. For n-grams, each share of
+the texts reports what is near the frequent rate in it, reports are summed by a shuffle, and a second pass counts those
+that may be frequent everywhere; the result is exact. Frequent n-grams number at most 1 / p_min for each length, whatever
 the corpus, so the tree may go to every worker. Of the word counts only the ``top`` most frequent go there; each other
 word of a document is joined with the table of counts.
 
@@ -40,6 +40,8 @@ from .scratch import Scratch, read_table
 #: The end's text in n-grams; no word holds white space.
 END = b"\n"
 FLUSH = 400_000
+#: Tokens of a share, and the part of the frequent rate that it reports from.
+SHARE, SLACK = 1_500_000, 0.25
 
 
 def end_hash() -> np.uint64:
@@ -114,40 +116,44 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def named(docs: DataFrame, depth: int, p_min: float) -> DataFrame:
-    """(h): n-grams of 2 to depth + 1 tokens that are frequent in one share, of about four million tokens, of a task."""
+def named(docs: DataFrame, depth: int, p_min: float, tokens: int) -> DataFrame:
+    """(h): n-grams of 2 to depth + 1 tokens that may be frequent. Each share of the texts reports those that have
+    ``SLACK`` of the frequent rate in it. What shares don't report of an n-gram is under ``SLACK`` of the frequent count
+    in all, so a frequent one is reported 1 - SLACK of that count at least; such reports number 1 / ((1 - SLACK) * p_min)
+    for each length at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list[np.ndarray]] = [[] for _ in range(depth + 2)]
-
-        def out(tokens: int) -> pa.RecordBatch:
-            kept = []
-            for held in waiting[2:]:
-                if held:
-                    v, c = np.unique(np.concatenate(held), return_counts=True)
-                    kept.append(v[c >= p_min * tokens])
-                    held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kept).view(np.int64) if kept else np.zeros(0, np.int64))], ["h"])
-
-        tokens = 0
+        def out(*shares: list) -> pa.RecordBatch:
+            least = SLACK * p_min * sum(len(x) for share in shares for x in share[0])
+            h, c = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for n in range(1, depth + 1):
+                v, k = np.unique(np.concatenate([x for share in shares for x in share[n]]), return_counts=True)
+                h.append(v[k >= least]), c.append(k[k >= least])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c))], ["h", "c"])
+
+        # the share before is held back until one more is full, so that the last one isn't small
+        before, share, size = None, [[] for _ in range(depth + 1)], 0
         for batch in batches:
             for a, z in slices(batch.column(0)):
                 g = Grams(batch.column(0).slice(a, z - a))
-                tokens += len(g.hash)
-                for n in range(2, depth + 2):
-                    waiting[n].append(g.of(n)[0])
-                if tokens >= 4_000_000:
-                    yield out(tokens)
-                    tokens = 0
-        if tokens:
-            yield out(tokens)
-
-    return docs.mapInArrow(run, "h long").distinct()
-
-
-def gram_counts(docs: DataFrame, chosen: list[int], depth: int) -> DataFrame:
+                for n in range(depth + 1):
+                    share[n].append(np.zeros(len(g.hash), bool) if n == 0 else g.of(n + 1)[0])
+                size += len(g.hash)
+                if size >= SHARE:
+                    if before:
+                        yield out(before)
+                    before, share, size = share, [[] for _ in range(depth + 1)], 0
+        if size or before:
+            yield out(*([before] if before else []), *([share] if size else []))
+
+    # small partitions are read together: in a share of few tokens everything is frequent
+    reports = docs.coalesce(max(1, tokens // SHARE)).mapInArrow(run, "h long, c long")
+    return reports.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= (1 - SLACK) * p_min * tokens).select("h")
+
+
+def gram_counts(docs: DataFrame, chosen: np.ndarray, depth: int) -> DataFrame:
     """(h, size, words, n): how often each of the chosen n-grams occurs."""
-    lookup = Lookup(np.array(chosen, np.int64).view(U64))
+    lookup = Lookup(np.ascontiguousarray(chosen, np.int64).view(U64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(lookup.keys), np.int64)
@@ -172,15 +178,12 @@ def gram_counts(docs: DataFrame, chosen: list[int], depth: int) -> DataFrame:
     return out.groupBy("h").agg(F.min("size").alias("size"), F.min("words").alias("words"), F.sum("n").alias("n"))
 
 
-def frequent(docs: DataFrame, scratch: Scratch, depth: int, p_min: float, tokens: int, block: int = 1_000_000) -> list:
-    """Rows (h, size, words, n) of all frequent n-grams; named ones are counted in blocks of about ``block``."""
-    names = scratch.save(named(docs, depth, p_min))
-    blocks = -(-names.count() // block)
-    out = []
-    for b in range(blocks):
-        chosen = [r["h"] for r in names.filter(F.pmod("h", F.lit(blocks)) == b).collect()]
-        out += gram_counts(docs, chosen, depth).filter(F.col("n") >= max(2.0, p_min * tokens)).collect()
-    return out
+def frequent(docs: DataFrame, depth: int, p_min: float, tokens: int) -> list:
+    """Rows (h, size, words, n) of all frequent n-grams."""
+    chosen = named(docs, depth, p_min, tokens).toArrow().column(0).to_numpy()
+    if not len(chosen):
+        return []
+    return gram_counts(docs, chosen, depth).filter(F.col("n") >= max(2.0, p_min * tokens)).collect()
 
 
 class Tree:
@@ -277,7 +280,7 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     most = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()}
     single = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= max(2.0, p_min * tokens)).collect()}
     single = {w or END: n for w, n in (most | single).items()}
-    grams = frequent(learned, scratch, depth, p_min, tokens) if tokens else []
+    grams = frequent(learned, depth, p_min, tokens) if tokens else []
     tree = Tree(grams, single, tokens, total["v"], total["ones"], total["twos"], depth, divergence)
     ends = single.get(END, 0)
     root = lambda c: math.log10((c - tree.discount) / tokens) if c else math.log10(tree.unseen)
