@@ -1,0 +1 @@
+"""Speech-hypothesis analytics on Spark."""
