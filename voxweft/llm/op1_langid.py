@@ -228,9 +228,49 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
-def label_words(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", spans_too: bool = False) -> DataFrame:
+def predict(column: pa.Array, model: Crf | None, spans_too: bool = False) -> tuple[list, np.ndarray, np.ndarray, list]:
+    """By text: language, score, number of words, stretches."""
+    rows = len(column)
+    pred, score, n, stretches = ["und"] * rows, np.zeros(rows), np.zeros(rows, np.int64), [[] for _ in range(rows)]
+    if not model:
+        return pred, score, n, stretches
+    p, n = model.marginals(column)
+    ends = np.cumsum(n)
+    data, off = buffer(column)
+    plain = np.concatenate([[0], np.cumsum(ASCII_LETTER[data])])[off]
+    best = p.argmax(axis=1)
+    for i in range(rows):
+        if not n[i] or (plain[i + 1] == plain[i] and not any(map(str.isalpha, column[i].as_py()))):
+            continue
+        total = p[ends[i] - n[i] : ends[i]].sum(axis=0, dtype=np.float64)
+        k = int(total.argmax())
+        pred[i], score[i] = model.labels[k], total[k] / total.sum()
+        if spans_too:
+            own = best[ends[i] - n[i] : ends[i]]
+            cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            stretches[i] = [{"lang": model.labels[own[c]], "first_word": int(c), "n_words": int(d - c)} for c, d in zip(cut, [*cut[1:], len(own)], strict=True)]
+    return pred, score, n, stretches
+
+
+def _filtered(df: DataFrame, model: Crf | None, text_col: str, least: float) -> DataFrame:
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z in slices(batch.column(at)):
+                pred, score, _, _ = predict(batch.column(at).slice(a, z - a), model)
+                keep = [p != "und" and s >= least for p, s in zip(pred, score, strict=True)]
+                yield batch.slice(a, z - a).filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def label_words(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", spans_too: bool = False, min_score: float | None = None) -> DataFrame:
     """For each row the id, ``lang_pred``, ``score``, ``n_words``, and with ``spans_too`` ``runs``: stretches of words of one
-    language as (lang, first_word, n_words)."""
+    language as (lang, first_word, n_words). With ``min_score`` instead the input's rows, as they are, that have a
+    language of that score or more."""
+    if min_score is not None:
+        return _filtered(df, model, text_col, min_score)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     kind = dict(docs.dtypes)["id"]
     extra = ", runs array<struct<lang:string,first_word:int,n_words:int>>" * spans_too
@@ -238,25 +278,7 @@ def label_words(df: DataFrame, model: Crf | None, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, z in slices(batch.column(1)):
-                column = batch.column(1).slice(a, z - a)
-                rows = len(column)
-                pred, score, n, stretches = ["und"] * rows, np.zeros(rows), np.zeros(rows, np.int64), [[] for _ in range(rows)]
-                if model:
-                    p, n = model.marginals(column)
-                    ends = np.cumsum(n)
-                    data, off = buffer(column)
-                    plain = np.concatenate([[0], np.cumsum(ASCII_LETTER[data])])[off]
-                    best = p.argmax(axis=1)
-                    for i in range(rows):
-                        if not n[i] or (plain[i + 1] == plain[i] and not any(map(str.isalpha, column[i].as_py()))):
-                            continue
-                        total = p[ends[i] - n[i] : ends[i]].sum(axis=0, dtype=np.float64)
-                        k = int(total.argmax())
-                        pred[i], score[i] = model.labels[k], total[k] / total.sum()
-                        if spans_too:
-                            own = best[ends[i] - n[i] : ends[i]]
-                            cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                            stretches[i] = [{"lang": model.labels[own[c]], "first_word": int(c), "n_words": int(d - c)} for c, d in zip(cut, [*cut[1:], len(own)], strict=True)]
+                pred, score, n, stretches = predict(batch.column(1).slice(a, z - a), model, spans_too)
                 columns = [batch.column(0).slice(a, z - a), pa.array(pred), pa.array(score), pa.array(n)]
                 names = ["id", "lang_pred", "score", "n_words"]
                 if spans_too:

@@ -257,32 +257,33 @@ def encode(text: str, content: bytes) -> bytes:
     return coder(content).encode(text)
 
 
-def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decode: bool = True) -> DataFrame:
-    """Columns: the id, ``n_tokens``, ``ids`` (binary, four bytes each), ``decoded``; the last two where asked for.
+def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, decode: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Columns: the id, the ``keep`` columns, ``n_tokens``, ``ids`` (binary, four bytes each), ``decoded``; the last two where asked for.
 
     The tokenizer file is read by the driver (about 1.5 MB) and goes to the workers with the function.
     """
     with open(tokenizer_path, "rb") as f:
         content = f.read()
-    kept = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    own = [f"_{i}" for i in range(len(keep))]
+    kept = df.select(df[id_col].alias("id"), df[text_col].alias("text"), *[df[c].alias(f"_{i}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(content)
         v = c.vocabulary
         for batch in batches:
-            key, texts = batch.column(0), batch.column(1)
+            texts = batch.column(1)
             for at in range(0, len(texts), 64):
                 got = [c.encode(t or "") for t in texts.slice(at, 64).to_pylist()]
-                columns = {"id": key.slice(at, 64), "n_tokens": pa.array([len(x) // 4 for x in got], pa.int64())}
+                columns = {name: batch.column(name).slice(at, 64) for name in ("id", *own)} | {"n_tokens": pa.array([len(x) // 4 for x in got], pa.int64())}
                 if ids:
                     columns["ids"] = pa.array(got, pa.binary())
                 if decode:
                     columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in got], pa.string())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    kind = dict(kept.dtypes)["id"]
-    schema = f"id {kind}, n_tokens long" + ", ids binary" * ids + ", decoded string" * decode
-    return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    kinds = dict(kept.dtypes)
+    schema = ", ".join(f"{name} {kinds[name]}" for name in ("id", *own)) + ", n_tokens long" + ", ids binary" * ids + ", decoded string" * decode
+    return kept.mapInArrow(run, schema).withColumnsRenamed({"id": id_col} | dict(zip(own, keep, strict=True)))
 
 
 def default_tokenizer() -> str:

@@ -6,6 +6,7 @@ from .op1_langid import op1_crf_language
 from .op10_lines import op10_segment_edit
 from .op2_suffix_tree import op2_suffix_tree
 from .op3_lines import OP3_SQL, op3_line_first
+from .op4_paragraphs import op4_paragraph_minhash
 from .op5_quality import op5_neighbours
 from .op6_secrets import op6_ownership
 from .op7_decontaminate import op7_containment
@@ -14,7 +15,7 @@ from .op9_bpe import op9_bpe_backtrack
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_crf_language, op2_suffix_tree, op3_line_first, op5_neighbours, op6_ownership, op7_containment, op8_ngram_join, op9_bpe_backtrack, op10_segment_edit)}
+    return {f.__name__: f for f in (op1_crf_language, op2_suffix_tree, op3_line_first, op4_paragraph_minhash, op5_neighbours, op6_ownership, op7_containment, op8_ngram_join, op9_bpe_backtrack, op10_segment_edit)}
 
 
 def oracle_sql() -> dict[str, str]:
