@@ -1,6 +1,6 @@
 """Links between items of one table: candidates by shared keys, without all pairs of a group, and components.
 
-Items that share a key may be linked; which are, a verifier decides. First each group is a star: its least item with
+Items that share a key may be linked; which are, a verifier decides. First each group is a star: one of its items with
 each other. Verified stars give clusters. Then only pairs of one key but of different clusters are left, since a link
 inside a cluster changes no component. A group of n near copies so costs about n verifications instead of n * n, and
 no candidate between different clusters is dropped.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -33,35 +33,47 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def stars(keys: DataFrame) -> DataFrame:
-    """(a, b) with a < b: of each key of ``keys`` (key, id) its least item and each other one, once each."""
-    least = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a < z").select("key", "a")
-    return keys.join(least, "key").filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    """(a, b): of each key of ``keys`` (key, id) its hub and each other item. The hub is the item whose keys have the most
+    items in all, since the original of many copies shares all its keys with them, and a copy only those its own
+    changes left; ties go to the least id."""
+    by_key = Window.partitionBy("key")
+    shared = keys.withColumn("n", F.count("*").over(by_key)).filter("n > 1")
+    weight = shared.groupBy("id").agg(F.sum("n").alias("weight"))
+    weighted = shared.join(weight, "id").select("key", "id", "weight")
+    hubs = weighted.groupBy("key").agg(F.min_by("id", F.struct((-F.col("weight")).alias("w"), F.col("id"))).alias("a"))
+    return weighted.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
 
-def across(keys: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of ``keys`` (key, id) whose key has items of different clusters, with ``cluster``; items without one
-    are their own."""
-    rows = keys.join(clusters.select("id", F.col("comp").alias("cluster")), "id", "left").select("key", "id", F.coalesce("cluster", "id").alias("cluster"))
-    return scratch.save(mixed(rows))
+def across(keys: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Rows of ``keys`` (key, id) with ``cluster``; items without one are their own."""
+    return keys.join(clusters.select("id", F.col("comp").alias("cluster")), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
 
 
 def mixed(rows: DataFrame) -> DataFrame:
-    """Rows (key, id, cluster) of the keys that have different clusters."""
-    keys = rows.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo < hi").select("key")
-    return rows.join(keys, "key")
-
-
-def linked(keys: DataFrame, scratch: Scratch, verify: Callable[[DataFrame], DataFrame], star_keys: DataFrame | None = None, pairs: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, cluster) of the keys that have different clusters; one shuffle by key."""
+    by_key = Window.partitionBy("key")
+    both = rows.withColumns({"lo": F.min("cluster").over(by_key), "hi": F.max("cluster").over(by_key)})
+    return both.filter("lo < hi").drop("lo", "hi")
+
+
+def linked(
+    keys: DataFrame,
+    scratch: Scratch,
+    verify: Callable[[DataFrame], DataFrame],
+    star_keys: DataFrame | None = None,
+    pairs: Callable[[DataFrame], DataFrame] | None = None,
+    spread: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect what all links connect, and their components (id, comp).
 
-    ``verify`` keeps the true links of (a, b); ``star_keys`` may be a smaller table of keys for the stars; ``pairs``
-    makes (a, b) of rows (key, id, cluster) and may apply bounds.
+    ``verify`` keeps the true links of (a, b); ``star_keys`` may be a smaller table of keys for the stars; ``spread`` makes
+    rows (key, id, cluster) of clusters (id, comp), where that takes less than a join with all keys; ``pairs`` makes (a, b)
+    of rows of keys with different clusters, and may apply bounds.
     """
     first = scratch.save(verify(stars(keys if star_keys is None else star_keys)))
     clusters = components(first, scratch)
-    rows = across(keys, clusters, scratch)
-    second = (pairs or cross)(rows).distinct()
-    second = scratch.save(verify(second))
+    rows = scratch.save(mixed(spread(clusters) if spread else across(keys, clusters)))
+    second = scratch.save(verify((pairs or cross)(rows).distinct()))
     links = first.unionByName(second)
     return (links, clusters) if second.isEmpty() else (links, components(links, scratch))
 
@@ -71,3 +83,14 @@ def cross(rows: DataFrame, more: Column | None = None) -> DataFrame:
     x, y = rows.alias("x"), rows.alias("y")
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.cluster") != F.col("y.cluster"))
     return x.join(y, on if more is None else on & more).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+BUCKETS = 1 << 20
+
+
+def narrowed(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be one of ``needed`` (id): those whose id shares a hash bucket with one. At most
+    ``BUCKETS`` bucket numbers are broadcast, whatever the input, so the texts of other rows are not shuffled."""
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+    few = needed.select(bucket.alias("bucket")).distinct()
+    return docs.withColumn("bucket", bucket).join(F.broadcast(few), "bucket", "left_semi").drop("bucket")

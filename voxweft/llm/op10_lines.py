@@ -5,7 +5,8 @@ threshold leave one segment of the shorter untouched, so the longer one holds it
 are indexed by (length, segment number, segment hash), and every line probes the indexes of its own and of the
 ``threshold`` next smaller lengths with the few substrings that a match-aware selection leaves (12 for a threshold of
 2). Candidates are verified by banded bit-parallel edit distance of their whole texts. Linked lines are connected into
-classes (see ``links``: stars first, then pairs between different clusters only).
+classes (see ``links``: stars first, then pairs between different clusters only). Of the latter, only lines with equal
+counts in one of 2 threshold + 1 groups of letters can be within the threshold, and only those are compared.
 
 Equal lines are one item, known by a 64-bit hash of the text and collapsed within each batch before anything is
 shuffled. Of every class the first occurrence (by document id, then line number) stays and the others go.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, mix, powers, slices
-from .links import linked
+from .links import cross, linked, mixed, narrowed
 from .scratch import Scratch, read_table
 
 INDEX, PROBE = 1, 0
@@ -77,6 +78,14 @@ def line_keys(h: Prefix, s: np.ndarray, e: np.ndarray, tau: int) -> tuple[np.nda
     return np.stack(own, 1), np.stack(probes, 1)
 
 
+def letter_counts(line: str, groups: int) -> np.ndarray:
+    """For each of so many groups of letters, a 16-bit hash of how often the line has each letter of it."""
+    points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = mix(points.astype(U64) + U64(0x2545F491))
+    sums = np.bincount((h % U64(groups)).astype(np.int64), weights=((h >> U64(32)) & U64(0xFFFF)).astype(np.float64), minlength=groups)
+    return (sums.astype(np.int64) & 0xFFFF).astype(np.uint16).view(np.int16)
+
+
 def within(a: str, b: str, k: int) -> bool:
     """Whether the edit distance is k or less: common ends are cut, the rest is read in a band of k diagonals to
     either side, held in one machine word."""
@@ -168,24 +177,47 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     shared = rows.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key), "indexed": F.max("kind").over(by_key)})
     keys = scratch.save(shared.filter("lo < hi and indexed = 1").select("key", "id").distinct())
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        needed = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+    def texts_of(needed: DataFrame) -> DataFrame:
+        """(h, line) of lines (h), each from one of its occurrences."""
         where = lines.join(needed, "h", "left_semi").groupBy("h").agg(F.min(F.get("at", F.lit(0))).alias("o"))
         per_doc = where.groupBy(F.col("o.doc").alias("id")).agg(F.collect_list(F.struct(F.col("o.no").alias("no"), "h")).alias("want"))
-        texts = docs.join(per_doc, "id").select("want", F.split("text", "\n", -1).alias("l"))
+        texts = narrowed(docs, per_doc).join(per_doc, "id").select("want", F.split("text", "\n", -1).alias("l"))
         texts = texts.select(F.inline(F.transform("want", lambda w: F.struct(w["h"].alias("h"), F.get("l", w["no"]).alias("line")))))
-        texts = scratch.save(texts.dropDuplicates(["h"]))
+        return texts.dropDuplicates(["h"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs)
+        texts = scratch.save(texts_of(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()))
         x, y = (texts.select(F.col("h").alias(c), F.col("line").alias(f"l{c}")) for c in "ab")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = [within(p, q, tau) for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                for i in range(0, len(batch), 256):
+                    part = batch.slice(i, 256)
+                    keep = [within(p, q, tau) for p, q in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
 
-    _, comp = linked(keys, scratch, verify)
+    groups = 2 * tau + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch.slice(i, 256)
+                found = [letter_counts(x or "", 3 * groups) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int16()))], ["id", "letters"])
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        """Pairs of one key whose counts of letters allow the threshold: 2 tau letters at most differ, so of 3 * (2 tau + 1)
+        groups of letters 2 tau at most do, and of the 2 tau + 1 threes of groups one has equal counts in both lines."""
+        letters = texts_of(rows.select(F.col("id").alias("h")).distinct()).mapInArrow(count, "id long, letters array<smallint>")
+        three = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.xxhash64("key", g, F.slice("letters", 3 * g + 1, 3))))
+        more = rows.join(letters, "id").select(three.alias("key"), "id", "cluster", "letters")
+        differ = F.size(F.filter(F.zip_with("x.letters", "y.letters", lambda p, q: p != q), lambda d: d))
+        return cross(scratch.save(mixed(more.distinct())), differ <= 2 * tau)
+
+    _, comp = linked(keys, scratch, verify, pairs=pairs)
     many = lines.groupBy("h").agg(F.sum(F.size("at")).alias("n"))
     many = many.join(comp.select(F.col("id").alias("h"), "comp"), "h", "left").filter("n > 1 or comp is not null").select("h", F.coalesce("comp", "h").alias("class_id"))
     many = scratch.save(many)

@@ -4,7 +4,7 @@ A document's set is the 64-bit hashes of its distinct k-word shingles. Documents
 are joined. Two sets can reach the threshold only if they share one of their first elements in a common order (as many
 as may be missing, and one more), so candidates share such an element. The order puts elements that many documents
 have last, which keeps the groups of an element small. Within a group candidates meet in tiles of neighbouring size
-bands; in a tile the number of differing bits of their parity bitmaps (512 bits) bounds their overlap from above, and
+bands; in a tile the number of differing bits of their parity bitmaps (1,024 bits, and 8,192 of large sets) bounds their overlap from above, and
 pairs that can't reach the threshold go. The rest is verified by exact intersection of the sorted arrays, made again
 from the texts of candidates only.
 
@@ -22,7 +22,7 @@ empty table; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, mix, shingles, slices, words
-from .links import linked
+from .links import across, linked, narrowed
 from .scratch import Scratch, read_table
 
-LAST = 65536
+LAST = 1 << 18
 MINIMA = 4
-WORDS64 = 8
+WORDS64 = 16
+#: Sets of this size or more have a second bitmap, of so many words of 64 bits.
+WIDE_FROM, WIDE = 1000, 128
+#: Words of the bitmap that candidates are first compared by.
+FIRST_BITS = 4
+#: Pairs of one document that are verified together.
+PART = 2000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U64)
 BITS = [f"bits{i}" for i in range(WORDS64)]
 
@@ -57,52 +63,58 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def frequent(docs: DataFrame, k: int) -> list[int]:
-    """The elements that most documents have, of those that one batch has three times."""
+    """The elements that most documents have, of those that one batch has twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = [s for s in sets(batch.column(1), k)]
             v, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, U64), np.zeros(0, int))
-            v, n = v[n >= 3], n[n >= 3]
+            v, n = v[n >= 2], n[n >= 2]
             yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 8")
+    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 4")
     return [r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LAST).select("h").collect()]
 
 
+def parities(m: np.ndarray, words64: int) -> np.ndarray:
+    """A bitmap of 64 * words64 bits: which hold an odd number of the set's elements."""
+    odd = np.bincount((m & U64(64 * words64 - 1)).astype(np.int64), minlength=64 * words64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Of (id, text): id, n, h1, h2 (hashes of the set), the bitmap, minima and first elements."""
     last = np.array(sorted(x % 2**64 for x in frequent(docs, k)), dtype=U64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hashes, bits, mins, first = [], [], [], [], []
+            n, hashes, bits, wide, mins, first = [], [], [], [], [], []
             for s in sets(batch.column(1), k):
                 n.append(len(s))
                 if not len(s):
-                    hashes.append((0, 0)), bits.append(np.zeros(WORDS64, np.int64)), mins.append([]), first.append([])
+                    hashes.append((0, 0)), bits.append(np.zeros(WORDS64, np.int64)), wide.append(None), mins.append([]), first.append([])
                     continue
                 m = mix(s)
                 hashes.append((int(s.sum().astype(np.int64)), int(m.sum().astype(np.int64))))
-                odd = np.bincount((m & U64(64 * WORDS64 - 1)).astype(np.int64), minlength=64 * WORDS64) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(parities(m, WORDS64))
+                wide.append(parities(m, WIDE) if len(s) >= WIDE_FROM else None)
                 mins.append([int(x) for x in mix((s[None, :] * FACTORS[:, None]).min(axis=1) ^ FACTORS).astype(np.int64)])
                 p = prefix_length(len(s), num, den)
-                late = np.isin(s, last, assume_unique=True) if len(last) else np.zeros(len(s), bool)
+                late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 first.append(np.concatenate([s[~late], s[late]])[:p].astype(np.int64))
             b = np.array(bits, np.int64).reshape(-1, WORDS64)
             h = np.array(hashes, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), *[pa.array(b[:, i].copy()) for i in range(WORDS64)], pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
-                ["id", "n", "h1", "h2", *BITS, "mins", "first"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), *[pa.array(b[:, i].copy()) for i in range(WORDS64)], pa.array(wide, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
+                ["id", "n", "h1", "h2", *BITS, "wide", "mins", "first"],
             )
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, {', '.join(f'{b} long' for b in BITS)}, mins array<long>, first array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, mins array<long>, first array<long>")
 
 
-def verifier(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int):
-    """Keeps the pairs whose sets reach the threshold."""
+def text_sets(docs: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
+    """Makes (id, s), the sets of documents of a table (id), from their texts."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,22 +122,36 @@ def verifier(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int):
                 part = batch.slice(a, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype(np.int64) for s in sets(part.column(1), k)], pa.list_(pa.int64()))], ["id", "s"])
 
+    return lambda needed: narrowed(docs, needed).join(needed, "id", "left_semi").mapInArrow(arrays, "id long, s array<long>")
+
+
+def verifier(sets_of: Callable[[DataFrame], DataFrame], scratch: Scratch, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+    """Keeps the pairs (a, b) whose sets reach the threshold. The sets of a pair meet by a; an a of many pairs has its
+    set in several parts of ``PART`` pairs."""
+
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, lead = None, np.zeros(0, U64)
         for batch in batches:
-            (a, ao), (b, bo) = (_flat(batch.column(i)) for i in (2, 3))
-            keep = np.zeros(len(batch), bool)
-            for i in range(len(batch)):
-                x, y = a[ao[i] : ao[i + 1]], b[bo[i] : bo[i + 1]]
-                both = overlap(x, y)
-                keep[i] = den * both >= num * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+            data, off = _flat(batch.column("s"))
+            found = []
+            for i, (a, salt, member, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "member", "id")), strict=True)):
+                s = data[off[i] : off[i + 1]]
+                if not member:
+                    of, lead = (a, salt), s.copy()
+                elif of == (a, salt):
+                    both = overlap(lead, s)
+                    if den * both >= num * (len(lead) + len(s) - both):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        of = scratch.save(docs.join(needed, "id", "left_semi").mapInArrow(arrays, "id long, s array<long>"))
-        x, y = (of.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(intersect, "a long, b long").distinct()
+        pairs = scratch.save(pairs.select("a", "b").distinct())
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+        members = pairs.join(parts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.hash("b"), F.col("parts")).alias("salt"), F.lit(True).alias("member"))
+        leads = parts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(False).alias("member"))
+        want = scratch.save(members.unionByName(leads))
+        rows = sets_of(want.select("id").distinct()).join(want, "id").select("a", "salt", "member", "id", "s")
+        return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(intersect, "a long, b long").distinct()
 
     return verify
 
@@ -157,19 +183,38 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     star_keys = nodes.select(F.posexplode("mins").alias("j", "m"), "id", "n").select(F.xxhash64("j", "m", band).alias("key"), "id")
     keys = nodes.select(F.explode("first").alias("key"), "id")
 
+    c = lambda n: (F.col(f"x.{n}"), F.col(f"y.{n}"))
+    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(c, BITS)), F.lit(0))
+    (xn, yn), (xi, yi), (xc, yc) = c("n"), c("id"), c("cluster")
+    may_reach = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & ((den + num) * (xn + yn - differ) / 2 >= num * (xn + yn))
+
+    few = BITS[:FIRST_BITS]
+    differ_few = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(c, few)), F.lit(0))
+    # beyond the first common element no more is shared than what is left of either set
+    left = F.least(xn - F.col("x.pos"), yn - F.col("y.pos"))
+    octave = lambda n: F.floor(F.log2(n) + 1e-9).cast("int")
+
+    def spread(clusters: DataFrame) -> DataFrame:
+        return across(nodes.select("id", "first"), clusters).select("id", "cluster", F.posexplode("first").alias("pos", "key"))
+
     def tiles(rows: DataFrame) -> DataFrame:
-        rows = rows.join(nodes.select("id", "n", *BITS), "id").withColumn("band", band)
-        x = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
-        y = rows.alias("y")
-        c = lambda n: (F.col(f"x.{n}"), F.col(f"y.{n}"))
-        (xn, yn), (xi, yi), (xc, yc) = c("n"), c("id"), c("cluster")
-        differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(c, BITS)), F.lit(0))
-        most = (xn + yn - differ) / 2
+        """Candidates of one element and of sizes in one octave; sets near an octave's end also meet those of the next."""
+        rows = rows.join(nodes.select("id", "n", *few), "id").withColumn("band", octave(F.col("n")))
+        x = rows.withColumn("band", F.explode(F.array_distinct(F.array(F.col("band"), octave(F.col("n") * den / num))))).alias("x")
         on = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (xc != yc) & ((xn < yn) | ((xn == yn) & (xi < yi)))
-        on = on & (den * xn >= num * yn) & ((den + num) * most >= num * (xn + yn))
-        return x.join(y, on).select(F.least(xi, yi).alias("a"), F.greatest(xi, yi).alias("b"))
+        on = on & (den * xn >= num * yn) & ((den + num) * F.least(left, (xn + yn - differ_few) / 2) >= num * (xn + yn))
+        return x.join(rows.alias("y"), on).select(F.least(xi, yi).alias("a"), F.greatest(xi, yi).alias("b"))
+
+    verify = verifier(text_sets(docs, k), scratch, num, den)
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Verifies the pairs whose sizes and bitmaps allow a link."""
+        x, y = (nodes.select("id", "n", "wide", *BITS).alias(t) for t in "xy")
+        more = F.coalesce(F.aggregate(F.zip_with("x.wide", "y.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v), F.lit(0))
+        close = may_reach & ((den + num) * (xn + yn - more) / 2 >= num * (xn + yn))
+        return verify(pairs.join(x, F.col("a") == xi).join(y, (F.col("b") == yi) & close))
 
-    _, comp = linked(keys, scratch, verifier(docs, scratch, k, num, den), star_keys, tiles)
+    _, comp = linked(keys, scratch, bounded, star_keys, tiles, spread)
     node = sig.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = node.join(comp.withColumnRenamed("id", "node"), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "id").alias("component_id"))
