@@ -114,3 +114,33 @@ def op6_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
         verdict("live").alias("n_live"),
         verdict("example").alias("n_example"),
     )
+
+
+def _kind_sql(k: int, kind: Kind) -> str:
+    pattern = kind.pattern.replace("'", "''")
+    value = f"regexp_extract(m, '{pattern}', {kind.group})"
+    return f"""SELECT rid, {k} AS k, '{kind.name}' AS kind, (s + length(m))::BIGINT AS e, s::BIGINT AS s, {value} AS v FROM (
+    SELECT rid, m, sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
+      SELECT rid, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS ps FROM d WHERE regexp_matches(t, '{pattern}'))
+    ) WINDOW w AS (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING)
+  ) WHERE length({value}) >= {kind.least}"""
+
+
+_BASE = ", ".join(f"'{k.name}'" for k in BASE_KINDS)
+OP6_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents
+), c AS (
+  {" UNION ALL ".join(_kind_sql(k, kind) for k, kind in enumerate(KINDS))}
+), owners AS (
+  SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n FROM c JOIN d USING (rid) GROUP BY v
+), s AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (kind IN ({_BASE})) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans,
+    count(*) FILTER (n < 3) AS n_live, count(*) FILTER (n >= 3) AS n_example
+  FROM c JOIN owners USING (v) GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN s USING (rid)
+"""

@@ -152,3 +152,22 @@ def find_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
 def op7_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
     return find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP7_SQL = rf"""
+WITH items AS (
+  SELECT item_id, row_number() OVER () AS iid, w, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), wanted AS (
+  SELECT DISTINCT iid, item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM items)
+), docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents
+), have AS (
+  SELECT DISTINCT rid, doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM items))
+), sizes AS (
+  SELECT iid, count(*) AS n FROM wanted GROUP BY 1
+), shared AS (
+  SELECT rid, doc_id, iid, item_id, count(*) AS shared FROM have JOIN wanted USING (k, g) GROUP BY ALL
+)
+SELECT doc_id, item_id, n AS item_shingles, shared, shared / n AS containment FROM shared JOIN sizes USING (iid) WHERE shared >= 0.8 * n
+"""

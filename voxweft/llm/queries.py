@@ -8,9 +8,9 @@ from .op2_suffix_tree import op2_suffix_tree
 from .op3_lines import OP3_SQL, op3_line_first
 from .op4_paragraphs import op4_paragraph_minhash
 from .op5_quality import op5_neighbours
-from .op6_secrets import op6_ownership
-from .op7_decontaminate import op7_containment
-from .op8_jaccard import op8_ngram_join
+from .op6_secrets import OP6_SQL, op6_ownership
+from .op7_decontaminate import OP7_SQL, op7_containment
+from .op8_jaccard import OP8_SQL, op8_ngram_join
 from .op9_bpe import op9_bpe_backtrack
 
 
@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_first": OP3_SQL}
+    return {"op3_line_first": OP3_SQL, "op6_ownership": OP6_SQL, "op7_containment": OP7_SQL, "op8_ngram_join": OP8_SQL}
