@@ -84,6 +84,15 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
+def calibration_report(df: DataFrame, bins: int) -> DataFrame:
+    """(binning, bins, n, brier, ece, log_loss) in one pass: sums by bin, then over bins."""
+    t = df.withColumn("bin", uniform_bin(F.col("p"), bins))
+    y = F.col("label")
+    by = t.groupBy("bin").agg(F.count("*").alias("n"), F.sum("p").alias("p"), F.sum(y).alias("y"), F.sum((F.col("p") - y) * (F.col("p") - y)).alias("b"), F.sum(log_loss_term(F.col("p"), y)).alias("l"))
+    n = F.sum("n")
+    return by.agg(F.lit("uniform").alias("binning"), F.lit(bins).alias("bins"), n.alias("n"), (F.sum("b") / n).alias("brier"), (F.sum(F.abs(F.col("p") - F.col("y"))) / n).alias("ece"), (F.sum("l") / n).alias("log_loss"))
+
+
 def logit_scaled(p: Column, temperature: Column | float, clamp: float = 1e-7) -> Column:
     """The sigmoid of the clamped confidence's logit over a temperature."""
     q = F.least(F.lit(1 - clamp), F.greatest(F.lit(clamp), p))

@@ -150,3 +150,10 @@ def differing_positions(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("utt_
     """(keys, pos, a, b): places where two token arrays differ, those beyond the shorter included."""
     x, y = (t.select(*keys, F.posexplode("tokens").alias("pos", n)) for t, n in ((a, "a"), (b, "b")))
     return x.join(y, [*keys, "pos"], "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def vote_confidence(chosen: DataFrame, hyps: DataFrame, keys: Sequence[str] = ("utt_id",), tokens: str = "hyp") -> DataFrame:
+    """(keys, confidence): share of positions, over all streams, whose token is the chosen one of that position."""
+    t = hyps.join(chosen, list(keys))
+    same = F.size(F.filter(F.zip_with("tokens", tokens, lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda x: x))
+    return t.groupBy(*keys).agg(F.when(F.sum(F.size("tokens")) > 0, F.sum(same) / F.sum(F.size("tokens"))).otherwise(0.0).alias("confidence"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text
 from ..operators import alignment, analysis, calibration, grid, ngram, rescoring, timings, voting
 from ..session import prepare
-from ..sources import manifests, models, reports
+from ..sources import manifests, models, reports, rows
 from . import bridge
 from .bridge import SQL_HYP, SQL_OPS, SQL_SCORES, SQL_TIMINGS, SQL_UTT
 
@@ -761,6 +761,89 @@ def migrate_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("utterance_id").alias("utt_id"), "schema_version", total("acoustic_log10").alias("acoustic"), total("lm_log10").alias("lm"), F.array_join("extra", ",").alias("extra"))
 
 
+# --- rows of manifests, and the rest ----------------------------------------------------------------------------
+
+
+def _back(name: str, pair: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]) -> None:
+    """Rows that are not the same after writing and reading; none is expected."""
+
+    @query("SELECT 0::BIGINT AS lost", name)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before, after = pair(spark, sf_dir)
+        return before.exceptAll(after).unionByName(after.exceptAll(before)).agg(F.count("*").alias("lost"))
+
+
+def _alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = hyps(spark, sf_dir).select("utt_id", "rank", alignment.edit_ops(F.col("ref"), F.col("hyp")).alias("ops"))
+    back = rows.alignments(rows.alignment_rows(t, ["utt_id", "rank"]), ["utt_id", "rank"])
+    return t.withColumn("fault", F.lit(None).cast("string")), back.select("utt_id", "rank", "ops", "fault")
+
+
+def _fusions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = voting.fused_text(voting.fuse(cells(spark, sf_dir)))
+    return t, rows.fusions(rows.fusion_rows(t, voting.Fusion(), ["a", "b"])).select("utt_id", "tokens", "confidences")
+
+
+def _networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = voting.confusion_network(cells(spark, sf_dir), score="score").withColumn("posterior", r9("posterior"))
+    return t, rows.networks(rows.network_rows(t)).select(*t.columns)
+
+
+def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    t = bridge.timings(spark, sf_dir)
+    return t, rows.tracks(rows.timing_rows(t)).select(*t.columns)
+
+
+_back("alignment_rows", _alignments)
+_back("fusion_rows", _fusions)
+_back("network_rows", _networks)
+_back("timing_rows", _tracks)
+
+
+@query(f"{S} SELECT id, round(1 / (1 + exp(-ln({_Q} / (1 - {_Q})) / 1.5)), 9) AS q FROM scores")
+def logit_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.scores(spark, sf_dir).select("id", r9(calibration.logit_scaled(F.col("p"), 1.5)).alias("q"))
+
+
+@query(f"{S} SELECT id, round(1 / (1 + exp(-(1.7 * p - 0.4))), 9) AS q FROM scores")
+def logistic_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.scores(spark, sf_dir).select("id", r9(calibration.apply_logistic(F.col("p"), (1.7, -0.4))).alias("q"))
+
+
+@query(f"{S}, b AS (SELECT {BIN} AS bin, count(*) AS n, avg(p) AS c, avg(label) AS a FROM scores GROUP BY 1), e AS (SELECT sum(abs(c - a) * n) / sum(n) AS ece FROM b) SELECT 'uniform' AS binning, 10 AS bins, count(*) AS n, round(avg((p - label) * (p - label)), 9) AS brier, round(any_value(ece), 9) AS ece, round(avg({_LOSS}), 9) AS log_loss FROM scores, e")
+def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = calibration.calibration_report(bridge.scores(spark, sf_dir), 10)
+    return t.select("binning", "bins", "n", *[r9(c).alias(c) for c in ("brier", "ece", "log_loss")])
+
+
+@query(
+    f"""{fuse_sql()}, f AS (SELECT utt_id, token, row_number() OVER (PARTITION BY utt_id ORDER BY col) AS pos FROM fused), h AS (SELECT utt_id, rank, unnest(hyp) AS token, generate_subscripts(hyp, 1) AS pos FROM hyp)
+SELECT utt_id, round(avg((h.token IS NOT DISTINCT FROM f.token)::INT), 9) AS confidence FROM f CROSS JOIN (SELECT unnest([1, 2, 3]) AS rank) r LEFT JOIN h USING (utt_id, rank, pos) GROUP BY 1"""
+)
+def vote_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = voting.fused_text(voting.fuse(cells(spark, sf_dir))).select("utt_id", "tokens")
+    return voting.vote_confidence(chosen, hyps(spark, sf_dir)).select("utt_id", r9("confidence").alias("confidence"))
+
+
+@query(
+    f"""WITH {SQL_HYP}, {counts_sql(2)}, {asked_sql(2)}, {ARPA2}, bow AS (SELECT p1.ngram, coalesce(CASE WHEN abs(den) < 1e-12 OR num <= 1e-9 THEN 0.0::DOUBLE ELSE log10(least(1.0::DOUBLE, num / den)) END, 0) AS bow FROM p1 LEFT JOIN b ON ctx = p1.ngram)
+SELECT a.ngram, round(coalesce(p2.p, pow(10, coalesce(bow, 0)) * coalesce(p1.p, 1.0::DOUBLE / (SELECT count(*) FROM p1))), 9) AS p FROM (SELECT DISTINCT ngram, regexp_replace(ngram, ' ?[^ ]*$', '') AS c, regexp_extract(ngram, '([^ ]*)$', 1) AS w FROM asked) a
+LEFT JOIN p2 ON p2.ngram = a.ngram LEFT JOIN bow ON bow.ngram = a.c LEFT JOIN p1 ON p1.ngram = a.w"""
+)
+def arpa_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = ngram.train(refs(spark, sf_dir), 2)
+    t = ngram.arpa_tables(model)
+    p = ngram.backoff(asked(spark, sf_dir, model).select("ngram").distinct(), t.select("n", "ngram", "logp"), t.filter("n = 1").select("n", "ngram", "bow"), 2)
+    return p.select("ngram", r9("p").alias("p"))
+
+
+@query(rf"WITH {SQL_UTT} SELECT utt_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\p{{P}}', '', 'g')), '[ \t\n\r]+', ' ', 'g')) AS ref, array_to_string(ref, ' ') AS hyp FROM utt")
+def normalize_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")
+    t = bridge.utterances(spark, sf_dir).select("utt_id", text.normalized_pair(plain, F.array_join("ref", " "), ascii_only=True).alias("p"))
+    return t.select("utt_id", "p.ref", "p.hyp")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates of each rank."""
     return QUERIES["score_rates"](spark, sf_dir)
