@@ -62,18 +62,20 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     star_keys: DataFrame | None = None,
     pairs: Callable[[DataFrame], DataFrame] | None = None,
+    verified: bool = False,
     spread: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) that connect what all links connect, and their components (id, comp).
 
     ``verify`` keeps the true links of (a, b); ``star_keys`` may be a smaller table of keys for the stars; ``spread`` makes
     rows (key, id, cluster) of clusters (id, comp), where that takes less than a join with all keys; ``pairs`` makes (a, b)
-    of rows of keys with different clusters, and may apply bounds.
+    of rows of keys with different clusters, and may apply bounds; what it makes is ``verified`` already, or is yet to be.
     """
     first = scratch.save(verify(stars(keys if star_keys is None else star_keys)))
     clusters = components(first, scratch)
     rows = scratch.save(mixed(spread(clusters) if spread else across(keys, clusters)))
-    second = scratch.save(verify((pairs or cross)(rows).distinct()))
+    second = (pairs or cross)(rows).distinct()
+    second = scratch.save(second if verified else verify(second))
     links = first.unionByName(second)
     return (links, clusters) if second.isEmpty() else (links, components(links, scratch))
 

@@ -5,8 +5,8 @@ threshold leave one segment of the shorter untouched, so the longer one holds it
 are indexed by (length, segment number, segment hash), and every line probes the indexes of its own and of the
 ``threshold`` next smaller lengths with the few substrings that a match-aware selection leaves (12 for a threshold of
 2). Candidates are verified by banded bit-parallel edit distance of their whole texts. Linked lines are connected into
-classes (see ``links``: stars first, then pairs between different clusters only). Of the latter, only lines with equal
-counts in one of 2 threshold + 1 groups of letters can be within the threshold, and only those are compared.
+classes (see ``links``: stars first, then pairs between different clusters only). The latter
+are compared in tiles of bounded size, and only if the counts of their letters allow the threshold.
 
 Equal lines are one item, known by a 64-bit hash of the text and collapsed within each batch before anything is
 shuffled. Of every class the first occurrence (by document id, then line number) stays and the others go.
@@ -26,10 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, mix, powers, slices
-from .links import cross, linked, mixed, narrowed
+from .links import linked, narrowed
 from .scratch import Scratch, read_table
 
 INDEX, PROBE = 1, 0
+#: Lines of a block that are compared at a time, with one block or two.
+TILE = 512
+#: Groups of letters whose counts are compared before lines are.
+GROUPS = 24
 
 
 def line_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +95,8 @@ def within(a: str, b: str, k: int) -> bool:
     either side, held in one machine word."""
     if abs(len(a) - len(b)) > k:
         return False
-    if a == b:
-        return True
+    if a == b or not k:
+        return a == b
     i, n = 0, min(len(a), len(b))
     while i < n and a[i] == b[i]:
         i += 1
@@ -135,6 +139,37 @@ def banded(a: str, b: str, k: int) -> int:
     return score
 
 
+def tile_links(rows: list[dict], tau: int) -> pa.RecordBatch:
+    """Links between the lines of a tile (id, cluster, block, line) that connect what all its links connect. Lines within
+    the threshold differ in the counts of 2 tau groups of letters at most; those are verified, unless links found
+    before connect them."""
+    found = []
+    if len({r["cluster"] for r in rows}) > 1:
+        counts = np.array([letter_counts(r["line"] or "", GROUPS) for r in rows])
+        size = np.array([len(r["line"] or "") for r in rows])
+        cluster, block = (np.array([r[c] for r in rows]) for c in ("cluster", "block"))
+        root = {c: c for c in cluster.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        other = rows[0]["i"] != rows[0]["j"]
+        for x in range(len(rows) - 1):
+            rest = slice(x + 1, None)
+            ok = (cluster[rest] != cluster[x]) & (np.abs(size[rest] - size[x]) <= tau) & ((counts[rest] != counts[x]).sum(axis=1) <= 2 * tau)
+            if other:
+                ok &= block[rest] != block[x]
+            for y in (np.flatnonzero(ok) + x + 1).tolist():
+                p, q = find(rows[x]["cluster"]), find(rows[y]["cluster"])
+                if p != q and within(rows[x]["line"] or "", rows[y]["line"] or "", tau):
+                    root[p] = q
+                    found.append((rows[x]["id"], rows[y]["id"]))
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int) -> pa.RecordBatch:
     """Of one batch of documents a row for each different line: its hash, occurrences, and keys."""
     parts = []
@@ -199,25 +234,29 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
 
         return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
 
-    groups = 2 * tau + 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, []
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.slice(i, 256)
-                found = [letter_counts(x or "", 3 * groups) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int16()))], ["id", "letters"])
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        """Pairs of one key whose counts of letters allow the threshold: 2 tau letters at most differ, so of 3 * (2 tau + 1)
-        groups of letters 2 tau at most do, and of the 2 tau + 1 threes of groups one has equal counts in both lines."""
-        letters = texts_of(rows.select(F.col("id").alias("h")).distinct()).mapInArrow(count, "id long, letters array<smallint>")
-        three = F.explode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.xxhash64("key", g, F.slice("letters", 3 * g + 1, 3))))
-        more = rows.join(letters, "id").select(three.alias("key"), "id", "cluster", "letters")
-        differ = F.size(F.filter(F.zip_with("x.letters", "y.letters", lambda p, q: p != q), lambda d: d))
-        return cross(scratch.save(mixed(more.distinct())), differ <= 2 * tau)
-
-    _, comp = linked(keys, scratch, verify, pairs=pairs)
+            for start in range(0, len(batch), 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    if tile != (of := (row["key"], row["i"], row["j"])):
+                        yield tile_links(held, tau)
+                        tile, held = of, []
+                    held.append(row)
+        yield tile_links(held, tau)
+
+    def across_clusters(rows: DataFrame) -> DataFrame:
+        """Links between lines of one key and of different clusters. Keys of many lines are cut into blocks, and each
+        pair of blocks is a tile of its own."""
+        blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+        t = rows.join(blocks, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
+        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j")))
+        t = t.select("key", "id", "cluster", "block", F.inline(tiles))
+        texts = texts_of(rows.select(F.col("id").alias("h")).distinct()).withColumnRenamed("h", "id")
+        t = t.join(texts, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+        return t.mapInArrow(compare, "a long, b long")
+
+    _, comp = linked(keys, scratch, verify, pairs=across_clusters, verified=True)
     many = lines.groupBy("h").agg(F.sum(F.size("at")).alias("n"))
     many = many.join(comp.select(F.col("id").alias("h"), "comp"), "h", "left").filter("n > 1 or comp is not null").select("h", F.coalesce("comp", "h").alias("class_id"))
     many = scratch.save(many)

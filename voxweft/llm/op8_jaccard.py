@@ -214,7 +214,7 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         close = may_reach & ((den + num) * (xn + yn - more) / 2 >= num * (xn + yn))
         return verify(pairs.join(x, F.col("a") == xi).join(y, (F.col("b") == yi) & close))
 
-    _, comp = linked(keys, scratch, bounded, star_keys, tiles, spread)
+    _, comp = linked(keys, scratch, bounded, star_keys, tiles, spread=spread)
     node = sig.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = node.join(comp.withColumnRenamed("id", "node"), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "id").alias("component_id"))
