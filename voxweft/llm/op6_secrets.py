@@ -55,7 +55,7 @@ def found(text: Column, k: int, kind: Kind) -> Column:
     """Array of (start, end, kind, value) of one kind's matches; null where there is none."""
     pattern = F.lit(kind.pattern)
     has = text.rlike(kind.pattern) if not kind.hint else text.contains(kind.hint)
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.slice(F.split(text, kind.pattern, -1), 1, 2**31 - 1).alias("p"))
+    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,k:int,v:string>>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
