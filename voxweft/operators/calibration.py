@@ -195,7 +195,7 @@ def utterance_confidence(values: Column, how: str) -> Column:
         return mean_of(values)
     if how == "min":
         return F.coalesce(F.array_min(values), F.lit(0.0))
-    if how == "product":
+    if how in ("product", "length_normalized"):
         return F.when(F.size(values) > 0, F.aggregate(values, F.lit(1.0), lambda s, x: s * x)).otherwise(0.0)
     if how == "geometric":
         logs = F.aggregate(values, F.lit(0.0), lambda s, x: s + F.log(F.greatest(x, F.lit(1e-300))))

@@ -153,7 +153,16 @@ def differing_positions(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("utt_
 
 
 def vote_confidence(chosen: DataFrame, hyps: DataFrame, keys: Sequence[str] = ("utt_id",), tokens: str = "hyp") -> DataFrame:
-    """(keys, confidence): share of positions, over all streams, whose token is the chosen one of that position."""
-    t = hyps.join(chosen, list(keys))
-    same = F.size(F.filter(F.zip_with("tokens", tokens, lambda a, b: a.eqNullSafe(b) & a.isNotNull()), lambda x: x))
-    return t.groupBy(*keys).agg(F.when(F.sum(F.size("tokens")) > 0, F.sum(same) / F.sum(F.size("tokens"))).otherwise(0.0).alias("confidence"))
+    """(keys, pos, confidence): of the streams that reach a position of the chosen tokens, the share that have its
+    token there; 0 where none reaches it."""
+    want = chosen.select(*keys, F.posexplode("tokens").alias("pos", "want"))
+    have = hyps.select(*keys, F.posexplode(tokens).alias("pos", "have"))
+    t = want.join(have, [*keys, "pos"], "left").groupBy(*keys, "pos")
+    return t.agg(F.coalesce(F.avg((F.col("want") == F.col("have")).cast("int")), F.lit(0.0)).alias("confidence"))
+
+
+def agreement(cells: DataFrame, keys: Sequence[str] = ("utt_id",)) -> DataFrame:
+    """(keys, col, agreement): share of the most frequent token among a column's tokens, gaps left out; 0 for a column of
+    gaps."""
+    n = cells.groupBy(*keys, "col", "token").agg(F.count("*").alias("n")).withColumn("n", F.when(F.col("token") != GAP, F.col("n")))
+    return n.groupBy(*keys, "col").agg(F.coalesce(F.max("n") / F.sum("n"), F.lit(0.0)).alias("agreement"))

@@ -429,9 +429,12 @@ def rescore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rescoring.rescored(with_lm(spark, sf_dir), score, top=2).select("utt_id", "rank", "new_rank", F.round("score", 6).alias("score"))
 
 
-@query(f"{RATES}, w AS (SELECT unnest([0, 0.1, 0.2, 0.5, 1]::DOUBLE[]) AS weight), k AS (SELECT utt_id, weight, wer, row_number() OVER (PARTITION BY utt_id, weight ORDER BY round(acoustic + weight * lm, 9) DESC, rank) AS rn FROM rated, w) SELECT weight, round(avg(wer), 9) AS wer, count(*) AS n FROM k WHERE rn = 1 GROUP BY weight")
+@query(
+    f"""{RATES}, e AS (SELECT *, CASE WHEN bool_or(len(list_filter(hyp, lambda x: length(x) > 1)) > 0) OVER (PARTITION BY utt_id) THEN levenshtein(rt, array_to_string(hyp, ' ')) / length(rt) ELSE wer END AS error FROM rated), w AS (SELECT unnest([0, 0.1, 0.2, 0.5, 1]::DOUBLE[]) AS weight),
+k AS (SELECT utt_id, weight, error, row_number() OVER (PARTITION BY utt_id, weight ORDER BY round(acoustic + weight * lm, 9) DESC, rank) AS rn FROM e, w) SELECT weight, round(avg(error), 9) AS error, count(*) AS n FROM k WHERE rn = 1 GROUP BY weight"""
+)
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rescoring.weight_sweep(rates(spark, sf_dir)).select("weight", r9("wer").alias("wer"), "n")
+    return rescoring.weight_sweep(rescoring.with_error(rates(spark, sf_dir))).select("weight", r9("error").alias("error"), "n")
 
 
 @query(f"WITH {SQL_HYP} SELECT count(*) AS faults FROM hyp a JOIN hyp b ON a.utt_id = b.utt_id AND a.acoustic = b.acoustic AND a.lm < b.lm, (SELECT unnest([0, 0.5, 1]::DOUBLE[]) AS w) WHERE b.acoustic + w * b.lm < a.acoustic + w * a.lm - 1e-12")
@@ -542,10 +545,9 @@ def fusion_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voting.fusion_faults(voting.fuse(c), c).agg(F.count("*").alias("faults"))
 
 
-@query(f"{GRID}, cnt AS (SELECT utt_id, col, token, count(*) AS n FROM cells WHERE token <> '*' GROUP BY 1, 2, 3) SELECT utt_id, col, round(max(n) / sum(n), 9) AS agreement FROM cnt GROUP BY 1, 2")
+@query(f"{GRID}, cnt AS (SELECT utt_id, col, token, CASE WHEN token <> '*' THEN count(*) END AS n FROM cells GROUP BY 1, 2, 3) SELECT utt_id, col, round(coalesce(max(n) / sum(n), 0), 9) AS agreement FROM cnt GROUP BY 1, 2")
 def agreement_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = grid.cells(hyps(spark, sf_dir)).filter(F.col("token") != grid.GAP).groupBy("utt_id", "col", "token").agg(F.count("*").alias("n"))
-    return t.groupBy("utt_id", "col").agg(r9(F.max("n") / F.sum("n")).alias("agreement"))
+    return voting.agreement(grid.cells(hyps(spark, sf_dir))).select("utt_id", "col", r9("agreement").alias("agreement"))
 
 
 def network_sql(keep: bool = False) -> str:
@@ -817,12 +819,12 @@ def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{fuse_sql()}, f AS (SELECT utt_id, token, row_number() OVER (PARTITION BY utt_id ORDER BY col) AS pos FROM fused), h AS (SELECT utt_id, rank, unnest(hyp) AS token, generate_subscripts(hyp, 1) AS pos FROM hyp)
-SELECT utt_id, round(avg((h.token IS NOT DISTINCT FROM f.token)::INT), 9) AS confidence FROM f CROSS JOIN (SELECT unnest([1, 2, 3]) AS rank) r LEFT JOIN h USING (utt_id, rank, pos) GROUP BY 1"""
+    f"""{fuse_sql()}, f AS (SELECT utt_id, token, row_number() OVER (PARTITION BY utt_id ORDER BY col) AS pos FROM fused), h AS (SELECT utt_id, unnest(hyp) AS token, generate_subscripts(hyp, 1) AS pos FROM hyp)
+SELECT utt_id, pos - 1 AS pos, round(coalesce(avg((h.token = f.token)::INT), 0), 9) AS confidence FROM f LEFT JOIN h USING (utt_id, pos) GROUP BY 1, 2"""
 )
 def vote_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = voting.fused_text(voting.fuse(cells(spark, sf_dir))).select("utt_id", "tokens")
-    return voting.vote_confidence(chosen, hyps(spark, sf_dir)).select("utt_id", r9("confidence").alias("confidence"))
+    return voting.vote_confidence(chosen, hyps(spark, sf_dir)).select("utt_id", "pos", r9("confidence").alias("confidence"))
 
 
 @query(
