@@ -338,3 +338,40 @@ def test_sql(spark):
 
     for name, sql in queries.oracle_sql().items():
         assert not same(queries.queries()[name](spark, DATA), connect(DATA), sql)
+
+
+# --- tiles ---
+
+
+def test_tiles_join_what_all_pairs_join():
+    from voxweft.llm.tiles import jaccard_links
+
+    rng = random.Random(2)
+    for _ in range(40):
+        rows = [{"key": 1, "i": 0, "j": 0, "id": k, "cluster": k if rng.random() < 0.8 else 0, "block": 0, "s": sorted(rng.sample(range(14), rng.randint(1, 12)))} for k in range(rng.randint(2, 40))]
+        want, got = brute.Classes(), brute.Classes()
+        for a in rows:
+            for b in rows:
+                if len(set(a["s"]) & set(b["s"])) >= 0.8 * len(set(a["s"]) | set(b["s"])):
+                    want.join(a["cluster"], b["cluster"])
+        for a, b in jaccard_links(80, 100, 5)(rows):
+            got.join(rows[a]["cluster"], rows[b]["cluster"])
+        assert all(want.find(r["cluster"]) == got.find(r["cluster"]) for r in rows)
+
+
+def test_tiles_of_many_blocks(spark):
+    from voxweft.llm.tiles import in_tiles, jaccard_links
+
+    rng = random.Random(4)
+    sets = {k: sorted(rng.sample(range(9), rng.randint(6, 8))) for k in range(120)}
+    rows = spark.createDataFrame([(1, k, k) for k in sets], "key long, id long, cluster long")
+    payload = spark.createDataFrame(list(sets.items()), "id long, s array<long>")
+    want, got = brute.Classes(), brute.Classes()
+    for a in sets:
+        for b in sets:
+            if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])):
+                want.join(a, b)
+    for r in in_tiles(rows, payload, jaccard_links(80, 100), size=16).collect():
+        assert want.find(r["a"]) == want.find(r["b"])
+        got.join(r["a"], r["b"])
+    assert all(want.find(k) == got.find(k) for k in sets)

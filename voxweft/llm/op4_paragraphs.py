@@ -4,8 +4,8 @@ A paragraph is a stretch of whole sentences: a line is cut after every sentence
 sentences go with the next one. Cuts depend on nearby text only, so a passage that stands inside different lines is cut
 alike everywhere but at its ends. Paragraphs of ``least`` words or more are compared by their sets of k-word shingles.
 ``BANDS`` bands of ``ROWS`` minima make candidates: 5 bands of 2 find 99 % of pairs of a Jaccard index of 0.8. Paragraphs
-that collide in a band are joined (see ``links``: stars, then pairs between different clusters), candidates are verified
-by the exact index of their sets, and links are connected into classes.
+that collide in a band are joined (see ``links``: stars, then, in ``tiles`` of bounded size, pairs between different
+clusters), candidates are verified by the exact index of their sets, and links are connected into classes.
 
 Equal paragraphs are one item, known by a 64-bit hash and collapsed within each batch before anything is shuffled.
 A passage is a run of neighbouring paragraphs of classes that occur in two documents or more; runs of fewer than ``run_words`` words,
@@ -29,6 +29,7 @@ from .bytetext import STEP, U64, mix, powers, slices, words
 from .links import linked, narrowed
 from .op8_jaccard import verifier
 from .scratch import Scratch, read_table
+from .tiles import in_tiles, jaccard_links
 
 SENTENCE = 6
 BANDS, ROWS = 5, 2
@@ -131,7 +132,10 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         per_doc = where.groupBy(F.col("o.doc").alias("id")).agg(F.collect_list(F.struct(F.col("o.first").alias("first"), "h")).alias("want"))
         return narrowed(docs, per_doc).join(per_doc, "id").select("text", "want").mapInArrow(sets, "id long, s array<long>")
 
-    _, comp = linked(keys, scratch, verifier(sets_of, scratch, num, den))
+    def across(rows: DataFrame) -> DataFrame:
+        return in_tiles(rows, sets_of(rows.select("id").distinct()), jaccard_links(num, den))
+
+    _, comp = linked(keys, scratch, verifier(sets_of, scratch, num, den), pairs=across, verified=True)
     docs_of = F.transform("at", lambda x: x["doc"])
     many = paras.groupBy("h").agg(F.min(F.array_min(docs_of)).alias("lo"), F.max(F.array_max(docs_of)).alias("hi"))
     many = many.join(comp.select(F.col("id").alias("h"), "comp"), "h", "left").filter("lo < hi or comp is not null").withColumn("class_id", F.coalesce("comp", "h"))
