@@ -23,7 +23,7 @@ BASE_INVERSE = pow(BASE, -1, 2**64)
 STEP = (_RANDOM.randint(1, 2**62, 64, dtype=np.int64).astype(U64) << U64(1)) | U64(1)
 _powers = [np.ones(1, U64), np.ones(1, U64)]
 #: Bytes of text handled at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -13,11 +13,11 @@ suffix.
 Counts cover all training texts. Words are counted by the workers and summed by a shuffle. For n-grams, each share of
 the texts reports what is near the frequent rate in it, reports are summed by a shuffle, and a second pass counts those
 that may be frequent everywhere; the result is exact. Frequent n-grams number at most 1 / p_min for each length, whatever
-the corpus, so the tree may go to every worker. Of the word counts only the ``top`` most frequent go there; each other
+the corpus, so the tree may go to every worker. Of the word counts the most frequent, ``top`` at most, go there; each other
 word of a document is joined with the table of counts.
 
 Defined cases: a null or empty text is one end token; with nothing to learn from every token is the unseen one, of
-probability 1; ties in the order of the most frequent words go by the word; very long texts are read whole; repeated
+probability 1; very long texts are read whole; repeated
 rows each get their result; an empty table gives an empty table; other columns are not read.
 """
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import STEP, U64, mix, slices, span_hashes, words
 from .op1_langid import remainder
-from .scratch import Scratch, read_table
+from .scratch import Scratch, least_common, read_table
 
 #: The end's text in n-grams; no word holds white space.
 END = b"\n"
@@ -245,6 +245,17 @@ class Tree:
     def corrections(self, column: pa.Array) -> np.ndarray:
         """By row, what contexts add to the sum of the root's log10 probabilities."""
         g = Grams(column)
+        return np.bincount(g.row, weights=self.gains(g), minlength=len(column))
+
+    def next_gain(self, before: list[str], tokens: list[bytes]) -> list[float]:
+        """What the context adds to the root's log10 probability of a token right after a text."""
+        g = Grams(pa.array([b if t == END else f"{b} {t.decode()}" for b, t in zip(before, tokens, strict=True)]))
+        gains = self.gains(g)
+        ends = np.flatnonzero(g.word < 0)
+        return [float(gains[e if t == END else e - 1]) for e, t in zip(ends, tokens, strict=True)]
+
+    def gains(self, g: Grams) -> np.ndarray:
+        """The same by position."""
         delta, undone = np.zeros(len(g.hash)), np.ones(len(g.hash), bool)
         for k in range(self.depth, 0, -1):
             (contexts, leave), (followers, gain) = self.contexts[k - 1], self.followers[k - 1]
@@ -264,10 +275,10 @@ class Tree:
             delta[pos] += leave[i]
             delta[pos[hit]] += gain[f] - leave[i[hit]]
             undone[pos[hit]] = False
-        return np.bincount(g.row, weights=delta, minlength=len(column))
+        return delta
 
 
-def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, p_min: float = 1e-5, divergence: float = 0.05, top: int = 100_000) -> DataFrame:
+def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, p_min: float = 1e-5, divergence: float = 0.05, top: int = 150_000) -> DataFrame:
     """For each row the id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``. ``training`` is true for the
     rows to learn from."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
@@ -277,7 +288,7 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), of(1).alias("ones"), of(2).alias("twos")).first()
     tokens = total["n"]
     size = math.log10(tokens + 0.1 * (total["v"] + 1))
-    most = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(top).collect()}
+    most = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least_common(counts, top)).collect()}
     single = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= max(2.0, p_min * tokens)).collect()}
     single = {w or END: n for w, n in (most | single).items()}
     grams = frequent(learned, depth, p_min, tokens) if tokens else []

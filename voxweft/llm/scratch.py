@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
 
@@ -48,3 +49,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # the session has ended already
             return
+
+
+def least_common(counts: DataFrame, top: int) -> int:
+    """The least power of two of which ``top`` rows at most have a count ``n`` as large; only sums by power are collected."""
+    size = F.floor(F.log2("n")).cast("int").alias("size")
+    out, rows = 62, 0
+    for r in counts.groupBy(size).agg(F.count("*").alias("c")).orderBy(F.desc("size")).collect():
+        rows += r["c"]
+        if rows > top:
+            break
+        out = r["size"]
+    return 1 << out
