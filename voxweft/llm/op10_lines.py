@@ -5,11 +5,11 @@ threshold leave one segment of the shorter untouched, so the longer one holds it
 are indexed by (length, segment number, segment hash), and every line probes the indexes of its own and of the
 ``threshold`` next smaller lengths with the few substrings that a match-aware selection leaves (12 for a threshold of
 2). Candidates are verified by banded bit-parallel edit distance of their whole texts. Linked lines are connected into
-classes (see ``links``: stars first, then pairs between different clusters only). The latter
-are compared in tiles of bounded size, and only if the counts of their letters allow the threshold.
+classes (see ``links``: stars first, then pairs between different clusters only). The latter are compared in ``tiles`` of
+bounded size, and only if the counts of their letters allow the threshold.
 
-Equal lines are one item, known by a 64-bit hash of the text and collapsed within each batch before anything is
-shuffled. Of every class the first occurrence (by document id, then line number) stays and the others go.
+Equal lines are one item, known by a 64-bit hash of the text and collapsed within each slice of the input before
+anything is shuffled. Of every class the first occurrence (by document id, then line number) stays and the others go.
 
 Defined cases: null and empty texts have no lines; shorter lines are left alone; lines that differ in letter case or
 spaces are different by that many edits; repeated rows are further occurrences; an empty table gives an empty table;
@@ -18,7 +18,7 @@ other columns are not read. Rows of one doc_id are one document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,9 @@ from pyspark.sql import functions as F
 from .bytetext import U64, mix, powers, slices
 from .links import linked, narrowed
 from .scratch import Scratch, read_table
+from .tiles import Clusters, comparable, in_tiles
 
 INDEX, PROBE = 1, 0
-#: Lines of a block that are compared at a time, with one block or two.
-TILE = 512
 #: Groups of letters whose counts are compared before lines are.
 GROUPS = 24
 
@@ -139,40 +138,28 @@ def banded(a: str, b: str, k: int) -> int:
     return score
 
 
-def tile_links(rows: list[dict], tau: int) -> pa.RecordBatch:
-    """Links between the lines of a tile (id, cluster, block, line) that connect what all its links connect. Lines within
-    the threshold differ in the counts of 2 tau groups of letters at most; those are verified, unless links found
-    before connect them."""
-    found = []
-    if len({r["cluster"] for r in rows}) > 1:
+def line_links(tau: int) -> Callable[[list[dict]], list[tuple]]:
+    """Links of a tile's lines as far as they join clusters. Lines within the threshold differ in the counts of 2 tau
+    groups of letters at most; those are verified, unless links found before connect them."""
+
+    def links_of(rows: list[dict]) -> list[tuple]:
         counts = np.array([letter_counts(r["line"] or "", GROUPS) for r in rows])
         size = np.array([len(r["line"] or "") for r in rows])
-        cluster, block = (np.array([r[c] for r in rows]) for c in ("cluster", "block"))
-        root = {c: c for c in cluster.tolist()}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
-
-        other = rows[0]["i"] != rows[0]["j"]
-        for x in range(len(rows) - 1):
-            rest = slice(x + 1, None)
-            ok = (cluster[rest] != cluster[x]) & (np.abs(size[rest] - size[x]) <= tau) & ((counts[rest] != counts[x]).sum(axis=1) <= 2 * tau)
-            if other:
-                ok &= block[rest] != block[x]
-            for y in (np.flatnonzero(ok) + x + 1).tolist():
-                p, q = find(rows[x]["cluster"]), find(rows[y]["cluster"])
+        ok = comparable(rows) & (np.abs(size[:, None] - size[None, :]) <= tau)
+        clusters, found = Clusters(rows), []
+        for x in np.flatnonzero(ok.any(axis=1)).tolist():
+            for y in np.flatnonzero(ok[x] & ((counts != counts[x]).sum(axis=1) <= 2 * tau)).tolist():
+                p, q = clusters.find(rows[x]["cluster"]), clusters.find(rows[y]["cluster"])
                 if p != q and within(rows[x]["line"] or "", rows[y]["line"] or "", tau):
-                    root[p] = q
+                    clusters.root[p] = q
                     found.append((rows[x]["id"], rows[y]["id"]))
-    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        return found
+
+    return links_of
 
 
-def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int) -> pa.RecordBatch:
-    """Of one batch of documents a row for each different line: its hash, occurrences, and keys."""
-    parts = []
+def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Of one batch of documents, slice by slice, a row for each different line: its hash, occurrences, and keys."""
     for a, z in slices(column):
         texts = [t or "" for t in column.slice(a, z - a).to_pylist()]
         points, s, e, of = line_table(texts)
@@ -189,8 +176,7 @@ def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int) -> pa.Rec
         off = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
         occurrences = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([key.take(pa.array(of[order] + a)), pa.array(no[order].astype(np.int32))], ["doc", "no"]))
         listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().view(np.int64)))
-        parts.append(pa.RecordBatch.from_arrays([pa.array(lines[lead].view(np.int64)), occurrences, listed(own), listed(probes)], ["h", "at", "own", "probes"]))
-    return parts
+        yield pa.RecordBatch.from_arrays([pa.array(lines[lead].view(np.int64)), occurrences, listed(own), listed(probes)], ["h", "at", "own", "probes"])
 
 
 def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24) -> DataFrame:
@@ -234,29 +220,11 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
 
         return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
-        for batch in batches:
-            for start in range(0, len(batch), 256):
-                for row in batch.slice(start, 256).to_pylist():
-                    if tile != (of := (row["key"], row["i"], row["j"])):
-                        yield tile_links(held, tau)
-                        tile, held = of, []
-                    held.append(row)
-        yield tile_links(held, tau)
-
-    def across_clusters(rows: DataFrame) -> DataFrame:
-        """Links between lines of one key and of different clusters. Keys of many lines are cut into blocks, and each
-        pair of blocks is a tile of its own."""
-        blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-        t = rows.join(blocks, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-        tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j")))
-        t = t.select("key", "id", "cluster", "block", F.inline(tiles))
+    def across(rows: DataFrame) -> DataFrame:
         texts = texts_of(rows.select(F.col("id").alias("h")).distinct()).withColumnRenamed("h", "id")
-        t = t.join(texts, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-        return t.mapInArrow(compare, "a long, b long")
+        return in_tiles(rows, texts, line_links(tau))
 
-    _, comp = linked(keys, scratch, verify, pairs=across_clusters, verified=True)
+    _, comp = linked(keys, scratch, verify, pairs=across, verified=True)
     many = lines.groupBy("h").agg(F.sum(F.size("at")).alias("n"))
     many = many.join(comp.select(F.col("id").alias("h"), "comp"), "h", "left").filter("n > 1 or comp is not null").select("h", F.coalesce("comp", "h").alias("class_id"))
     many = scratch.save(many)
