@@ -12,7 +12,7 @@ Near copies come first: stars on four minima join them into clusters (see ``link
 only made between clusters.
 
 Exact up to equal 64-bit hashes of different shingles. The elements that go last are found over all documents: each
-task counts what it reads, and the ``LAST`` most frequent go last; which ones these are changes the work, not the
+task counts what it reads, and the most frequent, ``LAST`` at most, go last; which ones these are changes the work, not the
 links. Rows of one doc_id are one document.
 
 Defined cases: null texts and texts without words have an empty set and no link; texts of fewer than k words have one
@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .bytetext import U64, mix, shingles, slices, words
 from .links import across, linked, narrowed
-from .scratch import Scratch, read_table
+from .scratch import Scratch, least_common, read_table
 
 LAST = 1 << 18
+#: Elements that a task counts at a time.
+SHARE = 2_000_000
 MINIMA = 4
 WORDS64 = 16
 #: Sets of this size or more have a second bitmap, of so many words of 64 bits.
@@ -62,18 +64,31 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def frequent(docs: DataFrame, k: int) -> list[int]:
-    """The elements that most documents have, of those that one batch has twice."""
+def frequent(docs: DataFrame, scratch: Scratch, k: int) -> np.ndarray:
+    """The elements that most documents have, ``LAST`` at most, of those that one share has twice; sorted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [s for s in sets(batch.column(1), k)]
-            v, n = np.unique(np.concatenate(every), return_counts=True) if every else (np.zeros(0, U64), np.zeros(0, int))
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            v, n = np.unique(np.concatenate([np.zeros(0, U64), *held]), return_counts=True)
+            held.clear()
             v, n = v[n >= 2], n[n >= 2]
-            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+        size = 0
+        for batch in batches:
+            for s in sets(batch.column(1), k):
+                held.append(s)
+                size += len(s)
+                if size >= SHARE:
+                    yield out()
+                    size = 0
+        yield out()
 
-    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 4")
-    return [r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LAST).select("h").collect()]
+    found = scratch.save(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 4"))
+    most = found.filter(F.col("n") >= least_common(found, LAST)).select("h").toArrow()
+    return np.sort(most.column(0).to_numpy().view(U64))
 
 
 def parities(m: np.ndarray, words64: int) -> np.ndarray:
@@ -82,9 +97,9 @@ def parities(m: np.ndarray, words64: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def signatures(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
     """Of (id, text): id, n, h1, h2 (hashes of the set), the bitmap, minima and first elements."""
-    last = np.array(sorted(x % 2**64 for x in frequent(docs, k)), dtype=U64)
+    last = frequent(docs, scratch, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +190,7 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     """For each row: the id, ``n_shingles`` and ``component_id``, the least id it is connected with by links of a
     Jaccard index of num/den or more, itself included."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
-    sig = scratch.save(signatures(docs, k, num, den))
+    sig = scratch.save(signatures(docs, scratch, k, num, den))
     classes = sig.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
     own = sig.filter("n > 0").join(classes, ["n", "h1", "h2"])
     nodes = scratch.save(own.filter("id = node").drop("h1", "h2", "node").dropDuplicates(["id"]))
