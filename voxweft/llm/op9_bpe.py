@@ -26,7 +26,7 @@ from .scratch import read_table
 #: The pre-token pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words whose ids a worker keeps, for each of two generations; the rest are encoded when met.
-KEPT = 500_000
+KEPT = 150_000
 #: Longer words aren't kept.
 KEPT_CHARS = 40
 
