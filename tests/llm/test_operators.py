@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +103,25 @@ def test_probabilities_add_up(spark, scratch):
         assert sum(p * 10**g for p, g in zip(root.values(), gain, strict=True)) == pytest.approx(1, abs=1e-6)
 
 
+def test_scores_use_every_repeated_ngram(spark, scratch):
+    """Passages that occur twice among 240,000 tokens are contexts, and scores are those of the tree in memory."""
+    rng = random.Random(3)
+    lexicon = [f"w{int(rng.paretovariate(0.4)) % 20000}" for _ in range(5000)]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(2400)) for _ in range(96)]
+    texts += [f"{t[:600]} odd{i}" for i, t in enumerate(texts[:20])] + ["", "new words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    counts = op2_suffix_tree.word_counts(df.select("text")).collect()
+    single = {bytes(r["word"]) or op2_suffix_tree.END: r["n"] for r in counts}
+    n, ones, twos = sum(single.values()), *(sum(c == k for c in single.values()) for k in (1, 2))
+    tree = op2_suffix_tree.Tree(op2_suffix_tree.frequent(df.select("text"), 4, 0.0, n), single, n, len(single), ones, twos, 4, 0.05)
+    assert 1e-5 * n > 2 and len(tree.contexts[3][0].keys) > 1000
+    root = [sum(math.log10((single[w] - tree.discount) / n) for w in [*t.encode().split(), op2_suffix_tree.END]) for t in texts]
+    want = root + tree.corrections(pa.array(texts))
+    for top in (150_000, 50):
+        got = {r["doc_id"]: r["score"] for r in op2_suffix_tree.score_texts(df, scratch, F.lit(True), top=top).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-6)
+
+
 def test_scores_cases(docs, none, scratch, corpus):
     got = {r["doc_id"]: r for r in op2_suffix_tree.score_texts(docs, scratch, F.col("doc_id") > 2).collect()}
     assert len(got) == len(corpus) and got[0]["n_tokens"] == got[1]["n_tokens"] == 1

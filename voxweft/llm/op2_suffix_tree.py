@@ -1,8 +1,7 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Tokens are the words of a lower-cased text and one end. The tree predicts a token from the up to ``depth`` words before
-it. An n-gram is frequent if it makes up ``p_min`` of the training tokens and occurs twice; the contexts of frequent
-n-grams are candidates, and their frequent followers are listed. A context is retained if the distribution after it
+it. The contexts of n-grams that occur ``least`` times are candidates, and such followers are listed. A context is retained if the distribution after it
 diverges from that after its own suffix by ``divergence`` bits or more, and suffixes of retained contexts are retained
 too. Distributions are smoothed: a context shares mass with its suffix in proportion to the number of followers it
 lists, and all that it doesn't list follows the suffix's distribution. The root is the distribution of single tokens with
@@ -10,11 +9,12 @@ an absolute discount; the discounted mass is the probability of a token that tra
 probabilities of all seen tokens and the unseen one add up to 1 after every context. Scoring uses the longest retained
 suffix.
 
-Counts cover all training texts. Words are counted by the workers and summed by a shuffle. For n-grams, each share of
-the texts reports what is near the frequent rate in it, reports are summed by a shuffle, and a second pass counts those
-that may be frequent everywhere; the result is exact. Frequent n-grams number at most 1 / p_min for each length, whatever
-the corpus, so the tree may go to every worker. Of the word counts the most frequent, ``top`` at most, go there; each other
-word of a document is joined with the table of counts.
+Counts cover all training texts and every n-gram that occurs ``least`` times, so the model grows with the corpus. Words are
+counted by the workers and summed by a shuffle, n-grams length by length: hashes are shuffled of those whose parts are
+repeated. Contexts, followers and
+their weights are tables. The frequent n-grams, 2 * ``top`` at most, and maps of fixed size go to every worker; other
+n-grams of a document are joined with the table of weights, other words with the table of counts. ``Tree`` is the same
+model in memory, of n-grams that make up ``p_min`` of the tokens and occur twice; tests compare the two.
 
 Defined cases: a null or empty text is one end token; with nothing to learn from every token is the unseen one, of
 probability 1; very long texts are read whole; repeated
@@ -42,6 +42,9 @@ END = b"\n"
 FLUSH = 400_000
 #: Tokens of a share, and the part of the frequent rate that it reports from.
 SHARE, SLACK = 1_500_000, 0.25
+#: Bits of the hash that a filter of repeated n-grams reads.
+FILTER_BITS = 26
+FILTER_SHIFT = U64(64 - FILTER_BITS)
 
 
 def end_hash() -> np.uint64:
@@ -278,7 +281,194 @@ class Tree:
         return delta
 
 
-def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, p_min: float = 1e-5, divergence: float = 0.05, top: int = 150_000) -> DataFrame:
+def chained(g: Grams, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """By length and last position hashes of n-grams, made of those without the last and without the first token, so that
+    the two stand for the n-gram; and how many tokens of its row stand before each position."""
+    place = np.arange(len(g.hash))
+    start = np.append(True, g.row[1:] != g.row[:-1]) if len(g.row) else np.zeros(0, bool)
+    before = place - np.maximum.accumulate(np.where(start, place, 0)) if len(place) else place
+    h = [np.zeros(0, U64), g.hash]
+    for n in range(2, longest + 1):
+        h.append(np.append(U64(0), joined(n, h[-1][:-1], h[-1][1:]))[: len(g.hash)])
+    return h, before
+
+
+def joined(n: int, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(prefix * STEP[0] + suffix * STEP[1] + U64(n))
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, byte by byte."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(U64).ravel()
+
+
+def repeated(docs: DataFrame, n: int, filters: Broadcast, least: int, tokens: int) -> DataFrame:
+    """(h, prefix, suffix, n): n-grams that occur ``least`` times or more, with the hashes of those without the last and
+    without the first token. Shares send what they have for each range of h, sorted by prefix, as differences by byte, so
+    that few bytes of them are not zero. What begins or ends with a rarer (n - 1)-gram is not sent."""
+    bits = max(4, math.ceil(math.log2(max(1.0, tokens / 2_000_000))))
+    shift = U64(64 - bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            prefix, suffix = (np.concatenate(x) for x in zip(*share, strict=True))
+            bucket = (joined(n, prefix, suffix) >> shift).astype(np.int64)
+            order = np.lexsort((suffix, prefix, bucket))
+            prefix, suffix, bucket = prefix[order], suffix[order], bucket[order]
+            new = np.append(True, (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1]))
+            at = np.flatnonzero(new)
+            c = np.diff(np.append(at, len(prefix))).astype(np.uint32)
+            prefix, suffix, bucket = prefix[at], suffix[at], bucket[at]
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            blobs = [[planes(np.diff(prefix[i:j], prepend=U64(0))), planes(suffix[i:j]), c[i:j].tobytes()] for i, j in spans]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], ["bucket", "prefix", "suffix", "c"])
+
+        for batch in batches:
+            for a, z in slices(batch.column(0)):
+                h, before = chained(Grams(batch.column(0).slice(a, z - a)), n - 1)
+                ok = before >= n - 1
+                if n > 2:
+                    may = filters.value[n - 1][(h[-1] >> FILTER_SHIFT).astype(np.int64)]
+                    ok[1:] &= may[1:] & may[:-1]
+                at = np.flatnonzero(ok)
+                share.append((h[-1][at - 1], h[-1][at]))
+                size += len(at)
+                if size >= 2 * SHARE:
+                    yield out()
+                    share, size = [], 0
+        if size:
+            yield out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            prefix, suffix, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            h = joined(n, prefix, suffix)
+            order = np.argsort(h)
+            at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+            total = np.add.reduceat(c[order].astype(np.int64), at)
+            keep = total >= least
+            lead = order[at[keep]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[lead].view(np.int64)) for x in (h, prefix, suffix)), pa.array(total[keep])], ["h", "prefix", "suffix", "n"])
+
+        for batch in batches:
+            for b, x, y, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != bucket:
+                    if held:
+                        yield from out()
+                    bucket, held = b, []
+                held.append((np.cumsum(unplaned(x), dtype=U64), unplaned(y), np.frombuffer(c, np.uint32)))
+        if held:
+            yield from out()
+
+    sent = docs.mapInArrow(send, "bucket long, prefix binary, suffix binary, c binary")
+    return sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "h long, prefix long, suffix long, n long")
+
+
+def filter_of(table: DataFrame) -> Filter:
+    """A map of ``2 ** FILTER_BITS`` hash prefixes that are in a table (h); its size doesn't depend on the input."""
+    wide = U64(64 - 9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(U64)
+            block, at = (h >> wide).astype(np.int64), ((h >> FILTER_SHIFT) & U64((1 << (FILTER_BITS - 9)) - 1)).astype(np.int64)
+            for b in np.unique(block).tolist():
+                blocks.setdefault(b, np.zeros(1 << (FILTER_BITS - 9), bool))[at[block == b]] = True
+        for b, x in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(x).tobytes()], pa.binary())], ["b", "x"])
+
+    out = np.zeros((512, 1 << (FILTER_BITS - 12)), np.uint8)
+    for r in table.select("h").mapInArrow(run, "b long, x binary").collect():
+        out[r["b"]] |= np.frombuffer(r["x"], np.uint8)
+    return Filter(out.ravel())
+
+
+class Filter:
+    """A map of bits that is read by position."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        return (self.packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
+
+
+def word_hashes(counts: DataFrame) -> DataFrame:
+    """(h, n) of words (word, n) as n-grams have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [x or END for x in batch.column(0).to_pylist()]
+            e = np.cumsum([len(x) for x in w]).astype(np.int64)
+            h = span_hashes(np.frombuffer(b"".join(w), np.uint8), np.concatenate([[0], e[:-1]]).astype(np.int64), e) if w else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1)], ["h", "n"])
+
+    return counts.select("word", "n").mapInArrow(run, "h long, n long")
+
+
+def weights(learned: DataFrame, counts: DataFrame, scratch: Scratch, tokens: int, discount: float, depth: int, least: int, divergence: float) -> tuple[DataFrame, DataFrame, dict[int, Filter]]:
+    """(h, w): what each occurrence of an n-gram adds to a text's sum of log10 probabilities; (h, n): counts of all repeated
+    words and n-grams; filters by length.
+
+    With P the probability of a listed follower and Q that after the suffix, an n-gram adds log10(P / Q) less what
+    leaving its context adds, and a retained context adds the latter wherever it stands before a token. Sums over all
+    lengths are the longest listed n-gram's probability over the root's, and what leaving longer contexts adds."""
+    filters: dict[int, Filter] = {}
+    spark, tables = learned.sparkSession, {}
+
+    def save(df: DataFrame) -> DataFrame:
+        out = scratch.save(df)
+        spark._jvm.System.gc()  # Spark's cleaner removes shuffle files of plans that are gone
+        return out
+
+    for n in range(2, depth + 2):
+        tables[n] = save(repeated(learned, n, spark.sparkContext.broadcast(filters), least, tokens))
+        filters[n] = filter_of(tables[n])
+    lower = word_hashes(counts.filter(F.col("n") >= least)).select("h", "n", F.lit(float(tokens)).alias("c"), ((F.col("n") - discount) / tokens).alias("p"))
+    words_ = lower = save(lower)
+    followers, contexts = [], []
+    for k in range(1, depth + 1):
+        g = tables[k + 1].join(lower.select(F.col("h").alias("prefix"), F.col("n").alias("c")), "prefix")
+        g = g.join(lower.select(F.col("h").alias("suffix"), (F.col("n") / F.col("c")).alias("q"), F.col("p").alias("lower")), "suffix")
+        g = save(g.select("h", "prefix", "n", F.col("c").cast("double").alias("c"), "q", "lower"))
+        p, q = F.col("n") / F.col("c"), F.col("q")
+        # sum of (n + m * lower) / (c + m) over the m followers listed
+        of = g.groupBy("prefix").agg(F.count("*").alias("m"), F.sum("n").alias("listed"), F.sum("lower").alias("low"), F.sum(q).alias("qs"), F.sum(p * F.log2(p / q)).alias("d"), F.first("c").alias("c"))
+        rest = 1 - F.col("listed") / F.col("c")
+        d = F.col("d") + F.when(rest > 1e-12, rest * F.log2(rest / F.greatest(F.lit(1e-12), 1 - F.col("qs")))).otherwise(0.0)
+        left = F.greatest(F.lit(1e-12), 1 - (F.col("listed") + F.col("m") * F.col("low")) / (F.col("c") + F.col("m")))
+        of = of.select("prefix", "m", F.log10(left / F.greatest(F.lit(1e-12), 1 - F.col("low"))).alias("leave"), (d >= divergence).alias("own"))
+        of = save(of)
+        p = (F.col("n") + F.col("m") * F.col("lower")) / (F.col("c") + F.col("m"))
+        lower = save(g.join(of.select("prefix", "m", "leave"), "prefix").select("h", "prefix", "n", "c", p.alias("p"), (F.log10(p / F.col("lower")) - F.col("leave")).alias("w")))
+        followers.append(lower), contexts.append(of)
+    out, longer = None, None
+    for k in range(depth, 0, -1):
+        keep = contexts[k - 1].filter("own").select("prefix")
+        if longer is not None:
+            suffixes = tables[k + 1].join(longer.withColumnRenamed("prefix", "h"), "h", "left_semi")
+            keep = keep.union(suffixes.select(F.col("suffix").alias("prefix"))).distinct()
+        longer = keep = save(keep)
+        more = followers[k - 1].join(keep, "prefix", "left_semi").select("h", "w")
+        more = more.union(contexts[k - 1].join(keep, "prefix", "left_semi").select(F.col("prefix").alias("h"), F.col("leave").alias("w")))
+        out = more if out is None else out.union(more)
+    every = words_.select("h", "n")
+    for t in tables.values():
+        every = every.union(t.select("h", "n"))
+    return save(out.groupBy("h").agg(F.sum("w").alias("w"))), every, filters
+
+
+def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least: int = 2, divergence: float = 0.05, top: int = 150_000) -> DataFrame:
     """For each row the id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``. ``training`` is true for the
     rows to learn from."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
@@ -289,47 +479,86 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     tokens = total["n"]
     size = math.log10(tokens + 0.1 * (total["v"] + 1))
     most = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least_common(counts, top)).collect()}
-    single = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= max(2.0, p_min * tokens)).collect()}
-    single = {w or END: n for w, n in (most | single).items()}
-    grams = frequent(learned, depth, p_min, tokens) if tokens else []
-    tree = Tree(grams, single, tokens, total["v"], total["ones"], total["twos"], depth, divergence)
-    ends = single.get(END, 0)
+    # of the tree only the root's numbers; its contexts are a table
+    tree = Tree([], {}, tokens, total["v"], total["ones"], total["twos"], depth, divergence)
+    found = [row["n"] for row in counts.filter(F.col("word") == F.lit(b"")).collect()]
+    ends = found[0] if found else 0
     root = lambda c: math.log10((c - tree.discount) / tokens) if c else math.log10(tree.unseen)
     known = {w: (math.log10(c + 0.1) - size, root(c)) for w, c in most.items()}
     end = (math.log10(ends + 0.1) - size, root(ends))
-    common = df.sparkSession.sparkContext.broadcast((tree, known))
+    table, filters, often = None, {}, (Lookup(np.zeros(0, U64)), np.zeros(0))
+    if tokens:
+        table, every, filters = weights(learned, counts, scratch, tokens, tree.discount, depth, least, divergence)
+        # frequent ones that have no weight are listed too, so that none is joined
+        common = every.filter(F.col("n") >= least_common(every, 2 * top)).select("h").join(table, "h", "left")
+        rows = sorted((r["h"] % 2**64, r["w"] or 0.0) for r in common.collect())
+        often = Lookup(np.array([h for h, _ in rows], U64)), np.array([w for _, w in rows])
+    common = df.sparkSession.sparkContext.broadcast((often, filters, known))
     scored = scratch.save(_scored(docs.select("id", "text"), common, end, ends > 0))
     rest = scored.select("rid", F.inline("rest").alias("word", "n"))
     rest = rest.join(counts.withColumnRenamed("n", "c"), "word", "left")
     seen, n = F.coalesce("c", F.lit(0)), F.col("n")
     of_root = F.when(seen > 0, F.log10((seen - tree.discount) / max(1, tokens))).otherwise(math.log10(tree.unseen))
     rest = rest.groupBy("rid").agg(F.sum(F.when(seen > 0, n).otherwise(0)).alias("k"), F.sum(n * (F.log10(seen + F.lit(0.1)) - size)).alias("b"), F.sum(n * of_root).alias("s"))
-    out = scored.drop("rest").join(rest, "rid", "left")
+    out = scored.drop("rest", "grams").join(rest, "rid", "left")
+    if table is not None:
+        more = scored.select("rid", F.explode("grams").alias("h")).join(table.select("h", "w"), "h")
+        out = out.join(more.groupBy("rid").agg(F.sum("w").alias("more")), "rid", "left")
+    else:
+        out = out.withColumn("more", F.lit(0.0))
     return out.select(
         F.col("id").alias(id_col),
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("s", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 
+def gram_sums(column: pa.Array, often: tuple[Lookup, np.ndarray], filters: dict[int, Filter]) -> tuple[np.ndarray, pa.Array]:
+    """By row the sum of the weights of its frequent n-grams, and a list of the others that the table may have. Single
+    words are contexts wherever they stand; all that are frequent are looked up first."""
+    g = Grams(column)
+    sums = np.zeros(len(column))
+    rest, owner = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    chain, before = chained(g, max(filters, default=1))
+    for n in [1, *filters] if filters else []:
+        last = np.flatnonzero(before >= n - 1)
+        h = chain[n][last]
+        if n > 1:
+            ok = np.flatnonzero(filters[n][(h >> FILTER_SHIFT).astype(np.int64)])
+            h, last = h[ok], last[ok]
+        row = g.row[last]
+        at, i = often[0](h)
+        sums += np.bincount(row[at], weights=often[1][i], minlength=len(column))
+        other = np.ones(len(h), bool)
+        other[at] = False
+        if n == 1:
+            other &= g.word >= 0
+        rest.append(h[other]), owner.append(row[other])
+    h, row = np.concatenate(rest), np.concatenate(owner)
+    h = h[np.argsort(row, kind="stable")]
+    off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))]).astype(np.int32)
+    return sums, pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))
+
+
 def _scored(docs: DataFrame, common: Broadcast, end: tuple[float, float], end_known: bool) -> DataFrame:
-    """Each row with a number of its own, the sums over its frequent words, the tree's corrections, and its other words."""
+    """Each row with a number of its own, the sums over its frequent words and n-grams, its other words, and hashes of
+    its other n-grams that may be in the table of weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, known = common.value
+        often, filters, known = common.value
         rid = TaskContext.get().partitionId() << 33
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
         for batch in batches:
             for a, z in slices(batch.column(1)):
                 part = batch.slice(a, z - a)
-                more = tree.corrections(part.column(1)).tolist()
+                more, grams = gram_sums(part.column(1), often, filters)
                 rows: list[list] = [[] for _ in kinds]
-                for t, add in zip(part.column(1).cast(pa.binary()).to_pylist(), more, strict=True):
+                for t, add in zip(part.column(1).cast(pa.binary()).to_pylist(), more.tolist(), strict=True):
                     tokens = (t or b"").lower().split()
                     n_known, base, score, rest = int(end_known), end[0], end[1] + add, []
                     for w, n in Counter(tokens).items():
@@ -343,10 +572,10 @@ def _scored(docs: DataFrame, common: Broadcast, end: tuple[float, float], end_kn
                     for x, v in zip(rows, (rid, len(tokens) + 1, n_known, base, score, rest), strict=True):
                         x.append(v)
                     rid += 1
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, rows, kinds)], ["id", "rid", "n_tokens", "n_known", "base", "score", "rest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, rows, kinds), grams], ["id", "rid", "n_tokens", "n_known", "base", "score", "rest", "grams"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, rid long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:long>>")
+    return docs.mapInArrow(run, f"id {kind}, rid long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:long>>, grams array<long>")
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
