@@ -317,6 +317,49 @@ def test_lines_of_many_variants(spark, scratch):
     assert {frozenset(v) for v in classes.values()} == brute.line_classes(rows, 2, 24)
 
 
+def test_short_lines(spark):
+    """Exact copies of lines of any length, and near copies by the threshold of the shorter line, are reported."""
+    rng = random.Random(4)
+    lines = ["}", "ok", "All rights reserved.", "Of, edti oner.", "    ", "x" * 24, "x" * 23 + "y", "x" * 22]
+    for n in (5, 7, 8, 9, 12, 22, 23, 24, 25, 26):
+        for _ in range(4):
+            base = "".join(rng.choice("abcdefgh ") for _ in range(n - 1)) + "z"
+            lines += [base, base[:3] + "Q" + base[4:], base[:2] + base[3:], base[:1] + "R" + base[1:-1] + "S", base + "!"]
+    rows = [(d, "\n".join(rng.sample(lines, 60))) for d in range(8)]
+    rows += [(8, "}\n\n   \nok\n}"), (9, "\n   \nok"), (10, "once")]
+    got = op10_lines.near_lines(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test"), short_chars=8).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r["class_id"], set()).add((r["doc"], r["no"]))
+    at = {}
+    for d, t in rows:
+        for i, x in enumerate(t.split("\n")):
+            if x.strip():
+                at.setdefault(x, set()).add((d, i))
+    u = brute.Classes()
+    for x in at:
+        for y in at:
+            n = min(len(x), len(y))
+            if x == y or n >= 8 and brute.distance(x, y) <= (2 if n >= 24 else 1):
+                u.join(x, y)
+    want = {}
+    for x in at:
+        want.setdefault(u.find(x), set()).update(at[x])
+    assert {frozenset(v) for v in classes.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
+    assert all(r["removed"] == ((r["doc"], r["no"]) != min(classes[r["class_id"]])) for r in got)
+
+
+def test_short_lines_of_the_query(spark):
+    rows = {r["doc_id"]: (r["text"] or "").split("\n") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    docs_of = {}
+    for d, lines in rows.items():
+        for x in lines:
+            docs_of.setdefault(x, set()).add(d)
+    want = {(d, i) for d, lines in rows.items() for i, x in enumerate(lines) if x.strip(" \t\r\v\f") and len(docs_of[x]) > 1}
+    assert any(len(rows[d][i]) < 24 for d, i in want)
+    assert want <= {(r["doc_id"], r["line_no"]) for r in op10_lines.op10_segment_edit(spark, DATA).collect()}
+
+
 def test_line_dedup(docs, none, scratch, corpus):
     out = op10_lines.dedup_lines(docs, scratch, min_chars=20)
     assert out.columns == docs.columns and op10_lines.dedup_lines(none, scratch).count() == 0

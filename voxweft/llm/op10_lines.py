@@ -8,10 +8,14 @@ are indexed by (length, segment number, segment hash), and every line probes the
 classes (see ``links``: stars first, then pairs between different clusters only). The latter are compared in ``tiles`` of
 bounded size, and only if the counts of their letters allow the threshold.
 
+With ``short_chars`` all lines are compared that aren't blank: two lines of which the shorter has ``short_chars`` to
+``min_chars`` - 1 code points may differ by threshold - 1 edits and are found by segments of their own, still shorter
+ones must be equal.
+
 Equal lines are one item, known by a 64-bit hash of the text and collapsed within each slice of the input before
 anything is shuffled. Of every class the first occurrence (by document id, then line number) stays and the others go.
 
-Defined cases: null and empty texts have no lines; shorter lines are left alone; lines that differ in letter case or
+Defined cases: null and empty texts have no lines; without ``short_chars`` shorter lines are left alone; lines that differ in letter case or
 spaces are different by that many edits; repeated rows are further occurrences; an empty table gives an empty table;
 other columns are not read. Rows of one doc_id are one document.
 """
@@ -33,6 +37,8 @@ from .tiles import Clusters, comparable, in_tiles
 INDEX, PROBE = 1, 0
 #: Groups of letters whose counts are compared before lines are.
 GROUPS = 24
+#: From so many code points on, lines of fewer than ``min_chars`` are compared with nearly equal ones.
+SHORT = 8
 
 
 def line_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,9 +144,20 @@ def banded(a: str, b: str, k: int) -> int:
     return score
 
 
-def line_links(tau: int) -> Callable[[list[dict]], list[tuple]]:
+def near(tau: int, min_chars: int, short_chars: int | None) -> Callable[[str, str], bool]:
+    """Whether two different lines are within the threshold that the shorter one's length has."""
+
+    def check(a: str, b: str) -> bool:
+        n = min(len(a), len(b))
+        return within(a, b, tau if n >= min_chars else tau - 1) if n >= min_chars or short_chars is not None and n >= short_chars else False
+
+    return check
+
+
+def line_links(tau: int, check: Callable[[str, str], bool] | None = None) -> Callable[[list[dict]], list[tuple]]:
     """Links of a tile's lines as far as they join clusters. Lines within the threshold differ in the counts of 2 tau
     groups of letters at most; those are verified, unless links found before connect them."""
+    check = check or (lambda a, b: within(a, b, tau))
 
     def links_of(rows: list[dict]) -> list[tuple]:
         counts = np.array([letter_counts(r["line"] or "", GROUPS) for r in rows])
@@ -150,7 +167,7 @@ def line_links(tau: int) -> Callable[[list[dict]], list[tuple]]:
         for x in np.flatnonzero(ok.any(axis=1)).tolist():
             for y in np.flatnonzero(ok[x] & ((counts != counts[x]).sum(axis=1) <= 2 * tau)).tolist():
                 p, q = clusters.find(rows[x]["cluster"]), clusters.find(rows[y]["cluster"])
-                if p != q and within(rows[x]["line"] or "", rows[y]["line"] or "", tau):
+                if p != q and check(rows[x]["line"] or "", rows[y]["line"] or ""):
                     clusters.root[p] = q
                     found.append((rows[x]["id"], rows[y]["id"]))
         return found
@@ -158,35 +175,55 @@ def line_links(tau: int) -> Callable[[list[dict]], list[tuple]]:
     return links_of
 
 
-def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Of one batch of documents, slice by slice, a row for each different line: its hash, occurrences, and keys."""
+def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int, short: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Of one batch of documents, slice by slice, a row for each different line: its hash, occurrences, and keys. Lines of
+    ``least`` code points also have a row without occurrences, of the probes for lines shorter by one."""
+    listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel().view(np.int64)))
     for a, z in slices(column):
         texts = [t or "" for t in column.slice(a, z - a).to_pylist()]
         points, s, e, of = line_table(texts)
         first = np.searchsorted(of, np.arange(len(texts)))
         no = np.arange(len(s)) - first[of]
         keep = e - s >= least
+        if short is not None:
+            ink = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
+            keep |= ink[e] > ink[s]
         s, e, of, no = s[keep], e[keep], of[keep], no[keep]
         h = Prefix(points)
         lines = h(s, e)
         order = np.lexsort((no, of, lines))
         new = np.append(True, lines[order][1:] != lines[order][:-1]) if len(order) else np.zeros(0, bool)
         lead = order[new]
-        own, probes = line_keys(h, s[lead], e[lead], tau)
         off = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
         occurrences = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([key.take(pa.array(of[order] + a)), pa.array(no[order].astype(np.int32))], ["doc", "no"]))
-        listed = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(lines[lead].view(np.int64)), occurrences, listed(own), listed(probes)], ["h", "at", "own", "probes"])
-
-
-def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24) -> DataFrame:
-    """(doc, no, class_id, removed): each occurrence of a line of a class of two occurrences or more."""
+        size = e[lead] - s[lead]
+        parts = [(size >= least, tau, True)]
+        if short is not None:
+            parts += [((size >= short) & (size < least), tau - 1, True), (size == least, tau - 1, False), (size < short, None, True)]
+        for chosen, edits, whole in parts:
+            at = np.flatnonzero(chosen)
+            if not len(at):
+                continue
+            own = probes = np.zeros((len(at), 0), U64)
+            if edits is not None:
+                own, probes = line_keys(h, s[lead[at]], e[lead[at]], edits)
+                if edits < tau:
+                    own, probes = mix(own), mix(probes)
+            at_of = occurrences.take(pa.array(at)) if whole else pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), occurrences.values.slice(0, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(lines[lead[at]].view(np.int64)), at_of, listed(own if whole else own[:, :0]), listed(probes)], ["h", "at", "own", "probes"])
+
+
+def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24, short_chars: int | None = None) -> DataFrame:
+    """(doc, no, class_id, removed): each occurrence of a line of a class of two occurrences or more. Lines of fewer than
+    ``min_chars`` code points are compared if ``short_chars`` is given."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     least = max(min_chars, 2 * (tau + 1))
+    short = None if short_chars is None else min(least, max(short_chars, 2 * tau, 1))
+    is_near = near(tau, least, short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from batch_lines(batch.column(0), batch.column(1), tau, least)
+            yield from batch_lines(batch.column(0), batch.column(1), tau, least, short)
 
     lines = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,no:int>>, own array<long>, probes array<long>"))
     kinds = F.transform("own", lambda x: F.struct(x.alias("key"), F.lit(INDEX).alias("kind")))
@@ -215,14 +252,14 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
             for batch in batches:
                 for i in range(0, len(batch), 256):
                     part = batch.slice(i, 256)
-                    keep = [within(p, q, tau) for p, q in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                    keep = [is_near(p, q) for p, q in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
 
     def across(rows: DataFrame) -> DataFrame:
         texts = texts_of(rows.select(F.col("id").alias("h")).distinct()).withColumnRenamed("h", "id")
-        return in_tiles(rows, texts, line_links(tau))
+        return in_tiles(rows, texts, line_links(tau, is_near))
 
     _, comp = linked(keys, scratch, verify, pairs=across, verified=True)
     many = lines.groupBy("h").agg(F.sum(F.size("at")).alias("n"))
@@ -249,5 +286,5 @@ def dedup_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
 
 def op10_segment_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of lines that are equal or nearly so: doc_id, line_no, class_id, removed."""
-    out = near_lines(read_table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
+    out = near_lines(read_table(spark, sf_dir, "documents"), Scratch(spark, "op10"), short_chars=SHORT)
     return out.select(F.col("doc").alias("doc_id"), F.col("no").alias("line_no"), "class_id", "removed")
