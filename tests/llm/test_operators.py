@@ -164,6 +164,24 @@ def test_repeated_passages(docs, none, scratch, corpus):
     assert op4_paragraphs.near_paragraphs(none, scratch).count() == 0
 
 
+def test_short_lines_and_sentences_in_passages(spark):
+    """Passages of short lines, of sentences of 6 and 7 words, and without any mark are found in other surroundings."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice(['alpha', 'beta', 'gamma', 'delta'])}{rng.randrange(900)}"
+    some = lambda n: " ".join(word() for _ in range(n))
+    verse = "\n".join(some(4 + i % 4) for i in range(24))
+    mixed = " ".join(some(7 if i % 2 else 6) + "." for i in range(16))
+    bare = some(120)
+    rows = []
+    for i, passage in enumerate((verse, mixed, bare)):
+        rows += [(2 * i, f"{some(43)} {passage} {some(31)}"), (2 * i + 1, f"{some(18)}.\n{some(5)}\n{passage}\n{some(50)}")]
+    rows.append((9, some(200)))
+    got = op4_paragraphs.near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test")).collect()
+    covered = {d: {w for r in got if r["doc"] == d for w in range(r["first"], r["first"] + r["n"])} for d, _ in rows}
+    assert all(len(covered[d]) >= 60 for d in range(6)) and not covered[9]
+    assert {r["doc"] for r in got if r["removed"]} == {1, 3, 5}
+
+
 # --- quality ---
 
 

@@ -1,17 +1,19 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A paragraph is a stretch of whole sentences: a line is cut after every sentence of ``SENTENCE`` words or more, shorter
-sentences go with the next one. Cuts depend on nearby text only, so a passage that stands inside different lines is cut
-alike everywhere but at its ends. Paragraphs of ``least`` words or more are compared by their sets of k-word shingles.
+Paragraphs are pieces of a text: it is cut after a word that is a better place than the ``least`` - 1
+words to either side, where a line's end is better than a sentence's, that is better than any other word, and among
+equals a hash of the word and its neighbours decides. So pieces have ``least`` words or more, short lines and sentences
+go with their neighbours, long ones are cut, no word is left out of texts of ``least`` words, and a passage is cut alike
+wherever it stands but at its ends. Paragraphs are compared by their sets of k-word shingles.
 ``BANDS`` bands of ``ROWS`` minima make candidates: 5 bands of 2 find 99 % of pairs of a Jaccard index of 0.8. Paragraphs
 that collide in a band are joined (see ``links``: stars, then, in ``tiles`` of bounded size, pairs between different
 clusters), candidates are verified by the exact index of their sets, and links are connected into classes.
 
 Equal paragraphs are one item, known by a 64-bit hash and collapsed within each batch before anything is shuffled.
-A passage is a run of neighbouring paragraphs of classes that occur in two documents or more; runs of fewer than ``run_words`` words,
-such as a license line, are left alone. Of each class the first occurrence (by document id, then place) stays.
+A passage is a run of paragraphs of classes that occur in two documents or more, with gaps of ``least`` words at most;
+runs that cover fewer than ``run_words`` words, such as a license line, are left alone. Of each class the first occurrence (by document id, then place) stays.
 
-Defined cases: null and empty texts have no paragraph; lines without a sentence's end are one paragraph of any length;
+Defined cases: null and empty texts have no paragraph, nor have texts of fewer than ``least`` words;
 repeated rows are further occurrences; an empty table gives an empty table; other columns are not read. Rows of one
 doc_id are one document.
 """
@@ -31,7 +33,6 @@ from .op8_jaccard import verifier
 from .scratch import Scratch, read_table
 from .tiles import in_tiles, jaccard_links
 
-SENTENCE = 6
 BANDS, ROWS = 5, 2
 CLOSE = np.zeros(256, bool)
 CLOSE[list(b".!?")] = True
@@ -47,17 +48,26 @@ class Paragraphs:
         n = len(h)
         feeds = np.concatenate([[0], np.cumsum(low == 10)])
         line = feeds[s]
-        new = np.ones(n, bool)
-        new[1:] = (row[1:] != row[:-1]) | (line[1:] != line[:-1])
-        last = np.ones(n, bool)
-        last[:-1] = new[1:]
-        stop = CLOSE[low[e - 1]] if n else np.zeros(0, bool)
+        fresh = np.ones(n, bool)
+        fresh[1:] = row[1:] != row[:-1]
+        new = fresh.copy()
+        new[1:] |= line[1:] != line[:-1]
+        last, done = np.ones(n, bool), np.ones(n, bool)
+        last[:-1], done[:-1] = new[1:], fresh[1:]
+        # how good a cut after each word is: line ends first, then sentence ends, then a hash of the words around it
+        around = np.zeros(n + 2, U64)
+        around[1:-1] = h
+        grade = np.where(last, 0, np.where(CLOSE[low[e - 1]], 1, 2)).astype(U64) if n else np.zeros(0, U64)
+        value = (grade << U64(62)) | (mix(around[:-2] * STEP[0] + around[1:-1] * STEP[1] + around[2:] * STEP[2]) >> U64(2))
+        best = np.ones(n, bool)
+        for j in range(1, min(least, n)):
+            best[j:] &= value[j:] < value[: n - j]
+            best[: n - j] &= value[: n - j] < value[j:]
+        # no cut leaves fewer than ``least`` words at either end of a text
         place = np.arange(n)
-        # where the sentence of each word begins: after the last closed one, or with the line
-        begin = np.where(new, place, 0)
-        begin[1:] = np.maximum(begin[1:], np.where(stop[:-1], place[1:], 0))
-        begin = np.maximum.accumulate(begin) if n else begin
-        cut = last | (stop & (place - begin + 1 >= SENTENCE))
+        begin = np.maximum.accumulate(np.where(fresh, place, 0)) if n else place
+        end = np.minimum.accumulate(np.where(done, place, n)[::-1])[::-1] if n else place
+        cut = done | (best & (place - begin + 1 >= least) & (end - place >= least))
         ends = np.flatnonzero(cut) + 1
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else ends
         keep = ends - starts >= least
@@ -97,7 +107,7 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z in slices(batch.column(1), 8_000_000):
+            for a, z in slices(batch.column(1)):
                 p = Paragraphs(batch.column(1).slice(a, z - a), k, least)
                 order = np.argsort(p.hash, kind="stable")
                 new = np.append(True, p.hash[order][1:] != p.hash[order][:-1]) if len(order) else np.zeros(0, bool)
@@ -119,17 +129,17 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
             for a in range(0, len(batch), 64):
                 part = batch.slice(a, 64)
                 p = Paragraphs(part.column("text"), k, least)
-                where = {(r, f): i for i, (r, f) in enumerate(zip(p.row.tolist(), p.first.tolist(), strict=True))}
+                where = {x: i for i, x in enumerate(zip(p.row.tolist(), p.first.tolist(), p.size.tolist(), strict=True))}
                 ids, found = [], []
                 for r, want in enumerate(part.column("want").to_pylist()):
                     for w in want:
-                        if (i := where.get((r, w["first"]))) is not None:
+                        if (i := where.get((r, w["first"], w["n"]))) is not None:
                             ids.append(w["h"]), found.append(np.unique(p.shingles[p.begins[i] : p.ends[i]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
 
     def sets_of(needed: DataFrame) -> DataFrame:
         where = paras.join(needed.withColumnRenamed("id", "h"), "h", "left_semi").groupBy("h").agg(F.min(F.get("at", F.lit(0))).alias("o"))
-        per_doc = where.groupBy(F.col("o.doc").alias("id")).agg(F.collect_list(F.struct(F.col("o.first").alias("first"), "h")).alias("want"))
+        per_doc = where.groupBy(F.col("o.doc").alias("id")).agg(F.collect_list(F.struct(F.col("o.first").alias("first"), F.col("o.n").alias("n"), "h")).alias("want"))
         return narrowed(docs, per_doc).join(per_doc, "id").select("text", "want").mapInArrow(sets, "id long, s array<long>")
 
     def across(rows: DataFrame) -> DataFrame:
@@ -144,11 +154,14 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     many = scratch.save(many.join(across, "class_id").select("h", "class_id"))
     first = paras.join(many, "h").groupBy("class_id").agg(F.min(F.array_min("at")).alias("lead"))
     out = paras.select("h", "at").join(many.join(first, "class_id"), "h").select("class_id", "lead", F.explode("at").alias("o"))
-    out = out.select("o.*", "class_id", (F.col("o") != F.col("lead")).alias("removed"))
-    in_doc = Window.partitionBy("doc").orderBy("first", "class_id")
-    out = out.withColumn("fresh", (F.col("first") != F.lag(F.col("first") + F.col("n"), 1, -1).over(in_doc)).cast("int"))
-    out = out.withColumn("run", F.sum("fresh").over(in_doc))
-    out = out.withColumn("words", F.sum("n").over(Window.partitionBy("doc", "run")))
+    # a piece of the line that stays, or a line around the piece, stays with it
+    apart = (F.col("o.doc") != F.col("lead.doc")) | (F.col("o.first") >= F.col("lead.first") + F.col("lead.n"))
+    out = out.select("o.*", "class_id", apart.alias("removed"))
+    in_doc = Window.partitionBy("doc").orderBy("first", "n", "class_id")
+    reach = F.coalesce(F.max(F.col("first") + F.col("n")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-least - 1))
+    out = out.withColumn("reach", reach).withColumn("more", F.greatest(F.lit(0), F.col("first") + F.col("n") - F.greatest("first", "reach")))
+    out = out.withColumn("run", F.sum((F.col("first") > F.col("reach") + least).cast("int")).over(in_doc))
+    out = out.withColumn("words", F.sum("more").over(Window.partitionBy("doc", "run")))
     return out.filter(F.col("words") >= run_words).select("doc", "first", "n", "class_id", "removed")
 
 
