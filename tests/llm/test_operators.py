@@ -182,6 +182,19 @@ def test_short_lines_and_sentences_in_passages(spark):
     assert {r["doc"] for r in got if r["removed"]} == {1, 3, 5}
 
 
+def test_near_copies_of_whole_lines(spark):
+    """A line with one changed word in each 30 is linked as a whole, and nothing of the first copy is removed."""
+    rng = random.Random(13)
+    line = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    copy = [*line[:30], "other", *line[31:]]
+    short = [f"v{rng.randrange(5000)}" for _ in range(50)]
+    rows = [(1, " ".join(line) + "\nfirst tail"), (2, "head\n" + " ".join(copy)), (3, " ".join(short)), (4, " ".join([*short[:24], "x", *short[25:]]))]
+    got = op4_paragraphs.near_paragraphs(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test")).collect()
+    for d, first, n in ((1, 0, 60), (2, 1, 60), (3, 0, 50), (4, 0, 50)):
+        assert any((r["doc"], r["first"], r["n"]) == (d, first, n) for r in got)
+    assert {r["doc"] for r in got if r["removed"]} == {2, 4}
+
+
 # --- quality ---
 
 

@@ -1,6 +1,6 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-Paragraphs are pieces of a text: it is cut after a word that is a better place than the ``least`` - 1
+Paragraphs are whole lines, and pieces of a text: it is cut after a word that is a better place than the ``least`` - 1
 words to either side, where a line's end is better than a sentence's, that is better than any other word, and among
 equals a hash of the word and its neighbours decides. So pieces have ``least`` words or more, short lines and sentences
 go with their neighbours, long ones are cut, no word is left out of texts of ``least`` words, and a passage is cut alike
@@ -70,8 +70,10 @@ class Paragraphs:
         cut = done | (best & (place - begin + 1 >= least) & (end - place >= least))
         ends = np.flatnonzero(cut) + 1
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else ends
-        keep = ends - starts >= least
-        starts, ends = starts[keep], ends[keep]
+        # whole lines are paragraphs too
+        whole = np.stack([np.flatnonzero(new), np.flatnonzero(last) + 1]) if n else np.zeros((2, 0), np.int64)
+        both = np.unique(np.concatenate([np.stack([starts, ends]), whole], axis=1), axis=1)
+        starts, ends = both[:, both[1] - both[0] >= least]
         p, q = powers(n + 1)
         total = np.zeros(n + 1, U64)
         np.cumsum(h * p[:n], out=total[1:])
