@@ -2,13 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; ``run`` writes each stage's
 rows to the shared folder and reads them again. The first four return the columns of ``documents``; the last returns
-doc_id, source, n_tokens and ids (binary, four bytes each).
+doc_id, source, n_tokens, ids (binary, four bytes each) and decoded_sha256, a digest of the text that the ids decode to.
 """
 
 from __future__ import annotations
 
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxweft.llm.op1_langid import SAMPLE_DOCS, label_words, sample, train
 from voxweft.llm.op7_decontaminate import find_items
@@ -45,8 +46,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text."""
-    return bpe_encode(docs, default_tokenizer(), decode=False, keep=("source",)).select("doc_id", "source", "n_tokens", "ids")
+    """Token ids of each text, and a digest of what they decode to."""
+    out = bpe_encode(docs, default_tokenizer(), keep=("source",))
+    return out.select("doc_id", "source", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("encode", encode)]

@@ -410,6 +410,13 @@ def test_pipeline(spark):
     assert all(len(r["ids"]) == 4 * r["n_tokens"] > 0 for r in out)
 
 
+def test_pipeline_decodes(spark, docs, corpus):
+    import corpus_pipeline as p
+
+    got = {r["doc_id"]: r["decoded_sha256"] for r in p.encode(spark, docs, DATA).collect()}
+    assert got == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in corpus}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
