@@ -1,5 +1,6 @@
 """Brute-force versions of the operators."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -75,3 +76,54 @@ def line_classes(rows, tau, least):
     for a in texts:
         out[u.find(a)] += at[a]
     return {frozenset(v) for v in out.values() if len(v) > 1}
+
+
+class Tree:
+    """Probabilities after the longest retained suffix, by dictionaries."""
+
+    def __init__(self, texts, depth, least, divergence, class_of):
+        seqs = [[*WORD.findall(lower(t)), None] for t in texts]
+        self.depth, self.single = depth, Counter(w for s in seqs for w in s)
+        self.n = sum(self.single.values())
+        ones, twos = (sum(c == k for c in self.single.values()) for k in (1, 2))
+        self.discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
+        self.unseen = self.discount * len(self.single) / self.n if self.n else 1.0
+        self.follow = defaultdict(Counter)
+        for s in seqs:
+            for i, a in enumerate(s):
+                for k in range(1, min(depth, i) + 1):
+                    self.follow[tuple(s[i - k : i])][a] += 1
+        mass = Counter()
+        for a, c in self.single.items():
+            mass[class_of(a)] += c / self.n
+        self.kept = set()
+        for s in sorted(self.follow, key=len):
+            d, n = self.follow[s], sum(self.follow[s].values())
+            up = self.state(s[1:])
+            if up:
+                e = self.follow[up]
+                bits = sum(c / n * math.log2(c / n / (e[a] / sum(e.values()))) for a, c in d.items())
+            else:
+                by = Counter()
+                for a, c in d.items():
+                    by[class_of(a)] += c
+                bits = sum(c / n * math.log2(c / n / mass[k]) for k, c in by.items())
+            if n >= least and bits >= divergence:
+                self.kept.add(s)
+
+    def state(self, s):
+        while s and s not in self.kept:
+            s = s[1:]
+        return s
+
+    def prob(self, s, a):
+        s = self.state(s)
+        if not s:
+            return (self.single[a] - self.discount) / self.n if a in self.single else self.unseen
+        d = self.follow[s]
+        n, m = sum(d.values()), len(d)
+        return (d[a] + m * self.prob(s[1:], a)) / (n + m)
+
+    def score(self, text):
+        s = [*WORD.findall(lower(text)), None]
+        return sum(math.log10(self.prob(tuple(s[max(0, i - self.depth) : i]), a)) for i, a in enumerate(s))

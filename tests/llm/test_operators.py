@@ -1,17 +1,16 @@
 import hashlib
-import math
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
 from voxweft.llm import op1_langid, op2_suffix_tree, op3_lines, op4_paragraphs, op5_quality, op6_secrets, op7_decontaminate, op8_jaccard, op9_bpe, op10_lines
+from voxweft.llm.bytetext import span_hashes
 from voxweft.llm.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -82,44 +81,39 @@ def test_base_scores(spark, scratch):
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
 
 
-def test_probabilities_add_up(spark, scratch):
-    rng = random.Random(1)
-    texts = [" ".join(rng.choice("a b c d".split()) for _ in range(30)) + " p q r s t" for _ in range(40)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
-    counts = op2_suffix_tree.word_counts(df.select("text"))
-    single = {bytes(r["word"]) or op2_suffix_tree.END: r["n"] for r in counts.collect()}
-    n = sum(single.values())
-    grams = op2_suffix_tree.frequent(df.select("text"), 3, 1e-4, n)
-    want = Counter(tuple(s[i : i + k]) for t in texts for s in [[*t.encode().split(), op2_suffix_tree.END]] for k in (2, 3, 4) for i in range(len(s) - k + 1))
-    assert {tuple(bytes(r["words"]).split(b" ")): r["n"] for r in grams} == {g: c for g, c in want.items() if c >= max(2, 1e-4 * n)}
-    tree = op2_suffix_tree.Tree(grams, single, n, len(single), 0, 0, 3, 0.05)
-    contexts, _ = tree.contexts[0]
-    assert len(contexts.keys)
-    # after one text, all that may follow: each seen word, the end, a word never seen
-    root = {w: (c - tree.discount) / n for w, c in single.items()} | {b"zz": tree.unseen}
-    assert sum(root.values()) == pytest.approx(1)
-    for before in ("p", "p q", "p q r", "a", "d c", "zz"):
-        gain = tree.next_gain([before] * len(root), list(root))
-        assert sum(p * 10**g for p, g in zip(root.values(), gain, strict=True)) == pytest.approx(1, abs=1e-6)
-
-
-def test_scores_use_every_repeated_ngram(spark, scratch):
-    """Passages that occur twice among 240,000 tokens are contexts, and scores are those of the tree in memory."""
+def class_of(word):
+    h = op2_suffix_tree.end_hash() if word is None else span_hashes(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word.encode())]))[0]
+    return int(h) >> (64 - op2_suffix_tree.CLASS_BITS)
+
+
+def tree_texts():
+    """A hot word, a hot pair, a hot passage, copies, rare words, and texts that aren't learned from."""
     rng = random.Random(3)
-    lexicon = [f"w{int(rng.paretovariate(0.4)) % 20000}" for _ in range(5000)]
-    texts = [" ".join(rng.choice(lexicon) for _ in range(2400)) for _ in range(96)]
-    texts += [f"{t[:600]} odd{i}" for i, t in enumerate(texts[:20])] + ["", "new words"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    counts = op2_suffix_tree.word_counts(df.select("text")).collect()
-    single = {bytes(r["word"]) or op2_suffix_tree.END: r["n"] for r in counts}
-    n, ones, twos = sum(single.values()), *(sum(c == k for c in single.values()) for k in (1, 2))
-    tree = op2_suffix_tree.Tree(op2_suffix_tree.frequent(df.select("text"), 4, 0.0, n), single, n, len(single), ones, twos, 4, 0.05)
-    assert 1e-5 * n > 2 and len(tree.contexts[3][0].keys) > 1000
-    root = [sum(math.log10((single[w] - tree.discount) / n) for w in [*t.encode().split(), op2_suffix_tree.END]) for t in texts]
-    want = root + tree.corrections(pa.array(texts))
-    for top in (150_000, 50):
-        got = {r["doc_id"]: r["score"] for r in op2_suffix_tree.score_texts(df, scratch, F.lit(True), top=top).collect()}
-        assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-6)
+    lexicon = [f"w{int(rng.paretovariate(0.4)) % 20000}" for _ in range(900)]
+    texts = [" ".join(rng.choice(lexicon) for _ in range(300)) for _ in range(30)]
+    texts += [f"{t[:600]} odd{i}" for i, t in enumerate(texts[:20])] + [None, "", "new words", "the", "THE of"]
+    texts += [" ".join(rng.choice(["the", "of the", "in the old house by the sea", rng.choice(lexicon)]) for _ in range(120)) for _ in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize(("top", "cell"), [(1 << 19, 1 << 21), (50, 4000), (0, 600), (20, 150)])
+def test_scores_equal_brute_force(spark, scratch, top, cell):
+    """Scores don't depend on what is frequent, how many cells there are, or which contexts are hot."""
+    texts = tree_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    tree = brute.Tree([t for i, t in enumerate(texts) if i % 4], 4, 2, 0.05, class_of)
+    assert {len(s) for s in tree.kept} == {1, 2, 3, 4}
+    assert any(s not in tree.kept for s, d in tree.follow.items() if sum(d.values()) >= 2)
+    got = {r["doc_id"]: r["score"] for r in op2_suffix_tree.score_texts(df, scratch, F.col("doc_id") % 4 != 0, top=top, cell=cell).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([tree.score(t) for t in texts], rel=1e-9)
+
+
+def test_probabilities_add_up():
+    texts = tree_texts()
+    tree = brute.Tree(texts, 4, 2, 0.05, class_of)
+    tokens = [*tree.single, "zz"]
+    for s in random.Random(1).sample(sorted(tree.kept), 20):
+        assert sum(tree.prob(s, a) for a in tokens) == pytest.approx(1)
 
 
 def test_scores_cases(docs, none, scratch, corpus):

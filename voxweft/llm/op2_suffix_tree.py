@@ -1,30 +1,33 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 Tokens are the words of a lower-cased text and one end. The tree predicts a token from the up to ``depth`` words before
-it. The contexts of n-grams that occur ``least`` times are candidates, and such followers are listed. A context is retained if the distribution after it
-diverges from that after its own suffix by ``divergence`` bits or more, and suffixes of retained contexts are retained
-too. Distributions are smoothed: a context shares mass with its suffix in proportion to the number of followers it
-lists, and all that it doesn't list follows the suffix's distribution. The root is the distribution of single tokens with
-an absolute discount; the discounted mass is the probability of a token that training has not seen. So the
-probabilities of all seen tokens and the unseen one add up to 1 after every context. Scoring uses the longest retained
-suffix.
-
-Counts cover all training texts and every n-gram that occurs ``least`` times, so the model grows with the corpus. Words are
-counted by the workers and summed by a shuffle, n-grams length by length: hashes are shuffled of those whose parts are
-repeated. Contexts, followers and
-their weights are tables. The frequent n-grams, 2 * ``top`` at most, and maps of fixed size go to every worker; other
-n-grams of a document are joined with the table of weights, other words with the table of counts. ``Tree`` is the same
-model in memory, of n-grams that make up ``p_min`` of the tokens and occur twice; tests compare the two.
-
-Defined cases: a null or empty text is one end token; with nothing to learn from every token is the unseen one, of
-probability 1; very long texts are read whole; repeated
-rows each get their result; an empty table gives an empty table; other columns are not read.
+it. With c the occurrences in training texts, n(s) those of a context s and m(s) the number of its different followers,
+
+    P(a | s) = (c(s, a) + m(s) * P(a | s')) / (n(s) + m(s)),   s' the longest retained suffix of s other than itself,
+
+so each context shares mass with its suffix in proportion to the number of its followers. A context is retained if it
+occurs ``least`` times and its followers diverge from those of s' by ``divergence`` bits or more. The root has every token
+with an absolute discount; the discounted mass is the probability of a token that training has not seen. So the
+probabilities of all seen tokens and the unseen one add up to 1 after every context. A token's score is P after the
+longest retained suffix of the words before it. Where s' is the root, followers are compared by 2^16 classes of their
+hashes, since the root's tokens are too many for one worker.
+
+Nothing but ``least`` keeps a context out, so the model grows with the corpus. Learning and scoring share one shuffle: each
+token goes, with the words before it, to the cell of its last context word, where that part of the tree is grown and its
+tokens are scored at once; cells send sums by document. A token after a context that alone would fill a cell (a hot one)
+goes to a cell of the context and a share of the words before it; counts of hot contexts are summed by a shuffle of
+their own, level by level, and the probabilities after them are sent to the cells that ask. Which contexts are hot is
+estimated from a sample; it decides where work is done, not what comes out. At most ``top`` words with their counts go to
+every worker, and hot contexts by the size of cells; other words' counts are joined.
+
+Words and contexts are known by 64-bit hashes. Defined cases: a null or empty text is one end token; with nothing to learn
+from every token is the unseen one, of probability 1; very long texts are read whole; repeated rows each get their
+result; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +40,16 @@ from .bytetext import STEP, U64, mix, slices, span_hashes, words
 from .op1_langid import remainder
 from .scratch import Scratch, least_common, read_table
 
-#: The end's text in n-grams; no word holds white space.
+#: The end's text for its hash; no word holds white space.
 END = b"\n"
-FLUSH = 400_000
-#: Tokens of a share, and the part of the frequent rate that it reports from.
-SHARE, SLACK = 1_500_000, 0.25
-#: Bits of the hash that a filter of repeated n-grams reads.
-FILTER_BITS = 26
-FILTER_SHIFT = U64(64 - FILTER_BITS)
+#: Tokens of a share whose counts or cells are sent together.
+SHARE = 2_000_000
+#: Tokens of a cell, and the number of cells beyond which they grow.
+CELL, MOST_CELLS = 2_000_000, 1 << 15
+#: Tokens of the sample from which hot contexts are estimated, at least; and for each possible hot context.
+SAMPLE, SAMPLE_EACH = 4_000_000, 64
+#: The root's followers are compared by classes of so many bits of their hashes.
+CLASS_BITS = 16
 
 
 def end_hash() -> np.uint64:
@@ -52,30 +57,35 @@ def end_hash() -> np.uint64:
 
 
 class Grams:
-    """The token sequence of many rows, each with its end, and hashes of its n-grams."""
+    """The token sequence of many rows, each with its end: hashes, rows, and how many words of its row stand before."""
 
     def __init__(self, column: pa.Array):
-        self.low, _, self.s, self.e, row, h = words(column)
+        _, _, _, _, row, h = words(column)
         rows = len(column)
         counts = np.bincount(row, minlength=rows)
         at = np.cumsum(counts)
         self.row = np.insert(row, at, np.arange(rows))
         self.hash = np.insert(h, at, end_hash())
-        self.word = np.insert(np.arange(len(h)), at, -1)
+        self.sizes = counts + 1
+        self.before = np.arange(len(self.hash)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+
+    def contexts(self, depth: int) -> Iterator[np.ndarray]:
+        """By position and for 1 to ``depth`` words, hashes of the words before it; where there are fewer words, something else."""
+        out = np.zeros(len(self.hash), U64)
+        for k in range(1, depth + 1):
+            out = joined(out, shifted(self.hash, k))
+            yield out
+
+
+def shifted(x: np.ndarray, k: int) -> np.ndarray:
+    out = np.zeros_like(x)
+    out[k:] = x[: len(x) - k]
+    return out
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the n-grams within a row, and their last positions."""
-        m = max(0, len(self.hash) - n + 1)
-        if n == 1:
-            return self.hash, np.arange(m)
-        out = np.full(m, n, U64)
-        for j in range(n):
-            out += self.hash[j : j + m] * STEP[j]
-        ok = np.flatnonzero(self.row[:m] == self.row[n - 1 : n - 1 + m])
-        return mix(out[ok]), ok + n - 1
 
-    def text(self, last: int, n: int) -> bytes:
-        return b" ".join(END if w < 0 else self.low[self.s[w] : self.e[w]].tobytes() for w in self.word[last - n + 1 : last + 1])
+def joined(suffix: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a context that has one more word before it."""
+    return mix(suffix * STEP[0] + word * STEP[1] + U64(1))
 
 
 class Lookup:
@@ -83,12 +93,13 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.sort(keys.astype(U64))
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.keys >> U64(44)).astype(np.int64)] = True
+        self.shift = U64(64 - 22)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.keys >> self.shift).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h that are found, and their places in the table."""
-        at = np.flatnonzero(self.bits[(h >> U64(44)).astype(np.int64)])
+        at = np.flatnonzero(self.bits[(h >> self.shift).astype(np.int64)])
         if not len(at):
             return at, at
         i = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
@@ -97,485 +108,438 @@ class Lookup:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n) of texts (text): sums over all of them; the end is the empty word."""
+    """(h, n, tokens) of texts (text, training): by token the occurrences in training texts; in a row without h all tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        share, size, tokens = [], 0, 0
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-            seen.clear()
-            return batch
+            h, n = np.unique(np.concatenate([np.zeros(0, U64), *share]), return_counts=True)
+            rows = len(h)
+            known = pa.array(np.append(h, U64(0)).view(np.int64), mask=np.append(np.zeros(rows, bool), True))
+            return pa.RecordBatch.from_arrays([known, pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(rows, np.int64), tokens))], ["h", "n", "tokens"])
 
         for batch in batches:
-            for a in range(0, len(batch), 64):
-                for t in batch.column(0).slice(a, 64).cast(pa.binary()).to_pylist():
-                    seen.update((t or b"").lower().split())
-                    seen[b""] += 1
-                if len(seen) > FLUSH:
+            for a, z in slices(batch.column(0)):
+                g = Grams(batch.column(0).slice(a, z - a))
+                flags = batch.column(1).slice(a, z - a).to_numpy(zero_copy_only=False).astype(bool)
+                share.append(g.hash[flags[g.row]])
+                size += len(share[-1])
+                tokens += len(g.hash)
+                if size >= SHARE:
                     yield out()
+                    share, size, tokens = [], 0, 0
         yield out()
 
-    return docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "training").mapInArrow(count, "h long, n long, tokens long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
 
 
-def named(docs: DataFrame, depth: int, p_min: float, tokens: int) -> DataFrame:
-    """(h): n-grams of 2 to depth + 1 tokens that may be frequent. Each share of the texts reports those that have
-    ``SLACK`` of the frequent rate in it. What shares don't report of an n-gram is under ``SLACK`` of the frequent count
-    in all, so a frequent one is reported 1 - SLACK of that count at least; such reports number 1 / ((1 - SLACK) * p_min)
-    for each length at most."""
+def hot_contexts(docs: DataFrame, depth: int, tokens: int, cell: int) -> list[tuple[Lookup, np.ndarray]]:
+    """By length, contexts that may have more than a cell's tokens, and into how many shares each is cut."""
+    fraction = min(1.0, max(SAMPLE, SAMPLE_EACH * tokens // cell) / max(1, tokens))
+    rate = cell / max(1, tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(*shares: list) -> pa.RecordBatch:
-            least = SLACK * p_min * sum(len(x) for share in shares for x in share[0])
-            h, c = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-            for n in range(1, depth + 1):
-                v, k = np.unique(np.concatenate([x for share in shares for x in share[n]]), return_counts=True)
-                h.append(v[k >= least]), c.append(k[k >= least])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(c))], ["h", "c"])
-
-        # the share before is held back until one more is full, so that the last one isn't small
-        before, share, size = None, [[] for _ in range(depth + 1)], 0
+        share, size = [[] for _ in range(depth)], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, of in enumerate(share, 1):
+                h, n = np.unique(np.concatenate(of), return_counts=True)
+                keep = n >= 0.25 * rate * size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), k, np.int32)), pa.array(h[keep].view(np.int64)), pa.array(n[keep])], ["k", "h", "n"])
+
         for batch in batches:
             for a, z in slices(batch.column(0)):
                 g = Grams(batch.column(0).slice(a, z - a))
-                for n in range(depth + 1):
-                    share[n].append(np.zeros(len(g.hash), bool) if n == 0 else g.of(n + 1)[0])
+                for k, h in enumerate(g.contexts(depth), 1):
+                    share[k - 1].append(h[g.before >= k])
                 size += len(g.hash)
                 if size >= SHARE:
-                    if before:
-                        yield out(before)
-                    before, share, size = share, [[] for _ in range(depth + 1)], 0
-        if size or before:
-            yield out(*([before] if before else []), *([share] if size else []))
-
-    # small partitions are read together: in a share of few tokens everything is frequent
-    reports = docs.coalesce(max(1, tokens // SHARE)).mapInArrow(run, "h long, c long")
-    return reports.groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= (1 - SLACK) * p_min * tokens).select("h")
-
+                    yield from out()
+                    share, size = [[] for _ in range(depth)], 0
+        if size:
+            yield from out()
 
-def gram_counts(docs: DataFrame, chosen: np.ndarray, depth: int) -> DataFrame:
-    """(h, size, words, n): how often each of the chosen n-grams occurs."""
-    lookup = Lookup(np.ascontiguousarray(chosen, np.int64).view(U64))
+    texts = docs.select("text")
+    found = (texts if fraction == 1 else texts.sample(fraction, 7)).mapInArrow(run, "k int, h long, n long")
+    found = found.groupBy("k", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= rate * fraction * tokens).toArrow()
+    k, h, n = (found.column(i).to_numpy() for i in range(3))
+    hot = []
+    for level in range(1, depth + 1):
+        keys, count = h[k == level].view(U64), n[k == level]
+        order = np.argsort(keys)
+        hot.append((Lookup(keys), np.ceil(count[order] / (rate * fraction * tokens)).astype(np.int64)))
+    return hot
+
+
+class Common:
+    """What every worker has: frequent words with their counts, the most frequent first; hot contexts; the root's classes."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray, hot: list, bits: int, depth: int, discount: float, tokens: int, vocabulary: int, mass: np.ndarray):
+        order = np.argsort(-n, kind="stable")
+        self.hashes, counts = h[order], n[order]
+        self.lookup, self.rank = Lookup(h), np.argsort(self.hashes)
+        self.hot, self.bits, self.depth, self.mass = hot, bits, depth, mass
+        self.root = (counts - discount) / max(1, tokens)
+        self.base = np.log10(counts + 0.1) - math.log10(tokens + 0.1 * (vocabulary + 1))
+
+    def codes(self, h: np.ndarray) -> np.ndarray:
+        """1 and more: the rank of a frequent word; 0: another."""
+        out = np.zeros(len(h), np.int32)
+        at, i = self.lookup(h)
+        out[at] = self.rank[i] + 1
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(lookup.keys), np.int64)
-        size = np.zeros(len(lookup.keys), np.int64)
-        text: dict[int, bytes] = {}
-        for batch in batches:
-            for a, z in slices(batch.column(0)):
-                g = Grams(batch.column(0).slice(a, z - a))
-                for n in range(2, depth + 2):
-                    h, last = g.of(n)
-                    at, i = lookup(h)
-                    u, first, c = np.unique(i, return_index=True, return_counts=True)
-                    seen[u] += c
-                    size[u] = n
-                    for k, p in zip(u.tolist(), first.tolist(), strict=True):
-                        if k not in text:
-                            text[k] = g.text(int(last[at[p]]), n)
-        got = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.keys[got].view(np.int64)), pa.array(size[got]), pa.array([text[k] for k in got.tolist()], pa.binary()), pa.array(seen[got])], ["h", "size", "words", "n"])
-
-    out = docs.mapInArrow(run, "h long, size long, words binary, n long")
-    return out.groupBy("h").agg(F.min("size").alias("size"), F.min("words").alias("words"), F.sum("n").alias("n"))
-
-
-def frequent(docs: DataFrame, depth: int, p_min: float, tokens: int) -> list:
-    """Rows (h, size, words, n) of all frequent n-grams."""
-    chosen = named(docs, depth, p_min, tokens).toArrow().column(0).to_numpy()
-    if not len(chosen):
-        return []
-    return gram_counts(docs, chosen, depth).filter(F.col("n") >= max(2.0, p_min * tokens)).collect()
-
-
-class Tree:
-    """Corrections of the root's log10 probabilities: of listed followers, and of leaving a context for its suffix."""
-
-    def __init__(self, rows: list, single: dict[bytes, int], tokens: int, vocabulary: int, ones: int, twos: int, depth: int, divergence: float):
-        self.depth = depth
-        self.discount = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.1
-        self.unseen = self.discount * vocabulary / tokens if tokens else 1.0
-        key = lambda r: tuple(bytes(r["words"]).split(b" "))
-        count = {(w,): n for w, n in single.items()} | {key(r): r["n"] for r in rows}
-        hashes = {key(r): r["h"] % 2**64 for r in rows}
-        follow: dict[tuple, dict[bytes, int]] = defaultdict(dict)
-        for g, n in count.items():
-            if len(g) > 1:
-                follow[g[:-1]][g[-1]] = n
-        root = lambda a: (single[a] - self.discount) / tokens
-        keep: set[tuple] = set()
-        for s in sorted(follow, key=len, reverse=True):
-            if s in keep or self._diverges(follow[s], count[s], follow.get(s[1:]), count.get(s[1:]), single, tokens) >= divergence:
-                keep.update(s[k:] for k in range(len(s)))
-        probs: dict[tuple, dict[bytes, float]] = {}
-        leave: dict[tuple, float] = {}
-
-        def prob(s: tuple, a: bytes) -> float:
-            out = 1.0
-            while s:
-                if a in probs[s]:
-                    return out * probs[s][a]
-                out *= leave[s]
-                s = s[1:]
-            return out * root(a)
-
-        for s in sorted(keep, key=lambda s: (len(s), s)):
-            d, n, m = follow[s], count[s], len(follow[s])
-            lower = {a: prob(s[1:], a) for a in d}
-            left = max(1e-12, 1 - sum(lower.values()))
-            probs[s] = {a: (c + m * lower[a]) / (n + m) for a, c in d.items()}
-            leave[s] = max(1e-12, 1 - sum(probs[s].values())) / left
-        size = lambda k: [s for s in keep if len(s) == k]
-        word = lambda w: int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
-        self.contexts, self.followers = [], []
-        for k in range(1, depth + 1):
-            rows_ = sorted((hashes[s] if k > 1 else word(s[0]), math.log10(leave[s])) for s in size(k))
-            self.contexts.append((Lookup(np.array([x for x, _ in rows_], U64)), np.array([v for _, v in rows_])))
-            rows_ = sorted((hashes[(*s, a)], math.log10(p / root(a))) for s in size(k) for a, p in probs[s].items())
-            self.followers.append((Lookup(np.array([x for x, _ in rows_], U64)), np.array([v for _, v in rows_])))
-
-    @staticmethod
-    def _diverges(d: dict, n: int, e: dict | None, m: int | None, single: dict, tokens: int) -> float:
-        """Bits by which a context's distribution diverges from its suffix's, followers not listed taken together."""
-        out, p_rest, q_rest = 0.0, 1.0, 1.0
-        for a, c in d.items():
-            p, q = c / n, (e[a] / m if e else single[a] / tokens)
-            out += p * math.log2(p / q)
-            p_rest, q_rest = p_rest - p, q_rest - q
-        return out + (p_rest * math.log2(p_rest / max(q_rest, 1e-12)) if p_rest > 1e-12 else 0.0)
-
-    def corrections(self, column: pa.Array) -> np.ndarray:
-        """By row, what contexts add to the sum of the root's log10 probabilities."""
-        g = Grams(column)
-        return np.bincount(g.row, weights=self.gains(g), minlength=len(column))
-
-    def next_gain(self, before: list[str], tokens: list[bytes]) -> list[float]:
-        """What the context adds to the root's log10 probability of a token right after a text."""
-        g = Grams(pa.array([b if t == END else f"{b} {t.decode()}" for b, t in zip(before, tokens, strict=True)]))
-        gains = self.gains(g)
-        ends = np.flatnonzero(g.word < 0)
-        return [float(gains[e if t == END else e - 1]) for e, t in zip(ends, tokens, strict=True)]
-
-    def gains(self, g: Grams) -> np.ndarray:
-        """The same by position."""
-        delta, undone = np.zeros(len(g.hash)), np.ones(len(g.hash), bool)
-        for k in range(self.depth, 0, -1):
-            (contexts, leave), (followers, gain) = self.contexts[k - 1], self.followers[k - 1]
-            if not len(contexts.keys):
-                continue
-            h, last = g.of(k)
-            at, i = contexts(h)
-            ok = g.word[last[at]] >= 0
-            at, i = at[ok], i[ok]
-            ok = undone[last[at] + 1]
+    def cells(self, g: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By position the hot words before it, the hash of these, into how many shares they are cut, and the cell."""
+        n = len(g.hash)
+        level, key, cut, parts = np.zeros(n, np.int8), np.where(g.before >= 1, shifted(g.hash, 1), mix(g.hash)), np.ones(n, np.int64), np.zeros(n, U64)
+        alive = None
+        for k, h in enumerate(g.contexts(self.depth), 1):
+            lookup, shares = self.hot[k - 1]
+            if not len(lookup.keys):
+                break
+            at, i = lookup(h)
+            ok = g.before[at] >= k if alive is None else (g.before[at] >= k) & alive[at]
             at, i = at[ok], i[ok]
-            pos = last[at] + 1
-            e = np.full(len(pos), k + 1, U64)
-            for j in range(k + 1):
-                e += g.hash[pos - k + j] * STEP[j]
-            hit, f = followers(mix(e))
-            delta[pos] += leave[i]
-            delta[pos[hit]] += gain[f] - leave[i[hit]]
-            undone[pos[hit]] = False
-        return delta
+            alive = np.zeros(n, bool)
+            alive[at] = True
+            level[at], key[at], cut[at] = k, h[at], shares[i]
+            if k < self.depth:
+                parts[at] = shifted(g.hash, k + 1)[at] * (g.before[at] > k)
+        return level, key, cut, self.bucket(level, key, parts % cut.astype(U64))
+
+    def bucket(self, level: np.ndarray, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        h = np.where(level > 0, mix(key + part * STEP[2]), key)
+        return (h >> U64(64 - self.bits)).astype(np.int32) if self.bits else np.zeros(len(h), np.int32)
 
 
-def chained(g: Grams, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """By length and last position hashes of n-grams, made of those without the last and without the first token, so that
-    the two stand for the n-gram; and how many tokens of its row stand before each position."""
-    place = np.arange(len(g.hash))
-    start = np.append(True, g.row[1:] != g.row[:-1]) if len(g.row) else np.zeros(0, bool)
-    before = place - np.maximum.accumulate(np.where(start, place, 0)) if len(place) else place
-    h = [np.zeros(0, U64), g.hash]
-    for n in range(2, longest + 1):
-        h.append(np.append(U64(0), joined(n, h[-1][:-1], h[-1][1:]))[: len(g.hash)])
-    return h, before
+def planes(x: np.ndarray) -> bytes:
+    """Numbers, byte by byte."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def joined(n: int, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    return mix(prefix * STEP[0] + suffix * STEP[1] + U64(n))
+def unplaned(x: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Numbers of eight bytes, byte by byte."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+ROW = "bucket int, base long, size int, blob binary, rare binary, ctx long, a long, alpha double, beta double, sn double, sc double, rid long, n_tokens int, n_known int, bs double"
+NAMES = [x.split()[0] for x in ROW.split(", ")]
+TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def unplaned(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(U64).ravel()
+def batch_of(columns: dict, rows: int, ids: pa.Array | None, kind: pa.DataType) -> pa.RecordBatch:
+    arrays = [pa.array(columns[n], TYPES[t]) if n in columns else pa.nulls(rows, TYPES[t]) for n, t in (x.split() for x in ROW.split(", "))]
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(rows, kind) if ids is None else ids], [*NAMES, "id"])
 
 
-def repeated(docs: DataFrame, n: int, filters: Broadcast, least: int, tokens: int) -> DataFrame:
-    """(h, prefix, suffix, n): n-grams that occur ``least`` times or more, with the hashes of those without the last and
-    without the first token. Shares send what they have for each range of h, sorted by prefix, as differences by byte, so
-    that few bytes of them are not zero. What begins or ends with a rarer (n - 1)-gram is not sent."""
-    bits = max(4, math.ceil(math.log2(max(1.0, tokens / 2_000_000))))
-    shift = U64(64 - bits)
+def tokens_by_cell(docs: DataFrame, common: Broadcast) -> DataFrame:
+    """Of texts (id, text, training): for each share and cell its tokens, with the words before them; and a row for each text."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        share, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-        def out() -> pa.RecordBatch:
-            prefix, suffix = (np.concatenate(x) for x in zip(*share, strict=True))
-            bucket = (joined(n, prefix, suffix) >> shift).astype(np.int64)
-            order = np.lexsort((suffix, prefix, bucket))
-            prefix, suffix, bucket = prefix[order], suffix[order], bucket[order]
-            new = np.append(True, (prefix[1:] != prefix[:-1]) | (suffix[1:] != suffix[:-1]))
-            at = np.flatnonzero(new)
-            c = np.diff(np.append(at, len(prefix))).astype(np.uint32)
-            prefix, suffix, bucket = prefix[at], suffix[at], bucket[at]
-            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            blobs = [[planes(np.diff(prefix[i:j], prepend=U64(0))), planes(suffix[i:j]), c[i:j].tobytes()] for i, j in spans]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *(pa.array([x[k] for x in blobs], pa.binary()) for k in range(3))], ["bucket", "prefix", "suffix", "c"])
+        own, codec = common.value, pa.Codec("zstd", 3)
+        depth, top = own.depth, len(own.hashes)
+        rid, share, size = TaskContext.get().partitionId() << 33, [], 0
+
+        def out(kind: pa.DataType) -> pa.RecordBatch:
+            bucket, row, flag, *columns = (np.concatenate(x) for x in zip(*share, strict=True))
+            order = np.argsort(bucket, kind="stable")
+            bucket, row, flag, columns = bucket[order], row[order], flag[order], [c[order] for c in columns]
+            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            rows: dict[str, list] = {n: [] for n in ("bucket", "base", "size", "blob", "rare")}
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                hashes = np.stack([c[i:j] for c in columns])
+                code = own.codes(hashes.ravel()).reshape(hashes.shape)
+                code[hashes == 0] = 0
+                other = (code == 0) & (hashes != 0)
+                rare, place = np.unique(hashes[other], return_inverse=True)
+                code[other] = top + 1 + place
+                r = row[i:j]
+                data = planes(np.diff(r, prepend=r[0]).astype(np.uint32)) + flag[i:j].tobytes() + b"".join(planes(c.astype(np.uint32)) for c in code)
+                for n, v in zip(rows, (bucket[i], int(r[0]), j - i, codec.compress(data, asbytes=True), rare.tobytes()), strict=True):
+                    rows[n].append(v)
+            return batch_of(rows, len(cut) - 1, None, kind)
 
         for batch in batches:
-            for a, z in slices(batch.column(0)):
-                h, before = chained(Grams(batch.column(0).slice(a, z - a)), n - 1)
-                ok = before >= n - 1
-                if n > 2:
-                    may = filters.value[n - 1][(h[-1] >> FILTER_SHIFT).astype(np.int64)]
-                    ok[1:] &= may[1:] & may[:-1]
-                at = np.flatnonzero(ok)
-                share.append((h[-1][at - 1], h[-1][at]))
-                size += len(at)
-                if size >= 2 * SHARE:
-                    yield out()
+            for a, z in slices(batch.column(1)):
+                part = batch.slice(a, z - a)
+                kind = part.column(0).type
+                g = Grams(part.column(1))
+                level, key, cut, bucket = own.cells(g)
+                leaf = level == depth
+                if leaf.any():
+                    bucket[leaf] = own.bucket(level[leaf], key[leaf], (np.arange(len(level))[leaf] % cut[leaf]).astype(U64))
+                train = part.column(2).to_numpy(zero_copy_only=False).astype(np.int8)
+                window = [g.hash, *(np.where(g.before >= k, shifted(g.hash, k), U64(0)) for k in range(1, depth + 1))]
+                share.append((bucket, rid + g.row, level * np.int8(2) + train[g.row], *window))
+                size += len(g.hash)
+                code = own.codes(g.hash)
+                at = np.flatnonzero(code)
+                rows = len(part)
+                # of the texts themselves: tokens, and what is known of their frequent words
+                known = np.bincount(g.row[at], minlength=rows).astype(np.int32)
+                base = np.bincount(g.row[at], weights=own.base[code[at] - 1], minlength=rows)
+                rids = rid + np.arange(rows)
+                yield batch_of({"bucket": (rids % (1 << own.bits)).astype(np.int32), "rid": rids, "n_tokens": g.sizes.astype(np.int32), "n_known": known, "bs": base}, rows, part.column(0), kind)
+                rid += rows
+                if size >= SHARE:
+                    yield out(kind)
                     share, size = [], 0
         if size:
-            yield out()
+            yield out(kind)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, held = None, []
+    return docs.select("id", "text", "training").mapInArrow(run, f"{ROW}, id {dict(docs.dtypes)['id']}")
 
-        def out() -> Iterator[pa.RecordBatch]:
-            prefix, suffix, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            h = joined(n, prefix, suffix)
-            order = np.argsort(h)
-            at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-            total = np.add.reduceat(c[order].astype(np.int64), at)
-            keep = total >= least
-            lead = order[at[keep]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[lead].view(np.int64)) for x in (h, prefix, suffix)), pa.array(total[keep])], ["h", "prefix", "suffix", "n"])
 
-        for batch in batches:
-            for b, x, y, c in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if b != bucket:
-                    if held:
-                        yield from out()
-                    bucket, held = b, []
-                held.append((np.cumsum(unplaned(x), dtype=U64), unplaned(y), np.frombuffer(c, np.uint32)))
-        if held:
-            yield from out()
+class States:
+    """By token the longest retained context so far: P(a) after it is alpha + beta * root(a); sn and sc count it, and the
+    token after it, in training. sn is 0 at the root."""
 
-    sent = docs.mapInArrow(send, "bucket long, prefix binary, suffix binary, c binary")
-    return sent.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(add, "h long, prefix long, suffix long, n long")
+    def __init__(self, n: int):
+        self.alpha, self.beta, self.sn, self.sc = np.zeros(n), np.ones(n), np.zeros(n), np.zeros(n)
 
 
-def filter_of(table: DataFrame) -> Filter:
-    """A map of ``2 ** FILTER_BITS`` hash prefixes that are in a table (h); its size doesn't depend on the input."""
-    wide = U64(64 - 9)
+def grow(states: States, windows: list[np.ndarray], level: np.ndarray, path: np.ndarray, a: np.ndarray, train: np.ndarray, classes: np.ndarray, mass: np.ndarray, least: int, divergence: float) -> None:
+    """Takes the states of one cell's tokens from context to longer context. ``path`` tells the hot contexts of ``level`` words
+    apart; ``windows`` has by length the word at that distance, 0 for none; ``classes`` the class of each word."""
+    wide = int(max(a.max(), *(w.max() for w in windows))) + 1 if len(a) else 1
+    group = path.astype(np.int64)
+    live = np.ones(len(a), bool)
+    for k, word in enumerate(windows, 1):
+        at = np.flatnonzero(live & (level < k) & (word > 0))
+        if not len(at):
+            continue
+        _, ctx = np.unique(group[at] * wide + word[at], return_inverse=True)
+        n = np.bincount(ctx, weights=train[at])
+        often = n >= least
+        live[at] = often[ctx]
+        at, ctx = at[often[ctx]], ctx[often[ctx]]
+        if not len(at):
+            continue
+        group[at] = ctx
+        _, first, pair = np.unique(ctx * wide + a[at], return_index=True, return_inverse=True)
+        c = np.bincount(pair, weights=train[at])
+        of, token = ctx[first], at[first]
+        m = np.bincount(of[c > 0], minlength=len(n))
+        seen = np.flatnonzero(c > 0)
+        of, token, count = of[seen], token[seen], c[seen]
+        low = states.sn[token] > 0
+        bits = np.zeros(len(n))
+        bits += np.bincount(of[low], weights=count[low] * np.log2(count[low] * states.sn[token[low]] / states.sc[token[low]]), minlength=len(n))
+        if not low.all():
+            key, inverse = np.unique(of[~low] << CLASS_BITS | classes[a[token[~low]]], return_inverse=True)
+            count = np.bincount(inverse, weights=count[~low])
+            bits += np.bincount(key >> CLASS_BITS, weights=count * np.log2(count / mass[key & ((1 << CLASS_BITS) - 1)]), minlength=len(n))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            keep = often & (bits / n - np.log2(n) >= divergence)
+        chosen = keep[ctx]
+        at, ctx, pair = at[chosen], ctx[chosen], pair[chosen]
+        share = m[ctx] / (n[ctx] + m[ctx])
+        states.alpha[at] = c[pair] / (n[ctx] + m[ctx]) + share * states.alpha[at]
+        states.beta[at] *= share
+        states.sn[at], states.sc[at] = n[ctx], c[pair]
+
+
+def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: float) -> DataFrame:
+    """Of rows by cell: sums by text (rid, score), tokens that are rare words (rid, a, alpha, beta), and the rows of texts."""
+
+    def cell(parts: list[dict], asked: list[pa.RecordBatch]) -> Iterator[dict]:
+        own, codec = common.value, pa.Codec("zstd")
+        depth, top = own.depth, len(own.hashes)
+        rids, flags, codes, rares = [], [], [[] for _ in range(depth + 1)], []
+        for p in parts:
+            n = p["size"]
+            data = codec.decompress(p["blob"], n * (5 + 4 * (depth + 1)), asbytes=True)
+            rids.append(p["base"] + np.cumsum(unplaned(data[: 4 * n], np.uint32).astype(np.int64)))
+            flags.append(np.frombuffer(data, np.int8, n, 4 * n))
+            for k in range(depth + 1):
+                codes[k].append(unplaned(data[(5 + 4 * k) * n : (9 + 4 * k) * n], np.uint32))
+            rares.append(np.frombuffer(p["rare"], U64))
+        rare = np.unique(np.concatenate(rares))
+        for i, r in enumerate(rares):
+            place = np.concatenate([np.arange(top + 1), top + 1 + np.searchsorted(rare, r)]).astype(np.uint32) if len(r) else None
+            for c in codes:
+                if place is not None:
+                    c[i] = place[c[i]]
+        rid, flag, (a, *windows) = np.concatenate(rids), np.concatenate(flags), [np.concatenate(c).astype(np.int64) for c in codes]
+        rids = flags = codes = rares = None
+        hashes = np.concatenate([np.zeros(1, U64), own.hashes, rare])
+        train, level = (flag & 1).astype(np.float64), flag >> 1
+        states = States(len(a))
+        path = np.zeros(len(a), np.int64)
+        hot = np.flatnonzero(level)
+        if len(hot):
+            ctx = np.zeros(len(hot), U64)
+            for k in range(1, depth + 1):
+                on = level[hot] >= k
+                ctx[on] = joined(ctx[on], hashes[windows[k - 1][hot[on]]])
+            _, path[hot] = np.unique(ctx, return_inverse=True)
+            path[hot] += len(a) + 1  # apart from the numbers that shorter contexts get
+            key, alpha, beta, sn, sc = (np.concatenate([b.column(i).to_numpy() for b in asked]) for i in range(5))
+            key = key.view(U64)
+            order = np.argsort(key)
+            i = order[np.searchsorted(key[order], mix(ctx * STEP[3] + hashes[a[hot]]))]
+            states.alpha[hot], states.beta[hot], states.sn[hot], states.sc[hot] = alpha[i], beta[i], sn[i], sc[i]
+        grow(states, windows, level, path, a, train, (hashes >> U64(64 - CLASS_BITS)).astype(np.int64), own.mass, least, divergence)
+        common_ = a <= top
+        at = np.flatnonzero(common_)
+        value = np.log10(states.alpha[at] + states.beta[at] * own.root[a[at] - 1])
+        of = rid[at]
+        order = np.argsort(of, kind="stable")
+        of, value = of[order], value[order]
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        yield {"rid": of[begin], "score": np.add.reduceat(value, begin) if len(of) else value}
+        at = np.flatnonzero(~common_)
+        yield {"rid": rid[at], "a": hashes[a[at]].view(np.int64), "alpha": states.alpha[at], "beta": states.beta[at]}
+
+    kinds = {"rid": pa.int64(), "score": pa.float64(), "a": pa.int64(), "alpha": pa.float64(), "beta": pa.float64(), "n_tokens": pa.int32(), "n_known": pa.int32(), "bs": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(U64)
-            block, at = (h >> wide).astype(np.int64), ((h >> FILTER_SHIFT) & U64((1 << (FILTER_BITS - 9)) - 1)).astype(np.int64)
-            for b in np.unique(block).tolist():
-                blocks.setdefault(b, np.zeros(1 << (FILTER_BITS - 9), bool))[at[block == b]] = True
-        for b, x in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(x).tobytes()], pa.binary())], ["b", "x"])
-
-    out = np.zeros((512, 1 << (FILTER_BITS - 12)), np.uint8)
-    for r in table.select("h").mapInArrow(run, "b long, x binary").collect():
-        out[r["b"]] |= np.frombuffer(r["x"], np.uint8)
-    return Filter(out.ravel())
-
+        bucket, parts, asked, id_kind = None, [], [], None
 
-class Filter:
-    """A map of bits that is read by position."""
+        def out(columns: dict, ids: pa.Array | None = None) -> pa.RecordBatch:
+            rows = len(columns["rid"])
+            arrays = [columns[k] if isinstance(columns.get(k), pa.Array) else pa.array(columns[k], v) if k in columns else pa.nulls(rows, v) for k, v in kinds.items()]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(rows, id_kind) if ids is None else ids], [*kinds, "id"])
 
-    def __init__(self, packed: np.ndarray):
-        self.packed = packed
+        def flush() -> Iterator[pa.RecordBatch]:
+            if parts:
+                for columns in cell(parts, asked):
+                    for i in range(0, len(columns["rid"]), 100_000):
+                        yield out({k: v[i : i + 100_000] for k, v in columns.items()})
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        return (self.packed[i >> 3] >> (7 - (i & 7)).astype(np.uint8)) & 1 > 0
-
-
-def word_hashes(counts: DataFrame) -> DataFrame:
-    """(h, n) of words (word, n) as n-grams have them."""
+        for batch in batches:
+            id_kind = batch.column("id").type
+            buckets = batch.column("bucket").to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])), len(buckets)).tolist() if len(buckets) else [0]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if buckets[i] != bucket:
+                    yield from flush()
+                    bucket, parts, asked = buckets[i], [], []
+                part = batch.slice(i, j - i)
+                texts = part.filter(part.column("rid").is_valid())
+                if len(texts):
+                    yield out({k: texts.column(k) for k in ("rid", "n_tokens", "n_known", "bs")}, texts.column("id"))
+                parts += part.filter(part.column("blob").is_valid()).select(["base", "size", "blob", "rare"]).to_pylist()
+                hot = part.filter(part.column("ctx").is_valid())
+                if len(hot):
+                    key = mix(hot.column("ctx").to_numpy().view(U64) * STEP[3] + hot.column("a").to_numpy().view(U64)).view(np.int64)
+                    asked.append(pa.RecordBatch.from_arrays([pa.array(key), *(hot.column(x) for x in ("alpha", "beta", "sn", "sc"))], ["key", "alpha", "beta", "sn", "sc"]))
+        yield from flush()
+
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(run, f"rid long, score double, a long, alpha double, beta double, n_tokens int, n_known int, bs double, id {kind}")
+
+
+def hot_states(docs: DataFrame, common: Broadcast, mass: DataFrame, scratch: Scratch, depth: int, least: int, divergence: float) -> DataFrame:
+    """(bucket, ctx, a, alpha, beta, sn, sc): states of tokens after hot contexts, for the cells that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = common.value
         for batch in batches:
-            w = [x or END for x in batch.column(0).to_pylist()]
-            e = np.cumsum([len(x) for x in w]).astype(np.int64)
-            h = span_hashes(np.frombuffer(b"".join(w), np.uint8), np.concatenate([[0], e[:-1]]).astype(np.int64), e) if w else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1)], ["h", "n"])
-
-    return counts.select("word", "n").mapInArrow(run, "h long, n long")
-
+            for i, j in slices(batch.column(0)):
+                g = Grams(batch.column(0).slice(i, j - i))
+                train = batch.column(1).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)[g.row]
+                level, _, cut, bucket = own.cells(g)
+                before = np.zeros(len(level), U64)
+                for k, ctx in enumerate(g.contexts(depth), 1):
+                    at = np.flatnonzero(level >= k)
+                    if not len(at):
+                        break
+                    where = np.where(level[at] == k, 0 if k == depth else bucket[at], -1)
+                    shares = np.where(level[at] == depth, cut[at], 1)
+                    _, first, inverse = np.unique(mix(ctx[at] * STEP[0] + g.hash[at] * STEP[1] + where.astype(np.int64).view(U64)), return_index=True, return_inverse=True)
+                    n = np.bincount(inverse, weights=train[at]).astype(np.int64)
+                    x = at[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), *(pa.array(v[x].view(np.int64)) for v in (ctx, before, g.hash)), pa.array(where[first].astype(np.int32)), pa.array(shares[first].astype(np.int32)), pa.array(n)], ["k", "ctx", "sup", "a", "bucket", "shares", "n"])
+                    before = ctx
+
+    found = docs.select("text", "training").mapInArrow(run, "k int, ctx long, sup long, a long, bucket int, shares int, n long")
+    found = scratch.save(found.groupBy("k", "ctx", "sup", "a", "bucket", "shares").agg(F.sum("n").alias("n")))
+    lower, asked = None, None
+    for k in range(1, depth + 1):
+        pairs = found.filter(F.col("k") == k).groupBy("ctx", "sup", "a").agg(F.sum("n").alias("c"))
+        if lower is None:
+            pairs = pairs.withColumns({"alpha": F.lit(0.0), "beta": F.lit(1.0), "sn": F.lit(0.0), "sc": F.lit(0.0)})
+        else:
+            pairs = pairs.join(lower.withColumnRenamed("ctx", "sup"), ["sup", "a"])
+        pairs = scratch.save(pairs)
+        c = F.col("c")
+        low = pairs.filter("c > 0 and sn > 0").groupBy("ctx").agg(F.sum(c * F.log2(c * F.col("sn") / F.col("sc"))).alias("bits"))
+        own = pairs.filter("c > 0 and sn = 0").groupBy("ctx", F.shiftrightunsigned("a", 64 - CLASS_BITS).alias("class")).agg(F.sum("c").alias("c"))
+        own = own.join(F.broadcast(mass), "class").groupBy("ctx").agg(F.sum(c * F.log2(c / F.col("mass"))).alias("bits"))
+        total = pairs.groupBy("ctx").agg(F.sum("c").alias("n"), F.count(F.when(c > 0, 1)).alias("m"))
+        total = total.join(low.union(own), "ctx").filter((F.col("n") >= least) & (F.col("bits") / F.col("n") - F.log2("n") >= divergence)).drop("bits")
+        d = pairs.join(total, "ctx", "left")
+        kept = lambda new, old: F.when(F.col("n").isNull(), F.col(old)).otherwise(new)
+        both, share = F.col("n") + F.col("m"), F.col("m") / (F.col("n") + F.col("m"))
+        d = d.select("ctx", "a", kept(c / both + share * F.col("alpha"), "alpha").alias("alpha"), kept(share * F.col("beta"), "beta").alias("beta"), kept(F.col("n").cast("double"), "sn").alias("sn"), kept(c.cast("double"), "sc").alias("sc"))
+        lower = scratch.save(d)
+        more = found.filter((F.col("k") == k) & (F.col("bucket") >= 0)).select("ctx", "a", "bucket", "shares")
+        if k == depth:
+            own_bucket = _leaf_bucket(common)
+            more = more.select("ctx", "a", "shares").distinct().mapInArrow(own_bucket, "ctx long, a long, bucket int")
+        else:
+            more = more.drop("shares")
+        more = more.distinct().join(lower, ["ctx", "a"])
+        asked = more if asked is None else asked.unionByName(more)
+    return asked
+
+
+def _leaf_bucket(common: Broadcast):
+    """For contexts of full length, a row for each of their cells."""
 
-def weights(learned: DataFrame, counts: DataFrame, scratch: Scratch, tokens: int, discount: float, depth: int, least: int, divergence: float) -> tuple[DataFrame, DataFrame, dict[int, Filter]]:
-    """(h, w): what each occurrence of an n-gram adds to a text's sum of log10 probabilities; (h, n): counts of all repeated
-    words and n-grams; filters by length.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, a, shares = (batch.column(i).to_numpy() for i in range(3))
+            at = np.repeat(np.arange(len(ctx)), shares)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(shares) - shares, shares)
+            key = ctx[at].view(U64)
+            bucket = common.value.bucket(np.full(len(at), common.value.depth), key, part.astype(U64))
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[at]), pa.array(a[at]), pa.array(bucket)], ["ctx", "a", "bucket"])
 
-    With P the probability of a listed follower and Q that after the suffix, an n-gram adds log10(P / Q) less what
-    leaving its context adds, and a retained context adds the latter wherever it stands before a token. Sums over all
-    lengths are the longest listed n-gram's probability over the root's, and what leaving longer contexts adds."""
-    filters: dict[int, Filter] = {}
-    spark, tables = learned.sparkSession, {}
+    return run
 
-    def save(df: DataFrame) -> DataFrame:
-        out = scratch.save(df)
-        spark._jvm.System.gc()  # Spark's cleaner removes shuffle files of plans that are gone
-        return out
 
-    for n in range(2, depth + 2):
-        tables[n] = save(repeated(learned, n, spark.sparkContext.broadcast(filters), least, tokens))
-        filters[n] = filter_of(tables[n])
-    lower = word_hashes(counts.filter(F.col("n") >= least)).select("h", "n", F.lit(float(tokens)).alias("c"), ((F.col("n") - discount) / tokens).alias("p"))
-    words_ = lower = save(lower)
-    followers, contexts = [], []
-    for k in range(1, depth + 1):
-        g = tables[k + 1].join(lower.select(F.col("h").alias("prefix"), F.col("n").alias("c")), "prefix")
-        g = g.join(lower.select(F.col("h").alias("suffix"), (F.col("n") / F.col("c")).alias("q"), F.col("p").alias("lower")), "suffix")
-        g = save(g.select("h", "prefix", "n", F.col("c").cast("double").alias("c"), "q", "lower"))
-        p, q = F.col("n") / F.col("c"), F.col("q")
-        # sum of (n + m * lower) / (c + m) over the m followers listed
-        of = g.groupBy("prefix").agg(F.count("*").alias("m"), F.sum("n").alias("listed"), F.sum("lower").alias("low"), F.sum(q).alias("qs"), F.sum(p * F.log2(p / q)).alias("d"), F.first("c").alias("c"))
-        rest = 1 - F.col("listed") / F.col("c")
-        d = F.col("d") + F.when(rest > 1e-12, rest * F.log2(rest / F.greatest(F.lit(1e-12), 1 - F.col("qs")))).otherwise(0.0)
-        left = F.greatest(F.lit(1e-12), 1 - (F.col("listed") + F.col("m") * F.col("low")) / (F.col("c") + F.col("m")))
-        of = of.select("prefix", "m", F.log10(left / F.greatest(F.lit(1e-12), 1 - F.col("low"))).alias("leave"), (d >= divergence).alias("own"))
-        of = save(of)
-        p = (F.col("n") + F.col("m") * F.col("lower")) / (F.col("c") + F.col("m"))
-        lower = save(g.join(of.select("prefix", "m", "leave"), "prefix").select("h", "prefix", "n", "c", p.alias("p"), (F.log10(p / F.col("lower")) - F.col("leave")).alias("w")))
-        followers.append(lower), contexts.append(of)
-    out, longer = None, None
-    for k in range(depth, 0, -1):
-        keep = contexts[k - 1].filter("own").select("prefix")
-        if longer is not None:
-            suffixes = tables[k + 1].join(longer.withColumnRenamed("prefix", "h"), "h", "left_semi")
-            keep = keep.union(suffixes.select(F.col("suffix").alias("prefix"))).distinct()
-        longer = keep = save(keep)
-        more = followers[k - 1].join(keep, "prefix", "left_semi").select("h", "w")
-        more = more.union(contexts[k - 1].join(keep, "prefix", "left_semi").select(F.col("prefix").alias("h"), F.col("leave").alias("w")))
-        out = more if out is None else out.union(more)
-    every = words_.select("h", "n")
-    for t in tables.values():
-        every = every.union(t.select("h", "n"))
-    return save(out.groupBy("h").agg(F.sum("w").alias("w"))), every, filters
-
-
-def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least: int = 2, divergence: float = 0.05, top: int = 150_000) -> DataFrame:
+def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least: int = 2, divergence: float = 0.05, top: int = 1 << 19, cell: int = CELL) -> DataFrame:
     """For each row the id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``. ``training`` is true for the
     rows to learn from."""
+    spark = df.sparkSession
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
-    learned = docs.filter("training").select("text")
-    counts = scratch.save(word_counts(learned))
+    every = scratch.save(word_counts(docs))
+    counts = every.filter("h is not null and n > 0").select("h", "n")
     of = lambda n: F.count(F.when(F.col("n") == n, 1))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), of(1).alias("ones"), of(2).alias("twos")).first()
-    tokens = total["n"]
-    size = math.log10(tokens + 0.1 * (total["v"] + 1))
-    most = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= least_common(counts, top)).collect()}
-    # of the tree only the root's numbers; its contexts are a table
-    tree = Tree([], {}, tokens, total["v"], total["ones"], total["twos"], depth, divergence)
-    found = [row["n"] for row in counts.filter(F.col("word") == F.lit(b"")).collect()]
-    ends = found[0] if found else 0
-    root = lambda c: math.log10((c - tree.discount) / tokens) if c else math.log10(tree.unseen)
-    known = {w: (math.log10(c + 0.1) - size, root(c)) for w, c in most.items()}
-    end = (math.log10(ends + 0.1) - size, root(ends))
-    table, filters, often = None, {}, (Lookup(np.zeros(0, U64)), np.zeros(0))
-    if tokens:
-        table, every, filters = weights(learned, counts, scratch, tokens, tree.discount, depth, least, divergence)
-        # frequent ones that have no weight are listed too, so that none is joined
-        common = every.filter(F.col("n") >= least_common(every, 2 * top)).select("h").join(table, "h", "left")
-        rows = sorted((r["h"] % 2**64, r["w"] or 0.0) for r in common.collect())
-        often = Lookup(np.array([h for h, _ in rows], U64)), np.array([w for _, w in rows])
-    common = df.sparkSession.sparkContext.broadcast((often, filters, known))
-    scored = scratch.save(_scored(docs.select("id", "text"), common, end, ends > 0))
-    rest = scored.select("rid", F.inline("rest").alias("word", "n"))
-    rest = rest.join(counts.withColumnRenamed("n", "c"), "word", "left")
-    seen, n = F.coalesce("c", F.lit(0)), F.col("n")
-    of_root = F.when(seen > 0, F.log10((seen - tree.discount) / max(1, tokens))).otherwise(math.log10(tree.unseen))
-    rest = rest.groupBy("rid").agg(F.sum(F.when(seen > 0, n).otherwise(0)).alias("k"), F.sum(n * (F.log10(seen + F.lit(0.1)) - size)).alias("b"), F.sum(n * of_root).alias("s"))
-    out = scored.drop("rest", "grams").join(rest, "rid", "left")
-    if table is not None:
-        more = scored.select("rid", F.explode("grams").alias("h")).join(table.select("h", "w"), "h")
-        out = out.join(more.groupBy("rid").agg(F.sum("w").alias("more")), "rid", "left")
-    else:
-        out = out.withColumn("more", F.lit(0.0))
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("s", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
-
-
-def gram_sums(column: pa.Array, often: tuple[Lookup, np.ndarray], filters: dict[int, Filter]) -> tuple[np.ndarray, pa.Array]:
-    """By row the sum of the weights of its frequent n-grams, and a list of the others that the table may have. Single
-    words are contexts wherever they stand; all that are frequent are looked up first."""
-    g = Grams(column)
-    sums = np.zeros(len(column))
-    rest, owner = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    chain, before = chained(g, max(filters, default=1))
-    for n in [1, *filters] if filters else []:
-        last = np.flatnonzero(before >= n - 1)
-        h = chain[n][last]
-        if n > 1:
-            ok = np.flatnonzero(filters[n][(h >> FILTER_SHIFT).astype(np.int64)])
-            h, last = h[ok], last[ok]
-        row = g.row[last]
-        at, i = often[0](h)
-        sums += np.bincount(row[at], weights=often[1][i], minlength=len(column))
-        other = np.ones(len(h), bool)
-        other[at] = False
-        if n == 1:
-            other &= g.word >= 0
-        rest.append(h[other]), owner.append(row[other])
-    h, row = np.concatenate(rest), np.concatenate(owner)
-    h = h[np.argsort(row, kind="stable")]
-    off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(column)))]).astype(np.int32)
-    return sums, pa.ListArray.from_arrays(pa.array(off), pa.array(h.view(np.int64)))
-
-
-def _scored(docs: DataFrame, common: Broadcast, end: tuple[float, float], end_known: bool) -> DataFrame:
-    """Each row with a number of its own, the sums over its frequent words and n-grams, its other words, and hashes of
-    its other n-grams that may be in the table of weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        often, filters, known = common.value
-        rid = TaskContext.get().partitionId() << 33
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-        for batch in batches:
-            for a, z in slices(batch.column(1)):
-                part = batch.slice(a, z - a)
-                more, grams = gram_sums(part.column(1), often, filters)
-                rows: list[list] = [[] for _ in kinds]
-                for t, add in zip(part.column(1).cast(pa.binary()).to_pylist(), more.tolist(), strict=True):
-                    tokens = (t or b"").lower().split()
-                    n_known, base, score, rest = int(end_known), end[0], end[1] + add, []
-                    for w, n in Counter(tokens).items():
-                        found = known.get(w)
-                        if found is None:
-                            rest.append({"word": w, "n": n})
-                        else:
-                            n_known += n
-                            base += n * found[0]
-                            score += n * found[1]
-                    for x, v in zip(rows, (rid, len(tokens) + 1, n_known, base, score, rest), strict=True):
-                        x.append(v)
-                    rid += 1
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, rows, kinds), grams], ["id", "rid", "n_tokens", "n_known", "base", "score", "rest", "grams"])
-
-    kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, rid long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:long>>, grams array<long>")
+    read = every.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    tokens, vocabulary = total["n"], total["v"]
+    discount = min(0.9, max(0.1, total["ones"] / (total["ones"] + 2 * total["twos"]))) if total["ones"] else 0.1
+    unseen = discount * vocabulary / tokens if tokens else 1.0
+    size = math.log10(tokens + 0.1 * (vocabulary + 1))
+    cell = max(cell, read // MOST_CELLS)
+    bits = max(0, math.ceil(math.log2(max(1, read) / cell)))
+    most = counts.filter(F.col("n") >= least_common(counts, top)).toArrow()
+    shares = counts.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("class")).agg((F.sum("n") / max(1, tokens)).alias("mass"))
+    classes = shares.toArrow()
+    mass = np.zeros(1 << CLASS_BITS)
+    mass[classes.column(0).to_numpy()] = classes.column(1).to_numpy()
+    hot = hot_contexts(docs, depth, read, cell // 2)
+    common = spark.sparkContext.broadcast(Common(most.column(0).to_numpy().view(U64), most.column(1).to_numpy(), hot, bits, depth, discount, tokens, vocabulary, mass))
+    rows = tokens_by_cell(docs, common)
+    if len(hot[0][0].keys):
+        asked = hot_states(docs, common, scratch.save(shares), scratch, depth, least, divergence)
+        rows = rows.unionByName(asked, allowMissingColumns=True)
+    rows = rows.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    parts = scratch.save(scored_cells(rows, common, least, divergence))
+    spark._jvm.System.gc()  # Spark's cleaner removes shuffle files of plans that are gone
+    seen = F.coalesce("n", F.lit(0))
+    root = F.when(seen > 0, (seen - discount) / max(1, tokens)).otherwise(unseen)
+    rare = parts.filter("a is not null").select("rid", "a", "alpha", "beta").join(counts.withColumnRenamed("h", "a"), "a", "left")
+    rare = rare.select("rid", F.log10(F.col("alpha") + F.col("beta") * root).alias("score"), F.when(seen > 0, 1).otherwise(0).alias("n_known"), (F.log10(seen + F.lit(0.1)) - size).alias("bs"))
+    sums = parts.filter("a is null").select("rid", "id", "score", "n_tokens", "n_known", "bs").unionByName(rare, allowMissingColumns=True)
+    sums = sums.groupBy("rid").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "bs", "score")))
+    return sums.select(F.col("id").alias(id_col), F.col("n_tokens").cast("long"), F.col("n_known").cast("long"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("bs").alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
