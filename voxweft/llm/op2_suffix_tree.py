@@ -43,9 +43,9 @@ from .scratch import Scratch, least_common, read_table
 #: The end's text for its hash; no word holds white space.
 END = b"\n"
 #: Tokens of a share whose counts or cells are sent together.
-SHARE = 2_000_000
+SHARE = 1_000_000
 #: Tokens of a cell, and the number of cells beyond which they grow.
-CELL, MOST_CELLS = 2_000_000, 1 << 15
+CELL, MOST_CELLS = 1_500_000, 1 << 15
 #: Tokens of the sample from which hot contexts are estimated, at least; and for each possible hot context.
 SAMPLE, SAMPLE_EACH = 4_000_000, 64
 #: The root's followers are compared by classes of so many bits of their hashes.
@@ -241,24 +241,24 @@ def tokens_by_cell(docs: DataFrame, common: Broadcast) -> DataFrame:
 
         own, codec = common.value, pa.Codec("zstd", 3)
         depth, top = own.depth, len(own.hashes)
-        rid, share, size = TaskContext.get().partitionId() << 33, [], 0
+        rid, share, others, size = TaskContext.get().partitionId() << 33, [], [], 0
 
         def out(kind: pa.DataType) -> pa.RecordBatch:
-            bucket, row, flag, *columns = (np.concatenate(x) for x in zip(*share, strict=True))
+            bucket, row, flag, before, code = (np.concatenate(x) for x in zip(*share, strict=True))
+            rare, place = np.unique(np.concatenate(others), return_inverse=True)
+            code[code == 0] = top + 1 + place
             order = np.argsort(bucket, kind="stable")
-            bucket, row, flag, columns = bucket[order], row[order], flag[order], [c[order] for c in columns]
-            cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)).tolist()
+            cut = np.append(np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1])), len(order)).tolist()
             rows: dict[str, list] = {n: [] for n in ("bucket", "base", "size", "blob", "rare")}
             for i, j in zip(cut[:-1], cut[1:], strict=True):
-                hashes = np.stack([c[i:j] for c in columns])
-                code = own.codes(hashes.ravel()).reshape(hashes.shape)
-                code[hashes == 0] = 0
-                other = (code == 0) & (hashes != 0)
-                rare, place = np.unique(hashes[other], return_inverse=True)
-                code[other] = top + 1 + place
-                r = row[i:j]
-                data = planes(np.diff(r, prepend=r[0]).astype(np.uint32)) + flag[i:j].tobytes() + b"".join(planes(c.astype(np.uint32)) for c in code)
-                for n, v in zip(rows, (bucket[i], int(r[0]), j - i, codec.compress(data, asbytes=True), rare.tobytes()), strict=True):
+                at = order[i:j]
+                window = np.stack([np.where(before[at] >= k, code[at - k], 0) for k in range(depth + 1)])
+                other = window > top
+                used, place = np.unique(window[other], return_inverse=True)
+                window[other] = top + 1 + place
+                r = row[at]
+                data = planes(np.diff(r, prepend=r[0]).astype(np.uint32)) + flag[at].tobytes() + b"".join(planes(w) for w in window)
+                for n, v in zip(rows, (bucket[at[0]], int(r[0]), j - i, codec.compress(data, asbytes=True), rare[used - top - 1].tobytes()), strict=True):
                     rows[n].append(v)
             return batch_of(rows, len(cut) - 1, None, kind)
 
@@ -272,10 +272,10 @@ def tokens_by_cell(docs: DataFrame, common: Broadcast) -> DataFrame:
                 if leaf.any():
                     bucket[leaf] = own.bucket(level[leaf], key[leaf], (np.arange(len(level))[leaf] % cut[leaf]).astype(U64))
                 train = part.column(2).to_numpy(zero_copy_only=False).astype(np.int8)
-                window = [g.hash, *(np.where(g.before >= k, shifted(g.hash, k), U64(0)) for k in range(1, depth + 1))]
-                share.append((bucket, rid + g.row, level * np.int8(2) + train[g.row], *window))
-                size += len(g.hash)
                 code = own.codes(g.hash)
+                share.append((bucket, rid + g.row, level * np.int8(2) + train[g.row], np.minimum(g.before, depth).astype(np.int8), code))
+                others.append(g.hash[code == 0])
+                size += len(g.hash)
                 at = np.flatnonzero(code)
                 rows = len(part)
                 # of the texts themselves: tokens, and what is known of their frequent words
@@ -286,7 +286,7 @@ def tokens_by_cell(docs: DataFrame, common: Broadcast) -> DataFrame:
                 rid += rows
                 if size >= SHARE:
                     yield out(kind)
-                    share, size = [], 0
+                    share, others, size = [], [], 0
         if size:
             yield out(kind)
 
