@@ -96,7 +96,7 @@ def tree_texts():
     return texts
 
 
-@pytest.mark.parametrize(("top", "cell"), [(1 << 19, 1 << 21), (50, 4000), (0, 600), (20, 150)])
+@pytest.mark.parametrize(("top", "cell"), [(1 << 20, 1 << 21), (50, 4000), (0, 600), (20, 150)])
 def test_scores_equal_brute_force(spark, scratch, top, cell):
     """Scores don't depend on what is frequent, how many cells there are, or which contexts are hot."""
     texts = tree_texts()

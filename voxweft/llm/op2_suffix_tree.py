@@ -14,7 +14,7 @@ hashes, since the root's tokens are too many for one worker.
 
 Nothing but ``least`` keeps a context out, so the model grows with the corpus. Learning and scoring share one shuffle: each
 token goes, with the words before it, to the cell of its last context word, where that part of the tree is grown and its
-tokens are scored at once; cells send sums by document. A token after a context that alone would fill a cell (a hot one)
+tokens are scored at once; cells send sums by text. A token after a context that alone would fill a cell (a hot one)
 goes to a cell of the context and a share of the words before it; counts of hot contexts are summed by a shuffle of
 their own, level by level, and the probabilities after them are sent to the cells that ask. Which contexts are hot is
 estimated from a sample; it decides where work is done, not what comes out. At most ``top`` words with their counts go to
@@ -48,6 +48,8 @@ SHARE = 1_000_000
 CELL, MOST_CELLS = 1_500_000, 1 << 15
 #: Tokens of the sample from which hot contexts are estimated, at least; and for each possible hot context.
 SAMPLE, SAMPLE_EACH = 4_000_000, 64
+#: Sums of 2 ** UNIT_BITS texts are sent together.
+UNIT_BITS = 12
 #: The root's followers are compared by classes of so many bits of their hashes.
 CLASS_BITS = 16
 
@@ -343,7 +345,8 @@ def grow(states: States, windows: list[np.ndarray], level: np.ndarray, path: np.
 
 
 def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: float) -> DataFrame:
-    """Of rows by cell: sums by text (rid, score), tokens that are rare words (rid, a, alpha, beta), and the rows of texts."""
+    """Of rows by cell: sums by text in units of texts (rid of the first, size, blob), tokens that are rare words (rid, a, alpha,
+    beta), and the rows of texts."""
 
     def cell(parts: list[dict], asked: list[pa.RecordBatch]) -> Iterator[dict]:
         own, codec = common.value, pa.Codec("zstd")
@@ -383,18 +386,27 @@ def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: flo
             i = order[np.searchsorted(key[order], mix(ctx * STEP[3] + hashes[a[hot]]))]
             states.alpha[hot], states.beta[hot], states.sn[hot], states.sc[hot] = alpha[i], beta[i], sn[i], sc[i]
         grow(states, windows, level, path, a, train, (hashes >> U64(64 - CLASS_BITS)).astype(np.int64), own.mass, least, divergence)
-        common_ = a <= top
-        at = np.flatnonzero(common_)
-        value = np.log10(states.alpha[at] + states.beta[at] * own.root[a[at] - 1])
-        of = rid[at]
-        order = np.argsort(of, kind="stable")
-        of, value = of[order], value[order]
-        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        yield {"rid": of[begin], "score": np.add.reduceat(value, begin) if len(of) else value}
-        at = np.flatnonzero(~common_)
+        frequent = a <= top
+        at = np.flatnonzero(frequent)
+        yield from sums(rid[at], np.log10(states.alpha[at] + states.beta[at] * own.root[a[at] - 1]), codec)
+        at = np.flatnonzero(~frequent)
         yield {"rid": rid[at], "a": hashes[a[at]].view(np.int64), "alpha": states.alpha[at], "beta": states.beta[at]}
 
-    kinds = {"rid": pa.int64(), "score": pa.float64(), "a": pa.int64(), "alpha": pa.float64(), "beta": pa.float64(), "n_tokens": pa.int32(), "n_known": pa.int32(), "bs": pa.float64()}
+    def sums(rid: np.ndarray, value: np.ndarray, codec: pa.Codec) -> Iterator[dict]:
+        """Sums by text, packed by units of texts."""
+        if not len(rid):
+            return
+        order = np.argsort(rid, kind="stable")
+        rid, value = rid[order], value[order]
+        begin = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+        rid, value = rid[begin], np.add.reduceat(value, begin)
+        unit = rid >> UNIT_BITS
+        cut = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit)).tolist()
+        place = (rid & ((1 << UNIT_BITS) - 1)).astype(np.uint16)
+        blobs = [codec.compress(planes(np.diff(place[i:j], prepend=np.uint16(0))) + planes(value[i:j]), asbytes=True) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        yield {"rid": rid[cut[:-1]], "size": np.diff(cut).astype(np.int32), "blob": blobs}
+
+    kinds = {"rid": pa.int64(), "size": pa.int32(), "blob": pa.binary(), "a": pa.int64(), "alpha": pa.float64(), "beta": pa.float64(), "n_tokens": pa.int32(), "n_known": pa.int32(), "bs": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, parts, asked, id_kind = None, [], [], None
@@ -430,7 +442,7 @@ def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: flo
         yield from flush()
 
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(run, f"rid long, score double, a long, alpha double, beta double, n_tokens int, n_known int, bs double, id {kind}")
+    return rows.mapInArrow(run, f"rid long, size int, blob binary, a long, alpha double, beta double, n_tokens int, n_known int, bs double, id {kind}")
 
 
 def hot_states(docs: DataFrame, common: Broadcast, mass: DataFrame, scratch: Scratch, depth: int, least: int, divergence: float) -> DataFrame:
@@ -503,7 +515,7 @@ def _leaf_bucket(common: Broadcast):
     return run
 
 
-def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least: int = 2, divergence: float = 0.05, top: int = 1 << 19, cell: int = CELL) -> DataFrame:
+def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 4, least: int = 2, divergence: float = 0.05, top: int = 1 << 20, cell: int = CELL) -> DataFrame:
     """For each row the id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``. ``training`` is true for the
     rows to learn from."""
     spark = df.sparkSession
@@ -536,10 +548,49 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     seen = F.coalesce("n", F.lit(0))
     root = F.when(seen > 0, (seen - discount) / max(1, tokens)).otherwise(unseen)
     rare = parts.filter("a is not null").select("rid", "a", "alpha", "beta").join(counts.withColumnRenamed("h", "a"), "a", "left")
-    rare = rare.select("rid", F.log10(F.col("alpha") + F.col("beta") * root).alias("score"), F.when(seen > 0, 1).otherwise(0).alias("n_known"), (F.log10(seen + F.lit(0.1)) - size).alias("bs"))
-    sums = parts.filter("a is null").select("rid", "id", "score", "n_tokens", "n_known", "bs").unionByName(rare, allowMissingColumns=True)
-    sums = sums.groupBy("rid").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "bs", "score")))
-    return sums.select(F.col("id").alias(id_col), F.col("n_tokens").cast("long"), F.col("n_known").cast("long"), F.lit(tokens).cast("long").alias("train_tokens"), F.col("bs").alias("base_score"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    rare = rare.groupBy("rid").agg(F.sum(F.log10(F.col("alpha") + F.col("beta") * root)).alias("score"), F.count(F.when(seen > 0, 1)).cast("int").alias("n_known"), F.sum(F.log10(seen + F.lit(0.1)) - size).alias("bs"))
+    parts = parts.filter("a is null").select("rid", "id", "size", "blob", "n_tokens", "n_known", "bs").unionByName(rare, allowMissingColumns=True)
+    parts = parts.withColumn("unit", F.shiftright("rid", UNIT_BITS))
+    out = text_sums(parts.repartition("unit").sortWithinPartitions("unit"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("bs").alias("base_score"), "score")
+
+
+def text_sums(parts: DataFrame) -> DataFrame:
+    """(id, n_tokens, n_known, bs, score) by text, of the parts of its unit."""
+    texts = 1 << UNIT_BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, unit, ids = pa.Codec("zstd"), None, []
+        total = np.zeros((4, texts))
+
+        def out() -> pa.RecordBatch:
+            place = np.concatenate([p for p, _ in ids])
+            n, known, base, score = total[:, place]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([x for _, x in ids]), *(pa.array(v.astype(np.int64)) for v in (n, known)), pa.array(base), pa.array(score)], ["id", "n_tokens", "n_known", "bs", "score"])
+
+        for batch in batches:
+            of = batch.column("unit").to_numpy()
+            cut = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of)).tolist() if len(of) else [0]
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if of[i] != unit:
+                    if ids:
+                        yield out()
+                    unit, ids = of[i], []
+                    total[:] = 0
+                part = batch.slice(i, j - i)
+                for r in part.filter(part.column("blob").is_valid()).select(["size", "blob"]).to_pylist():
+                    data = codec.decompress(r["blob"], r["size"] * 10, asbytes=True)
+                    total[3, np.cumsum(unplaned(data[: 2 * r["size"]], np.uint16))] += unplaned(data[2 * r["size"] :], np.float64)
+                part = part.filter(part.column("blob").is_null())
+                place = part.column("rid").to_numpy() & (texts - 1)
+                for k, name in enumerate(("n_tokens", "n_known", "bs", "score")):
+                    np.add.at(total[k], place, part.column(name).fill_null(0).to_numpy(zero_copy_only=False))
+                own = part.column("n_tokens").is_valid()
+                ids.append((place[own.to_numpy(zero_copy_only=False)], part.column("id").filter(own)))
+        if ids:
+            yield out()
+
+    return parts.mapInArrow(run, f"id {dict(parts.dtypes)['id']}, n_tokens long, n_known long, bs double, score double")
 
 
 def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
