@@ -48,6 +48,8 @@ SHARE = 1_000_000
 CELL, MOST_CELLS = 1_500_000, 1 << 15
 #: Tokens of the sample from which hot contexts are estimated, at least; and for each possible hot context.
 SAMPLE, SAMPLE_EACH = 4_000_000, 64
+#: Tokens of a cell for which the tree is grown at a time.
+PIECE = 200_000
 #: Sums of 2 ** UNIT_BITS texts are sent together.
 UNIT_BITS = 12
 #: The root's followers are compared by classes of so many bits of their hashes.
@@ -306,7 +308,7 @@ class States:
 def grow(states: States, windows: list[np.ndarray], level: np.ndarray, path: np.ndarray, a: np.ndarray, train: np.ndarray, classes: np.ndarray, mass: np.ndarray, least: int, divergence: float) -> None:
     """Takes the states of one cell's tokens from context to longer context. ``path`` tells the hot contexts of ``level`` words
     apart; ``windows`` has by length the word at that distance, 0 for none; ``classes`` the class of each word."""
-    wide = int(max(a.max(), *(w.max() for w in windows))) + 1 if len(a) else 1
+    wide = np.int64(len(classes))
     group = path.astype(np.int64)
     live = np.ones(len(a), bool)
     for k, word in enumerate(windows, 1):
@@ -366,31 +368,42 @@ def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: flo
             for c in codes:
                 if place is not None:
                     c[i] = place[c[i]]
-        rid, flag, (a, *windows) = np.concatenate(rids), np.concatenate(flags), [np.concatenate(c).astype(np.int64) for c in codes]
+        rid, flag, window = np.concatenate(rids), np.concatenate(flags), [np.concatenate(c).view(np.int32) for c in codes]
         rids = flags = codes = rares = None
         hashes = np.concatenate([np.zeros(1, U64), own.hashes, rare])
-        train, level = (flag & 1).astype(np.float64), flag >> 1
-        states = States(len(a))
-        path = np.zeros(len(a), np.int64)
-        hot = np.flatnonzero(level)
-        if len(hot):
-            ctx = np.zeros(len(hot), U64)
-            for k in range(1, depth + 1):
-                on = level[hot] >= k
-                ctx[on] = joined(ctx[on], hashes[windows[k - 1][hot[on]]])
-            _, path[hot] = np.unique(ctx, return_inverse=True)
-            path[hot] += len(a) + 1  # apart from the numbers that shorter contexts get
-            key, alpha, beta, sn, sc = (np.concatenate([b.column(i).to_numpy() for b in asked]) for i in range(5))
-            key = key.view(U64)
-            order = np.argsort(key)
-            i = order[np.searchsorted(key[order], mix(ctx * STEP[3] + hashes[a[hot]]))]
-            states.alpha[hot], states.beta[hot], states.sn[hot], states.sc[hot] = alpha[i], beta[i], sn[i], sc[i]
-        grow(states, windows, level, path, a, train, (hashes >> U64(64 - CLASS_BITS)).astype(np.int64), own.mass, least, divergence)
-        frequent = a <= top
-        at = np.flatnonzero(frequent)
-        yield from sums(rid[at], np.log10(states.alpha[at] + states.beta[at] * own.root[a[at] - 1]), codec)
-        at = np.flatnonzero(~frequent)
-        yield {"rid": rid[at], "a": hashes[a[at]].view(np.int64), "alpha": states.alpha[at], "beta": states.beta[at]}
+        classes = (hashes >> U64(64 - CLASS_BITS)).astype(np.int32)
+        if asked:
+            key, *known = (np.concatenate([b.column(i).to_numpy() for b in asked]) for i in range(5))
+            order = np.argsort(key.view(U64))
+            key, known = key.view(U64)[order], [x[order] for x in known]
+        # contexts of one last word are grown together, and about ``PIECE`` tokens at a time
+        order = np.argsort(window[1], kind="stable")
+        last = window[1][order]
+        new = np.flatnonzero(np.append(True, last[1:] != last[:-1]))
+        cut = [*new[np.flatnonzero(np.append(True, new[1:] // PIECE != new[:-1] // PIECE))].tolist(), len(order)]
+        value, more = np.zeros(len(rid)), []
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            at = order[i:j]
+            a, *windows = (w[at] for w in window)
+            level = flag[at] >> 1
+            states, path = States(len(a)), np.zeros(len(a), np.int64)
+            hot = np.flatnonzero(level)
+            if len(hot):
+                ctx = np.zeros(len(hot), U64)
+                for k in range(1, depth + 1):
+                    on = level[hot] >= k
+                    ctx[on] = joined(ctx[on], hashes[windows[k - 1][hot[on]]])
+                _, path[hot] = np.unique(ctx, return_inverse=True)
+                path[hot] += len(a) + 1  # apart from the numbers that shorter contexts get
+                place = np.searchsorted(key, mix(ctx * STEP[3] + hashes[a[hot]]))
+                states.alpha[hot], states.beta[hot], states.sn[hot], states.sc[hot] = (x[place] for x in known)
+            grow(states, windows, level, path, a, (flag[at] & 1).astype(np.float64), classes, own.mass, least, divergence)
+            frequent = a <= top
+            value[at[frequent]] = np.log10(states.alpha[frequent] + states.beta[frequent] * own.root[a[frequent] - 1])
+            other = ~frequent
+            more.append((rid[at[other]], hashes[a[other]].view(np.int64), states.alpha[other], states.beta[other]))
+        yield from sums(rid, value, codec)
+        yield dict(zip(("rid", "a", "alpha", "beta"), (np.concatenate(x) for x in zip(*more, strict=True)), strict=True))
 
     def sums(rid: np.ndarray, value: np.ndarray, codec: pa.Codec) -> Iterator[dict]:
         """Sums by text, packed by units of texts."""
