@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +45,8 @@ from .scratch import Scratch, least_common, read_table
 END = b"\n"
 #: Tokens of a share whose counts or cells are sent together.
 SHARE = 1_000_000
-#: Tokens of a cell, and the number of cells beyond which they grow.
-CELL, MOST_CELLS = 1_500_000, 1 << 15
+#: Tokens of a cell at most and at least, the number of cells that are made if that allows, and the number beyond which they grow.
+CELL, LEAST_CELL, CELLS, MOST_CELLS = 1_500_000, 150_000, 128, 1 << 15
 #: Tokens of the sample from which hot contexts are estimated, at least; and for each possible hot context.
 SAMPLE, SAMPLE_EACH = 4_000_000, 64
 #: Tokens of a cell for which the tree is grown at a time.
@@ -227,6 +228,32 @@ def unplaned(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
+#: Words below ONE take a byte, below TWO two bytes, below THREE three, others four.
+ONE, TWO, THREE = 192, 192 + 48 * 256, 192 + 48 * 256 + 15 * 65536
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Numbers in bytes of which the first tells how many follow: first all first bytes, then the others of each kind."""
+    c = codes.astype(np.int64)
+    two, three = c >= ONE, c >= TWO
+    four = c >= THREE
+    first = np.select([four, three, two], [255, 240 + (c - TWO >> 16), 192 + (c - ONE >> 8)], c).astype(np.uint8)
+    low = np.select([four, three], [c, c - TWO], c - ONE)
+    return first.tobytes() + (low[two] & 255).astype(np.uint8).tobytes() + (low[three] >> 8 & 255).astype(np.uint8).tobytes() + (c[four] >> 16).astype(np.uint8).tobytes()
+
+
+def unpacked(data: np.ndarray, n: int) -> np.ndarray:
+    c = data[:n].astype(np.int32)
+    two, three, four = (np.flatnonzero(c >= x) for x in (192, 240, 255))
+    rest = np.split(data[n:], np.cumsum([len(two), len(three)]))
+    low = np.zeros(n, np.int32)
+    low[two] = rest[0]
+    low[three] |= rest[1].astype(np.int32) << 8
+    c[two] = np.where(c[two] >= 240, TWO + (c[two] - 240 << 16), ONE + (c[two] - 192 << 8))
+    c[four] = rest[2].astype(np.int32) << 16
+    return c + low
+
+
 ROW = "bucket int, base long, size int, blob binary, rare binary, ctx long, a long, alpha double, beta double, sn double, sc double, rid long, n_tokens int, n_known int, bs double"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
@@ -261,8 +288,8 @@ def tokens_by_cell(docs: DataFrame, common: Broadcast) -> DataFrame:
                 used, place = np.unique(window[other], return_inverse=True)
                 window[other] = top + 1 + place
                 r = row[at]
-                data = planes(np.diff(r, prepend=r[0]).astype(np.uint32)) + flag[at].tobytes() + b"".join(planes(w) for w in window)
-                for n, v in zip(rows, (bucket[at[0]], int(r[0]), j - i, codec.compress(data, asbytes=True), rare[used - top - 1].tobytes()), strict=True):
+                blob = codec.compress(planes(np.diff(r, prepend=r[0]).astype(np.uint32)) + flag[at].tobytes() + packed(window.ravel()), asbytes=True)
+                for n, v in zip(rows, (bucket[at[0]], int(r[0]), j - i, blob, rare[used - top - 1].tobytes()), strict=True):
                     rows[n].append(v)
             return batch_of(rows, len(cut) - 1, None, kind)
 
@@ -351,24 +378,24 @@ def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: flo
     beta), and the rows of texts."""
 
     def cell(parts: list[dict], asked: list[pa.RecordBatch]) -> Iterator[dict]:
-        own, codec = common.value, pa.Codec("zstd")
+        own, codec = common.value, pa.Codec("zstd", 3)
         depth, top = own.depth, len(own.hashes)
         rids, flags, codes, rares = [], [], [[] for _ in range(depth + 1)], []
         for p in parts:
             n = p["size"]
-            data = codec.decompress(p["blob"], n * (5 + 4 * (depth + 1)), asbytes=True)
+            data = zstandard.decompress(p["blob"])
             rids.append(p["base"] + np.cumsum(unplaned(data[: 4 * n], np.uint32).astype(np.int64)))
             flags.append(np.frombuffer(data, np.int8, n, 4 * n))
-            for k in range(depth + 1):
-                codes[k].append(unplaned(data[(5 + 4 * k) * n : (9 + 4 * k) * n], np.uint32))
+            for k, c in enumerate(np.split(unpacked(np.frombuffer(data, np.uint8, offset=5 * n), (depth + 1) * n), depth + 1)):
+                codes[k].append(c)
             rares.append(np.frombuffer(p["rare"], U64))
         rare = np.unique(np.concatenate(rares))
         for i, r in enumerate(rares):
-            place = np.concatenate([np.arange(top + 1), top + 1 + np.searchsorted(rare, r)]).astype(np.uint32) if len(r) else None
+            place = np.concatenate([np.arange(top + 1), top + 1 + np.searchsorted(rare, r)]).astype(np.int32) if len(r) else None
             for c in codes:
                 if place is not None:
                     c[i] = place[c[i]]
-        rid, flag, window = np.concatenate(rids), np.concatenate(flags), [np.concatenate(c).view(np.int32) for c in codes]
+        rid, flag, window = np.concatenate(rids), np.concatenate(flags), [np.concatenate(c) for c in codes]
         rids = flags = codes = rares = None
         hashes = np.concatenate([np.zeros(1, U64), own.hashes, rare])
         classes = (hashes >> U64(64 - CLASS_BITS)).astype(np.int32)
@@ -542,7 +569,7 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     discount = min(0.9, max(0.1, total["ones"] / (total["ones"] + 2 * total["twos"]))) if total["ones"] else 0.1
     unseen = discount * vocabulary / tokens if tokens else 1.0
     size = math.log10(tokens + 0.1 * (vocabulary + 1))
-    cell = max(cell, read // MOST_CELLS)
+    cell = max(min(cell, max(LEAST_CELL, read // CELLS)), read // MOST_CELLS)
     bits = max(0, math.ceil(math.log2(max(1, read) / cell)))
     most = counts.filter(F.col("n") >= least_common(counts, top)).toArrow()
     shares = counts.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("class")).agg((F.sum("n") / max(1, tokens)).alias("mass"))
@@ -553,7 +580,9 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     common = spark.sparkContext.broadcast(Common(most.column(0).to_numpy().view(U64), most.column(1).to_numpy(), hot, bits, depth, discount, tokens, vocabulary, mass))
     rows = tokens_by_cell(docs, common)
     if len(hot[0][0].keys):
-        asked = hot_states(docs, common, scratch.save(shares), scratch, depth, least, divergence)
+        states = Scratch(spark, "op2-hot")
+        asked = scratch.save(hot_states(docs, common, scratch.save(shares), states, depth, least, divergence))
+        states.drop()
         rows = rows.unionByName(asked, allowMissingColumns=True)
     rows = rows.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     parts = scratch.save(scored_cells(rows, common, least, divergence))
