@@ -569,24 +569,26 @@ def score_texts(df: DataFrame, scratch: Scratch, training: Column, id_col: str =
     discount = min(0.9, max(0.1, total["ones"] / (total["ones"] + 2 * total["twos"]))) if total["ones"] else 0.1
     unseen = discount * vocabulary / tokens if tokens else 1.0
     size = math.log10(tokens + 0.1 * (vocabulary + 1))
-    cell = max(min(cell, max(LEAST_CELL, read // CELLS)), read // MOST_CELLS)
-    bits = max(0, math.ceil(math.log2(max(1, read) / cell)))
+    share = lambda n: math.log2(max(1, read) / n)
+    bits = max(0, min(math.ceil(share(cell)), int(math.log2(MOST_CELLS))), min(int(math.log2(CELLS)), math.floor(share(LEAST_CELL))))
     most = counts.filter(F.col("n") >= least_common(counts, top)).toArrow()
     shares = counts.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).alias("class")).agg((F.sum("n") / max(1, tokens)).alias("mass"))
     classes = shares.toArrow()
     mass = np.zeros(1 << CLASS_BITS)
     mass[classes.column(0).to_numpy()] = classes.column(1).to_numpy()
-    hot = hot_contexts(docs, depth, read, cell // 2)
+    hot = hot_contexts(docs, depth, read, max(1, read >> bits + 1))
     common = spark.sparkContext.broadcast(Common(most.column(0).to_numpy().view(U64), most.column(1).to_numpy(), hot, bits, depth, discount, tokens, vocabulary, mass))
-    rows = tokens_by_cell(docs, common)
+    rows, asked = tokens_by_cell(docs, common), None
     if len(hot[0][0].keys):
         states = Scratch(spark, "op2-hot")
         asked = scratch.save(hot_states(docs, common, scratch.save(shares), states, depth, least, divergence))
         states.drop()
+        scratch.free()
         rows = rows.unionByName(asked, allowMissingColumns=True)
     rows = rows.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
     parts = scratch.save(scored_cells(rows, common, least, divergence))
-    spark._jvm.System.gc()  # Spark's cleaner removes shuffle files of plans that are gone
+    rows = asked = None
+    scratch.free()
     seen = F.coalesce("n", F.lit(0))
     root = F.when(seen > 0, (seen - discount) / max(1, tokens)).otherwise(unseen)
     rare = parts.filter("a is not null").select("rid", "a", "alpha", "beta").join(counts.withColumnRenamed("h", "a"), "a", "left")

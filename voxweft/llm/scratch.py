@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Lets Spark's cleaner remove shuffle files and broadcasts of plans that nothing refers to any longer."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self) -> None:
         try:
             jvm = self.spark._jvm
