@@ -467,7 +467,7 @@ def test_tiles_of_many_blocks(spark):
         for b in sets:
             if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b])):
                 want.join(a, b)
-    for r in in_tiles(rows, payload, jaccard_links(80, 100), size=16).collect():
+    for r in in_tiles(rows, payload, jaccard_links(80, 100), Scratch(spark, "test"), size=16).collect():
         assert want.find(r["a"]) == want.find(r["b"])
         got.join(r["a"], r["b"])
     assert all(want.find(k) == got.find(k) for k in sets)

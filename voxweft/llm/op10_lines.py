@@ -30,11 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, mix, powers, slices
-from .links import linked, narrowed
+from .links import linked, narrowed, shared
 from .scratch import Scratch, read_table
 from .tiles import Clusters, comparable, in_tiles
 
-INDEX, PROBE = 1, 0
 #: Groups of letters whose counts are compared before lines are.
 GROUPS = 24
 #: From so many code points on, lines of fewer than ``min_chars`` are compared with nearly equal ones.
@@ -226,14 +225,8 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
             yield from batch_lines(batch.column(0), batch.column(1), tau, least, short)
 
     lines = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,no:int>>, own array<long>, probes array<long>"))
-    kinds = F.transform("own", lambda x: F.struct(x.alias("key"), F.lit(INDEX).alias("kind")))
-    kinds = F.concat(kinds, F.transform("probes", lambda x: F.struct(x.alias("key"), F.lit(PROBE).alias("kind"))))
-    rows = lines.select(F.col("h").alias("id"), F.inline(kinds))
-    from pyspark.sql import Window
-
-    by_key = Window.partitionBy("key")
-    shared = rows.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key), "indexed": F.max("kind").over(by_key)})
-    keys = scratch.save(shared.filter("lo < hi and indexed = 1").select("key", "id").distinct())
+    items = lines.select(F.col("h").alias("id"), F.size("own").alias("own"), F.concat("own", "probes").alias("keys"))
+    rows = shared(items, scratch)
 
     def texts_of(needed: DataFrame) -> DataFrame:
         """(h, line) of lines (h), each from one of its occurrences."""
@@ -259,9 +252,9 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
 
     def across(rows: DataFrame) -> DataFrame:
         texts = texts_of(rows.select(F.col("id").alias("h")).distinct()).withColumnRenamed("h", "id")
-        return in_tiles(rows, texts, line_links(tau, is_near))
+        return in_tiles(rows, texts, line_links(tau, is_near), scratch)
 
-    _, comp = linked(keys, scratch, verify, pairs=across, verified=True)
+    _, comp = linked(rows, scratch, verify, across)
     many = lines.groupBy("h").agg(F.sum(F.size("at")).alias("n"))
     many = many.join(comp.select(F.col("id").alias("h"), "comp"), "h", "left").filter("n > 1 or comp is not null").select("h", F.coalesce("comp", "h").alias("class_id"))
     many = scratch.save(many)

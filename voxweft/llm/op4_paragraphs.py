@@ -7,7 +7,8 @@ go with their neighbours, long ones are cut, no word is left out of texts of ``l
 wherever it stands but at its ends. Paragraphs are compared by their sets of k-word shingles.
 ``BANDS`` bands of ``ROWS`` minima make candidates: 5 bands of 2 find 99 % of pairs of a Jaccard index of 0.8. Paragraphs
 that collide in a band are joined (see ``links``: stars, then, in ``tiles`` of bounded size, pairs between different
-clusters), candidates are verified by the exact index of their sets, and links are connected into classes.
+clusters). What the ends of their shingles' hashes don't rule out is verified by the exact index of their sets, made
+again from the texts, and links are connected into classes.
 
 Equal paragraphs are one item, known by a 64-bit hash and collapsed within each batch before anything is shuffled.
 A passage is a run of paragraphs of classes that occur in two documents or more, with gaps of ``least`` words at most;
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytetext import STEP, U64, mix, powers, slices, words
-from .links import linked, narrowed
+from .bytetext import STEP, U64, buffer, lengths, mix, powers, slices, words
+from .links import linked, narrowed, shared
 from .op8_jaccard import verifier
 from .scratch import Scratch, read_table
-from .tiles import in_tiles, jaccard_links
+from .tiles import in_tiles, jaccard_links, overlaps, with_partner
 
 BANDS, ROWS = 5, 2
 CLOSE = np.zeros(256, bool)
@@ -89,6 +90,11 @@ class Paragraphs:
         self.shingles, self.begins = mix(sh), np.cumsum(count) - count
         self.ends = self.begins + count
 
+    def sketch(self) -> tuple[np.ndarray, np.ndarray]:
+        """By paragraph the different 16-bit ends of its shingles, sorted, and where each paragraph's begin."""
+        both = np.unique(np.repeat(np.arange(len(self.begins)), self.ends - self.begins) << 16 | (self.shingles >> U64(48)).astype(np.int64))
+        return (both & 0xFFFF).astype(np.uint16), np.searchsorted(both >> 16, np.arange(len(self.begins) + 1))
+
     def keys(self) -> np.ndarray:
         """Band keys, one row for each paragraph."""
         if not len(self.begins):
@@ -102,6 +108,19 @@ class Paragraphs:
         return np.stack(out, 1)
 
 
+def may_reach(m: np.ndarray, ends: pa.Array, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of paragraphs may have an index of num / den, by the ends of their ``m`` shingles. Two sets share one more
+    shingle than ends only where both have shingles that end alike, or that repeat."""
+    off = np.concatenate([[0], np.cumsum(lengths(ends))]) // 2
+    different = np.diff(off)
+    ok = np.flatnonzero(den * np.minimum(m[x], m[y]) >= num * np.maximum(different[x], different[y]))
+    p, q = x[ok], y[ok]
+    both = overlaps(buffer(ends)[0].view(np.uint16).astype(np.int64), off, p, q) + np.minimum(m[p] - different[p], m[q] - different[q])
+    keep = np.zeros(len(x), bool)
+    keep[ok] = (den + num) * both >= num * (different[p] + different[q])
+    return keep
+
+
 def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least: int = 8, run_words: int = 16) -> DataFrame:
     """(doc, first, n, class_id, removed): the paragraphs of repeated passages, by first word and number of words."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
@@ -118,13 +137,16 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 at = pa.StructArray.from_arrays([batch.column(0).take(pa.array(p.row[order] + a)), pa.array(p.first[order].astype(np.int32)), pa.array(p.size[order].astype(np.int32))], ["doc", "first", "n"])
                 keys = p.keys()[lead]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(p.hash[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), at), listed], ["h", "at", "keys"])
+                values, begin = p.sketch()
+                ends = [values[begin[i] : begin[i + 1]].tobytes() for i in lead.tolist()]
+                size = (p.ends - p.begins)[lead].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), at), pa.array(np.full(len(lead), BANDS, np.int32)), listed, pa.array(size), pa.array(ends, pa.binary())], ["h", "at", "own", "keys", "m", "ends"])
 
-    paras = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, keys array<long>"))
-    by_key = Window.partitionBy("key")
-    rows = paras.select(F.col("h").alias("id"), F.explode("keys").alias("key"))
-    rows = rows.withColumns({"lo": F.min("id").over(by_key), "hi": F.max("id").over(by_key)}).filter("lo < hi")
-    keys = scratch.save(rows.select("key", "id").distinct())
+    paras = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, own int, keys array<long>, m int, ends binary"))
+    items = paras.withColumnRenamed("h", "id")
+    rows = shared(items.select("id", "own", "keys"), scratch)
+    ids = rows.select("id").distinct()
+    sketch = scratch.save(narrowed(items.select("id", "m", "ends"), ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,18 +166,35 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
         per_doc = where.groupBy(F.col("o.doc").alias("id")).agg(F.collect_list(F.struct(F.col("o.first").alias("first"), F.col("o.n").alias("n"), "h")).alias("want"))
         return narrowed(docs, per_doc).join(per_doc, "id").select("text", "want").mapInArrow(sets, "id long, s array<long>")
 
+    exact = verifier(sets_of, scratch, num, den)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (sketch.select(F.col("id").alias(c), F.col("m").alias(f"m{c}"), F.col("ends").alias(f"e{c}")) for c in "ab")
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                m = np.concatenate([batch.column("ma").to_numpy(), batch.column("mb").to_numpy()])
+                ends = pa.concat_arrays([batch.column("ea"), batch.column("eb")])
+                at = np.arange(len(batch))
+                yield batch.select(["a", "b"]).filter(pa.array(may_reach(m, ends, at, at + len(batch), num, den)))
+
+        return exact(pairs.join(x, "a").join(y, "b").select("a", "b", "ma", "mb", "ea", "eb").mapInArrow(bound, "a long, b long"))
+
     def across(rows: DataFrame) -> DataFrame:
-        return in_tiles(rows, sets_of(rows.select("id").distinct()), jaccard_links(num, den))
+        may = lambda t, x, y: may_reach(t.column("m").to_numpy(), t.column("ends").combine_chunks(), x, y, num, den)
+        near = scratch.save(with_partner(rows, sketch, may, scratch))
+        return in_tiles(near, sets_of(near.select("id").distinct()), jaccard_links(num, den), scratch)
 
-    _, comp = linked(keys, scratch, verifier(sets_of, scratch, num, den), pairs=across, verified=True)
+    _, comp = linked(rows, scratch, verify, across)
     docs_of = F.transform("at", lambda x: x["doc"])
     many = paras.groupBy("h").agg(F.min(F.array_min(docs_of)).alias("lo"), F.max(F.array_max(docs_of)).alias("hi"))
     many = many.join(comp.select(F.col("id").alias("h"), "comp"), "h", "left").filter("lo < hi or comp is not null").withColumn("class_id", F.coalesce("comp", "h"))
     many = scratch.save(many)
-    across = many.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("class_id")
-    many = scratch.save(many.join(across, "class_id").select("h", "class_id"))
-    first = paras.join(many, "h").groupBy("class_id").agg(F.min(F.array_min("at")).alias("lead"))
-    out = paras.select("h", "at").join(many.join(first, "class_id"), "h").select("class_id", "lead", F.explode("at").alias("o"))
+    several = many.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("class_id")
+    many = scratch.save(many.join(several, "class_id").select(F.col("h").alias("id"), "class_id"))
+    found = scratch.save(narrowed(items.select("id", "at"), many).join(many, "id").select("class_id", "at"))
+    first = found.groupBy("class_id").agg(F.min(F.array_min("at")).alias("lead"))
+    out = found.join(first, "class_id").select("class_id", "lead", F.explode("at").alias("o"))
     # a piece of the line that stays, or a line around the piece, stays with it
     apart = (F.col("o.doc") != F.col("lead.doc")) | (F.col("o.first") >= F.col("lead.first") + F.col("lead.n"))
     out = out.select("o.*", "class_id", apart.alias("removed"))

@@ -4,9 +4,9 @@ A document's set is the 64-bit hashes of its distinct k-word shingles. Documents
 are joined. Two sets can reach the threshold only if they share one of their first elements in a common order (as many
 as may be missing, and one more), so candidates share such an element. The order puts elements that many documents
 have last, which keeps the groups of an element small. Within a group candidates meet in tiles of neighbouring size
-bands; in a tile the number of differing bits of their parity bitmaps (1,024 bits, and 8,192 of large sets) bounds their overlap from above, and
-pairs that can't reach the threshold go. The rest is verified by exact intersection of the sorted arrays, made again
-from the texts of candidates only.
+bands; in a tile the number of differing bits of their parity bitmaps (1,024 bits, and 8,192 of large sets) bounds their
+overlap from above, and sets go that reach the threshold with no other of the tile. The rest is verified by exact
+intersection of the sorted arrays, made again from the texts of candidates only.
 
 Near copies come first: stars on four minima join them into clusters (see ``links``), and the exact candidates are
 only made between clusters.
@@ -29,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import U64, mix, shingles, slices, words
-from .links import across, linked, narrowed
+from .bytetext import U64, buffer, mix, shingles, slices, words
+from .links import linked, narrowed, shared
 from .scratch import Scratch, least_common, read_table
+from .tiles import in_tiles, jaccard_links, with_partner
 
 LAST = 1 << 18
 #: Elements that a task counts at a time.
@@ -40,12 +41,9 @@ MINIMA = 4
 WORDS64 = 16
 #: Sets of this size or more have a second bitmap, of so many words of 64 bits.
 WIDE_FROM, WIDE = 1000, 128
-#: Words of the bitmap that candidates are first compared by.
-FIRST_BITS = 4
 #: Pairs of one document that are verified together.
 PART = 2000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], U64)
-BITS = [f"bits{i}" for i in range(WORDS64)]
 
 
 def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -91,10 +89,31 @@ def frequent(docs: DataFrame, scratch: Scratch, k: int) -> np.ndarray:
     return np.sort(most.column(0).to_numpy().view(U64))
 
 
-def parities(m: np.ndarray, words64: int) -> np.ndarray:
+def parities(m: np.ndarray, words64: int) -> bytes:
     """A bitmap of 64 * words64 bits: which hold an odd number of the set's elements."""
     odd = np.bincount((m & U64(64 * words64 - 1)).astype(np.int64), minlength=64 * words64) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_reach(n: np.ndarray, bits: pa.Array, wide: pa.Array, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs of sets may have an index of num / den, by sizes and by the bits in which their bitmaps differ."""
+    least = (den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])).nonzero()[0]
+    for column, words64 in ((bits, WORDS64), (wide, WIDE)):
+        has = column.is_valid().to_numpy(zero_copy_only=False)
+        place = np.cumsum(has) - 1
+        table = buffer(column)[0].view(U64).reshape(-1, words64)
+        keep = np.ones(len(least), bool)
+        for a in range(0, len(least), 1 << 16):
+            of = least[a : a + (1 << 16)]
+            p, q = x[of], y[of]
+            both = np.flatnonzero(has[p] & has[q])
+            p, q = p[both], q[both]
+            differ = np.bitwise_count(table[place[p]] ^ table[place[q]]).sum(axis=1, dtype=np.int64)
+            keep[a + both] = (den + num) * (n[p] + n[q] - differ) >= 2 * num * (n[p] + n[q])
+        least = least[keep]
+    out = np.zeros(len(x), bool)
+    out[least] = True
+    return out
 
 
 def signatures(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
@@ -107,7 +126,7 @@ def signatures(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) ->
             for s in sets(batch.column(1), k):
                 n.append(len(s))
                 if not len(s):
-                    hashes.append((0, 0)), bits.append(np.zeros(WORDS64, np.int64)), wide.append(None), mins.append([]), first.append([])
+                    hashes.append((0, 0)), bits.append(None), wide.append(None), mins.append([]), first.append([])
                     continue
                 m = mix(s)
                 hashes.append((int(s.sum().astype(np.int64)), int(m.sum().astype(np.int64))))
@@ -117,15 +136,13 @@ def signatures(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) ->
                 p = prefix_length(len(s), num, den)
                 late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s if len(last) else np.zeros(len(s), bool)
                 first.append(np.concatenate([s[~late], s[late]])[:p].astype(np.int64))
-            b = np.array(bits, np.int64).reshape(-1, WORDS64)
             h = np.array(hashes, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), *[pa.array(b[:, i].copy()) for i in range(WORDS64)], pa.array(wide, pa.list_(pa.int64())), pa.array(mins, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
-                ["id", "n", "h1", "h2", *BITS, "wide", "mins", "first"],
-            )
+            longs = pa.list_(pa.int64())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(mins, longs), pa.array(first, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "bits", "wide", "mins", "first"])
 
     kind = dict(docs.dtypes)["id"]
-    return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, mins array<long>, first array<long>")
+    return docs.mapInArrow(run, f"id {kind}, n long, h1 long, h2 long, bits binary, wide binary, mins array<long>, first array<long>")
 
 
 def text_sets(docs: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
@@ -193,43 +210,36 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     sig = scratch.save(signatures(docs, scratch, k, num, den))
     classes = sig.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
     own = sig.filter("n > 0").join(classes, ["n", "h1", "h2"])
-    nodes = scratch.save(own.filter("id = node").drop("h1", "h2", "node").dropDuplicates(["id"]))
+    nodes = scratch.save(own.filter("id = node").select("id", "n", "bits", "wide", "mins", "first").dropDuplicates(["id"]))
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9).cast("long")
-    star_keys = nodes.select(F.posexplode("mins").alias("j", "m"), "id", "n").select(F.xxhash64("j", "m", band).alias("key"), "id")
-    keys = nodes.select(F.explode("first").alias("key"), "id")
-
-    c = lambda n: (F.col(f"x.{n}"), F.col(f"y.{n}"))
-    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(c, BITS)), F.lit(0))
-    (xn, yn), (xi, yi), (xc, yc) = c("n"), c("id"), c("cluster")
-    may_reach = (den * F.least(xn, yn) >= num * F.greatest(xn, yn)) & ((den + num) * (xn + yn - differ) / 2 >= num * (xn + yn))
-
-    few = BITS[:FIRST_BITS]
-    differ_few = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in map(c, few)), F.lit(0))
-    # beyond the first common element no more is shared than what is left of either set
-    left = F.least(xn - F.col("x.pos"), yn - F.col("y.pos"))
-    octave = lambda n: F.floor(F.log2(n) + 1e-9).cast("int")
+    minima = scratch.save(nodes.select("id", F.lit(MINIMA).alias("own"), F.transform("mins", lambda m, j: F.xxhash64(j, m, band)).alias("keys")))
+    rows = shared(nodes.select("id", F.size("first").alias("own"), F.col("first").alias("keys")), scratch)
+    bounds = nodes.select("id", "n", "bits", "wide")
+    sets_of = text_sets(docs, k)
+    exact = verifier(sets_of, scratch, num, den)
 
-    def spread(clusters: DataFrame) -> DataFrame:
-        return across(nodes.select("id", "first"), clusters).select("id", "cluster", F.posexplode("first").alias("pos", "key"))
+    def verify(pairs: DataFrame) -> DataFrame:
+        x, y = (bounds.select(F.col("id").alias(c), *(F.col(v).alias(v + c) for v in ("n", "bits", "wide"))) for c in "ab")
 
-    def tiles(rows: DataFrame) -> DataFrame:
-        """Candidates of one element and of sizes in one octave; sets near an octave's end also meet those of the next."""
-        rows = rows.join(nodes.select("id", "n", *few), "id").withColumn("band", octave(F.col("n")))
-        x = rows.withColumn("band", F.explode(F.array_distinct(F.array(F.col("band"), octave(F.col("n") * den / num))))).alias("x")
-        on = (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (xc != yc) & ((xn < yn) | ((xn == yn) & (xi < yi)))
-        on = on & (den * xn >= num * yn) & ((den + num) * F.least(left, (xn + yn - differ_few) / 2) >= num * (xn + yn))
-        return x.join(rows.alias("y"), on).select(F.least(xi, yi).alias("a"), F.greatest(xi, yi).alias("b"))
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, bits, wide = (pa.concat_arrays([batch.column(v + "a"), batch.column(v + "b")]) for v in ("n", "bits", "wide"))
+                at = np.arange(len(batch))
+                yield batch.select(["a", "b"]).filter(pa.array(may_reach(n.to_numpy(), bits, wide, at, at + len(batch), num, den)))
 
-    verify = verifier(text_sets(docs, k), scratch, num, den)
+        return exact(pairs.join(x, "a").join(y, "b").mapInArrow(bound, "a long, b long"))
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        """Verifies the pairs whose sizes and bitmaps allow a link."""
-        x, y = (nodes.select("id", "n", "wide", *BITS).alias(t) for t in "xy")
-        more = F.coalesce(F.aggregate(F.zip_with("x.wide", "y.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v), F.lit(0))
-        close = may_reach & ((den + num) * (xn + yn - more) / 2 >= num * (xn + yn))
-        return verify(pairs.join(x, F.col("a") == xi).join(y, (F.col("b") == yi) & close))
+    def across(rows: DataFrame) -> DataFrame:
+        """Links of one element's sets; those of sizes that can't reach the threshold lie in bands that are not neighbours."""
+        size = rows.join(bounds.select("id", "n"), "id").withColumn("band", octave(F.col("n")))
+        size = size.withColumn("band", F.explode(F.array_distinct(F.array(F.col("band"), octave(F.col("n") * den / num)))))
+        banded = size.select(F.xxhash64("key", "band").alias("key"), "id", "cluster")
+        may = lambda t, x, y: may_reach(t.column("n").to_numpy(), *(t.column(v).combine_chunks() for v in ("bits", "wide")), x, y, num, den)
+        near = scratch.save(with_partner(banded, bounds, may, scratch))
+        return in_tiles(near, sets_of(near.select("id").distinct()), jaccard_links(num, den), scratch)
 
-    _, comp = linked(keys, scratch, bounded, star_keys, tiles, spread=spread)
+    octave = lambda n: F.floor(F.log2(n) + 1e-9).cast("int")
+    _, comp = linked(rows, scratch, verify, across, shared(minima, scratch))
     node = sig.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = node.join(comp.withColumnRenamed("id", "node"), "node", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "id").alias("component_id"))

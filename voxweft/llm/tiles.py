@@ -1,7 +1,8 @@
 """Comparison of the items of one key in tiles of bounded size, where they are.
 
-Items of a key are cut into blocks of about ``size`` by a hash, and each pair of blocks is a tile: a key of a third of all
-rows becomes many tiles, and no pair leaves a tile unless it is a link.
+Of a key's items those of its largest cluster and the others are cut into blocks of about ``size`` by a hash. Each pair of
+blocks of the others, and each block of the others with one of the largest cluster, is a tile: a key of a third of all
+rows becomes many tiles, no row of a large cluster is copied for another of that cluster, and no pair leaves a tile.
 """
 
 from __future__ import annotations
@@ -13,8 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 
-def in_tiles(rows: DataFrame, payload: DataFrame, links_of: Callable[[list[dict]], list[tuple]], size: int = 512) -> DataFrame:
+SIZE = 512
+#: Pairs that are made at a time.
+PAIRS = 1 << 20
+
+
+def tiles(rows: DataFrame, payload: DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
+    """``rows`` (key, id, cluster) and the columns of ``payload`` (id, ...) with i, j and block, sorted by (key, i, j, id)."""
+    sizes = rows.groupBy("key", "cluster").agg(F.count("*").alias("n"))
+    blocks = sizes.groupBy("key").agg(F.max(F.struct("n", "cluster")).alias("big"), F.sum("n").alias("n"))
+    cut = lambda n: F.ceil(n / size).cast("int")
+    blocks = blocks.select("key", F.col("big.cluster").alias("big"), cut(F.col("n") - F.col("big.n")).alias("others"), cut(F.col("big.n")).alias("bigs"))
+    t = rows.join(scratch.save(blocks), "key")
+    largest = F.col("cluster") == F.col("big")
+    block = F.when(largest, F.col("others") + F.pmod(F.hash("id"), F.col("bigs"))).otherwise(F.pmod(F.hash("id"), F.greatest("others", F.lit(1))))
+    t = t.withColumn("block", block)
+    meets = F.transform(F.sequence(F.lit(0), F.col("others") - 1 + F.when(largest, 0).otherwise(F.col("bigs"))), lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j")))
+    t = t.filter("others > 0").select("key", "id", "cluster", "block", F.inline(meets)).join(payload, "id")
+    return t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+
+
+def in_tiles(rows: DataFrame, payload: DataFrame, links_of: Callable[[list[dict]], list[tuple]], scratch: Scratch, size: int = SIZE) -> DataFrame:
     """(a, b): links that ``links_of`` finds in each tile of ``rows`` (key, id, cluster), with the columns of ``payload``
     (id, ...). It gets rows with key, i, j, id, cluster, block and those columns."""
 
@@ -35,11 +57,66 @@ def in_tiles(rows: DataFrame, payload: DataFrame, links_of: Callable[[list[dict]
                     held.append(row)
         yield out()
 
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    t = rows.join(blocks, "key").withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda c: F.struct(F.least("block", c).alias("i"), F.greatest("block", c).alias("j")))
-    t = t.select("key", "id", "cluster", "block", F.inline(tiles)).join(payload, "id")
-    return t.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInArrow(compare, "a long, b long")
+    return tiles(rows, payload, scratch, size).mapInArrow(compare, "a long, b long")
+
+
+def with_partner(rows: DataFrame, payload: DataFrame, may_link: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, size: int = SIZE) -> DataFrame:
+    """The rows (key, id, cluster) that ``may_link`` doesn't part from every row of their key of another cluster. It gets rows with
+    the columns of ``payload`` and pairs of their numbers, and tells which of these may be links."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t])
+            key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
+            new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) if len(key) else np.zeros(0, bool)
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield found(t.slice(0, starts[-1]).combine_chunks(), np.append(starts[:-1], starts[-1]))
+                left = t.slice(starts[-1])
+            else:
+                left = t
+        if left is not None and len(left):
+            yield found(left.combine_chunks(), np.array([0, len(left)]))
+
+    def found(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        key, id_, cluster, i, j, block = (t.column(c).to_numpy() for c in ("key", "id", "cluster", "i", "j", "block"))
+        hit = np.zeros(len(t), bool)
+        for x, y in pairs(starts):
+            ok = (cluster[x] != cluster[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
+            x, y = x[ok], y[ok]
+            ok = may_link(t, x, y)
+            hit[x[ok]] = hit[y[ok]] = True
+        at = np.flatnonzero(hit)
+        return pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (key, id_, cluster)], ["key", "id", "cluster"])
+
+    return tiles(rows, payload, scratch, size).mapInArrow(compare, "key long, id long, cluster long").distinct()
+
+
+def pairs(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of row numbers inside tiles that begin at ``starts``, of which the last is the end; about ``PAIRS`` at a time."""
+    n = np.diff(starts)
+    for size in np.unique(n[n > 1]).tolist():
+        a, b = np.triu_indices(size, 1)
+        of = starts[:-1][n == size]
+        step = max(1, PAIRS // len(a))
+        for k in range(0, len(of), step):
+            yield (of[k : k + step, None] + a).ravel(), (of[k : k + step, None] + b).ravel()
+
+
+def overlaps(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of sorted sets of small numbers (below 2 ** 20), one after another in ``values``, how many they share."""
+    keyed = []
+    for of in (x, y):
+        n = off[of + 1] - off[of]
+        at = np.arange(int(n.sum())) + np.repeat(off[of] - (np.cumsum(n) - n), n)
+        keyed.append(np.repeat(np.arange(len(of), dtype=np.int64) << 20, n) | values[at])
+    p, q = keyed
+    if not len(p) or not len(q):
+        return np.zeros(len(x), np.int64)
+    same = q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+    return np.bincount(p[same] >> 20, minlength=len(x))
 
 
 class Clusters:
@@ -80,7 +157,7 @@ def jaccard_links(num: int, den: int, columns: int = 4096) -> Callable[[list[dic
         element, owner = element[order], owner[order]
         for a in range(0, len(kinds), columns):
             lo, hi = np.searchsorted(element, [a, a + columns])
-            table = np.zeros((len(rows), columns), np.float32)
+            table = np.zeros((len(rows), min(columns, len(kinds) - a)), np.float32)
             table[owner[lo:hi], element[lo:hi] - a] = 1
             both += table @ table.T
         ok = comparable(rows) & (den * both >= num * (size[:, None] + size[None, :] - both))
