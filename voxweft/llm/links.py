@@ -45,13 +45,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def recurring(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, kind) of a saved table (id, own, keys): those of its keys that different items may have. The first ``own`` keys
+def recurring(items: DataFrame, scratch: Scratch, total: int) -> DataFrame:
+    """(key, id, kind) of rows (id, own, keys), ``total`` keys: those keys that different items may have. The first ``own`` keys
     of an item are of kind 1, others of kind 0.
 
     Prefixes of all keys are sent in ranges, sorted and as differences, with two bytes of the item; of what one share has
     for a key, two different items. A filter of fixed size of the prefixes that different items have leaves out most others."""
-    total = items.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     bits = max(3, min(15, math.ceil(math.log2(max(1, total) / RANGE))))
     cut = U64(64 - KEY_BITS)
 
@@ -137,13 +136,17 @@ def _unplaned(x: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def shared(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, id, n): the keys of a saved table (id, own, keys) that different items have, one of them as a key of kind 1; n
-    is the number of their rows."""
-    rows = recurring(items, scratch)
+def shared(items: DataFrame, scratch: Scratch, total: int | None = None) -> DataFrame:
+    """(key, id, n): the keys of rows (id, own, keys) that different items have, one of them as a key of kind 1; n is the
+    number of their rows. ``items`` are read twice; ``total`` is the number of their keys, if it is known."""
+    if total is None:
+        total = items.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    rows = recurring(items, scratch, total)
     counts = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("kind").alias("kind"), F.count("*").alias("n"))
     counts = scratch.save(counts.filter("lo < hi and kind = 1").select("key", "n"))
-    return scratch.save(rows.join(counts, "key").select("key", "id", "n").distinct())
+    out = scratch.save(rows.join(counts, "key").select("key", "id", "n").distinct())
+    scratch.free()
+    return out
 
 
 def stars(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -171,8 +174,12 @@ def linked(rows: DataFrame, scratch: Scratch, verify: Callable[[DataFrame], Data
     those clusters that a link connects.
     """
     first = scratch.save(verify(stars(rows if star_rows is None else star_rows, scratch)))
+    scratch.free()
     clusters = components(first, scratch)
-    second = scratch.save(across(mixed(rows, clusters, scratch)).distinct())
+    rest = mixed(rows, clusters, scratch)
+    scratch.free()
+    second = scratch.save(across(rest).distinct())
+    scratch.free()
     links = first.unionByName(second)
     return (links, clusters) if second.isEmpty() else (links, components(links, scratch))
 
