@@ -5,8 +5,7 @@ words to either side, where a line's end is better than a sentence's, that is be
 equals a hash of the word and its neighbours decides. So pieces have ``least`` words or more, short lines and sentences
 go with their neighbours, long ones are cut, no word is left out of texts of ``least`` words, and a passage is cut alike
 wherever it stands but at its ends. Paragraphs are compared by their sets of k-word shingles.
-``BANDS`` bands of ``ROWS`` minima, of the ends of the shingles' hashes, make candidates: 5 bands of 2 find 99 % of pairs of
-a Jaccard index of 0.8. Paragraphs
+``BANDS`` bands of ``ROWS`` minima make candidates: 5 bands of 2 find 99 % of pairs of a Jaccard index of 0.8. Paragraphs
 that collide in a band are joined (see ``links``: stars, then, in ``tiles`` of bounded size, pairs between different
 clusters). What the ends of their shingles' hashes don't rule out is verified by the exact index of their sets, made
 again from the texts, and links are connected into classes.
@@ -91,26 +90,24 @@ class Paragraphs:
         self.shingles, self.begins = mix(sh), np.cumsum(count) - count
         self.ends = self.begins + count
 
+    def keys(self) -> np.ndarray:
+        """Band keys, one row for each paragraph."""
+        if not len(self.begins):
+            return np.zeros((0, BANDS), U64)
+        out = []
+        for b in range(BANDS):
+            x = np.full(len(self.begins), b, U64)
+            for f in FACTORS[b * ROWS : (b + 1) * ROWS]:
+                x = mix(x * U64(3) + np.minimum.reduceat(self.shingles * f, self.begins))
+            out.append(x)
+        return np.stack(out, 1)
+
     def sketch(self) -> tuple[np.ndarray, np.ndarray]:
         """By paragraph the different 16-bit ends of its shingles, sorted, and where each paragraph's begin."""
         both = np.unique(np.repeat(np.arange(len(self.begins)), self.ends - self.begins) << 16 | (self.shingles >> U64(48)).astype(np.int64))
         return (both & 0xFFFF).astype(np.uint16), np.searchsorted(both >> 16, np.arange(len(self.begins) + 1))
 
 
-def band_keys(values: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Of sets in ``values``, that begin where ``begin`` says, a key for each band."""
-    if not len(begin):
-        return np.zeros((0, BANDS), U64)
-    values = values.astype(U64) + U64(1)
-    out = []
-    for b in range(BANDS):
-        x = np.full(len(begin), b, U64)
-        for f in FACTORS[b * ROWS : (b + 1) * ROWS]:
-            x = mix(x * U64(3) + np.minimum.reduceat(mix(values * f), begin))
-        out.append(x)
-    return np.stack(out, 1)
-
-
 def may_reach(m: np.ndarray, ends: pa.Array, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Which pairs of paragraphs may have an index of num / den, by the ends of their ``m`` shingles. Two sets share one more
     shingle than ends only where both have shingles that end alike, or that repeat."""
@@ -138,21 +135,16 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 lead = order[new]
                 off = np.append(np.flatnonzero(new), len(order)).astype(np.int32)
                 at = pa.StructArray.from_arrays([batch.column(0).take(pa.array(p.row[order] + a)), pa.array(p.first[order].astype(np.int32)), pa.array(p.size[order].astype(np.int32))], ["doc", "first", "n"])
+                keys = p.keys()[lead]
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
                 values, begin = p.sketch()
                 ends = [values[begin[i] : begin[i + 1]].tobytes() for i in lead.tolist()]
                 size = (p.ends - p.begins)[lead].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(p.hash[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), at), pa.array(size), pa.array(ends, pa.binary())], ["h", "at", "m", "ends"])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = buffer(batch.column(1))
-            keys = band_keys(data.view(np.uint16), off[:-1] // 2)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), BANDS, np.int32)), listed], ["id", "own", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(p.hash[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), at), listed, pa.array(size), pa.array(ends, pa.binary())], ["h", "at", "keys", "m", "ends"])
 
-    paras = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, m int, ends binary"))
+    paras = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, keys array<long>, m int, ends binary"))
     items = paras.withColumnRenamed("h", "id")
-    rows = shared(items.select("id", "ends").mapInArrow(keyed, "id long, own int, keys array<long>"), scratch, BANDS * paras.count())
+    rows = shared(items.select("id", F.lit(BANDS).alias("own"), "keys"), scratch, BANDS * paras.count())
     ids = rows.select("id").distinct()
     sketch = scratch.save(narrowed(items.select("id", "m", "ends"), ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
 
