@@ -33,6 +33,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """Different values in order, by a sort: of 64-bit hashes that is several times as fast as the hash table of ``np.unique``."""
+    x = np.sort(x, axis=None)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((BASE, BASE_INVERSE)):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U64, mix
+from .bytetext import U64, mix, sorted_set
 from .scratch import Scratch
 
 #: Keys of a share that are sent together, and of a range that are compared together.
@@ -60,7 +60,7 @@ def recurring(items: DataFrame, scratch: Scratch, total: int) -> DataFrame:
 
     def twice(prefix: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Different pairs, two at most of each prefix."""
-        both = np.unique(prefix << U64(16) | mark)
+        both = sorted_set(prefix << U64(16) | mark)
         prefix = both >> U64(16)
         again = np.zeros(len(prefix), bool)
         again[2:] = prefix[2:] == prefix[:-2]
@@ -94,7 +94,7 @@ def recurring(items: DataFrame, scratch: Scratch, total: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             prefix, _ = twice(*(np.concatenate(x) for x in zip(*held, strict=True)))
             found = prefix[1:][prefix[1:] == prefix[:-1]]
-            seen = np.unique(found >> U64(KEY_BITS - FILTER_BITS)) & U64((1 << FILTER_BITS - bits) - 1)
+            seen = sorted_set(found >> U64(KEY_BITS - FILTER_BITS)) & U64((1 << FILTER_BITS - bits) - 1)
             map_ = np.zeros(1 << FILTER_BITS - bits, bool)
             map_[seen.astype(np.int64)] = True
             return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([pa.Codec("zstd", 1).compress(np.packbits(map_).tobytes(), asbytes=True)], pa.binary())], ["range", "map"])

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import STEP, U64, mix, slices, span_hashes, words
+from .bytetext import STEP, U64, mix, slices, sorted_set, span_hashes, words
 from .op1_langid import remainder
 from .scratch import Scratch, least_common, read_table
 
@@ -389,7 +389,7 @@ def scored_cells(rows: DataFrame, common: Broadcast, least: int, divergence: flo
             for k, c in enumerate(np.split(unpacked(np.frombuffer(data, np.uint8, offset=5 * n), (depth + 1) * n), depth + 1)):
                 codes[k].append(c)
             rares.append(np.frombuffer(p["rare"], U64))
-        rare = np.unique(np.concatenate(rares))
+        rare = sorted_set(np.concatenate(rares))
         for i, r in enumerate(rares):
             place = np.concatenate([np.arange(top + 1), top + 1 + np.searchsorted(rare, r)]).astype(np.int32) if len(r) else None
             for c in codes:

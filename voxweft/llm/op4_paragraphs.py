@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bytetext import STEP, U64, buffer, lengths, mix, powers, slices, words
+from .bytetext import STEP, U64, buffer, lengths, mix, powers, slices, sorted_set, words
 from .links import linked, narrowed, shared
 from .op8_jaccard import verifier
 from .scratch import Scratch, read_table
@@ -104,7 +104,7 @@ class Paragraphs:
 
     def sketch(self) -> tuple[np.ndarray, np.ndarray]:
         """By paragraph the different 16-bit ends of its shingles, sorted, and where each paragraph's begin."""
-        both = np.unique(np.repeat(np.arange(len(self.begins)), self.ends - self.begins) << 16 | (self.shingles >> U64(48)).astype(np.int64))
+        both = sorted_set(np.repeat(np.arange(len(self.begins)), self.ends - self.begins) << 16 | (self.shingles >> U64(48)).astype(np.int64))
         return (both & 0xFFFF).astype(np.uint16), np.searchsorted(both >> 16, np.arange(len(self.begins) + 1))
 
 
@@ -125,6 +125,7 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     """(doc, first, n, class_id, removed): the paragraphs of repeated passages, by first word and number of words."""
     docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
     least = max(least, k)
+    last, scratch = scratch, Scratch(scratch.spark, "op4-search")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,7 +159,7 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 for r, want in enumerate(part.column("want").to_pylist()):
                     for w in want:
                         if (i := where.get((r, w["first"], w["n"]))) is not None:
-                            ids.append(w["h"]), found.append(np.unique(p.shingles[p.begins[i] : p.ends[i]]).view(np.int64))
+                            ids.append(w["h"]), found.append(sorted_set(p.shingles[p.begins[i] : p.ends[i]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "s"])
 
     def sets_of(needed: DataFrame) -> DataFrame:
@@ -193,7 +194,9 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     several = many.groupBy("class_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("class_id")
     many = scratch.save(many.join(several, "class_id").select(F.col("h").alias("id"), "class_id"))
     scratch.free()
-    found = scratch.save(narrowed(items.select("id", "at"), many).join(many, "id").select("class_id", "at"))
+    found = last.save(narrowed(items.select("id", "at"), many).join(many, "id").select("class_id", "at"))
+    scratch.drop()
+    last.free()
     first = found.groupBy("class_id").agg(F.min(F.array_min("at")).alias("lead"))
     out = found.join(first, "class_id").select("class_id", "lead", F.explode("at").alias("o"))
     # a piece of the line that stays, or a line around the piece, stays with it

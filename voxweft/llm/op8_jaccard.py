@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import U64, buffer, mix, shingles, slices, words
+from .bytetext import U64, buffer, mix, shingles, slices, sorted_set, words
 from .links import linked, narrowed, shared
 from .scratch import Scratch, least_common, read_table
 from .tiles import in_tiles, jaccard_links, with_partner
@@ -54,7 +54,7 @@ def sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         sh, of, _ = shingles(h, row, k, len(part))
         at = np.searchsorted(of, np.arange(len(part) + 1))
         for r in range(len(part)):
-            yield np.unique(sh[at[r] : at[r + 1]])
+            yield sorted_set(sh[at[r] : at[r + 1]])
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
