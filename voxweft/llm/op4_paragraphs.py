@@ -198,10 +198,10 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
     scratch.drop()
     last.free()
     first = found.groupBy("class_id").agg(F.min(F.array_min("at")).alias("lead"))
-    out = found.join(first, "class_id").select("class_id", "lead", F.explode("at").alias("o"))
     # a piece of the line that stays, or a line around the piece, stays with it
-    apart = (F.col("o.doc") != F.col("lead.doc")) | (F.col("o.first") >= F.col("lead.first") + F.col("lead.n"))
-    out = out.select("o.*", "class_id", apart.alias("removed"))
+    apart = lambda o: (o["doc"] != F.col("lead.doc")) | (o["first"] >= F.col("lead.first") + F.col("lead.n"))
+    marked = F.transform("at", lambda o: F.struct(o["doc"].alias("doc"), o["first"].alias("first"), o["n"].alias("n"), apart(o).alias("removed")))
+    out = found.join(first, "class_id").select("class_id", marked.alias("at")).select("class_id", F.inline("at"))
     in_doc = Window.partitionBy("doc").orderBy("first", "n", "class_id")
     reach = F.coalesce(F.max(F.col("first") + F.col("n")).over(in_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-least - 1))
     out = out.withColumn("reach", reach).withColumn("more", F.greatest(F.lit(0), F.col("first") + F.col("n") - F.greatest("first", "reach")))
