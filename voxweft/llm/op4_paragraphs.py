@@ -143,11 +143,17 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 size = (p.ends - p.begins)[lead].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(p.hash[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), at), listed, pa.array(size), pa.array(ends, pa.binary())], ["h", "at", "keys", "m", "ends"])
 
-    paras = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, keys array<long>, m int, ends binary"))
+    wide = Scratch(scratch.spark, "op4-paragraphs")
+    paras = wide.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, keys array<long>, m int, ends binary"))
     items = paras.withColumnRenamed("h", "id")
+    # keys are read for the search of recurring ones only, and the table that has them goes
     rows = shared(items.select("id", F.lit(BANDS).alias("own"), "keys"), scratch, BANDS * paras.count())
     ids = rows.select("id").distinct()
     sketch = scratch.save(narrowed(items.select("id", "m", "ends"), ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    paras = scratch.save(paras.select("h", "at"))
+    items = paras.withColumnRenamed("h", "id")
+    wide.drop()
+    scratch.free()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
