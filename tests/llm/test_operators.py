@@ -471,3 +471,20 @@ def test_tiles_of_many_blocks(spark):
         assert want.find(r["a"]) == want.find(r["b"])
         got.join(r["a"], r["b"])
     assert all(want.find(k) == got.find(k) for k in sets)
+
+
+def test_tiles_of_a_hot_key_copy_little(spark):
+    """A key of one large cluster and a few strangers is not copied for pairs inside the cluster, and no pair is lost."""
+    from voxweft.llm.tiles import overlaps, tiles, with_partner
+
+    rows = spark.range(2000).selectExpr("7L key", "id", "if(id % 500 = 3, id, -1L) cluster")
+    payload = rows.select("id", (F.col("id") % 2).alias("odd"))
+    made = tiles(rows, payload, Scratch(spark, "test"), size=64)
+    assert made.count() < 2.2 * 2000 and made.groupBy("i", "j").count().agg(F.max("count")).first()[0] <= 160
+    near = with_partner(rows, payload, lambda t, x, y: (t.column("odd").to_numpy()[x] == t.column("odd").to_numpy()[y]), Scratch(spark, "test"), size=64)
+    assert {r["id"] for r in near.collect()} == {i for i in range(2000) if i % 2 == 1}
+    rng = np.random.RandomState(0)
+    sets = [np.unique(rng.randint(0, 60, n)) for n in (0, 1, 30, 30, 50)]
+    off = np.cumsum([0, *map(len, sets)])
+    x, y = np.triu_indices(5, 1)
+    assert overlaps(np.concatenate(sets), off, x, y).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)]

@@ -141,10 +141,12 @@ def shared(items: DataFrame, scratch: Scratch, total: int | None = None) -> Data
     number of their rows. ``items`` are read twice; ``total`` is the number of their keys, if it is known."""
     if total is None:
         total = items.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    rows = recurring(items, scratch, total)
+    own = Scratch(scratch.spark, "keys")
+    rows = recurring(items, own, total)
     counts = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("kind").alias("kind"), F.count("*").alias("n"))
-    counts = scratch.save(counts.filter("lo < hi and kind = 1").select("key", "n"))
+    counts = own.save(counts.filter("lo < hi and kind = 1").select("key", "n"))
     out = scratch.save(rows.join(counts, "key").select("key", "id", "n").distinct())
+    own.drop()
     scratch.free()
     return out
 
@@ -161,9 +163,13 @@ def stars(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def mixed(rows: DataFrame, clusters: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of ``rows`` (key, id) with ``cluster``, of the keys that have different ones; items without a cluster are their own."""
     of = rows.select("key", "id").join(clusters.select("id", F.col("comp").alias("cluster")), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    of = scratch.save(of)
-    keys = scratch.save(of.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo < hi").select("key"))
-    return scratch.save(of.join(keys, "key"))
+    own = Scratch(scratch.spark, "clusters")
+    of = own.save(of)
+    keys = own.save(of.groupBy("key").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).filter("lo < hi").select("key"))
+    out = scratch.save(of.join(keys, "key"))
+    own.drop()
+    scratch.free()
+    return out
 
 
 def linked(rows: DataFrame, scratch: Scratch, verify: Callable[[DataFrame], DataFrame], across: Callable[[DataFrame], DataFrame], star_rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +183,6 @@ def linked(rows: DataFrame, scratch: Scratch, verify: Callable[[DataFrame], Data
     scratch.free()
     clusters = components(first, scratch)
     rest = mixed(rows, clusters, scratch)
-    scratch.free()
     second = scratch.save(across(rest).distinct())
     scratch.free()
     links = first.unionByName(second)

@@ -115,7 +115,7 @@ def may_reach(m: np.ndarray, ends: pa.Array, x: np.ndarray, y: np.ndarray, num:
     different = np.diff(off)
     ok = np.flatnonzero(den * np.minimum(m[x], m[y]) >= num * np.maximum(different[x], different[y]))
     p, q = x[ok], y[ok]
-    both = overlaps(buffer(ends)[0].view(np.uint16).astype(np.int64), off, p, q) + np.minimum(m[p] - different[p], m[q] - different[q])
+    both = overlaps(buffer(ends)[0].view(np.uint16), off, p, q) + np.minimum(m[p] - different[p], m[q] - different[q])
     keep = np.zeros(len(x), bool)
     keep[ok] = (den + num) * both >= num * (different[p] + different[q])
     return keep

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Where that is unset, one of our own if all work is done on this
+    machine; on a cluster its workers would each write to their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="voxweft-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 SIZE = 512
-#: Pairs that are made at a time.
-PAIRS = 1 << 20
+#: Pairs that are made at a time, and elements of their sets that are compared at a time.
+PAIRS, ELEMENTS = 1 << 18, 1 << 20
 
 
 def tiles(rows: DataFrame, payload: DataFrame, scratch: Scratch, size: int = SIZE) -> DataFrame:
@@ -107,6 +107,13 @@ def pairs(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def overlaps(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For pairs of sorted sets of small numbers (below 2 ** 20), one after another in ``values``, how many they share."""
+    ends = np.cumsum((off[x + 1] - off[x]) + (off[y + 1] - off[y]))
+    parts = np.searchsorted(ends, np.arange(ELEMENTS, ends[-1] + ELEMENTS, ELEMENTS), "right") if len(x) else []
+    cut = np.unique([0, *parts, len(x)]).tolist()
+    return np.concatenate([np.zeros(0, np.int64), *(_overlaps(values, off, x[i:j], y[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True))])
+
+
+def _overlaps(values: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     keyed = []
     for of in (x, y):
         n = off[of + 1] - off[of]
