@@ -56,6 +56,31 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p[0, :4], want / want.sum(1, keepdims=True))
 
 
+@pytest.mark.parametrize("sharp", [1, 8])
+def test_long_texts_are_one_chain(sharp):
+    """Marginals of texts cut in runs are those of a chain over the whole text."""
+    rng = np.random.RandomState(sharp)
+    counts = np.array([63, 0, 64, 65, 1, 129, 10_000, 128])
+    trans, start = sharp * rng.normal(size=(3, 3)), rng.normal(size=3)
+    words_ = sharp * rng.normal(size=(counts.sum(), 3))
+    place, row, length = op1_langid.runs(counts)
+    table = np.zeros((len(length) * op1_langid.RUN, 3))
+    table[place] = words_
+    got = op1_langid.chained(table.reshape(-1, op1_langid.RUN, 3), length, row, trans, start).reshape(-1, 3)[place]
+    ends = np.cumsum(counts)
+    for n, end in zip(counts, ends, strict=True):
+        if n:
+            want, _, _ = op1_langid.forward_backward(words_[None, end - n : end], np.array([n]), trans, start)
+            assert np.allclose(got[end - n : end], want[0], atol=1e-9)
+
+
+def test_language_switch_at_a_run_end(spark):
+    model = op1_langid.train(["the cat and the dog with this " * 20, "el perro y la gato con este " * 20], ["en", "es"])
+    text = " ".join((["the", "cat", "and", "dog"] * 16) + (["el", "perro", "y", "gato"] * 16))
+    r = op1_langid.label_words(spark.createDataFrame([(1, text)], "doc_id int, text string"), model, spans_too=True).first()
+    assert [(s["lang"], s["first_word"]) for s in r["runs"]] == [("en", 0), ("es", 64)]
+
+
 def test_language_cases(docs, none):
     model = op1_langid.train(*op1_langid.sample(docs, "doc_id", "text", "lang", 50))
     assert op1_langid.label_words(docs, model, min_score=0.1).columns == docs.columns

@@ -4,11 +4,12 @@ A word is a run of letters. Its features are the byte n-grams (2 to 4) of the wo
 are features of their own, and its lexicon entry if the training sample has it often enough. Emission weights,
 transitions and starts are learned together by stochastic gradient ascent on the conditional log-likelihood, on runs
 of ``RUN`` words; part of the runs are spliced of two documents, so switches between languages are learned too.
-Prediction runs forward-backward over each run of ``RUN`` words of a text (all runs, whole texts) and sums the words'
-marginals: the text's language has the largest sum, its score is that sum's share.
+Prediction runs forward-backward over each whole text as one chain, and sums the words' marginals: the text's language has
+the largest sum, its score is that sum's share. Texts are cut in runs of ``RUN`` words for the work alone; messages go
+from run to run.
 
-Training reads a bounded sample of labelled rows: about ``sample_docs`` documents of each language, chosen by a hash of
-the id. Prediction is one pass over the texts with no shuffle; the model (2^18 hashed weights for each language) goes
+Training reads a bounded sample of labelled rows: about ``sample_docs`` documents of each language, twice as many at most,
+chosen by a hash of the id, of texts of ``SAMPLE_BYTES`` at most. Prediction is one pass over the texts with no shuffle; the model (2^18 hashed weights for each language) goes
 to the workers with the function.
 
 Defined cases: texts that are null or have no letter get ``und`` and score 0; rows with a null language aren't learned
@@ -30,6 +31,8 @@ from .bytetext import U64, buffer, mix, slices, span_hashes, spans
 from .scratch import read_table
 
 RUN = 64
+#: Longer texts aren't learned from, so the sample's size is bounded.
+SAMPLE_BYTES = 200_000
 BUCKETS = 1 << 18
 NGRAMS = (2, 3, 4)
 LETTER = np.zeros(256, bool)
@@ -81,25 +84,72 @@ def runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, row, length
 
 
-def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(emit: np.ndarray, length: np.ndarray, trans: np.ndarray, start: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From log potentials: marginals (run, RUN, label), and the forward and backward messages of which neighbours'
-    joint marginals are made; what lies beyond a run's length is of no meaning."""
+    joint marginals are made; what lies beyond a run's length is of no meaning. ``start`` holds log weights of a run's first
+    label, of all runs or by run; ``last`` the backward messages by run at its last word, if the text goes on."""
     t = emit.shape[1]
     e = np.exp(emit - emit.max(axis=2, keepdims=True))
     a = np.exp(trans - trans.max())
     alpha, beta = np.empty_like(e), np.ones_like(e)
-    alpha[:, 0] = e[:, 0] * np.exp(start - start.max())
+    if last is not None:
+        beta[:] = last[:, None, :]
+    alpha[:, 0] = e[:, 0] * np.exp(start - start.max(axis=-1, keepdims=True))
     alpha[:, 0] /= alpha[:, 0].sum(axis=1, keepdims=True)
     for i in range(1, t):
         x = (alpha[:, i - 1] @ a) * e[:, i]
         alpha[:, i] = x / x.sum(axis=1, keepdims=True)
     for i in range(t - 2, -1, -1):
         x = (e[:, i + 1] * beta[:, i + 1]) @ a.T
-        beta[:, i] = np.where((length > i + 1)[:, None], x / x.sum(axis=1, keepdims=True), 1)
+        beta[:, i] = np.where((length > i + 1)[:, None], x / x.sum(axis=1, keepdims=True), beta[:, i])
     both = alpha * beta
     return both / both.sum(axis=2, keepdims=True), alpha, e * beta
 
 
+def chained(emit: np.ndarray, length: np.ndarray, row: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Marginals of whole texts as ``runs`` cuts them. The runs of a text are one chain: each run's product of transitions and
+    emissions takes the forward message from run to run, and the backward message the other way."""
+    n, k = len(row), len(start)
+    first = np.append(True, row[1:] != row[:-1])
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    nth = np.arange(n) - begin
+    if not nth.any():
+        return forward_backward(emit, length, trans, start)[0]
+    several = np.repeat(np.diff(np.append(np.flatnonzero(first), n)) > 1, np.diff(np.append(np.flatnonzero(first), n)))
+    e = np.exp(emit - emit.max(axis=2, keepdims=True)).astype(np.float64)
+    a = np.exp(trans - trans.max()).astype(np.float64)
+    # of first runs the forward message after them, of the others the product of all their steps
+    at = np.flatnonzero(several & first)
+    ahead = np.zeros((n, k))
+    x = np.exp(start - start.max()) * e[at, 0]
+    for i in range(1, emit.shape[1]):  # the first run of several is full
+        x = (x @ a) * e[at, i]
+        x /= x.sum(axis=1, keepdims=True)
+    ahead[at] = x
+    later = np.flatnonzero(several & ~first)
+    step = np.broadcast_to(np.eye(k), (len(later), k, k)).copy()
+    for i in range(emit.shape[1]):
+        new = (step @ a) * e[later, i][:, None, :]
+        new /= new.max(axis=(1, 2), keepdims=True)
+        step = np.where((length[later] > i)[:, None, None], new, step)
+    product = np.zeros((n, k, k))
+    product[later] = step
+    order = np.argsort(nth, kind="stable")
+    cut = np.searchsorted(nth[order], np.arange(int(nth.max()) + 2))
+    behind = np.ones((n, k))
+    for d in range(1, len(cut) - 1):
+        of = order[cut[d] : cut[d + 1]]
+        x = np.einsum("ni,nij->nj", ahead[of - 1], product[of])
+        ahead[of] = x / x.sum(axis=1, keepdims=True)
+    for d in range(len(cut) - 2, 0, -1):
+        of = order[cut[d] : cut[d + 1]]
+        x = np.einsum("nij,nj->ni", product[of], behind[of])
+        behind[of - 1] = x / x.sum(axis=1, keepdims=True)
+    entry = np.tile(start.astype(np.float64), (n, 1))
+    entry[later] = np.log(np.maximum(ahead[later - 1] @ a, 1e-300))
+    return forward_backward(emit, length, trans, entry.astype(emit.dtype), behind.astype(emit.dtype))[0]
+
+
 @dataclass
 class Crf:
     labels: list[str]
@@ -128,10 +178,10 @@ class Crf:
         h = span_hashes(low, s, e)
         u, first, word = np.unique(h, return_index=True, return_inverse=True)
         by_word = self.emissions(low, s[first], e[first], u)
-        place, _, length = runs(counts)
+        place, of, length = runs(counts)
         table = np.zeros((len(length) * RUN, len(self.labels)), np.float32)
         table[place] = by_word[word]
-        out, _, _ = forward_backward(table.reshape(-1, RUN, len(self.labels)), length, self.trans, self.start)
+        out = chained(table.reshape(-1, RUN, len(self.labels)), length, of, self.trans, self.start)
         return out.reshape(-1, len(self.labels))[place], counts
 
 
@@ -213,9 +263,9 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, lexicon_least: in
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, where: Column | None = None) -> tuple[list[str], list[str]]:
-    """About ``sample_docs`` texts of each language, and their languages; twice as many at most."""
+    """About ``sample_docs`` texts of each language, and their languages; twice as many at most, of ``SAMPLE_BYTES`` at most."""
     t = df.select(df[id_col].cast("string").alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"))
-    t = t.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    t = t.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= SAMPLE_BYTES))
     t = t if where is None else t.filter(where)
     counts = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -224,7 +274,7 @@ def sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs
     take = F.lit(False)
     for lang, n in sorted(counts.items()):
         take = take | ((F.col("lang") == lang) & (share < min(1.0, sample_docs / n)))
-    rows = sorted((r["id"], r["lang"], r["text"]) for r in t.filter(take).limit(2 * sample_docs * len(counts)).collect())
+    rows = sorted((r["id"], r["lang"], r["text"]) for r in t.filter(take).orderBy(share, "id", "text", "lang").limit(2 * sample_docs * len(counts)).collect())
     return [r[2] for r in rows], [r[1] for r in rows]
 
 
