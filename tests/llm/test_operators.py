@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -220,7 +221,27 @@ def test_near_copies_of_whole_lines(spark):
 def test_quality(spark):
     out = op5_quality.op5_neighbours(spark, DATA, 150).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").collect()
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out)
-    assert sum(r["predicted"] == r["quality"] for r in out) >= 0.9 * len(out)
+    held = [r for r in out if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    assert len(held) > 10 and sum(r["predicted"] == r["quality"] for r in held) >= 0.9 * len(held)
+
+
+def test_vote_equals_brute_force(spark):
+    """Scores are the votes of the nearest labelled vectors, whichever block a text is in; clashing labels are settled."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality")
+    clash = labels.union(labels.withColumn("quality", F.lit(1)))
+    texts, y = op5_quality.sample(docs, clash, "doc_id", "text", "quality", 60)
+    assert (texts, y) == op5_quality.sample(docs.union(docs), clash.union(labels), "doc_id", "text", "quality", 60)
+    model = op5_quality.fit(texts, y, rank=8, neighbours=5)
+    got = {r["doc_id"]: r["score"] for r in op5_quality.vote(docs, model).collect()}
+    for r in docs.limit(60).collect():
+        v = model.project(op5_quality.counts(pa.array([r["text"]], pa.string())))[0]
+        if not r["text"]:
+            continue
+        near = sorted(((float(v @ u), float(t)) for u, t in zip(model.vectors, model.labels, strict=True)), reverse=True)[:5]
+        w = [min(1.0, max(1e-6, c)) ** 4 for c, _ in near]
+        assert got[r["doc_id"]] == pytest.approx(sum(a * t for a, (_, t) in zip(w, near, strict=True)) / sum(w), abs=2e-3)
 
 
 def test_quality_cases(spark, docs, none):

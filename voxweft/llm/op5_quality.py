@@ -1,13 +1,14 @@
 """Quality by the vote of nearest labelled neighbours in a latent-semantic space.
 
-A text's terms are hashed byte pairs and triples, its words' shapes, and a few whole-text traits in steps (shares of
-symbols, capitals and repeated words). Term counts are damped by a logarithm, weighted by inverse document frequency
+A text's terms are hashed byte pairs, pairs of byte classes, and two shares of words: those equal to the word before, and
+those seen before in the text. Term counts are damped by a logarithm, weighted by inverse document frequency
 over the labelled sample, and projected on the sample's leading singular vectors. The labelled vectors (``sample_rows``
 rows of ``rank`` numbers, a bounded size) go to every worker; each document's cosines with all of them are exact,
 computed in blocks by one matrix product, and the ``neighbours`` nearest vote with their similarity as weight.
 
-Training reads a bounded sample of labelled rows, ``sample_rows`` at most, chosen by a hash of the id. Scoring is one
-pass over the texts with no shuffle.
+Training reads a bounded sample of labelled rows, ``sample_rows`` at most, chosen by a hash of the id, of texts of
+``SAMPLE_BYTES`` at most. An id with different labels has the least of them, one with different texts the first in order.
+Scoring is one pass over the texts with no shuffle.
 
 Defined cases: null and empty texts are one empty text, scored by the share of label 1 in the sample, as is everything
 where there is nothing to learn from; equal similarities go to the labelled row that comes first in the hash order;
@@ -29,6 +30,8 @@ from .bytetext import SPACE, buffer, slices, words
 from .op1_langid import remainder
 from .scratch import read_table
 
+#: Longer texts aren't learned from, so the sample's size is bounded.
+SAMPLE_BYTES = 200_000
 PAIRS = 2048
 TRAITS = 64
 TERMS = PAIRS + TRAITS
@@ -39,7 +42,6 @@ CLASS = np.full(256, 5, np.int64)
 CLASS[SPACE], CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[128:] = 0, 1, 2, 3, 6
 for _c in b".,;:!?'\"()-":
     CLASS[_c] = 4
-STEPS = np.array([0.005, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3])
 
 
 def counts(column: pa.Array) -> np.ndarray:
@@ -70,8 +72,7 @@ def counts(column: pa.Array) -> np.ndarray:
     out = np.log1p(200 * out)
     norm = np.sqrt((out**2).sum(axis=1, keepdims=True))
     out /= np.where(norm > 0, norm, 1)
-    out[:, PAIRS + 56] = np.searchsorted(STEPS, doubled) / 7
-    out[:, PAIRS + 57] = np.clip(repeated - 0.5, 0, None)
+    out[:, PAIRS + 56], out[:, PAIRS + 57] = doubled, repeated
     return out
 
 
@@ -122,10 +123,12 @@ def sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_c
     """Texts and labels of at most ``sample_rows`` labelled rows, in the order of a hash of the id."""
     y = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull())
     y = y if where is None else y.filter(where)
+    y = y.groupBy("id").agg(F.min("y").alias("y"))
     chosen = y.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("quality sample")), "id", "y").limit(sample_rows)
-    ids = chosen.dropDuplicates(["id"]).collect()
-    x = df.select(df[id_col].alias("id"), df[text_col].alias("text")).filter(F.col("id").isin([r["id"] for r in ids])).collect()
-    by = {r["id"]: r["text"] for r in sorted(x, key=lambda r: (r["id"], r["text"] or ""))}
+    ids = chosen.collect()
+    x = df.select(df[id_col].alias("id"), df[text_col].alias("text")).filter(F.col("id").isin([r["id"] for r in ids]) & (F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES))
+    x = x.groupBy("id").agg(F.min("text").alias("text")).collect()
+    by = {r["id"]: r["text"] for r in x}
     rows = sorted((r["id"], r["y"]) for r in ids if r["id"] in by)
     return [by[i] for i, _ in rows], [v for _, v in rows]
 
