@@ -81,3 +81,14 @@ def test_provenance(spark, tmp_path):
 def test_paths(spark):
     df = spark.createDataFrame([("a/b",), ("a/../b",), ("",)], "p string")
     assert [r[0] is None for r in df.select(manifests.audio_path_fault(F.col("p"))).collect()] == [True, False, True]
+
+
+def test_confusables():
+    from voxweft.sources.fixtures import WORDS, Fixture
+
+    pairs = tuple((w, w.upper()) for w in WORDS)
+    for i in range(30):
+        u = Fixture(sub=1.0, ins=0.0, dele=0.0, confusables=pairs).utterance(i)
+        assert all(h["tokens"] == [w.upper() for w in u["ref"]] for h in u["hypotheses"])
+    extra = {t for i in range(30) for h in Fixture(sub=0.0, ins=1.0, dele=0.0, confusables=(("a", "b"),)).utterance(i)["hypotheses"] for t in h["tokens"]}
+    assert "b" in extra and extra <= {*WORDS, "b"}
