@@ -63,3 +63,36 @@ def test_markdown(spark):
     df = spark.createDataFrame([("a b c".split(), "a x c".split())], "r array<string>, h array<string>")
     md = df.select(A.ops_markdown(A.edit_ops(F.col("r"), F.col("h")), 2)).first()[0]
     assert md.split("\n") == ["| op | ref | hyp |", "|---|---|---|", "| MATCH | 'a' | 'a' |", "| SUB | 'b' | 'x' |", "| ... (1 more) ... | | |"]
+
+
+def test_pairs_of_many_different_tokens(spark):
+    """Pairs of any number of different tokens are counted, and corpus rates have them."""
+    ref = [chr(0x3400 + i) for i in range(25_000)]
+    hyp = ["x", *ref[1:700], *ref[701:20_000], "y", *ref[20_001:], "z"]
+    df = spark.createDataFrame([(ref, hyp), (["a"], ["b"]), (ref, ref), ([], [])], "ref array<string>, hyp array<string>")
+    assert [r[0] for r in df.select(A.word_errors(F.col("ref"), F.col("hyp"))).collect()] == [4, 1, 0, 0]
+    r = A.corpus_rates(A.with_rates(df.limit(2))).first()
+    assert r["n"] == 2 and r["wer_micro"] == 5 / 25_001 and r["wer_macro"] == (4 / 25_000 + 1) / 2
+
+
+def test_token_distance_is_the_path_s():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(500):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 90))] for _ in range(2))
+        assert A.token_distance(a, b) == sum(s[0] != A.MATCH for s in A.best_path(a, b)[0])
+
+
+def test_band_and_whole_table_agree():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        ref, hyp = ([rng.choice("abc") for _ in range(rng.randint(0, 12))] for _ in range(2))
+        whole = A.best_path(ref, hyp)
+        assert A.best_path(ref, hyp, band=12) == whole
+        width = abs(len(ref) - len(hyp)) + rng.randint(0, 3)
+        steps, cost = A.best_path(ref, hyp, band=width)
+        assert cost >= whole[1] == sum(s[0] != A.MATCH for s in whole[0]) and cost == sum(s[0] != A.MATCH for s in steps)
+        assert [s[1] for s in steps if s[1] is not None] == ref and [s[2] for s in steps if s[2] is not None] == hyp

@@ -1,7 +1,7 @@
 """Edit alignment of token sequences.
 
-Error counts with unit costs need no path and stay in the JVM: each different token of a pair becomes one character
-and the built-in ``levenshtein`` counts. Paths (operations, other costs, bands) come from an Arrow UDF.
+Error counts with unit costs need no path: those of characters are the built-in ``levenshtein``, those of tokens a
+bit-parallel distance in an Arrow UDF. Paths (operations, other costs, bands) come from an Arrow UDF too.
 """
 
 from __future__ import annotations
@@ -15,22 +15,48 @@ from pyspark.sql import functions as F
 
 MATCH, SUB, INS, DEL = "MATCH", "SUB", "INS", "DEL"
 OPS = "array<struct<op:string,ref:string,hyp:string>>"
-#: Code points that stand for tokens: the first of a block of this many letters.
-FIRST_LETTER, LETTERS = 0x4E00, 20_000
 
 
-def as_text(tokens: Column, vocabulary: Column) -> Column:
-    """A string of one character for each token, by the token's place in the vocabulary."""
-    letter = lambda x: F.lpad(F.hex(F.array_position(vocabulary, x) + FIRST_LETTER), 4, "0")
-    return F.decode(F.unhex(F.array_join(F.transform(tokens, letter), "")), "UTF-16BE")
+def token_distance(a: Sequence[str], b: Sequence[str]) -> int:
+    """Unit-cost edit distance of two token sequences, bit-parallel: the longer one's positions are the bits of integers, of
+    any size, and each token of the shorter one takes a few operations on them. Common ends are cut first."""
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return len(long)
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(long):
+        places.setdefault(t, []).append(i)
+    full, top, score = (1 << len(long)) - 1, 1 << (len(long) - 1), len(long)
+    up, down = full, 0
+    for t in short:
+        equal = 0
+        for i in places.get(t, ()):
+            equal |= 1 << i
+        across = (((equal & up) + up) ^ up) | equal
+        plus, minus = (down | ~(across | up)) & full, up & across
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = plus << 1 | 1, minus << 1
+        equal |= down
+        up, down = (minus | ~(equal | plus)) & full, plus & equal & full
+    return score
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:
-    """Substitutions, insertions and deletions with unit costs; null for pairs of over ``LETTERS`` different tokens,
-    which take the path of :func:`edit_ops`."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    distance = F.levenshtein(as_text(ref, vocabulary), as_text(hyp, vocabulary))
-    return F.when(F.size(vocabulary) <= LETTERS, distance)
+    """Substitutions, insertions and deletions with unit costs."""
+
+    @F.arrow_udf("int")
+    def errors(r: pa.Array, h: pa.Array) -> pa.Array:
+        pairs = zip(r.to_pylist(), h.to_pylist(), strict=True)
+        return pa.array([None if a is None or b is None else token_distance(a, b) for a, b in pairs], pa.int32())
+
+    return errors(ref, hyp)
 
 
 def char_errors(ref: Column, hyp: Column) -> Column:
@@ -90,29 +116,38 @@ def best_path(ref: Sequence[str], hyp: Sequence[str], costs: Costs = UNIT, band:
     n, m = len(ref), len(hyp)
     if band is not None and (band < 0 or abs(n - m) > band):
         raise ValueError("no path inside the band")
-    inf = math.inf
-    above = [j * costs.ins if band is None or j <= band else inf for j in range(m + 1)]
+    # an equal token is always matched, so the common end is
+    end = 0
+    while end < min(n, m) and ref[n - 1 - end] == hyp[m - 1 - end]:
+        end += 1
+    tail = [(MATCH, t, t) for t in ref[n - end :]]
+    n, m, inf = n - end, m - end, math.inf
+    width = max(n, m) if band is None else band
+    above = [j * costs.ins if j <= width else inf for j in range(m + 1)]
+    row = [inf] * (m + 1)
     choices = []
-    for i, r in enumerate(ref, 1):
-        row, chosen = [inf] * (m + 1), bytearray(m + 1)
-        if band is None or i <= band:
-            row[0] = i * costs.dele
-        for j in range(1, m + 1) if band is None else range(max(1, i - band), min(m, i + band) + 1):
+    for i, r in enumerate(ref[:n], 1):
+        lo, hi = max(1, i - width), min(m, i + width)
+        chosen = bytearray(max(0, hi - lo + 1))
+        row[lo - 1] = i * costs.dele if lo == 1 and i <= width else inf
+        for j in range(lo, hi + 1):
             h = hyp[j - 1]
             if r == h:
-                row[j], chosen[j] = above[j - 1], 0
+                row[j] = above[j - 1]
                 continue
             best, kind = above[j - 1] + costs.pairs.get((r, h), costs.sub), 1
             if row[j - 1] + costs.ins < best:
                 best, kind = row[j - 1] + costs.ins, 2
             if above[j] + costs.dele < best:
                 best, kind = above[j] + costs.dele, 3
-            row[j], chosen[j] = best, kind
-        choices.append(chosen)
-        above = row
+            row[j], chosen[j - lo] = best, kind
+        if hi < m:
+            row[hi + 1] = inf
+        choices.append((lo, chosen))
+        above, row = row, above
     steps, i, j = [], n, m
     while i or j:
-        kind = 2 if not i else 3 if not j else choices[i - 1][j]
+        kind = 2 if not i else 3 if not j else choices[i - 1][1][j - choices[i - 1][0]]
         if kind == 2:
             steps.append((INS, None, hyp[j - 1]))
             j -= 1
@@ -122,7 +157,7 @@ def best_path(ref: Sequence[str], hyp: Sequence[str], costs: Costs = UNIT, band:
         else:
             steps.append((SUB if kind else MATCH, ref[i - 1], hyp[j - 1]))
             i, j = i - 1, j - 1
-    return steps[::-1], above[m]
+    return steps[::-1] + tail, above[m]
 
 
 def edit_ops(ref: Column, hyp: Column, costs: Costs = UNIT, band: int | None = None) -> Column:

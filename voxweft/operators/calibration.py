@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,21 +141,17 @@ def piecewise(p: Column, segments: Sequence[tuple[float, float, float]]) -> Colu
 def fit_logistic(df: DataFrame, iterations: int = 200, rate: float = 0.1, l2: float = 0.0) -> tuple[float, float]:
     """(coefficient, intercept) after so many full-batch steps from 0. The rows are counted once into different
     (p, label), of which there must be few enough for one machine; steps are taken over the counts."""
-    rows = [(r["p"], r["label"], r["c"]) for r in histogram(df.withColumn("p", F.round("p", 6))).collect()]
-    n = sum(c for _, _, c in rows)
-    if len({y for _, y, _ in rows}) < 2:
+    t = histogram(df.withColumn("p", F.round("p", 6))).toArrow()
+    p, y, c = (t.column(k).to_numpy().astype(float) for k in ("p", "label", "c"))
+    if len(set(y.tolist())) < 2:
         raise ValueError("both classes are needed")
-    a = b = 0.0
+    features = np.stack([p, np.ones_like(p)])
+    shrink = np.array([l2, 0.0])
+    fitted = np.zeros(2)
     for _ in range(iterations):
-        ga = gb = 0.0
-        for p, y, c in rows:
-            x = a * p + b
-            e = (1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))) - y
-            ga += c * e * p
-            gb += c * e
-        a -= rate * (ga / n + l2 * a)
-        b -= rate * gb / n
-    return a, b
+        residual = np.exp(-np.logaddexp(0, -(fitted @ features))) - y
+        fitted = fitted - rate * (features @ (c * residual) / c.sum() + shrink * fitted)
+    return float(fitted[0]), float(fitted[1])
 
 
 def apply_logistic(p: Column, fitted: tuple[float, float]) -> Column:
