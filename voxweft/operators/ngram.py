@@ -1,6 +1,7 @@
 """N-gram language models as tables.
 
-A model is a table of counts (n, ngram, ctx, word, c), where ``ngram`` and ``ctx`` are words joined by a space. Queries
+A model is a table of counts (n, ngram, ctx, word, c), where ``ngram`` and ``ctx`` are words joined by a space; it is written
+when it is trained, so no query counts again. Queries
 join n-grams with it: as many joins as the order, each on the n-gram's text, so neither side is held by one machine.
 """
 
@@ -12,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..saved import saved
+
 #: The marks of sentence ends and of unknown words.
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 FLOOR = 1e-12
@@ -69,7 +72,7 @@ def train(sentences: DataFrame, order: int, tokens: str = "tokens") -> Model:
     sized = lambda n: F.transform(grams(seq, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
     every = F.flatten(F.array(*[sized(n) for n in range(1, order + 1)]))
     counts = sentences.select(F.inline(every)).groupBy("n", "ngram").agg(F.count("*").alias("c"))
-    return Model(order, counts.withColumns({"ctx": context(F.col("ngram")), "word": last_word(F.col("ngram"))}))
+    return Model(order, saved(counts.withColumns({"ctx": context(F.col("ngram")), "word": last_word(F.col("ngram"))}), "ngrams"))
 
 
 def prune(model: Model, min_count: int) -> Model:
@@ -79,7 +82,7 @@ def prune(model: Model, min_count: int) -> Model:
 
 def with_unknown(tokens: DataFrame, model: Model, keys: Sequence[str], column: str = "tokens") -> DataFrame:
     """Replaces words that the model doesn't know, by a join of different words."""
-    t = tokens.select(*keys, F.posexplode(column).alias("pos", "word"))
+    t = saved(tokens.select(*keys, F.posexplode(column).alias("pos", "word")), "words")
     known = t.select("word").distinct().join(model.vocabulary(), "word", "left_semi").withColumn("known", F.lit(True))
     t = t.join(known, "word", "left").withColumn("word", F.when(F.col("known"), F.col("word")).otherwise(UNK))
     lists = t.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias(column))
@@ -99,7 +102,7 @@ def katz(queries: DataFrame, model: Model, n: int, column: str = "ngram") -> Dat
     """(ngram, p) of the different n-grams of a table. A seen n-gram has its share of its context; an unseen one takes
     what the context's continuations leave of it, times the context's own probability."""
     total = model.total()
-    asked = queries.select(F.col(column).alias("ngram")).distinct()
+    asked = saved(queries.select(F.col(column).alias("ngram")).distinct(), "asked")
     return _katz(asked, model, n, total)
 
 
