@@ -669,7 +669,7 @@ _document("collapse_spaces", text.collapsed, r"trim(regexp_replace(text, '[ \t\n
 _document("normalize_ascii", lambda t: text.normalized(F.regexp_replace(t, r"[^\x00-\x7F]", ""), ascii_only=True), rf"trim(regexp_replace(lower(regexp_replace(regexp_replace({_ASCII}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\p{{P}}', '', 'g')), '[ \t\n\r]+', ' ', 'g'))")
 _document("tokenize_word", lambda t: F.size(text.tokens(t)).cast("long"), "len(list_filter(string_split(text, ' '), lambda x: x <> ''))")
 _document("tokenize_char", lambda t: F.size(text.tokens(t, "char")).cast("long"), "length(replace(text, ' ', ''))")
-_document("tokenize_auto", lambda t: F.array_join(F.slice(text.tokens(t, "auto"), 1, 5), "|"), "array_to_string(list_filter(string_split(text, ' '), lambda x: x <> '')[1:5], '|')")
+_document("tokenize_auto", lambda t: F.array_join(text.tokens(t, "auto"), "|"), "array_to_string(list_filter(string_split(text, ' '), lambda x: x <> ''), '|')")
 
 
 @query(
