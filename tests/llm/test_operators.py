@@ -438,6 +438,16 @@ def test_line_dedup(docs, none, scratch, corpus):
     assert 9 not in got and got[8] == corpus[8][1] and got[0] is None and got[1] == ""
 
 
+def test_line_dedup_of_any_columns(spark, scratch):
+    """Text ids, columns named as the operator's own, and the same row twice."""
+    line, other = "a line that stands in two documents", "another line that stands in one"
+    rows = [("x", f"{line}\n{other}", 1, 2, 3, 4), ("y", f"{line}\nshort", 5, 6, 7, 8), ("z", None, 0, 0, 0, 0), ("y", f"{line}\nshort", 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _id int, _gone int, gone int, doc int")
+    got = sorted(op10_lines.dedup_lines(df, scratch).collect(), key=str)
+    assert Counter(map(tuple, got)) == Counter([rows[0], ("y", "short", *rows[1][2:]), rows[2], ("y", "short", *rows[1][2:])])
+    assert {r["text"] for r in got} == {rows[0][1], "short", None} and df.columns == got[0].__fields__
+
+
 # --- pipeline ---
 
 
@@ -457,6 +467,22 @@ def test_pipeline_decodes(spark, docs, corpus):
     assert got == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in corpus}
 
 
+def test_pipeline_cases(spark, docs, none):
+    """Stages keep clashing columns, take nulls, repeated rows and empty tables, and drop only what they are for."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        assert stage(spark, none.limit(0), DATA).count() == 0
+        out = stage(spark, docs.union(docs), DATA)
+        ids = Counter(r["doc_id"] for r in out.select("doc_id").collect())
+        assert set(ids.values()) == {2}, name
+        if name == "encode":
+            continue
+        assert out.columns == docs.columns
+        if name != "language":
+            assert {0, 1, 2} <= set(ids), name
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 

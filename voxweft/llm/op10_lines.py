@@ -215,7 +215,8 @@ def batch_lines(key: pa.Array, column: pa.Array, tau: int, least: int, short: in
 def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24, short_chars: int | None = None) -> DataFrame:
     """(doc, no, class_id, removed): each occurrence of a line of a class of two occurrences or more. Lines of fewer than
     ``min_chars`` code points are compared if ``short_chars`` is given."""
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    kind = dict(docs.dtypes)["id"]
     least = max(min_chars, 2 * (tau + 1))
     short = None if short_chars is None else min(least, max(short_chars, 2 * tau, 1))
     is_near = near(tau, least, short)
@@ -224,7 +225,7 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         for batch in batches:
             yield from batch_lines(batch.column(0), batch.column(1), tau, least, short)
 
-    lines = scratch.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,no:int>>, own array<long>, probes array<long>"))
+    lines = scratch.save(docs.mapInArrow(run, f"h long, at array<struct<doc:{kind},no:int>>, own array<long>, probes array<long>"))
     items = lines.select(F.col("h").alias("id"), F.size("own").alias("own"), F.concat("own", "probes").alias("keys"))
     rows = shared(items, scratch)
 
@@ -266,15 +267,23 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
 
 def dedup_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", tau: int = 2, min_chars: int = 24) -> DataFrame:
     """The documents without the lines that repeat an earlier one; a document that had lines and has none left goes.
-    Columns stay as they are."""
+    Columns stay as they are, whatever their names; null and empty texts stay."""
     removed = near_lines(df, scratch, id_col, text_col, tau, min_chars).filter("removed")
-    gone = removed.groupBy(F.col("doc").alias("_id")).agg(F.collect_set("no").alias("_gone"))
-    t = df.join(gone, df[id_col].cast("long") == F.col("_id"), "left")
-    lines = F.split(text_col, "\n", -1)
-    left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    t = t.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
-    t = t.filter(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
-    return t.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    gone = removed.groupBy("doc").agg(F.collect_set("no").alias("gone"))
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        out = []
+        for text, numbers in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
+            drop = set(numbers or ())
+            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
+        return pa.array(out, pa.string())
+
+    row = F.col("row")
+    t = df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).join(gone, row[id_col] == F.col("doc"), "left")
+    t = t.select("row", "gone", F.when(F.col("gone").isNull(), row[text_col]).otherwise(without(row[text_col], F.col("gone"))).alias("left"))
+    t = t.filter(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return t.select(*[F.col("left").alias(c) if c == text_col else row[c].alias(c) for c in df.columns])
 
 
 def op10_segment_edit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,8 @@ def may_reach(m: np.ndarray, ends: pa.Array, x: np.ndarray, y: np.ndarray, num:
 
 def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, least: int = 8, run_words: int = 16) -> DataFrame:
     """(doc, first, n, class_id, removed): the paragraphs of repeated passages, by first word and number of words."""
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    kind = dict(docs.dtypes)["id"]
     least = max(least, k)
     last, scratch = scratch, Scratch(scratch.spark, "op4-search")
 
@@ -144,7 +145,7 @@ def near_paragraphs(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays([pa.array(p.hash[lead].view(np.int64)), pa.ListArray.from_arrays(pa.array(off), at), listed, pa.array(size), pa.array(ends, pa.binary())], ["h", "at", "keys", "m", "ends"])
 
     wide = Scratch(scratch.spark, "op4-paragraphs")
-    paras = wide.save(docs.mapInArrow(run, "h long, at array<struct<doc:long,first:int,n:int>>, keys array<long>, m int, ends binary"))
+    paras = wide.save(docs.mapInArrow(run, f"h long, at array<struct<doc:{kind},first:int,n:int>>, keys array<long>, m int, ends binary"))
     items = paras.withColumnRenamed("h", "id")
     # keys are read for the search of recurring ones only, and the table that has them goes
     rows = shared(items.select("id", F.lit(BANDS).alias("own"), "keys"), scratch, BANDS * paras.count())

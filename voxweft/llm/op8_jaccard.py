@@ -13,7 +13,8 @@ only made between clusters.
 
 Exact up to equal 64-bit hashes of different shingles. The elements that go last are found over all documents: each
 task counts what it reads, and the most frequent, ``LAST`` at most, go last; which ones these are changes the work, not the
-links. Rows of one doc_id are one document.
+links. Ids are whole numbers. Rows of one id are one document; if their texts differ, each is linked by its own set, and sets
+that several rows of one id have are candidates by one of them.
 
 Defined cases: null texts and texts without words have an empty set and no link; texts of fewer than k words have one
 shingle, their whole sequence; equal sets are linked; repeated rows each get their result; an empty table gives an
