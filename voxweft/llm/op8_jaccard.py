@@ -5,8 +5,8 @@ are joined. Two sets can reach the threshold only if they share one of their fir
 as may be missing, and one more), so candidates share such an element. The order puts elements that many documents
 have last, which keeps the groups of an element small. Within a group candidates meet in tiles of neighbouring size
 bands; in a tile the number of differing bits of their parity bitmaps (1,024 bits, and 8,192 of large sets) bounds their
-overlap from above, and sets go that reach the threshold with no other of the tile. The rest is verified by exact
-intersection of the sorted arrays, made again from the texts of candidates only.
+overlap from above, and pairs that can't reach the threshold go. The rest, once for all elements they share, is verified
+by exact intersection of the sorted arrays, made again from the texts of candidates only.
 
 Near copies come first: stars on four minima join them into clusters (see ``links``), and the exact candidates are
 only made between clusters.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .bytetext import U64, buffer, mix, shingles, slices, sorted_set, words
 from .links import linked, narrowed, shared
 from .scratch import Scratch, least_common, read_table
-from .tiles import in_tiles, jaccard_links, with_partner
+from .tiles import with_partner
 
 LAST = 1 << 18
 #: Elements that a task counts at a time.
@@ -236,8 +236,7 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         size = size.withColumn("band", F.explode(F.array_distinct(F.array(F.col("band"), octave(F.col("n") * den / num)))))
         banded = size.select(F.xxhash64("key", "band").alias("key"), "id", "cluster")
         may = lambda t, x, y: may_reach(t.column("n").to_numpy(), *(t.column(v).combine_chunks() for v in ("bits", "wide")), x, y, num, den)
-        near = scratch.save(with_partner(banded, bounds, may, scratch))
-        return in_tiles(near, sets_of(near.select("id").distinct()), jaccard_links(num, den), scratch)
+        return exact(with_partner(banded, bounds, may, scratch, as_pairs=True))
 
     octave = lambda n: F.floor(F.log2(n) + 1e-9).cast("int")
     _, comp = linked(rows, scratch, verify, across, shared(minima, scratch))

@@ -60,9 +60,10 @@ def in_tiles(rows: DataFrame, payload: DataFrame, links_of: Callable[[list[dict]
     return tiles(rows, payload, scratch, size).mapInArrow(compare, "a long, b long")
 
 
-def with_partner(rows: DataFrame, payload: DataFrame, may_link: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, size: int = SIZE) -> DataFrame:
+def with_partner(rows: DataFrame, payload: DataFrame, may_link: Callable[[pa.Table, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, size: int = SIZE, as_pairs: bool = False) -> DataFrame:
     """The rows (key, id, cluster) that ``may_link`` doesn't part from every row of their key of another cluster. It gets rows with
-    the columns of ``payload`` and pairs of their numbers, and tells which of these may be links."""
+    the columns of ``payload`` and pairs of their numbers, and tells which of these may be links. With ``as_pairs`` those pairs
+    (a, b), for items whose keys are so many that the pairs are fewer."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = None
@@ -82,16 +83,21 @@ def with_partner(rows: DataFrame, payload: DataFrame, may_link: Callable[[pa.Tab
 
     def found(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         key, id_, cluster, i, j, block = (t.column(c).to_numpy() for c in ("key", "id", "cluster", "i", "j", "block"))
-        hit = np.zeros(len(t), bool)
+        hit, lists = np.zeros(len(t), bool), []
         for x, y in pairs(starts):
             ok = (cluster[x] != cluster[y]) & ((i[x] == j[x]) | (block[x] != block[y]))
             x, y = x[ok], y[ok]
             ok = may_link(t, x, y)
-            hit[x[ok]] = hit[y[ok]] = True
+            x, y = x[ok], y[ok]
+            hit[x] = hit[y] = True
+            lists.append(np.sort(np.stack([id_[x], id_[y]]), axis=0))
+        if as_pairs:
+            both = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *lists], axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in both], ["a", "b"])
         at = np.flatnonzero(hit)
         return pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (key, id_, cluster)], ["key", "id", "cluster"])
 
-    return tiles(rows, payload, scratch, size).mapInArrow(compare, "key long, id long, cluster long").distinct()
+    return tiles(rows, payload, scratch, size).mapInArrow(compare, "a long, b long" if as_pairs else "key long, id long, cluster long").distinct()
 
 
 def pairs(starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
