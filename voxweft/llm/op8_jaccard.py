@@ -235,8 +235,8 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         size = rows.join(bounds.select("id", "n"), "id").withColumn("band", octave(F.col("n")))
         size = size.withColumn("band", F.explode(F.array_distinct(F.array(F.col("band"), octave(F.col("n") * den / num)))))
         banded = size.select(F.xxhash64("key", "band").alias("key"), "id", "cluster")
-        may = lambda t, x, y: may_reach(t.column("n").to_numpy(), *(t.column(v).combine_chunks() for v in ("bits", "wide")), x, y, num, den)
-        return exact(with_partner(banded, bounds, may, scratch, as_pairs=True))
+        may = lambda t, x, y: may_reach(t.column("n").to_numpy(), t.column("bits").combine_chunks(), pa.nulls(len(t), pa.binary()), x, y, num, den)
+        return verify(scratch.save(with_partner(banded, bounds.drop("wide"), may, scratch, as_pairs=True)))
 
     octave = lambda n: F.floor(F.log2(n) + 1e-9).cast("int")
     _, comp = linked(rows, scratch, verify, across, shared(minima, scratch))
