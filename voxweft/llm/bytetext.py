@@ -6,11 +6,14 @@ hashes are 64 bits wide, the same on every machine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+#: Of the GNU C library; other systems have none.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,6 +51,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``most`` bytes each, or of one row."""
     ends = np.concatenate([[0], np.cumsum(lengths(column))])
@@ -56,6 +66,7 @@ def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
         yield at, stop
         at = stop
+    release()
 
 
 def lengths(column: pa.Array) -> np.ndarray:
