@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .bytetext import release
 from .scratch import read_table
 
 #: The pre-token pattern of byte-level BPE.
@@ -213,6 +214,13 @@ class Coder:
         self.later = Ids(lambda word: self.word(word, " " + word))
         self.feed = self.whole("\n")
 
+    def forget(self) -> None:
+        """Drops the kept words at a task's end, since the worker is used again by other stages."""
+        for kept in (self.first, self.later):
+            kept.clear()
+            kept.old = {}
+        release()
+
     def word(self, word: str, text: str) -> bytes | None:
         return None if not word or word[0].isspace() or word[-1].isspace() else self.whole(text)
 
@@ -270,16 +278,19 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(content)
         v = c.vocabulary
-        for batch in batches:
-            texts = batch.column(1)
-            for at in range(0, len(texts), 64):
-                got = [c.encode(t or "") for t in texts.slice(at, 64).to_pylist()]
-                columns = {name: batch.column(name).slice(at, 64) for name in ("id", *own)} | {"n_tokens": pa.array([len(x) // 4 for x in got], pa.int64())}
-                if ids:
-                    columns["ids"] = pa.array(got, pa.binary())
-                if decode:
-                    columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in got], pa.string())
-                yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for batch in batches:
+                texts = batch.column(1)
+                for at in range(0, len(texts), 64):
+                    got = [c.encode(t or "") for t in texts.slice(at, 64).to_pylist()]
+                    columns = {name: batch.column(name).slice(at, 64) for name in ("id", *own)} | {"n_tokens": pa.array([len(x) // 4 for x in got], pa.int64())}
+                    if ids:
+                        columns["ids"] = pa.array(got, pa.binary())
+                    if decode:
+                        columns["decoded"] = pa.array([v.decode(np.frombuffer(x, "<u4")).decode("utf-8", "replace") for x in got], pa.string())
+                    yield pa.RecordBatch.from_pydict(columns)
+        finally:
+            c.forget()
 
     kinds = dict(kept.dtypes)
     schema = ", ".join(f"{name} {kinds[name]}" for name in ("id", *own)) + ", n_tokens long" + ", ids binary" * ids + ", decoded string" * decode
