@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import U64, mix, sorted_set
+from .bytetext import U64, mix, release, sorted_set
 from .scratch import Scratch
 
 #: Keys of a share that are sent together, and of a range that are compared together.
-SHARE, RANGE = 2_000_000, 2_000_000
+SHARE, RANGE = 1_000_000, 1_000_000
 #: Bits of keys, and of the filter of recurring keys.
 KEY_BITS, FILTER_BITS = 40, 27
 BUCKETS = 1 << 20
@@ -87,6 +87,8 @@ def recurring(items: DataFrame, scratch: Scratch, total: int) -> DataFrame:
                 share, size = [], 0
         if size:
             yield out()
+            share = []
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, of, held = pa.Codec("zstd"), None, []
@@ -109,6 +111,8 @@ def recurring(items: DataFrame, scratch: Scratch, total: int) -> DataFrame:
                 held.append((np.cumsum(_unplaned(data[: 8 * n], U64), dtype=U64), _unplaned(data[8 * n :], np.uint16).astype(U64)))
         if held:
             yield out()
+            held = []
+        release()
 
     maps = items.select("id", "keys").mapInArrow(send, "range int, size int, blob binary").repartition(1 << bits, "range").sortWithinPartitions("range").mapInArrow(meet, "range int, map binary").toArrow()
     packed = np.zeros((1 << bits, 1 << FILTER_BITS - bits - 3), np.uint8)
@@ -124,6 +128,7 @@ def recurring(items: DataFrame, scratch: Scratch, total: int) -> DataFrame:
             begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
             kind = np.arange(len(keys)) - begin < np.repeat(batch.column("own").to_numpy(), sizes)
             yield pa.RecordBatch.from_arrays([pa.array(keys[ok].view(np.int64)), pa.array(np.repeat(batch.column("id").to_numpy(), sizes)[ok]), pa.array(kind[ok].astype(np.int32))], ["key", "id", "kind"])
+        release()
 
     return scratch.save(items.select("id", "own", "keys").mapInArrow(keep, "key long, id long, kind int"))
 

@@ -26,10 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytetext import U64, mix, powers, slices
+from .bytetext import U64, mix, powers, release, slices
 from .links import linked, narrowed, shared
 from .scratch import Scratch, read_table
 from .tiles import Clusters, comparable, in_tiles
@@ -248,6 +248,7 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
                     part = batch.slice(i, 256)
                     keep = [is_near(p, q) for p, q in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            release()
 
         return pairs.join(x, "a").join(y, "b").select("a", "b", "la", "lb").mapInArrow(check, "a long, b long")
 
@@ -271,18 +272,16 @@ def dedup_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_co
     removed = near_lines(df, scratch, id_col, text_col, tau, min_chars).filter("removed")
     gone = removed.groupBy("doc").agg(F.collect_set("no").alias("gone"))
 
-    @F.arrow_udf("string")
-    def without(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        out = []
-        for text, numbers in zip(texts.to_pylist(), lists.to_pylist(), strict=True):
-            drop = set(numbers or ())
-            out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text)
-        return pa.array(out, pa.string())
+    def without(text: Column) -> Column:
+        numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+        kept = lambda lines: F.array_join(F.transform(numbers(lines), lambda i: F.get(lines, i)), "\n")
+        return F.get(F.transform(F.array(F.split(text, "\n", -1)), kept), F.lit(0))
 
-    row = F.col("row")
+    row, ink = F.col("row"), r"[^\x20\x09-\x0D]"
     t = df.select(F.struct(*[df[c] for c in df.columns]).alias("row")).join(gone, row[id_col] == F.col("doc"), "left")
-    t = t.select("row", "gone", F.when(F.col("gone").isNull(), row[text_col]).otherwise(without(row[text_col], F.col("gone"))).alias("left"))
-    t = t.filter(F.col("gone").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    same = F.col("gone").isNull() | F.coalesce(~row[text_col].rlike(ink), F.lit(True))
+    t = t.select("row", same.alias("same"), F.when(same, row[text_col]).otherwise(without(row[text_col])).alias("left"))
+    t = t.filter(F.col("same") | F.col("left").rlike(ink))
     return t.select(*[F.col("left").alias(c) if c == text_col else row[c].alias(c) for c in df.columns])
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import release
 from .scratch import Scratch
 
 SIZE = 512
@@ -56,6 +57,8 @@ def in_tiles(rows: DataFrame, payload: DataFrame, links_of: Callable[[list[dict]
                         tile, held = of, []
                     held.append(row)
         yield out()
+        held = []
+        release()
 
     return tiles(rows, payload, scratch, size).mapInArrow(compare, "a long, b long")
 
@@ -80,6 +83,8 @@ def with_partner(rows: DataFrame, payload: DataFrame, may_link: Callable[[pa.Tab
                 left = t
         if left is not None and len(left):
             yield found(left.combine_chunks(), np.array([0, len(left)]))
+        left = None
+        release()
 
     def found(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
         key, id_, cluster, i, j, block = (t.column(c).to_numpy() for c in ("key", "id", "cluster", "i", "j", "block"))
