@@ -448,6 +448,14 @@ def test_line_dedup_of_any_columns(spark, scratch):
     assert {r["text"] for r in got} == {rows[0][1], "short", None} and df.columns == got[0].__fields__
 
 
+def test_line_dedup_of_empty_rows_beside_removed_lines(spark, scratch):
+    """Null and empty texts stay also where another row of their id loses lines; what is left keeps its order."""
+    line = "a line that stands in two documents"
+    rows = [(1, line), (2, f"first\n{line}\n\nlast"), (2, None), (2, ""), (3, line)]
+    got = op10_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], (2, "first\n\nlast"), (2, None), (2, "")])
+
+
 # --- pipeline ---
 
 
