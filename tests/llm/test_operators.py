@@ -1,6 +1,8 @@
 import hashlib
+import pickle
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -568,3 +570,33 @@ def test_tiles_of_a_hot_key_copy_little(spark):
     off = np.cumsum([0, *map(len, sets)])
     x, y = np.triu_indices(5, 1)
     assert overlaps(np.concatenate(sets), off, x, y).tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)]
+
+
+def test_saved_tables_leave_no_shuffle_files(spark, scratch):
+    """What a write shuffled is gone when it ends, though its frame is still held; the frame can be written again."""
+    jvm = spark._jvm
+    listed = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    files = lambda: {n for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(listed()) if re.fullmatch(r"shuffle_.*\.data", n := f.getName())}
+    before, frame = files(), spark.range(2000).repartition(7, "id").groupBy((F.col("id") % 5).alias("k")).count()
+    for _ in range(2):
+        assert sorted(r["count"] for r in scratch.save(frame).collect()) == [400] * 5
+    for _ in range(20):
+        if left := files() - before:
+            time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_suffix_tree_sends_words_and_counts_only():
+    rng = np.random.RandomState(3)
+    h = np.unique(rng.randint(0, 1 << 62, 50_000)).astype(np.uint64)
+    n = rng.randint(1, 9, len(h))
+    hot = [(op2_suffix_tree.Lookup(h[k : k + 3]), np.array([2, 1, 3])) for k in range(4)]
+    own = op2_suffix_tree.Common(h, n, hot, 3, 4, 0.4, int(n.sum()), len(h), np.zeros(1 << op2_suffix_tree.CLASS_BITS))
+    sent = pickle.dumps(own)
+    got = pickle.loads(sent)
+    assert len(sent) < 16 * len(h) + 8 * len(own.mass) + 10_000
+    for name in ("hashes", "rank", "root", "base", "mass"):
+        assert np.array_equal(getattr(own, name), getattr(got, name))
+    assert np.array_equal(own.codes(h), got.codes(h)) and sorted(own.codes(h)) == list(range(1, len(h) + 1))
+    assert all(np.array_equal(a.keys, b.keys) and np.array_equal(a.bits, b.bits) and np.array_equal(x, y) for (a, x), (b, y) in zip(own.hot, got.hot, strict=True))

@@ -102,6 +102,9 @@ class Lookup:
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.keys >> self.shift).astype(np.int64)] = True
 
+    def __reduce__(self) -> tuple:
+        return Lookup, (self.keys,)
+
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h that are found, and their places in the table."""
         at = np.flatnonzero(self.bits[(h >> self.shift).astype(np.int64)])
@@ -178,16 +181,21 @@ def hot_contexts(docs: DataFrame, depth: int, tokens: int, cell: int) -> list[tu
 
 
 class Common:
-    """What every worker has: frequent words with their counts, the most frequent first; hot contexts; the root's classes."""
+    """What every worker has: frequent words with their counts, the most frequent first; hot contexts; the root's classes.
+    Words and counts are sent, and what follows from them is made anew by each worker."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray, hot: list, bits: int, depth: int, discount: float, tokens: int, vocabulary: int, mass: np.ndarray):
         order = np.argsort(-n, kind="stable")
         self.hashes, counts = h[order], n[order]
+        self.sent = (self.hashes, counts, hot, bits, depth, discount, tokens, vocabulary, mass)
         self.lookup, self.rank = Lookup(h), np.argsort(self.hashes)
         self.hot, self.bits, self.depth, self.mass = hot, bits, depth, mass
         self.root = (counts - discount) / max(1, tokens)
         self.base = np.log10(counts + 0.1) - math.log10(tokens + 0.1 * (vocabulary + 1))
 
+    def __reduce__(self) -> tuple:
+        return Common, self.sent
+
     def codes(self, h: np.ndarray) -> np.ndarray:
         """1 and more: the rank of a frequent word; 0: another."""
         out = np.zeros(len(h), np.int32)
