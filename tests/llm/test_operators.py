@@ -5,9 +5,11 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -600,3 +602,13 @@ def test_suffix_tree_sends_words_and_counts_only():
         assert np.array_equal(getattr(own, name), getattr(got, name))
     assert np.array_equal(own.codes(h), got.codes(h)) and sorted(own.codes(h)) == list(range(1, len(h) + 1))
     assert all(np.array_equal(a.keys, b.keys) and np.array_equal(a.bits, b.bits) and np.array_equal(x, y) for (a, x), (b, y) in zip(own.hot, got.hot, strict=True))
+
+
+def test_lines_keep_no_keys(spark, docs, scratch):
+    """The keys of lines, most of what is written of them, are gone when the classes are known, and the classes can still be read."""
+    own = Path(scratch.root.removeprefix("file://"))
+    there = set(own.parent.glob("lines-*"))
+    found = op10_lines.near_lines(docs, scratch, min_chars=20)
+    tables = [p for d in {own, *own.parent.glob("lines-*")} - there for p in d.rglob("*.parquet")]
+    assert tables and not any({"own", "probes"} & set(pq.read_schema(p).names) for p in tables)
+    assert found.filter("removed").count() > 0

@@ -225,9 +225,13 @@ def near_lines(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
         for batch in batches:
             yield from batch_lines(batch.column(0), batch.column(1), tau, least, short)
 
-    lines = scratch.save(docs.mapInArrow(run, f"h long, at array<struct<doc:{kind},no:int>>, own array<long>, probes array<long>"))
-    items = lines.select(F.col("h").alias("id"), F.size("own").alias("own"), F.concat("own", "probes").alias("keys"))
+    # keys are most of what is known of a line, and go as soon as the shared ones are found
+    keyed = Scratch(scratch.spark, "lines")
+    every = keyed.save(docs.mapInArrow(run, f"h long, at array<struct<doc:{kind},no:int>>, own array<long>, probes array<long>"))
+    items = every.select(F.col("h").alias("id"), F.size("own").alias("own"), F.concat("own", "probes").alias("keys"))
     rows = shared(items, scratch)
+    lines = scratch.save(every.select("h", "at"))
+    keyed.drop()
 
     def texts_of(needed: DataFrame) -> DataFrame:
         """(h, line) of lines (h), each from one of its occurrences."""
