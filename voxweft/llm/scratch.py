@@ -56,6 +56,10 @@ class Scratch:
             self.spark.conf.set(CLEAN_KEY, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """A path beside the tables, for files that are written otherwise; it goes with them."""
+        return f"{self.root}/{name}"
+
     def free(self) -> None:
         """Lets Spark's cleaner remove shuffle files and broadcasts of plans that nothing refers to any longer."""
         gc.collect()
