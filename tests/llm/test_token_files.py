@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -50,7 +51,19 @@ def test_ids_of_odd_texts(library):
     rng = random.Random(5)
     alphabet = ["a", "B", "é", "é", "́", " ", " ", "\n", "\t", "\r", " ", "　", "\x1c", "\x85", "'s", "'", "1", "<|endoftext|>", "Σ", "İ", "\U0001f600", "你", "ᄀ", "ᅡ", "?!", "‍", "ſ"]
     for text in ["", " ", "\n", *["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(3000)]]:
-        assert list(np.frombuffer(c.encode(text), "<i4")) == library(text)[:-1], repr(text)
+        assert c.encode(pa.array([text], pa.string()))[0].tolist() == library(text)[:-1], repr(text)
+
+
+def test_words_are_kept_in_bounds(library, monkeypatch):
+    monkeypatch.setattr(op13_token_files, "KEPT", 50)
+    with open(default_tokenizer(), encoding="utf-8") as f:
+        c = op13_token_files.Coder(f.read())
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randrange(10 ** rng.randrange(1, 4))}" for _ in range(20)) for _ in range(3)] + ["", "x" * 99]
+        ids, sizes = c.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(sizes)[:-1])] == [library(t)[:-1] for t in texts]
+        assert len(c.kept) <= 50 and len(c.old) <= 50
 
 
 def test_other_vocabularies_are_encoded_whole():
@@ -61,7 +74,7 @@ def test_other_vocabularies_are_encoded_whole():
         content = f.read()
     assert not parts_at_spaces(content)
     text = " two  spaces\nand a line"
-    assert list(np.frombuffer(op13_token_files.Coder(content).encode(text), "<i4")) == Tokenizer.from_str(content).encode(text).ids
+    assert op13_token_files.Coder(content).encode(pa.array([text]))[0].tolist() == Tokenizer.from_str(content).encode(text).ids
 
 
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])

@@ -24,30 +24,34 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .bytetext import release
-from .op9_bpe import Ids
 from .scratch import Scratch, read_table
 
 OWN = ("run", "at", "n_tokens", "ids", "start")
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 1000
 ENCODINGS = ("dictionary", "delta")
-#: Texts that go to a file at once: so many rows, or so many characters.
-BATCH_ROWS, BATCH_CHARS = 256, 1 << 22
+#: Words whose ids a worker keeps, for each of two generations (some 75 MB), and the longest of them.
+KEPT, KEPT_CHARS = 300_000, 40
 
 _loaded: dict = {}
 
 
 class Coder:
     """Ids of texts by the tokenizers library. Where a vocabulary's pattern takes no white space, no token reaches over
-    a space, so texts are encoded word by word, and words that a worker meets again once, as far as a bounded store holds them."""
+    a space, so texts are encoded word by word, and words that a worker meets again once, as far as a bounded store holds them:
+    two generations of ``KEPT`` words; when the younger is full it becomes the older, and words met again come back from there."""
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,21 +61,43 @@ class Coder:
         made.no_truncation()
         made.no_padding()
         self.by_word = parts_at_spaces(content)
-        self.kept = Ids(self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.made.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Four bytes for each id, little-endian."""
-        if not self.by_word:
-            return self.whole(text)
-        return b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
-
-    def forget(self) -> None:
-        self.kept.clear()
-        self.kept.old = {}
-        release()
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.made.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts in order, and their number by text."""
+        if self.by_word:
+            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            coded = split.flatten().dictionary_encode()
+            of, ends = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+            words = coded.dictionary.to_pylist()
+        else:
+            words, of, ends = texts.to_pylist(), np.arange(len(texts)), np.arange(len(texts) + 1)
+        got = self.known(words) if self.by_word else self.whole(words)
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        flat, begins = np.frombuffer(b"".join(got), "<i4"), np.cumsum(sizes) - sizes
+        size = sizes[of]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.repeat(begins[of] - before[:-1], size) + np.arange(before[-1])]
+        return ids, np.diff(before[ends])
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Ids of different words."""
+        got = list(map(self.kept.get, words))
+        missing = [k for k, g in enumerate(got) if g is None]
+        again = [self.old.get(words[k]) for k in missing]
+        new = [k for k, g in zip(missing, again, strict=True) if g is None]
+        for k, g in chain(zip(missing, again, strict=True), zip(new, self.whole([words[k] for k in new]), strict=True)):
+            if g is not None:
+                got[k] = g
+                if len(self.kept) >= KEPT:
+                    self.old, self.kept = self.kept, {}
+                if len(words[k]) <= KEPT_CHARS:
+                    self.kept[words[k]] = g
+        return got
 
 
 def parts_at_spaces(content: str) -> bool:
@@ -92,18 +118,6 @@ def coder(content: str) -> Coder:
     return _loaded[content]
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Begins and ends of parts of bounded size; a longer text is a part of its own."""
-    begin = size = 0
-    for k, t in enumerate(texts):
-        if k > begin and (k - begin == BATCH_ROWS or size + len(t) > BATCH_CHARS):
-            yield begin, k
-            begin, size = k, 0
-        size += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def write_tokens(
     df: DataFrame, path: str, tokenizer_path: str, end_id: int | None = None, encoding: str = "dictionary", row_group: int = ROW_GROUP, page: int = PAGE, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> None:
@@ -117,7 +131,7 @@ def write_tokens(
         raise ValueError(f"columns {sorted(clash)} have names of the files' own")
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
-    end = b"" if end_id is None else end_id.to_bytes(4, "little")
+    prepare(df.sparkSession)
     rows = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("_text"), *[df[c] for c in keep])
     rows = rows.withColumn("_order", F.xxhash64("_text")).repartitionByRange("_id", "_order").sortWithinPartitions("_id", "_order")
     kinds = dict(rows.dtypes)
@@ -126,18 +140,16 @@ def write_tokens(
         c, place, at = coder(content), TaskContext.get().partitionId(), 0
         try:
             for batch in batches:
-                whole = batch.column(1).to_pylist()
-                for a, b in slices(whole):
-                    got = [c.encode(t) + end for t in whole[a:b]]
-                    sizes = np.array([len(g) // 4 for g in got], np.int64)
-                    ends = at + np.cumsum(sizes)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                    columns = {"run": pa.array(np.full(b - a, place, np.int32)), "_id": batch.column(0).slice(a, b - a), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes)}
-                    columns |= {"ids": pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(got), "<i4")))} | {name: batch.column(name).slice(a, b - a) for name in keep}
-                    at = int(ends[-1])
-                    yield pa.RecordBatch.from_pydict(columns)
+                ids, sizes = c.encode(batch.column(1))
+                if end_id is not None:
+                    ids, sizes = np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
+                ends = at + np.cumsum(sizes)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                columns = {"run": pa.array(np.full(len(sizes), place, np.int32)), "_id": batch.column(0), "at": pa.array(ends - sizes), "n_tokens": pa.array(sizes)}
+                yield pa.RecordBatch.from_pydict(columns | {"ids": pa.ListArray.from_arrays(offsets, pa.array(ids))} | {name: batch.column(name) for name in keep})
+                at = int(ends[-1]) if len(ends) else at
         finally:
-            c.forget()
+            release()
 
     out = rows.mapInArrow(run, f"run int, _id {kinds['_id']}, at long, n_tokens long, ids array<int>" + "".join(f", `{c}` {kinds[c]}" for c in keep))
     written(out.withColumnRenamed("_id", id_col), f"{path}/tokens", encoding, row_group, page)
