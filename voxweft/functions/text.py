@@ -1,19 +1,17 @@
 """Text normalisation and tokens.
 
 The steps, in order: Unicode form, full-width letters, control characters, punctuation, digits, case, white space, the form
-again, number words. Every step that Spark has functions for is a column expression; the forms and case folding,
-which it lacks, are one Arrow UDF that a plan for plain ASCII text leaves out.
+again, number words. All steps but number words are column expressions; for plain ASCII texts the forms are left out.
 """
 
 from __future__ import annotations
 
-import unicodedata
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .forms import folded, with_form
 from .numbers import digits_to_words, spoken_runs, words_to_digits
 
 #: Full-width digits and letters, and what they stand for.
@@ -54,26 +52,6 @@ PRESETS = {
 }
 
 
-def with_form(text: Column, form: str) -> Column:
-    """NFC, NFD, NFKC or NFKD."""
-
-    @F.arrow_udf("string")
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else unicodedata.normalize(form, v) for v in values.to_pylist()], pa.string())
-
-    return run(text)
-
-
-def folded(text: Column) -> Column:
-    """Full case folding."""
-
-    @F.arrow_udf("string")
-    def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else v.casefold() for v in values.to_pylist()], pa.string())
-
-    return run(text)
-
-
 def halfwidth(text: Column) -> Column:
     """The 62 full-width digits and letters as ASCII; other full-width characters stay."""
     return F.translate(text, WIDE, PLAIN)

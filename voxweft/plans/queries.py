@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers, text
+from ..functions import forms, numbers, text
 from ..operators import alignment, analysis, calibration, grid, ngram, rescoring, timings, voting
 from ..session import prepare
 from ..sources import manifests, models, reports, rows
@@ -699,6 +699,57 @@ def unit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), numbers.unit(word).alias("unit"))
 
 
+@query("SELECT 'd' || doc_id AS id, nfc_normalize(text) AS nfc, strip_accents(text) AS bare FROM documents UNION ALL SELECT 'p' || page_id, nfc_normalize(html), strip_accents(html) FROM pages")
+def unicode_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents and pages decomposed and composed again, and decomposed without their marks."""
+    docs = bridge.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    t = docs.unionByName(bridge.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text")))
+    parts = t.select("id", text.with_form(F.col("text"), "NFD").alias("nfd"))
+    return parts.select("id", text.with_form(F.col("nfd"), "NFC").alias("nfc"), F.regexp_replace("nfd", r"\p{M}", "").alias("bare"))
+
+
+def fold_sql(value: str) -> str:
+    """Case folding in SQL: characters that fold to several one by one, the others by translation."""
+    table = {c: f for c, f in forms.folds().items() if c != "'"}
+    for c, f in table.items():
+        if len(f) > 1:
+            value = f"replace({value}, '{c}', '{f}')"
+    single = [c for c, f in table.items() if len(f) == 1]
+    return f"translate({value}, '{''.join(single)}', '{''.join(table[c] for c in single)}')"
+
+
+_document("case_fold", text.folded, fold_sql("text"))
+
+
+def number_sql(n: str) -> str:
+    """English words of a whole number below a million in SQL."""
+    below_hundred = lambda x: f"CASE WHEN {x} >= 20 THEN concat_ws(' ', tens[{x} // 10 + 1], CASE WHEN {x} % 10 > 0 THEN ones[{x} % 10 + 1] END) WHEN {x} > 0 THEN ones[{x} + 1] END"
+    below_thousand = lambda x: f"concat_ws(' ', CASE WHEN {x} >= 100 THEN ones[{x} // 100 + 1] || ' hundred' END, {below_hundred(f'({x} % 100)')})"
+    return f"CASE WHEN {n} = 0 THEN 'zero' ELSE concat_ws(' ', CASE WHEN {n} >= 1000 THEN {below_thousand(f'({n} // 1000)')} || ' thousand' END, CASE WHEN {n} % 1000 > 0 THEN {below_thousand(f'({n} % 1000)')} END) END"
+
+
+SQL_NUMBER_LISTS = f"string_split('{' '.join(numbers.ONES)}', ' ') AS ones, string_split('x x {' '.join(numbers.TENS)}', ' ') AS tens"
+
+
+@query(
+    f"""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[0-9]+|[^0-9]+'), lambda p: CASE WHEN p[1] BETWEEN '0' AND '9' AND length(ltrim(p, '0')) <= 6 THEN {number_sql("(p::BIGINT)")} ELSE p END), '') AS v
+FROM (SELECT *, {SQL_NUMBER_LISTS} FROM documents)"""
+)
+def digits_spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of digits in whole texts as words."""
+    return bridge.table(spark, sf_dir, "documents").select("doc_id", numbers.spoken_runs(F.col("text")).alias("v"))
+
+
+_SQL_CLEAN = r"regexp_replace(nfc_normalize(text), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\p{Cf}\x{FE00}-\x{FE0F}]', '', 'g')"
+_SQL_WORDS = rf"nfc_normalize(regexp_replace({_SQL_CLEAN}, '\p{{P}}', '', 'g'))"
+
+
+@query(rf"SELECT doc_id, nfc_normalize(trim(regexp_replace({fold_sql(_SQL_WORDS)}, '[ \t\n\r\p{{Z}}]+', ' ', 'g'))) AS v FROM documents")
+def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through all steps, letters of all scripts kept."""
+    return bridge.table(spark, sf_dir, "documents").select("doc_id", text.normalized(F.col("text"), text.Normal(form="NFC", halfwidth=False)).alias("v"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest lines of the events, some of them wrong."""
     k = F.pmod("event_id", F.lit(12))
