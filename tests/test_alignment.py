@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from itertools import chain, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +98,37 @@ def test_band_and_whole_table_agree():
         steps, cost = A.best_path(ref, hyp, band=width)
         assert cost >= whole[1] == sum(s[0] != A.MATCH for s in whole[0]) and cost == sum(s[0] != A.MATCH for s in steps)
         assert [s[1] for s in steps if s[1] is not None] == ref and [s[2] for s in steps if s[2] is not None] == hyp
+
+
+def test_unit_paths_are_the_best_ones():
+    """Steps and ties are those of the table, for all small pairs and random larger ones."""
+    rng = random.Random(11)
+    small = [list(p) for n in range(5) for p in product("abc", repeat=n)]
+    large = [([rng.choice("abcde"[: rng.randint(1, 5)]) for _ in range(rng.randint(0, 150))], [rng.choice("abcde") for _ in range(rng.randint(0, 150))]) for _ in range(150)]
+    for a, b in chain(((a, b) for a in small for b in small), large):
+        steps = [(op, None if i is None else a[i], None if j is None else b[j]) for op, i, j in A.unit_path(a, b)]
+        assert steps == A.best_path(a, b)[0]
+
+
+def test_paths_of_long_tracks():
+    """25,000 tokens on both sides, within bounded memory."""
+    rng = random.Random(3)
+    a = [str(rng.randrange(400)) for _ in range(25_000)]
+    b = [t for t in a if rng.random() > 0.05]
+    b = [t if rng.random() > 0.05 else "other" for t in b]
+    tracemalloc.start()
+    steps = A.unit_path(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    assert [i for _, i, _ in steps if i is not None] == list(range(len(a))) and [j for _, _, j in steps if j is not None] == list(range(len(b)))
+    assert all((op == A.MATCH) == (i is not None and j is not None and a[i] == b[j]) for op, i, j in steps)
+    assert sum(op != A.MATCH for op, _, _ in steps) == A.token_distance(a, b)
+
+
+def test_path_columns(spark):
+    rows = [(1, ["a", "b"], ["a", "b"]), (2, ["a"], []), (3, [], []), (4, None, ["x"]), (5, ["a", "b", "c"], ["b", "c", "d"]), (6, None, None)]
+    df = spark.createDataFrame(rows, "k int, r array<string>, h array<string>")
+    for r in df.select("k", "r", "h", A.edit_ops(F.col("r"), F.col("h")).alias("o"), A.edit_path(F.col("r"), F.col("h")).alias("p")).collect():
+        want = A.best_path(r["r"] or [], r["h"] or [])[0]
+        assert [tuple(o) for o in r["o"]] == want and [(o["op"], o["i"] is None, o["j"] is None) for o in r["p"]] == [(w[0], w[1] is None, w[2] is None) for w in want]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .alignment import DEL, INS, edit_ops
+from .alignment import edit_path
 
 def _order() -> Window:
     return Window.partitionBy("track").orderBy("idx")
@@ -87,17 +87,6 @@ def align_tracks(ref: DataFrame, hyp: DataFrame) -> DataFrame:
     lists = lambda t, n: t.groupBy("track").agg(F.array_sort(F.collect_list(F.struct("idx", "token", "start_s", "end_s"))).alias(n))
     both = lists(ref, "r").join(lists(hyp, "h"), "track")
     words = lambda c: F.transform(c, lambda x: x["token"])
-    t = both.withColumn("ops", edit_ops(words("r"), words("h")))
-    state = F.aggregate(
-        "ops",
-        F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast("array<struct<op:string,i:int,j:int>>").alias("out")),
-        lambda s, o: F.struct(
-            (s["i"] + F.when(o["op"] == INS, 0).otherwise(1)).alias("i"),
-            (s["j"] + F.when(o["op"] == DEL, 0).otherwise(1)).alias("j"),
-            F.concat(s["out"], F.array(F.struct(o["op"].alias("op"), F.when(o["op"] != INS, s["i"]).alias("i"), F.when(o["op"] != DEL, s["j"]).alias("j")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    t = t.select("track", "r", "h", F.posexplode(state).alias("step", "o"))
+    t = both.select("track", "r", "h", F.posexplode(edit_path(words("r"), words("h"))).alias("step", "o"))
     timed = F.coalesce(F.get("h", F.col("o.j")), F.get("r", F.col("o.i")))
     return t.select("track", "step", "o.op", F.col("o.i").alias("ref_idx"), F.col("o.j").alias("hyp_idx"), timed["start_s"].alias("start_s"), timed["end_s"].alias("end_s"))
