@@ -329,8 +329,52 @@ def test_jaccard_of_real_rows(spark, scratch):
 
 def test_jaccard_cases(docs, none, scratch):
     assert op8_jaccard.ngram_join(none, scratch).count() == 0
-    twice = op8_jaccard.ngram_join(docs.union(docs), scratch)
-    assert twice.count() == 2 * docs.count()
+    twice = op8_jaccard.ngram_join(docs.union(docs), scratch).select("doc_id", "n_shingles", "component_id").collect()
+    once = op8_jaccard.ngram_join(docs, scratch).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(twice) == Counter(once + once)
+
+
+def by_id(rows, k, num):
+    """Components where rows of one id are one document, by comparison of all pairs of rows."""
+    n, root = len(rows), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+    sets = [grams(t) for _, t in rows]
+    for a in range(n):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if (rows[a][0] is not None and rows[a][0] == rows[b][0]) or (both and 100 * both >= num * len(sets[a] | sets[b])):
+                root[find(a)] = find(b)
+    least = {}
+    for a in range(n):
+        if rows[a][0] is not None:
+            least[find(a)] = min(rows[a][0], least.get(find(a), rows[a][0]))
+    return Counter((rows[a][0], len(sets[a]), least.get(find(a))) for a in range(n))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_jaccard_of_repeated_ids(spark, scratch, kind):
+    """One id with two texts connects what either is linked with, in any order of rows."""
+    rng = random.Random(2)
+    a, b, c = ([f"w{rng.randrange(500)}" for _ in range(160)] for _ in range(3))
+    near = lambda t, k: " ".join([*t[: 20 * k], "other", *t[20 * k + 1 :]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 1)), (3, near(b, 2)), (4, " ".join(c)), (4, None), (5, near(c, 3)), (7, "alone"), (7, "alone"), (None, near(c, 4)), (None, "x y"), (6, "x y"), (9, ""), (9, " ".join(a))]
+    rows = [(i if i is None or kind == "long" else f"d{i}", t) for i, t in rows]
+    for _ in range(2):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+        got = op8_jaccard.ngram_join(df, scratch, k=3, num=90).select("doc_id", "n_shingles", "component_id").collect()
+        assert Counter(map(tuple, got)) == by_id(rows, 3, 90)
+    first = {r[2] for r in by_id(rows, 3, 90) if r[0] in (1, 2, 3, "d1", "d2", "d3")}
+    assert first == {1 if kind == "long" else "d1"}
 
 
 # --- tokens ---

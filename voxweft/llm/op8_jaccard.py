@@ -13,8 +13,7 @@ only made between clusters.
 
 Exact up to equal 64-bit hashes of different shingles. The elements that go last are found over all documents: each
 task counts what it reads, and the most frequent, ``LAST`` at most, go last; which ones these are changes the work, not the
-links. Ids are whole numbers. Rows of one id are one document; if their texts differ, each is linked by its own set, and sets
-that several rows of one id have are candidates by one of them.
+links. Rows of one id are one document: if their texts differ, what any of them is linked with is connected (see ``ngram_join``).
 
 Defined cases: null texts and texts without words have an empty set and no link; texts of fewer than k words have one
 shingle, their whole sequence; equal sets are linked; repeated rows each get their result; an empty table gives an
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, buffer, mix, shingles, slices, sorted_set, words
-from .links import linked, narrowed, shared
+from .links import components, linked, narrowed, shared
 from .scratch import Scratch, least_common, read_table
 from .tiles import with_partner
 
@@ -206,8 +205,29 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
 
 def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """For each row: the id, ``n_shingles`` and ``component_id``, the least id it is connected with by links of a
-    Jaccard index of num/den or more, itself included."""
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+    Jaccard index of num/den or more, itself included.
+
+    Ids are of any type that has an order. Rows of one id are one document of several texts: what any of them is linked with is
+    connected. Where ids repeat, are null or are no whole numbers, rows are numbered first and their components are put together by id
+    afterwards; rows without an id are connected by links alone."""
+    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    whole = dict(docs.dtypes)["id"] in ("tinyint", "smallint", "int", "bigint")
+    if whole and docs.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
+        out = joined(docs.select(F.col("id").cast("long"), "text"), scratch, k, num, den)
+        return out.select(F.col("id").alias(id_col), "n_shingles", F.col("comp").alias("component_id"))
+    rows = scratch.save(docs.withColumn("row", F.monotonically_increasing_id()))
+    found = joined(rows.select(F.col("row").alias("id"), "text"), scratch, k, num, den).withColumnRenamed("id", "row")
+    found = scratch.save(found.join(rows.select("row", F.col("id").alias("doc")), "row"))
+    least = found.filter("doc IS NOT NULL").groupBy("doc").agg(F.min("comp").alias("a"))
+    edges = found.join(least, "doc").select("a", F.col("comp").alias("b")).filter("a <> b").distinct()
+    merged = components(edges, scratch).select(F.col("id").alias("comp"), F.col("comp").alias("whole"))
+    out = scratch.save(found.join(merged, "comp", "left").withColumn("whole", F.coalesce("whole", "comp")))
+    names = out.groupBy("whole").agg(F.min("doc").alias("component_id"))
+    return out.join(names, "whole").select(F.col("doc").alias(id_col), "n_shingles", "component_id")
+
+
+def joined(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
+    """(id, n_shingles, comp) of texts with different whole numbers as ids."""
     sig = scratch.save(signatures(docs, scratch, k, num, den))
     classes = sig.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("id").alias("node"))
     own = sig.filter("n > 0").join(classes, ["n", "h1", "h2"])
@@ -242,7 +262,7 @@ def ngram_join(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     _, comp = linked(rows, scratch, verify, across, shared(minima, scratch))
     node = sig.select("id", "n", "h1", "h2").join(classes, ["n", "h1", "h2"], "left")
     out = node.join(comp.withColumnRenamed("id", "node"), "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "id").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("comp", "node", "id").alias("comp"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
