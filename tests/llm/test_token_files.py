@@ -49,7 +49,7 @@ def test_ids_of_odd_texts(library):
         c = op13_token_files.Coder(f.read())
     assert c.by_word
     rng = random.Random(5)
-    alphabet = ["a", "B", "é", "é", "́", " ", " ", "\n", "\t", "\r", " ", "　", "\x1c", "\x85", "'s", "'", "1", "<|endoftext|>", "Σ", "İ", "\U0001f600", "你", "ᄀ", "ᅡ", "?!", "‍", "ſ"]
+    alphabet = ["a", "B", "é", "é", "́", " ", " ", "\n", "\t", "\r", " ", "　", "\x1c", "\x85", ".", ",", "...", "?.", "A", "H", "j", "̱", "̌", "<|ENDOFTEXT|>", "A.", "'s", "'", "1", "<|endoftext|>", "Σ", "İ", "\U0001f600", "你", "ᄀ", "ᅡ", "?!", "‍", "ſ"]
     for text in ["", " ", "\n", *["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(3000)]]:
         assert c.encode(pa.array([text], pa.string()))[0].tolist() == library(text)[:-1], repr(text)
 

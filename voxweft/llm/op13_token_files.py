@@ -42,8 +42,10 @@ from .scratch import Scratch, read_table
 OWN = ("run", "at", "n_tokens", "ids", "start")
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 1000
 ENCODINGS = ("dictionary", "delta")
-#: Words whose ids a worker keeps, for each of two generations (some 75 MB), and the longest of them.
-KEPT, KEPT_CHARS = 300_000, 40
+#: Words whose ids a worker keeps, for each of two generations (some 50 MB), and the longest of them.
+KEPT, KEPT_CHARS = 200_000, 40
+#: A Latin letter, and a mark after it that belongs to no contraction and no added token.
+LETTER_AND_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
 
 _loaded: dict = {}
 
@@ -61,6 +63,8 @@ class Coder:
         made.no_truncation()
         made.no_padding()
         self.by_word = parts_at_spaces(content)
+        self.marks = self.by_word and all(len(made.pre_tokenizer.pre_tokenize_str(f"é{m}")) == 2 for m in ".,;:!?")
+        self.lowers = '"Lowercase"' in json.dumps(json.loads(content).get("normalizer"))
         self.kept: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -70,7 +74,7 @@ class Coder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts in order, and their number by text."""
         if self.by_word:
-            split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            split = pc.split_pattern(pc.replace_substring(self.likened(texts), "\n", " "), " ")
             coded = split.flatten().dictionary_encode()
             of, ends = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
             words = coded.dictionary.to_pylist()
@@ -84,6 +88,12 @@ class Coder:
         ids = flat[np.repeat(begins[of] - before[:-1], size) + np.arange(before[-1])]
         return ids, np.diff(before[ends])
 
+    def likened(self, texts: pa.Array) -> pa.Array:
+        """The texts with fewer different words and the same ids: a space before a mark that ends a run of letters, where a
+        pre-token ends anyway, and small ASCII letters for capitals where no mark may compose with one and no added token begins."""
+        apart = pc.replace_substring_regex(texts, LETTER_AND_MARK, r"\1 \2") if self.marks else texts
+        return pc.if_else(pc.match_substring_regex(apart, "[\u0300-\u036f]|<\\|"), apart, pc.ascii_lower(apart)) if self.lowers else apart
+
     def known(self, words: list[str]) -> list[bytes]:
         """Ids of different words."""
         got = list(map(self.kept.get, words))
@@ -107,7 +117,7 @@ def parts_at_spaces(content: str) -> bool:
     steps = spec.get("pre_tokenizer") or {}
     split = (steps.get("pretokenizers") or [steps])[0]
     drops = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and " " not in split["pattern"].get("Regex", " ")
-    return bool(drops and spec["model"].get("end_of_word_suffix")) and not any(c.isspace() or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []) for c in t["content"])
+    return bool(drops and spec["model"].get("end_of_word_suffix")) and not any(c.isspace() or c in ".,;:!?" or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", []) for c in t["content"])
 
 
 def coder(content: str) -> Coder:
