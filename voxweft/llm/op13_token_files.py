@@ -42,8 +42,8 @@ from .scratch import Scratch, read_table
 OWN = ("run", "at", "n_tokens", "ids", "start")
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 1000
 ENCODINGS = ("dictionary", "delta")
-#: Words whose ids a worker keeps, for each of two generations (some 50 MB), and the longest of them.
-KEPT, KEPT_CHARS = 200_000, 40
+#: Words whose ids a worker keeps, for each of two generations (some 60 MB), and the longest of them.
+KEPT, KEPT_CHARS = 250_000, 40
 #: A Latin letter, and a mark after it that belongs to no contraction and no added token.
 LETTER_AND_MARK = "([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?])"
 
@@ -85,7 +85,9 @@ class Coder:
         flat, begins = np.frombuffer(b"".join(got), "<i4"), np.cumsum(sizes) - sizes
         size = sizes[of]
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = flat[np.repeat(begins[of] - before[:-1], size) + np.arange(before[-1])]
+        at = np.arange(before[-1], dtype=np.int32)
+        at += np.repeat((begins[of] - before[:-1]).astype(np.int32), size)
+        ids = flat.take(at)
         return ids, np.diff(before[ends])
 
     def likened(self, texts: pa.Array) -> pa.Array:
