@@ -35,6 +35,14 @@ def test_gap_columns(spark):
     assert got["keep"] == [(0, "*", 0.0), (1, "a", 1.0)] and got["drop"] == [(1, "a", 1.0)] and got["vote"] == [(0, "*", 1.0), (1, "*", 0.5)]
 
 
+@pytest.mark.parametrize("n", [1, 64, 65, 1000])
+def test_seeded_ties_of_any_size(spark, n):
+    tokens = sorted(f"t{k}" for k in range(n))
+    df = spark.createDataFrame([("u", 0, k, t) for k, t in enumerate(tokens)], "utt_id string, col int, hyp int, token string")
+    got = voting.fuse(df, voting.Fusion(tie_break="seeded", seed=7)).first()["token"]
+    assert got == random.Random(7).choice(tokens)
+
+
 @pytest.mark.parametrize("seed", [0, 3, 8])
 def test_seeded_tie(spark, seed):
     df = spark.createDataFrame([(1, 0, h, t) for h, t in enumerate("cab")], "utt_id int, col int, hyp int, token string")

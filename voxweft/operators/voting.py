@@ -10,6 +10,7 @@ import random
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +48,17 @@ POLICIES: dict[str, Callable[[Column, Fusion], Column]] = {
 }
 
 
+def seeded_draw(ties: Column, seed: int) -> Column:
+    """Which of so many tied tokens a seeded generator of the standard library draws, counted from 1; once for each number of a batch."""
+
+    @F.arrow_udf("long")
+    def draw(sizes: pa.Array) -> pa.Array:
+        drawn = {n: random.Random(seed).choice(range(1, n + 1)) for n in sizes.unique().to_pylist() if n}
+        return pa.array([drawn.get(n) for n in sizes.to_pylist()], pa.int64())
+
+    return draw(ties)
+
+
 def fuse(cells: DataFrame, config: Fusion = Fusion(), keys: Sequence[str] = ("utt_id",), score: str | None = None) -> DataFrame:  # noqa: B008
     """(keys, col, token, confidence, agreement, margin, entropy) of each column's winner."""
     column = [*keys, "col"]
@@ -63,9 +75,8 @@ def fuse(cells: DataFrame, config: Fusion = Fusion(), keys: Sequence[str] = ("ut
     chosen = F.lit(1)
     if config.tie_break == "seeded":
         ties = F.sum((F.col("mass") == F.col("largest")).cast("int")).over(w)
-        draws = [random.Random(config.seed).choice(range(1, n + 1)) for n in range(1, 65)]
-        tokens = tokens.withColumn("largest", F.max("mass").over(w)).withColumn("ties", ties)
-        chosen = F.get(F.array(*[F.lit(d) for d in draws]), F.least(F.col("ties"), F.lit(64)) - 1)
+        tokens = tokens.withColumn("largest", F.max("mass").over(w)).withColumn("ties", ties).withColumn("chosen", seeded_draw(F.col("ties"), config.seed))
+        chosen = F.col("chosen")
     tokens = _statistics(tokens, w, order)
     won = tokens.filter(F.col("rn") == chosen)
     positive = F.col("total") > 0
