@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import SUB
 
-#: Cumulative probabilities of a Poisson variable of mean 1.
-POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+#: Cumulative probabilities of a Poisson variable of mean 1, as far as a uniform number of 32 bits can tell them from 1.
+POISSON = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
 
 
 def field_slice(column: Column) -> Column:
