@@ -1,10 +1,12 @@
 import math
 import random
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxweft.operators import analysis, calibration, grid, ngram, voting
+from voxweft.operators import analysis, calibration, draws, grid, ngram, voting
 from voxweft.sources import models
 
 
@@ -69,14 +71,52 @@ def test_language_model(spark, tmp_path):
     assert ngram.lm_scores(hyp, back, ["k"], method="arpa").first()["lm_score"] <= 0
 
 
-def test_sequential_bootstrap():
+@pytest.mark.parametrize(("n", "block"), [(1, 2), (5, 64), (700, 256), (1024, 1024), ((1 << 33) + 5, 128)])
+def test_draws_equal_a_sequential_program(n, block):
+    rng, first = random.Random(7), draws.first_state(7)
+    powers = draws.jumps(block, 40)
+    found = [v for b in range(40) for part in draws.accepted(draws.jumped(first, b, powers), block, n) for v in part.tolist()]
+    assert len(found) >= 40 * block // 4 and found == [rng.randrange(n) for _ in found]
+
+
+def test_draws_by_replicate(spark, monkeypatch):
+    monkeypatch.setattr(draws, "CHUNK", 512)
+    rng = random.Random(3)
+    want = {rep: sorted(rng.randrange(300) for _ in range(300)) for rep in range(70)}
+    got: dict[int, list[int]] = {}
+    for r in draws.draws(spark, 300, 70, 3, block=8192).collect():
+        assert r["lot"] == r["rep"] // draws.LOT
+        got.setdefault(r["rep"], []).extend(r["part"] * draws.WIDTH + np.frombuffer(r["at"], "<u2"))
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert draws.draws(spark, 0, 5, 1).count() == 0 and draws.draws(spark, 5, 0, 1).count() == 0
+
+
+def test_sequential_bootstrap(spark):
     rng = random.Random(4)
-    a = [rng.random() for _ in range(9)]
-    b = [x + 0.1 for x in a]
-    lo, hi, p = analysis.sequential_bootstrap(a, b, 50, seed=1)
-    assert lo == pytest.approx(0.1) and hi == pytest.approx(0.1) and p == pytest.approx(1 / 51)
-    draws = random.Random(1)
-    assert analysis.drawn_indices(3, 2, 1) == [[draws.randrange(3) for _ in range(3)] for _ in range(2)]
+    rows = [(f"u{i:03d}", rng.choice([0.0, 0.25, 1 / 3]), rng.choice([0.0, 0.25, 1 / 3])) for i in range(50)]
+    df = spark.createDataFrame(rows[::-1], "id string, a double, b double").repartition(5).withColumn("a2", F.col("b") + 1)
+    got = {r["metric"]: r for r in analysis.sequential_bootstrap(df, ["id"], [("a", "b"), ("b", "a2")], 90, 1, 0.9).collect()}
+    draw = random.Random(1)
+    deltas = []
+    for _ in range(90):
+        at = [draw.randrange(50) for _ in range(50)]
+        deltas.append(statistics.fmean(rows[i][2] for i in at) - statistics.fmean(rows[i][1] for i in at))
+    lo, hi = np.percentile(deltas, [5, 95])
+    assert (got["b"]["lo"], got["b"]["hi"]) == pytest.approx((lo, hi), rel=1e-12, abs=1e-15)
+    assert got["b"]["p_value"] == (sum(d <= 0 for d in deltas) + 1) / 91 and got["b"]["n"] == 50
+    assert got["a2"]["lo"] == pytest.approx(1) and got["a2"]["delta"] == pytest.approx(1)
+    assert analysis.sequential_bootstrap(df.limit(0), ["id"], [("a", "b")], 9, 1).collect() == []
+    hole = df.withColumn("b", F.when(F.col("id") != "u007", F.col("b")))
+    assert list(analysis.sequential_bootstrap(hole, ["id"], [("a", "b")], 9, 1).first()) == ["b", None, None, None, None, 50]
+
+
+def test_drawn_means_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(draws, "WIDTH", 16)
+    df = spark.range(100).select((99 - F.col("id")).alias("k"), (F.col("id") % 7).cast("double").alias("v"))
+    draw = random.Random(5)
+    want = [statistics.fmean((99 - draw.randrange(100)) % 7 for _ in range(100)) for _ in range(6)]
+    got = sorted(draws.drawn_means(df, ["k"], ["v"], 6, 5, block=64).collect())
+    assert [r["v"] for r in got] == pytest.approx(want, rel=1e-12)
 
 
 def test_utterance_confidence(spark):

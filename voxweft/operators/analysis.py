@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..saved import saved
 from .alignment import SUB
+from .draws import drawn_means
 
 #: Cumulative probabilities of a Poisson variable of mean 1, as far as a uniform number of 32 bits can tell them from 1.
 POISSON = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(13)))
@@ -108,29 +109,21 @@ def bootstrap_interval(replicated: DataFrame, level: float = 0.95, by: Sequence[
     )
 
 
-def drawn_indices(n: int, replicates: int, seed: int) -> list[list[int]]:
-    """Rows of each replicate as a seeded generator of the standard library draws them, for results that must be equal
-    to those of a sequential program; for small n."""
-    rng = random.Random(seed)
-    return [[rng.randrange(n) for _ in range(n)] for _ in range(replicates)]
-
-
-def sequential_bootstrap(a: Sequence[float], b: Sequence[float], replicates: int, seed: int, level: float = 0.95) -> tuple[float, float, float]:
-    """Interval and p-value with the draws of :func:`drawn_indices`."""
-    from statistics import fmean
-
-    d = [y - x for x, y in zip(a, b, strict=True)]
-    means = sorted(fmean(d[i] for i in rows) for rows in drawn_indices(len(d), replicates, seed))
-    at = lambda q: _interpolate(means, q)
-    q = (1 - level) / 2
-    return at(q), at(1 - q), (sum(m <= 0 for m in means) + 1) / (replicates + 1)
-
-
-def _interpolate(values: Sequence[float], q: float) -> float:
-    place = q * (len(values) - 1)
-    lo = int(place)
-    hi = min(lo + 1, len(values) - 1)
-    return values[lo] + (values[hi] - values[lo]) * (place - lo)
+def sequential_bootstrap(pairs: DataFrame, order: Sequence[str], metrics: Sequence[tuple[str, str]], replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """(metric, delta, lo, hi, p_value, n): for each pair (a, b) of ``metrics`` the mean of b less that of a, and its interval
+    over replicates drawn as one seeded generator draws them from the rows in this order, all metrics from the same draws.
+    Metrics are named by their second column. Nulls make a metric's values null; without rows there is no row."""
+    columns = list(dict.fromkeys(c for pair in metrics for c in pair))
+    pairs = saved(pairs.select(*dict.fromkeys([*order, *columns])), "pairs")
+    named = lambda a, b, x: F.struct(F.lit(b).alias("metric"), x.alias("delta"))
+    each = lambda t: t.select(F.inline(F.array(*[named(a, b, F.col(b) - F.col(a)) for a, b in metrics])))
+    replicated = each(drawn_means(pairs, order, columns, replicates, seed))
+    whole = pairs.agg(F.count("*").alias("n"), *[F.when(F.count(c) == F.count("*"), F.avg(c)).alias(c) for c in columns])
+    whole = whole.select("n", F.inline(F.array(*[named(a, b, F.col(b) - F.col(a)) for a, b in metrics])))
+    missing = replicated.groupBy("metric").agg((F.count("delta") < F.count("*")).alias("missing"))
+    known = lambda c: F.when(~F.col("missing"), F.col(c)).alias(c)
+    out = whole.join(bootstrap_interval(replicated, level, ("metric",)), "metric").join(missing, "metric")
+    return out.select("metric", "delta", *[known(c) for c in ("lo", "hi", "p_value")], "n")
 
 
 def group_bias(rates: DataFrame, group: Column, id_col: str, replicates: int, seed: int) -> DataFrame:

@@ -178,6 +178,15 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.bootstrap_interval(t).select(*[r9(c).alias(c) for c in ("lo", "hi", "p_value")])
 
 
+@query()
+def bootstrap_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = rates(spark, sf_dir)
+    of = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    t = t.groupBy("utt_id").agg(*[of(rank, c).alias(f"{c}_{rank}") for c in ("cer", "wer") for rank in (1, 2)])
+    out = analysis.sequential_bootstrap(t, ["utt_id"], [("cer_1", "cer_2"), ("wer_1", "wer_2")], REPLICATES, 7)
+    return out.select("metric", *[r9(c).alias(c) for c in ("delta", "lo", "hi", "p_value")], "n")
+
+
 @query(
     f"""{DRAWS}, byg AS (SELECT speaker_group AS "group", rep, sum(w * a) / sum(w) AS delta FROM draws GROUP BY 1, 2),
 ci AS (SELECT "group", round(quantile_cont(delta, 0.025), 9) AS lo, round(quantile_cont(delta, 0.975), 9) AS hi FROM byg GROUP BY 1)
