@@ -119,6 +119,21 @@ def test_drawn_means_over_many_runs(spark, monkeypatch):
     assert [r["v"] for r in got] == pytest.approx(want, rel=1e-12)
 
 
+def test_logistic_fit_of_many_values(spark):
+    rng = random.Random(6)
+    rows = [(p, int(rng.random() < p)) for p in (rng.random() for _ in range(400))]
+    df = spark.createDataFrame([*rows, *rows[:40], (None, 1), (0.5, None)], "p double, label int")
+    p, y = np.array([*rows, *rows[:40]], float).T
+    a = b = 0.0
+    for _ in range(12):
+        residual = 1 / (1 + np.exp(-(a * p + b))) - y
+        a, b = a - 0.5 * ((residual * p).mean() + 0.01 * a), b - 0.5 * residual.mean()
+    assert calibration.fit_logistic(df, 12, 0.5, 0.01) == pytest.approx((a, b), rel=1e-9)
+    assert calibration.fit_logistic(df, 12, 0.5, 0.01, most=10) == pytest.approx((a, b), rel=1e-9)
+    with pytest.raises(ValueError):
+        calibration.fit_logistic(df.filter("label = 1"))
+
+
 def test_utterance_confidence(spark):
     df = spark.createDataFrame([([0.5, 0.25],), ([],)], "p array<double>")
     rows = df.select(*[calibration.utterance_confidence(F.col("p"), k).alias(k) for k in ("mean", "min", "geometric", "product")]).collect()

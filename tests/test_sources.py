@@ -1,9 +1,11 @@
 import json
+import posixpath
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from voxweft.sources import manifests, models, provenance, reports
+from voxweft.sources import manifests, models, paths, provenance, reports
 
 RECORDS = [
     {"schema": "x.nbest", "utterance_id": "u1", "system": "s", "language": "en", "hypotheses": [{"rank": 1, "text": "a b", "tokens": ["a", "b"], "score": -1.5}]},
@@ -83,6 +85,36 @@ def test_paths(spark):
     assert [r[0] is None for r in df.select(manifests.audio_path_fault(F.col("p"))).collect()] == [True, False, True]
 
 
+def test_joined_paths_stay_under_their_base(spark):
+    rng = random.Random(8)
+    names = ["a", "b", "..", ".", "", "...", "ä", "d.wav"]
+    path = lambda: "/".join(rng.choice(names) for _ in range(rng.randint(0, 6)))
+    rows = [(i, rng.choice(["/a", "/a/b", "/", "/a/../b/", "/a//b/."]), path(), path()) for i in range(600)]
+    rows += [(600, None, "a", "b"), (601, "/a", None, "b"), (602, "a", "b", "c"), (603, "/a", "x/" * 5000 + "../" * 5000, "y"), (604, "/a", "../ab", "c")]
+    df = spark.createDataFrame(rows, "id int, base string, p string, q string")
+    df = df.withColumn("joined", paths.safe_join(F.col("base"), F.col("p"), F.col("q")))
+    df = df.withColumn("inner", paths.relative_within(F.col("base"), F.col("joined")))
+    for r in df.collect():
+        if None in (r["base"], r["p"]) or not r["base"].startswith("/"):
+            assert r["joined"] is None and r["inner"] is None
+            continue
+        base, full = r["base"], r["base"]
+        for part in (r["p"], r["q"]):
+            full = part if part.startswith("/") else f"{full}/{part}"
+        base, full = (posixpath.normpath("/" + x.lstrip("/")) for x in (base, full))
+        under = full == base or full.startswith(base.rstrip("/") + "/")
+        assert r["joined"] == (full if under else None), r
+        assert r["inner"] == (posixpath.relpath(full, base) if under else None), r
+
+
+def test_audio_joins(spark):
+    rows = [("a.wav", "/m/a.wav"), ("", "/m"), ("a\\\\b.wav", "/m/a/b.wav"), ("/etc/x", None), ("C:/x", None), ("../x", None), ("a/../x", None), ("a b", None), ("x\0y", None), (None, None)]
+    df = spark.createDataFrame(rows, "p string, want string")
+    got = df.withColumns({"at": paths.safe_audio_join(F.lit("/m"), F.col("p")), "fault": paths.audio_join_fault(F.lit("/m"), F.col("p"))}).collect()
+    assert [r["at"] for r in got] == [r["want"] for r in got]
+    assert all((r["fault"] is None) == (r["at"] is not None or r["p"] is None) for r in got)
+
+
 def test_confusables():
     from voxweft.sources.fixtures import WORDS, Fixture
 

@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..saved import saved
+
 BLOCKS = 4096
 
 
@@ -138,19 +140,30 @@ def piecewise(p: Column, segments: Sequence[tuple[float, float, float]]) -> Colu
     return out
 
 
-def fit_logistic(df: DataFrame, iterations: int = 200, rate: float = 0.1, l2: float = 0.0) -> tuple[float, float]:
-    """(coefficient, intercept) after so many full-batch steps from 0. The rows are counted once into different
-    (p, label), of which there must be few enough for one machine; steps are taken over the counts."""
-    t = histogram(df.withColumn("p", F.round("p", 6))).toArrow()
-    p, y, c = (t.column(k).to_numpy().astype(float) for k in ("p", "label", "c"))
-    if len(set(y.tolist())) < 2:
+def fit_logistic(df: DataFrame, iterations: int = 200, rate: float = 0.1, l2: float = 0.0, most: int = 1 << 20) -> tuple[float, float]:
+    """(coefficient, intercept) after so many full-batch steps from 0. The rows are counted once by exact (p, label); rows
+    with a null in either are left out. Up to ``most`` different ones, steps are taken over their counts on one machine;
+    beyond that every step is a job that sums the gradient where the counts lie, and only the sums travel."""
+    counts = saved(histogram(df.select(F.col("p").cast("double"), F.col("label").cast("double")).filter("p is not null and label is not null")), "counts")
+    whole = counts.agg(F.sum("c").alias("n"), F.sum(F.col("label") * F.col("c")).alias("ones"), F.count("*").alias("rows")).first()
+    if not whole["rows"] or not 0 < whole["ones"] < whole["n"]:
         raise ValueError("both classes are needed")
-    features = np.stack([p, np.ones_like(p)])
-    shrink = np.array([l2, 0.0])
+    if whole["rows"] <= most:
+        t = counts.orderBy("p", "label").toArrow()
+        p, y, c = (t.column(k).to_numpy().astype(float) for k in ("p", "label", "c"))
+
+        def slopes(fitted: np.ndarray) -> np.ndarray:
+            part = c * (np.exp(-np.logaddexp(0, -(fitted[0] * p + fitted[1]))) - y)
+            return np.array([part @ p, part.sum()])
+    else:
+
+        def slopes(fitted: np.ndarray) -> np.ndarray:
+            part = F.col("c") * (sigmoid(float(fitted[0]) * F.col("p") + float(fitted[1])) - F.col("label"))
+            return np.array(counts.agg(F.sum(part * F.col("p")), F.sum(part)).first())
+
     fitted = np.zeros(2)
     for _ in range(iterations):
-        residual = np.exp(-np.logaddexp(0, -(fitted @ features))) - y
-        fitted = fitted - rate * (features @ (c * residual) / c.sum() + shrink * fitted)
+        fitted = fitted - rate * (slopes(fitted) / whole["n"] + np.array([l2, 0.0]) * fitted)
     return float(fitted[0]), float(fitted[1])
 
 

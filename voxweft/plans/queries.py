@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import forms, numbers, text
 from ..operators import alignment, analysis, calibration, grid, ngram, rescoring, timings, voting
 from ..session import prepare
-from ..sources import manifests, models, reports, rows
+from ..sources import manifests, models, paths, reports, rows
 from . import bridge
 from .bridge import SQL_HYP, SQL_OPS, SQL_SCORES, SQL_TIMINGS, SQL_UTT
 
@@ -267,7 +267,7 @@ def piecewise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{S.replace("WITH", "WITH RECURSIVE")}, h AS (SELECT round(p, 6) AS p, label, count(*) AS c FROM scores GROUP BY 1, 2), hs AS (SELECT list({{'p': p, 'y': label, 'c': c}} ORDER BY p, label) AS rows, sum(c) AS n FROM h),
+    f"""{S.replace("WITH", "WITH RECURSIVE")}, h AS (SELECT p, label, count(*) AS c FROM scores GROUP BY 1, 2), hs AS (SELECT list({{'p': p, 'y': label, 'c': c}} ORDER BY p, label) AS rows, sum(c) AS n FROM h),
 gd AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
   SELECT i + 1, a - 0.1 * list_sum(list_transform(rows, lambda x: x.c * (1 / (1 + exp(-(a * x.p + b))) - x.y) * x.p)) / n, b - 0.1 * list_sum(list_transform(rows, lambda x: x.c * (1 / (1 + exp(-(a * x.p + b))) - x.y))) / n FROM gd, hs WHERE i < 200)
 SELECT round(a, 6) AS coefficient, round(b, 6) AS intercept FROM gd WHERE i = 200"""
@@ -799,6 +799,25 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifests.summary(t.filter(manifests.kind_of(F.col("schema")).isin("nbest", "reference")))
 
 
+_HEAD = "CASE page_id % 6 WHEN 1 THEN '../' WHEN 2 THEN 'x/.././' WHEN 3 THEN '/' WHEN 4 THEN '../../voice/' WHEN 5 THEN '../audio/' ELSE '' END"
+_FOLD = "'/' || array_to_string(list_reduce(list_transform(list_filter(string_split(full_path, '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]), lambda a, x: CASE WHEN x[1] = '..' THEN a[:len(a) - 1] ELSE a || x END, []::VARCHAR[]), '/')"
+
+
+@query(
+    f"""WITH r AS (SELECT page_id, {_HEAD} || regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages),
+f AS (SELECT *, CASE WHEN path LIKE '/%' THEN path ELSE '/data/audio/' || path END AS full_path FROM r), j AS (SELECT *, {_FOLD} AS done FROM f),
+k AS (SELECT page_id, path, CASE WHEN done = '/data/audio' OR done LIKE '/data/audio/%' THEN done END AS joined FROM j)
+SELECT page_id, path, joined, CASE WHEN joined = '/data/audio' THEN '.' ELSE substr(joined, 13) END AS inner_path,
+  CASE WHEN path LIKE '/%' THEN 'not relative' WHEN regexp_matches(path, '(^|/)[.][.]?(/|$)') THEN 'empty or parent segment' WHEN regexp_matches(path, '[^A-Za-z0-9._/-]') THEN 'unsafe characters' END AS fault FROM k"""
+)
+def safe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    case = F.pmod("page_id", F.lit(6))
+    head = F.when(case == 1, "../").when(case == 2, "x/.././").when(case == 3, "/").when(case == 4, "../../voice/").when(case == 5, "../audio/").otherwise("")
+    t = bridge.table(spark, sf_dir, "pages").select("page_id", F.concat(head, F.regexp_replace("url", "^[a-z]+://[^/]*/?", "")).alias("path"))
+    t = t.withColumn("joined", paths.safe_join(F.lit("/data/audio"), F.col("path")))
+    return t.select("page_id", "path", "joined", paths.relative_within(F.lit("/data/audio"), F.col("joined")).alias("inner_path"), paths.audio_join_fault(F.lit("/data/audio"), F.col("path")).alias("fault"))
+
+
 PATHS = ("a/b.wav", "/abs.wav", "~home.wav", "C:x.wav", "a/../b.wav", "a//b.wav", "a\\b.wav", "a/./b", "dir/", "bad name.wav", "", "..")
 _FAULTS = ("", "not relative", "not relative", "drive letter", "empty or parent segment", "", "", "empty or parent segment", "", "unsafe characters", "", "empty or parent segment")
 _CLEAN = ("a/b.wav", "/abs.wav", "~home.wav", "C:x.wav", "a/../b.wav", "a/b.wav", "a/b.wav", "a/./b", "dir/", "bad name.wav", "", "..")
