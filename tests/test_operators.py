@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxweft.operators import analysis, calibration, draws, grid, ngram, voting
+from voxweft.operators import analysis, calibration, draws, grid, ngram, timings, voting
 from voxweft.sources import models
 
 
@@ -134,6 +134,15 @@ def test_logistic_fit_of_many_values(spark):
         calibration.fit_logistic(df.filter("label = 1"))
 
 
+def test_timing_report_of_tied_and_missing_totals(spark):
+    rows = [(t, 0, "a", 0.0, float(t % 3) if t != 5 else None) for t in range(21)]
+    got = timings.timing_report(spark.createDataFrame(rows, "track int, idx int, token string, start_s double, end_s double")).first()
+    known = sorted(r[4] for r in rows if r[4] is not None)
+    assert (got["count"], got["median_s"], got["p95_s"]) == (21, known[9], known[18])
+    empty = timings.timing_report(spark.createDataFrame([], "track int, idx int, token string, start_s double, end_s double")).first()
+    assert list(empty) == [0, 0.0, 0.0, 0.0, 0.0]
+
+
 def test_utterance_confidence(spark):
     df = spark.createDataFrame([([0.5, 0.25],), ([],)], "p array<double>")
     rows = df.select(*[calibration.utterance_confidence(F.col("p"), k).alias(k) for k in ("mean", "min", "geometric", "product")]).collect()

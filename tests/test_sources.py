@@ -65,6 +65,20 @@ def test_report(spark):
     assert json.loads(reports.json_lines(df).first()["value"])["count"] == 2
 
 
+def test_report_with_comparisons_is_written_in_order(spark, tmp_path):
+    slices = spark.createDataFrame([(f"s{i:04d}", i, i / 7, 0.5) for i in range(500)], "key string, count long, cer double, wer double").repartition(7)
+    both = spark.createDataFrame([("b|", "c", 9, 0.1, 0.05, 0.15, -0.25, -0.5, 0.0), ("a", "b", 8, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0)], "system_a string, system_b string, n_pairs int, delta_cer double, cer_lo double, cer_hi double, delta_wer double, wer_lo double, wer_hi double")
+    reports.write_markdown(str(tmp_path / "r"), slices, both, {"seed": 3, "n": None})
+    lines = [x for f in sorted((tmp_path / "r").glob("part-*")) for x in f.read_text().split("\n")[:-1]]
+    assert lines[:7] == ["# Error Analysis Report", "", "## Run", "n: None", "seed: 3", "", "## Slices"]
+    assert lines[9:509] == [f"| s{i:04d} | {i} | {i / 7:.4f} | 0.5000 |" for i in range(500)]
+    assert lines[-2:] == ["| a vs b | 8 | 0.0000 | [0.0000, 0.0000] | 1.0000 | [1.0000, 1.0000] |", "| b\\| vs c | 9 | 0.1000 | [0.0500, 0.1500] | -0.2500 | [-0.5000, 0.0000] |"]
+    assert "\n".join(lines) == reports.markdown(slices, both, {"seed": 3, "n": None})
+    assert reports.markdown(slices.limit(0)).split("\n")[-1] == reports.COMPARISONS[-1]
+    record = json.loads(reports.json_lines(both.filter("n_pairs = 9"), "comparison").first()["value"])
+    assert record["cer_ci"] == [0.05, 0.15] and record["wer_ci"] == [-0.5, 0.0] and "cer_lo" not in record and record["kind"] == "comparison"
+
+
 def test_provenance(spark, tmp_path):
     from voxweft.functions.text import Normal
 

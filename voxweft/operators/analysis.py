@@ -126,6 +126,23 @@ def sequential_bootstrap(pairs: DataFrame, order: Sequence[str], metrics: Sequen
     return out.select("metric", "delta", *[known(c) for c in ("lo", "hi", "p_value")], "n")
 
 
+def paired_intervals(pairs: DataFrame, id_col: str, metrics: Sequence[tuple[str, str]], replicates: int, seed: int, level: float = 0.95) -> DataFrame:
+    """As :func:`sequential_bootstrap`, with the draws of :func:`bootstrap`; pairs in which a value is null are left out of
+    their metric."""
+    stacked = F.inline(F.array(*[F.struct(F.lit(b).alias("metric"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")) for a, b in metrics]))
+    t = pairs.select(F.col(id_col).alias("id"), stacked).filter("a is not null and b is not null")
+    whole = t.groupBy("metric").agg((F.avg("b") - F.avg("a")).alias("delta"), F.count("*").alias("n"))
+    found = bootstrap_interval(bootstrap(t, "id", "a", "b", replicates, seed, ("metric",)), level, ("metric",))
+    return whole.join(found, "metric").select("metric", "delta", "lo", "hi", "p_value", "n")
+
+
+def comparison(intervals: DataFrame, cer: str, wer: str, system_a: str = "A", system_b: str = "B") -> DataFrame:
+    """(system_a, system_b, n_pairs, delta_cer, cer_lo, cer_hi, delta_wer, wer_lo, wer_hi) of the intervals of two metrics."""
+    of = lambda metric, c: F.max(F.when(F.col("metric") == metric, F.col(c)))
+    each = [of(m, c).alias(name.format(kind)) for m, kind in ((cer, "cer"), (wer, "wer")) for c, name in (("delta", "delta_{}"), ("lo", "{}_lo"), ("hi", "{}_hi"))]
+    return intervals.agg(F.count("*").alias("_rows"), F.max("n").alias("n_pairs"), *each).filter("_rows > 0").select(F.lit(system_a).alias("system_a"), F.lit(system_b).alias("system_b"), "n_pairs", *[c for k in ("cer", "wer") for c in (f"delta_{k}", f"{k}_lo", f"{k}_hi")])
+
+
 def group_bias(rates: DataFrame, group: Column, id_col: str, replicates: int, seed: int) -> DataFrame:
     """(group, n, wer, lo, hi): mean word error rate by group with a bootstrap interval, worst first."""
     t = rates.withColumns({"group": group, "zero": F.lit(0.0)})

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import edit_path
+from .draws import numbered
+
 
 def _order() -> Window:
     return Window.partitionBy("track").orderBy("idx")
@@ -73,11 +76,14 @@ def duration_bucket(seconds: Column, edges: Sequence[float] = (1.0, 3.0, 8.0)) -
 
 
 def timing_report(timings: DataFrame) -> DataFrame:
-    """(count, mean_s, median_s, p95_s, gap_total_s): nearest-rank quantiles of tracks' totals, and all silence."""
+    """(count, mean_s, median_s, p95_s, gap_total_s): nearest-rank quantiles of tracks' totals, and all silence.
+    Totals are numbered by ranges; those that are null count as tracks only."""
     silence = F.greatest(F.lit(0.0), F.col("start_s") - F.lag("end_s").over(_order()))
     gaps = timings.withColumn("gap", F.coalesce(silence, F.lit(0.0))).groupBy("track").agg(F.sum("gap").alias("gap"))
-    t = track_totals(timings).join(gaps, "track")
-    at = lambda q: F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY total_s)"), F.lit(0.0))
+    t = track_totals(timings).join(gaps, "track").select(F.col("total_s").isNull().alias("unknown"), "total_s", "track", "gap")
+    t = numbered(t, ["unknown", "total_s", "track"])
+    known = t.agg(F.count("total_s")).first()[0]
+    at = lambda q: F.coalesce(F.max(F.when(F.col("place") == math.ceil(q * known) - 1, F.col("total_s"))), F.lit(0.0))
     return t.agg(F.count("*").alias("count"), F.coalesce(F.avg("total_s"), F.lit(0.0)).alias("mean_s"), at(0.5).alias("median_s"), at(0.95).alias("p95_s"), F.coalesce(F.sum("gap"), F.lit(0.0)).alias("gap_total_s"))
 
 

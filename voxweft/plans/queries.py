@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import forms, numbers, text
 from ..operators import alignment, analysis, calibration, grid, ngram, rescoring, timings, voting
+from ..saved import saved
 from ..session import prepare
 from ..sources import manifests, models, paths, reports, rows
 from . import bridge
@@ -178,6 +179,49 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.bootstrap_interval(t).select(*[r9(c).alias(c) for c in ("lo", "hi", "p_value")])
 
 
+COMPARED = f"""{RATES}, sides AS (SELECT utt_id, unnest(['cer', 'wer']) AS metric, unnest([max(cer) FILTER (rank = 1), max(wer) FILTER (rank = 1)]) AS a, unnest([max(cer) FILTER (rank = 2), max(wer) FILTER (rank = 2)]) AS b FROM rated GROUP BY utt_id),
+drawn AS (SELECT *, {_POISSON} AS w FROM (SELECT *, ('0x' || substr(md5('7:' || rep || ':' || utt_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM sides, (SELECT unnest(range({REPLICATES})) AS rep))),
+deltas AS (SELECT metric, rep, sum(w * (b - a)) / sum(w) AS delta FROM drawn GROUP BY ALL),
+ends AS (SELECT metric, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM deltas GROUP BY metric),
+means AS (SELECT metric, avg(b) - avg(a) AS d, count(*) AS n FROM sides GROUP BY metric),
+pair AS (SELECT max(n) AS n_pairs, max(d) FILTER (metric = 'cer') AS delta_cer, max(lo) FILTER (metric = 'cer') AS cer_lo, max(hi) FILTER (metric = 'cer') AS cer_hi,
+  max(d) FILTER (metric = 'wer') AS delta_wer, max(lo) FILTER (metric = 'wer') AS wer_lo, max(hi) FILTER (metric = 'wer') AS wer_hi FROM means JOIN ends USING (metric)),
+parts AS (SELECT speaker_group AS key, count(*) AS count, avg(cer) AS cer, avg(wer) AS wer FROM rated WHERE rank = 1 GROUP BY 1)"""
+_HEADS = [(0, reports.TITLE + reports.SLICES), (2, ["", *reports.COMPARISONS])]
+_LINES = ", ".join(f"({section}, '{n:06d}', '{line}')" for section, lines in _HEADS for n, line in enumerate(lines))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Slices by role, and the comparison of the first hypotheses with the second ones."""
+    t = saved(rates(spark, sf_dir).select("utt_id", "speaker_group", "rank", "cer", "wer"), "rated")
+    of = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    pairs = t.groupBy("utt_id").agg(*[of(rank, c).alias(f"{c}_{rank}") for c in ("cer", "wer") for rank in (1, 2)])
+    found = analysis.paired_intervals(pairs, "utt_id", [("cer_1", "cer_2"), ("wer_1", "wer_2")], REPLICATES, 7)
+    slices = analysis.slice_metrics(t.filter("rank = 1"), analysis.field_slice(F.col("speaker_group")))
+    return slices, analysis.comparison(found, "cer_2", "wer_2", "first", "second")
+
+
+@query(
+    f"""{COMPARED} SELECT * FROM (VALUES {_LINES}) h(section, key, line)
+UNION ALL SELECT 1, key, '| ' || key || ' | ' || count || ' | ' || printf('%.4f', cer) || ' | ' || printf('%.4f', wer) || ' |' FROM parts
+UNION ALL SELECT 3, 'first vs second', '| first vs second | ' || n_pairs || ' | ' || printf('%.4f', delta_cer) || ' | [' || printf('%.4f', cer_lo) || ', ' || printf('%.4f', cer_hi) || '] | ' || printf('%.4f', delta_wer) || ' | [' || printf('%.4f', wer_lo) || ', ' || printf('%.4f', wer_hi) || '] |' FROM pair"""
+)
+def report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.report_lines(*compared(spark, sf_dir))
+
+
+@query(
+    f"""{COMPARED} SELECT 'slice' AS kind, key, count, round(cer, 9) AS cer, round(wer, 9) AS wer, NULL AS system_a, NULL AS system_b, NULL AS n_pairs, NULL AS delta_cer, NULL AS delta_wer, NULL AS cer_ci, NULL AS wer_ci FROM parts
+UNION ALL SELECT 'comparison', NULL, NULL, NULL, NULL, 'first', 'second', n_pairs, round(delta_cer, 9), round(delta_wer, 9), [round(cer_lo, 9), round(cer_hi, 9)], [round(wer_lo, 9), round(wer_hi, 9)] FROM pair"""
+)
+def report_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slices, found = compared(spark, sf_dir)
+    lines = reports.json_lines(slices).unionByName(reports.json_lines(found, "comparison"))
+    read = lines.select(F.from_json("value", "kind string, key string, count long, cer double, wer double, system_a string, system_b string, n_pairs long, delta_cer double, delta_wer double, cer_ci array<double>, wer_ci array<double>").alias("r")).select("r.*")
+    nine = {c: r9(c) for c in ("cer", "wer", "delta_cer", "delta_wer")} | {c: F.transform(c, r9) for c in ("cer_ci", "wer_ci")}
+    return read.withColumns(nine)
+
+
 @query()
 def bootstrap_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rates(spark, sf_dir)
