@@ -248,6 +248,19 @@ def test_vote_equals_brute_force(spark):
         assert got[r["doc_id"]] == pytest.approx(sum(a * t for a, (_, t) in zip(w, near, strict=True)) / sum(w), abs=2e-3)
 
 
+def test_equal_neighbours_vote_in_any_order():
+    """Of 60 equal labelled texts all vote, wherever they stand among the others."""
+    texts = ["the same words again"] * 60 + [f"other {i} text, number {i * i}" for i in range(40)]
+    labels = [int(i % 3 == 0) for i in range(60)] + [1] * 40
+    asked, found = pa.array(["the same words again", "the same word again", "something else", ""]), []
+    for seed in range(3):
+        order = list(range(100))
+        random.Random(seed).shuffle(order)
+        found.append(op5_quality.fit([texts[i] for i in order], [labels[i] for i in order], rank=8, neighbours=7).score(asked))
+    assert found[0][0] == pytest.approx(1 / 3, abs=1e-6)
+    assert np.allclose(found[0], found[1], atol=1e-3) and np.allclose(found[0], found[2], atol=1e-3)
+
+
 def test_quality_cases(spark, docs, none):
     labels = spark.createDataFrame([(8, 1), (9, 0), (50, None), (None, 1)], "doc_id long, quality int")
     model = op5_quality.fit(*op5_quality.sample(docs, labels, "doc_id", "text", "quality", 10))

@@ -11,8 +11,8 @@ Training reads a bounded sample of labelled rows, ``sample_rows`` at most, chose
 Scoring is one pass over the texts with no shuffle.
 
 Defined cases: null and empty texts are one empty text, scored by the share of label 1 in the sample, as is everything
-where there is nothing to learn from; equal similarities go to the labelled row that comes first in the hash order;
-very long texts are read whole; repeated rows each get their result; an empty table gives an empty table; other columns
+where there is nothing to learn from; similarities are compared by five digits, and all labelled rows as similar as the
+last of the ``neighbours`` vote with them, so neither the order of labelled rows nor how texts fall into blocks decides who votes; very long texts are read whole; repeated rows each get their result; an empty table gives an empty table; other columns
 are not read.
 """
 
@@ -96,9 +96,10 @@ class Neighbours:
         empty = ~terms.any(axis=1)
         close = self.project(terms) @ self.vectors.T
         k = min(self.neighbours, len(self.labels))
-        at = np.argpartition(-close, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(close, at, 1), 1e-6, 1) ** 4
-        out = (weight * self.labels[at]).sum(axis=1) / weight.sum(axis=1)
+        close = np.round(close.astype(np.float64), 5)
+        least = np.partition(close, -k, axis=1)[:, -k:].min(axis=1, keepdims=True)
+        weight = np.where(close >= least, np.clip(close, 1e-6, 1) ** 4, 0)
+        out = weight @ self.labels / weight.sum(axis=1)
         return np.where(empty, self.prior, np.clip(out, 0, 1)).astype(np.float64)
 
 

@@ -7,8 +7,9 @@ of 0.19 at least; one of ``hashes`` minima being equal makes a candidate (bands
 fewer than 2 of a million such). A candidate is verified over the whole document: the share of the item's distinct
 shingles that the document holds, compared word by word.
 
-Documents are read once for each block of items and never shuffled. A block holds ``BLOCK_BYTES`` of items at most
-(one item if that is longer), whatever the number of items; blocks are run one after another over all documents.
+Documents are read once for each block of items and never shuffled. Items are dealt to blocks by a hash, so that a block
+holds half of ``BLOCK_BYTES`` on average (more where one item is longer, or repeated), whatever the number of items. Where
+there are several blocks, each one's matches are written before the next is collected, so the driver holds one block.
 
 Defined cases: null or empty texts and items have no shingle and match nothing; an item of fewer than k words is
 searched as the one shingle of its own length; very long documents are read whole; repeated items or documents each
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import U64, shingles, slices, words
-from .scratch import read_table
+from .scratch import Scratch, read_table
 
 BLOCK_BYTES = 16_000_000
 LEAST_BLOCK = 8
@@ -125,8 +126,9 @@ def find_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     document and item whose containment is ``threshold`` or more."""
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     items = items.select(items[item_id_col].alias("item"), items[item_text_col].alias("t")).filter(F.col("t").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n"), F.max(F.octet_length("t")).alias("most")).first()
-    blocks = max(1, -(-2 * size["n"] // block_bytes))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * size // block_bytes))
+    scratch = Scratch(df.sparkSession, "op7") if blocks > 1 else None
     kinds = dict(docs.dtypes)["id"], dict(items.dtypes)["item"]
     schema = f"id {kinds[0]}, item {kinds[1]}, item_shingles long, shared long, containment double"
     out = None
@@ -145,6 +147,7 @@ def find_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
                     yield pa.RecordBatch.from_arrays([key.take(pa.array(r)), names.take(pa.array(i)), pa.array(n), pa.array(m), pa.array(m / n)], ["id", "item", "item_shingles", "shared", "containment"])
 
         part = docs.mapInArrow(run, schema)
+        part = scratch.save(part) if scratch else part
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"id": id_col, "item": item_id_col})
 
