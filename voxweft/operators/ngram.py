@@ -1,14 +1,15 @@
 """N-gram language models as tables.
 
 A model is a table of counts (n, ngram, ctx, word, c), where ``ngram`` and ``ctx`` are words joined by a space; it is written
-when it is trained, so no query counts again. Queries
-join n-grams with it: as many joins as the order, each on the n-gram's text, so neither side is held by one machine.
+when it is trained, so no query counts again. Backoff by counts needs two joins at any order: a second table holds each
+n-gram's own probability and that of what was never seen after it. Interpolation takes two joins for each order. All are
+on n-grams' texts, so neither side is held by one machine, and only different n-grams are joined with the model.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..saved import saved
 
 #: The marks of sentence ends and of unknown words.
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
+#: Between the words of an n-gram whose words may be unknown, and may hold spaces.
+UNIT = "\x1f"
 FLOOR = 1e-12
 #: A mass of less than this is what rounding leaves of none.
 NOTHING = 1e-9
@@ -28,13 +31,36 @@ class Model:
     counts: DataFrame
     #: Rows (n, ngram, logp, bow) where the model was read from, or exported as, a backoff table.
     arpa: DataFrame | None = None
+    #: What has been computed of the counts, by name.
+    known: dict = field(default_factory=dict, repr=False, compare=False)
 
     def of(self, n: int) -> DataFrame:
         return self.counts.filter(F.col("n") == n)
 
     def total(self) -> int:
         """All unigrams, sentence marks included."""
-        return self.of(1).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("t")).first()["t"]
+        if "total" not in self.known:
+            self.known["total"] = self.of(1).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("t")).first()["t"]
+        return self.known["total"]
+
+    def shares(self) -> DataFrame:
+        """(n, ngram, p, rest), written once: the share a seen n-gram has of its context (a word, of all words), and the
+        probability of whatever was never seen after it: what its continuations leave of it, times p; where they leave
+        nothing, a uniform one. An n-gram whose context has no count has all of it."""
+        if "shares" not in self.known:
+            total = self.total()
+            words, longer = self.counts.filter("n = 1"), self.counts.filter("n > 1")
+            of_ctx = self.counts.select((F.col("n") + 1).alias("n"), F.col("ngram").alias("ctx"), F.col("c").alias("cc"))
+            t = longer.join(of_ctx, ["n", "ctx"], "left").select("n", "ngram", "c", (F.col("c") / F.coalesce("cc", "c")).alias("p"))
+            t = words.select("n", "ngram", "c", (F.col("c") / F.lit(total)).alias("p")).unionByName(t)
+            followed = longer.groupBy((F.col("n") - 1).alias("n"), F.col("ctx").alias("ngram")).agg(F.sum("c").alias("observed"))
+            left = F.col("c") - F.coalesce("observed", F.lit(0))
+            rest = F.when(left > 0, left / F.col("c") * F.col("p")).otherwise(1.0 / (total + 1))
+            self.known["shares"] = saved(t.join(followed, ["n", "ngram"], "left").select("n", "ngram", "p", rest.alias("rest")), "shares")
+        return self.known["shares"]
+
+    def shares_of(self, n: int) -> DataFrame:
+        return self.shares().filter(F.col("n") == n)
 
     def vocabulary(self) -> DataFrame:
         """(word): words of the model, marks included."""
@@ -46,10 +72,11 @@ def padded(tokens: Column, order: int, start: str = BOS) -> Column:
     return F.concat(F.array_repeat(F.lit(start), order - 1), tokens, F.array(F.lit(EOS)))
 
 
-def grams(sequence: Column, n: int) -> Column:
-    """All n-grams of a sequence, as texts; none if it is shorter."""
+def grams(sequence: Column, n: int, between: str = " ") -> Column:
+    """All n-grams of a sequence, as texts; none if it is shorter. Each refers to the sequence, so that should be a column
+    of the table and not an expression, which would be evaluated for each."""
     last = F.size(sequence) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(sequence, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(sequence, i, n), between))).otherwise(F.array().cast("array<string>"))
 
 
 def context(ngram: Column) -> Column:
@@ -68,10 +95,10 @@ def last_word(ngram: Column) -> Column:
 
 def train(sentences: DataFrame, order: int, tokens: str = "tokens") -> Model:
     """Counts of all 1- to order-grams of padded sentences, summed on the mappers first."""
-    seq = padded(F.col(tokens), order)
-    sized = lambda n: F.transform(grams(seq, n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
+    sized = lambda n: F.transform(grams(F.col("sequence"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
     every = F.flatten(F.array(*[sized(n) for n in range(1, order + 1)]))
-    counts = sentences.select(F.inline(every)).groupBy("n", "ngram").agg(F.count("*").alias("c"))
+    sequences = sentences.select(padded(F.col(tokens), order).alias("sequence"))
+    counts = sequences.select(F.inline(every)).groupBy("n", "ngram").agg(F.count("*").alias("c"))
     return Model(order, saved(counts.withColumns({"ctx": context(F.col("ngram")), "word": last_word(F.col("ngram"))}), "ngrams"))
 
 
@@ -80,14 +107,35 @@ def prune(model: Model, min_count: int) -> Model:
     return Model(model.order, model.counts.filter((F.col("n") == 1) | (F.col("c") >= min_count)))
 
 
-def with_unknown(tokens: DataFrame, model: Model, keys: Sequence[str], column: str = "tokens") -> DataFrame:
-    """Replaces words that the model doesn't know, by a join of different words."""
-    t = saved(tokens.select(*keys, F.posexplode(column).alias("pos", "word")), "words")
-    known = t.select("word").distinct().join(model.vocabulary(), "word", "left_semi").withColumn("known", F.lit(True))
-    t = t.join(known, "word", "left").withColumn("word", F.when(F.col("known"), F.col("word")).otherwise(UNK))
-    lists = t.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias(column))
-    rest = [c for c in tokens.columns if c != column]
-    return tokens.select(*rest).join(lists, list(keys), "left").withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+def positions(sentences: DataFrame, order: int, keys: Sequence[str] = (), tokens: str = "tokens", start: str = BOS) -> DataFrame:
+    """(keys, asked): the n-gram that ends at each position of padded sentences, words apart by ``UNIT``; none of empty ones."""
+    t = sentences.filter(F.size(tokens) > 0).select(*keys, padded(F.col(tokens), order, start).alias("sequence"))
+    return t.select(*keys, F.explode(grams(F.col("sequence"), order, UNIT)).alias("asked"))
+
+
+def readable(asked: DataFrame, model: Model) -> DataFrame:
+    """(asked, ngram) of the different n-grams of a table: the same with a space between words, and words that the model
+    doesn't know replaced. Words are looked up only of n-grams that the model hasn't counted."""
+    t = asked.select("asked").distinct().withColumn("ngram", F.translate("asked", UNIT, " "))
+    counted = model.of(model.order) if model.arpa is None else model.counts.limit(0)  # tables from files may list n-grams of words they don't list
+    t = saved(t.join(counted.select("ngram", F.lit(True).alias("seen")), "ngram", "left"), "asked")
+    words = t.filter("seen is null").select("asked", F.posexplode(F.split("asked", UNIT)).alias("pos", "word"))
+    words = words.join(model.vocabulary().withColumn("known", F.lit(True)), "word", "left")
+    word = F.when(F.col("known"), F.col("word")).otherwise(UNK)
+    ngram = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))), lambda x: x["word"]), " ")
+    return t.filter("seen").select("asked", "ngram").unionByName(words.groupBy("asked").agg(ngram.alias("ngram")))
+
+
+def position_scores(sentences: DataFrame, model: Model, keys: Sequence[str], tokens: str, method: str, start: str = BOS) -> DataFrame:
+    """(keys, p): the probability of each position of sentences that aren't empty. Each different n-gram is looked up once."""
+    kept = saved(sentences.select(*keys, tokens), "sentences")
+    asked = positions(kept, model.order, keys, tokens, start)
+    known = saved(readable(asked, model), "readable")
+    if method == "arpa":
+        p = backoff(known.select("ngram").distinct(), model.arpa.select("n", "ngram", "logp"), model.arpa.select("n", "ngram", "bow"), model.order)
+    else:
+        p = (katz if method == "katz" else jelinek)(known, model, model.order)
+    return asked.join(known.join(p, "ngram").select("asked", "p"), "asked").select(*keys, "p")
 
 
 def coverage(tokens: DataFrame, model: Model, column: str = "tokens") -> DataFrame:
@@ -100,26 +148,16 @@ def coverage(tokens: DataFrame, model: Model, column: str = "tokens") -> DataFra
 
 def katz(queries: DataFrame, model: Model, n: int, column: str = "ngram") -> DataFrame:
     """(ngram, p) of the different n-grams of a table. A seen n-gram has its share of its context; an unseen one takes
-    what the context's continuations leave of it, times the context's own probability."""
+    what the context's continuations leave of it, times the context's own probability; after a context that was never
+    seen it has a uniform one. A context with a count is itself seen, so no order below it is asked."""
     total = model.total()
-    asked = saved(queries.select(F.col(column).alias("ngram")).distinct(), "asked")
-    return _katz(asked, model, n, total)
-
-
-def _katz(asked: DataFrame, model: Model, n: int, total: int) -> DataFrame:
-    own = model.of(n).select("ngram", F.col("c"))
+    asked = queries.select(F.col(column).alias("ngram")).distinct()
+    t = asked.join(model.shares_of(n).select("ngram", "p"), "ngram", "left")
     if n == 1:
-        return asked.join(own, "ngram", "left").select("ngram", (F.coalesce("c", F.lit(1)) / total).alias("p"))
-    t = asked.withColumn("ctx", context(F.col("ngram"))).join(own, "ngram", "left")
-    of_ctx = model.of(n - 1).select(F.col("ngram").alias("ctx"), F.col("c").alias("cc"))
-    seen = model.of(n).groupBy("ctx").agg(F.sum("c").alias("observed"))
-    t = t.join(of_ctx, "ctx", "left").join(seen, "ctx", "left")
-    left = F.col("cc") - F.coalesce("observed", F.lit(0))
-    back = F.col("c").isNull() & (left > 0)
-    lower = _katz(t.filter(back).select(F.col("ctx").alias("ngram")).distinct(), model, n - 1, total).select(F.col("ngram").alias("ctx"), F.col("p").alias("lower"))
-    t = t.join(lower, "ctx", "left")
-    p = F.when(F.col("c").isNotNull(), F.col("c") / F.coalesce("cc", "c")).when(left > 0, left / F.col("cc") * F.col("lower")).otherwise(1.0 / (total + 1))
-    return t.select("ngram", p.alias("p"))
+        return t.select("ngram", F.coalesce("p", F.lit(1) / F.lit(total)).alias("p"))
+    after = model.shares_of(n - 1).select(F.col("ngram").alias("ctx"), "rest")
+    t = t.withColumn("ctx", context(F.col("ngram"))).join(after, "ctx", "left")
+    return t.select("ngram", F.coalesce("p", "rest", F.lit(1.0 / (total + 1))).alias("p"))
 
 
 def jelinek(queries: DataFrame, model: Model, n: int, weights: Sequence[float] | None = None, column: str = "ngram") -> DataFrame:
@@ -176,23 +214,15 @@ def fit_weights(sentences: DataFrame, model: Model, iterations: int = 5, tokens:
 
 def perplexity(sentences: DataFrame, model: Model, key: str, tokens: str = "tokens", method: str = "katz") -> DataFrame:
     """(key, perplexity): exp of the mean negative log probability of each sentence's positions; 1 for an empty one."""
-    order = model.order
-    known = with_unknown(sentences.select(key, tokens), model, [key], tokens)
-    asked = known.select(key, F.explode(F.when(F.size(tokens) > 0, grams(padded(F.col(tokens), order), order))).alias("ngram"))
-    p = (katz if method == "katz" else jelinek)(asked, model, order)
-    got = asked.join(p, "ngram").groupBy(key).agg(F.exp(F.avg(-F.log(F.greatest("p", F.lit(FLOOR))))).alias("perplexity"))
+    p = position_scores(sentences, model, [key], tokens, method)
+    got = p.groupBy(key).agg(F.exp(F.avg(-F.log(F.greatest("p", F.lit(FLOOR))))).alias("perplexity"))
     return sentences.select(key).join(got, key, "left").na.fill(1.0, ["perplexity"])
 
 
 def arpa_tables(model: Model) -> DataFrame:
     """(n, ngram, logp, bow): log10 probabilities, and of contexts the backoff weight: log10 of the mass that seen
     continuations leave over what the lower order leaves without them, 1 at most; 0 where nothing is left."""
-    out: DataFrame | None = None
-    for n in range(1, model.order + 1):
-        own = model.of(n).select("ngram", "ctx")
-        p = katz(own, model, n).withColumn("p", F.greatest("p", F.lit(FLOOR)))
-        t = own.select("ngram").join(p, "ngram").select(F.lit(n).alias("n"), "ngram", F.log10("p").alias("logp"))
-        out = t if out is None else out.unionByName(t)
+    out = model.shares().filter(F.col("n") <= model.order).select("n", "ngram", F.log10(F.greatest("p", F.lit(FLOOR))).alias("logp"))
     bows: DataFrame | None = None
     for n in range(1, model.order):
         upper = out.filter(F.col("n") == n + 1).select(context(F.col("ngram")).alias("ctx"), suffix(F.col("ngram")).alias("ngram"), F.pow(F.lit(10.0), "logp").alias("p"))
@@ -225,9 +255,6 @@ def backoff(asked: DataFrame, logps: DataFrame, bows: DataFrame | None, n: int)
 
 def lm_scores(hyps: DataFrame, model: Model, keys: Sequence[str], tokens: str = "tokens", method: str = "katz") -> DataFrame:
     """(keys, lm_score): sum of log10 probabilities of each hypothesis. The start is padded with sentence ends here."""
-    order = model.order
-    known = with_unknown(hyps.select(*keys, tokens), model, keys, tokens)
-    asked = known.select(*keys, F.explode(F.when(F.size(tokens) > 0, grams(padded(F.col(tokens), order, EOS), order))).alias("ngram"))
-    p = backoff(asked.select("ngram").distinct(), model.arpa.select("n", "ngram", "logp"), model.arpa.select("n", "ngram", "bow"), order) if method == "arpa" else (katz if method == "katz" else jelinek)(asked, model, order)
-    got = asked.join(p, "ngram").groupBy(*keys).agg(F.sum(F.log10(F.greatest("p", F.lit(FLOOR)))).alias("lm_score"))
+    p = position_scores(hyps, model, keys, tokens, method, EOS)
+    got = p.groupBy(*keys).agg(F.sum(F.log10(F.greatest("p", F.lit(FLOOR)))).alias("lm_score"))
     return hyps.join(got, list(keys), "left").na.fill(0.0, ["lm_score"])

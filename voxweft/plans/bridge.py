@@ -14,9 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(t: DataFrame, *keys: str) -> DataFrame:
+    """A table that is read by fewer tasks than there are cores is dealt out by its keys, where the work on a row costs more
+    than the row; one with enough splits is left as it is, without a shuffle."""
+    cores = t.sparkSession.sparkContext.defaultParallelism
+    return t.repartition(cores, *keys) if t.rdd.getNumPartitions() < cores else t
+
+
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(utt_id, speaker_group, intent, noise_db, duration_s, text, ref)."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "text"))
+    t = spread(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", F.posexplode(F.split("text", r"[.!?\n]+")).alias("pos", "text"))
     t = t.withColumn("ref", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     number = F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("pos")
     return t.filter(F.size("ref") > 0).select(

@@ -406,8 +406,7 @@ def ngram_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str, model: ngram.Model, start: str = ngram.BOS) -> DataFrame:
-    t = ngram.with_unknown(hyps(spark, sf_dir).filter(F.size("hyp") > 0).select("utt_id", "rank", "hyp"), model, ["utt_id", "rank"], "hyp")
-    return t.select("utt_id", "rank", F.explode(ngram.grams(ngram.padded(F.col("hyp"), model.order, start), model.order)).alias("ngram"))
+    return ngram.readable(ngram.positions(hyps(spark, sf_dir), model.order, tokens="hyp", start=start), model)
 
 
 @query(f"WITH {SQL_HYP}, {counts_sql(2)}, {asked_sql(2)}, {KATZ2} SELECT ngram, round(p, 9) AS p FROM katz")
