@@ -72,7 +72,7 @@ def padded(tokens: Column, order: int, start: str = BOS) -> Column:
     return F.concat(F.array_repeat(F.lit(start), order - 1), tokens, F.array(F.lit(EOS)))
 
 
-def grams(sequence: Column, n: int, between: str = " ") -> Column:
+def grams(sequence: Column, n: Column | int, between: str = " ") -> Column:
     """All n-grams of a sequence, as texts; none if it is shorter. Each refers to the sequence, so that should be a column
     of the table and not an expression, which would be evaluated for each."""
     last = F.size(sequence) - n + 1
@@ -81,24 +81,24 @@ def grams(sequence: Column, n: int, between: str = " ") -> Column:
 
 def context(ngram: Column) -> Column:
     """Without the last word; empty for a single word."""
-    return F.regexp_replace(ngram, r" ?[^ ]*$", "")
+    return F.substring(ngram, F.lit(1), F.char_length(ngram) - F.char_length(last_word(ngram)) - 1)
 
 
 def suffix(ngram: Column) -> Column:
     """Without the first word; empty for a single word."""
-    return F.regexp_replace(ngram, r"^[^ ]* ?", "")
+    space = F.instr(ngram, " ")
+    return F.when(space > 0, F.substring(ngram, space + 1, F.char_length(ngram))).otherwise("")
 
 
 def last_word(ngram: Column) -> Column:
-    return F.regexp_extract(ngram, r"([^ ]*)$", 1)
+    return F.substring_index(ngram, " ", -1)
 
 
 def train(sentences: DataFrame, order: int, tokens: str = "tokens") -> Model:
     """Counts of all 1- to order-grams of padded sentences, summed on the mappers first."""
-    sized = lambda n: F.transform(grams(F.col("sequence"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("ngram")))
-    every = F.flatten(F.array(*[sized(n) for n in range(1, order + 1)]))
-    sequences = sentences.select(padded(F.col(tokens), order).alias("sequence"))
-    counts = sequences.select(F.inline(every)).groupBy("n", "ngram").agg(F.count("*").alias("c"))
+    orders = F.explode(F.array(*[F.lit(n) for n in range(1, order + 1)]))
+    sequences = sentences.select(padded(F.col(tokens), order).alias("sequence"), orders.alias("n"))
+    counts = sequences.select("n", F.explode(grams(F.col("sequence"), F.col("n"))).alias("ngram")).groupBy("n", "ngram").agg(F.count("*").alias("c"))
     return Model(order, saved(counts.withColumns({"ctx": context(F.col("ngram")), "word": last_word(F.col("ngram"))}), "ngrams"))
 
 
