@@ -81,3 +81,26 @@ def inconsistent(grid: DataFrame, hyp: DataFrame, keys: Sequence[str] = ("utt_id
     got = want.join(rows(grid, keys), [*keys, "hyp"], "left").filter(~F.coalesce(F.col("want") == F.col("tokens"), F.size("want") == 0))
     empty = grid.groupBy(*keys, "col").agg(F.count_if(F.col("token") != GAP).alias("n")).filter("n = 0")
     return got.select(*keys, "hyp", F.lit("row").alias("fault")).unionByName(empty.select(*keys, F.lit(-1).alias("hyp"), F.lit("column").alias("fault")))
+
+
+def rotations(hyps: Column) -> Column:
+    """(turn, h) for each hypothesis: the list in an order that has that one first; none of an empty list."""
+    n = F.size(hyps)
+    turned = lambda i: F.struct(i.alias("turn"), F.concat(F.slice(hyps, i + 1, n), F.slice(hyps, 1, i)).alias("h"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), turned))
+
+
+def order_effects(hyp: DataFrame, keys: Sequence[str] = ("utt_id",), rank: str = "rank", tokens: str = "hyp", costs: Costs = UNIT) -> DataFrame:
+    """(keys, orders, grids, sorted_grids, sorted_hash): how many different grids the hypotheses give when each is put first
+    in turn, their rows back in the order of rank; how many when they are sorted, which must be 1; and the digest of that grid.
+    As many orders as hypotheses are tried, not all permutations: the first row decides what the others are aligned with. A
+    grid's digest is of its columns, a line each. Repeated hypotheses and ties of rank are ordered by their tokens."""
+    lists = hyp.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(rank, tokens))), lambda x: x[tokens]).alias("hs"))
+    t = lists.select(*keys, "hs").select(*keys, F.inline(rotations(F.col("hs"))))
+    t = t.select(*keys, "turn", F.size("h").alias("n"), align(F.col("h"), costs=costs).alias("g"), align(F.col("h"), ordered=False, costs=costs).alias("s"))
+    back = lambda c: F.concat(F.slice(c, F.col("n") - F.col("turn") + 1, F.col("turn")), F.slice(c, 1, F.col("n") - F.col("turn")))
+    digest = lambda g, row: F.md5(F.array_join(F.transform(g, lambda c: F.array_join(row(c), " ")), "\n"))
+    t = t.select(*keys, digest(F.col("g"), back).alias("given"), digest(F.col("s"), lambda c: c).alias("sorted"))
+    return t.groupBy(*keys).agg(
+        F.count("*").alias("orders"), F.size(F.collect_set("given")).alias("grids"), F.size(F.collect_set("sorted")).alias("sorted_grids"), F.min("sorted").alias("sorted_hash")
+    )

@@ -533,10 +533,36 @@ def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.coverage(grid.cells(hyps(spark, sf_dir)))
 
 
-@query("SELECT 0::BIGINT AS faults")
+@query(
+    f"""{GRID}, back AS (SELECT utt_id, hyp, coalesce(list(token ORDER BY col) FILTER (token <> '*'), []::VARCHAR[]) AS toks FROM cells GROUP BY 1, 2),
+ok AS (SELECT b.utt_id, count(*) FILTER (b.toks = h.hyp) AS given_back FROM back b JOIN hyp h ON h.utt_id = b.utt_id AND h.rank = b.hyp + 1 GROUP BY 1),
+col AS (SELECT utt_id, count(*) AS width, count(*) FILTER (n = 0) AS silent FROM (SELECT utt_id, col, count(*) FILTER (token <> '*') AS n FROM cells GROUP BY 1, 2) GROUP BY 1)
+SELECT utt_id, width, given_back, silent FROM ok JOIN col USING (utt_id)"""
+)
 def grid_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = hyps(spark, sf_dir)
-    return grid.inconsistent(grid.cells(t), t).agg(F.count("*").alias("faults"))
+    """Hypotheses that the grid gives back, and columns without a token, of each utterance."""
+    t = hyps(spark, sf_dir).select("utt_id", "rank", "hyp")
+    g = saved(grid.cells(t), "grid")
+    count = lambda fault: F.count_if(F.col("fault") == fault)
+    faults = grid.inconsistent(g, t).groupBy("utt_id").agg(count("row").alias("lost"), count("column").alias("silent"))
+    none = F.lit(0)
+    return grid.shape(g).join(faults, "utt_id", "left").select("utt_id", "width", (F.col("depth") - F.coalesce("lost", none)).alias("given_back"), F.coalesce("silent", none).alias("silent"))
+
+
+#: Every rotation of each utterance's hypotheses, and (turn 3) the sorted order, go through the grid's SQL as pairs of their own.
+_TURNS = """wide AS (SELECT utt_id || '/' || turn AS pid, utt_id AS utt, turn, hs[1] AS h1, hs[2] AS h2, hs[3] AS h3 FROM (
+  SELECT utt_id, turn, CASE turn WHEN 3 THEN list_transform(list_sort(list_transform(l, lambda x: {'r': CASE len(x) WHEN 0 THEN '()' WHEN 1 THEN '(' || chr(39) || x[1] || chr(39) || ',)' ELSE '(' || chr(39) || array_to_string(x, chr(39) || ', ' || chr(39)) || chr(39) || ')' END, 'x': x})), lambda y: y.x) ELSE list_concat(l[turn + 1:], l[:turn]) END AS hs
+  FROM (SELECT utt_id, list(hyp ORDER BY rank) AS l FROM hyp GROUP BY 1), (SELECT unnest([0, 1, 2, 3]) AS turn))),
+in1 AS"""
+
+
+@query(
+    f"""{GRID.split('wide AS (')[0]}{_TURNS}{GRID.split('in1 AS', 1)[1].split(', cells AS (')[0]},
+txt AS (SELECT utt, turn, md5(coalesce(array_to_string(list_transform(g, lambda c: array_to_string(CASE WHEN turn < 3 THEN list_concat(c[4 - turn:], c[:3 - turn]) ELSE c END, ' ')), chr(10)), '')) AS h FROM wide LEFT JOIN g2 USING (pid))
+SELECT utt AS utt_id, count(*) FILTER (turn < 3) AS orders, count(DISTINCT h) FILTER (turn < 3) AS grids, count(DISTINCT h) FILTER (turn = 3) AS sorted_grids, max(h) FILTER (turn = 3) AS sorted_hash FROM txt GROUP BY 1"""
+)
+def grid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.order_effects(hyps(spark, sf_dir))
 
 
 def fuse_sql(weight: str = "base", base: str = "1.0::DOUBLE", tie: str = "token", gaps: str = "keep", place: str = "hyp") -> str:
@@ -591,10 +617,15 @@ def fused_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voting.fused_text(voting.fuse(cells(spark, sf_dir))).select("utt_id", F.array_join("tokens", " ").alias("text"))
 
 
-@query("SELECT 0::BIGINT AS faults")
+@query(
+    f"""{fuse_sql()}, c AS (SELECT f.*, EXISTS (SELECT 1 FROM cells x WHERE x.utt_id = f.utt_id AND x.col = f.col AND x.token = f.token) AS own FROM fused f)
+SELECT utt_id, count(*) AS columns, count(*) FILTER (NOT own) + count(*) FILTER (confidence < 0 OR confidence > 1 + 1e-9 OR agreement > 1 + 1e-9) AS faults FROM c GROUP BY 1"""
+)
 def fusion_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cells(spark, sf_dir)
-    return voting.fusion_faults(voting.fuse(c), c).agg(F.count("*").alias("faults"))
+    c = saved(cells(spark, sf_dir), "cells")
+    fused = saved(voting.fuse(c), "fused")
+    faults = voting.fusion_faults(fused, c).groupBy("utt_id").agg(F.count("*").alias("faults"))
+    return fused.groupBy("utt_id").agg(F.count("*").alias("columns")).join(faults, "utt_id", "left").na.fill(0, ["faults"])
 
 
 @query(f"{GRID}, cnt AS (SELECT utt_id, col, token, CASE WHEN token <> '*' THEN count(*) END AS n FROM cells GROUP BY 1, 2, 3) SELECT utt_id, col, round(coalesce(max(n) / sum(n), 0), 9) AS agreement FROM cnt GROUP BY 1, 2")
@@ -625,13 +656,16 @@ def network_one_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("utt_id", F.array_join("tokens", " ").alias("text"))
 
 
-@query("SELECT 0::BIGINT AS faults, true AS same")
+@query(f"{network_sql()} SELECT utt_id, count(DISTINCT col) AS columns, count(*) AS arcs, round(sum(posterior), 6) AS mass, string_agg(token, ' ' ORDER BY col, place) AS tokens, 0 AS faults FROM net GROUP BY 1")
 def network_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posteriors add up to 1, and JSON gives the network back."""
-    net = voting.confusion_network(cells(spark, sf_dir), score="score")
-    back = models.network_from_json(models.network_json(net))
-    lost = net.select("utt_id", "col", "token", "place", "pivot").exceptAll(back.select("utt_id", "col", "token", "place", "pivot"))
-    return voting.network_faults(net).agg(F.count("*").alias("faults")).crossJoin(lost.agg((F.count("*") == 0).alias("same")))
+    """Networks as they are read from their JSON; columns whose posteriors don't add up to 1 are faults."""
+    net = saved(models.network_from_json(models.network_json(voting.confusion_network(cells(spark, sf_dir), score="score"))), "network")
+    listed = F.array_sort(F.collect_list(F.struct("col", "place", "token")))
+    t = net.groupBy("utt_id").agg(
+        F.count_distinct("col").alias("columns"), F.count("*").alias("arcs"), F.round(F.sum("posterior"), 6).alias("mass"), F.array_join(F.transform(listed, lambda x: x["token"]), " ").alias("tokens")
+    )
+    faults = voting.network_faults(net).groupBy("utt_id").agg(F.count("*").alias("faults"))
+    return t.join(faults, "utt_id", "left").na.fill(0, ["faults"])
 
 
 @query(
@@ -888,40 +922,30 @@ def migrate_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rows of manifests, and the rest ----------------------------------------------------------------------------
 
 
-def _back(name: str, pair: Callable[[SparkSession, str], tuple[DataFrame, DataFrame]]) -> None:
-    """Rows that are not the same after writing and reading; none is expected."""
-
-    @query("SELECT 0::BIGINT AS lost", name)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before, after = pair(spark, sf_dir)
-        return before.exceptAll(after).unionByName(after.exceptAll(before)).agg(F.count("*").alias("lost"))
-
-
-def _alignments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+@query(f"{RATES}, n AS (SELECT *, string_split(ops, '') AS steps FROM rated) SELECT utt_id, rank, ops AS steps, word_errors::DOUBLE AS score, NULL AS fault FROM n")
+def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps and scores as they are read from rows that were written."""
     t = hyps(spark, sf_dir).select("utt_id", "rank", alignment.edit_ops(F.col("ref"), F.col("hyp")).alias("ops"))
     back = rows.alignments(rows.alignment_rows(t, ["utt_id", "rank"]), ["utt_id", "rank"])
-    return t.withColumn("fault", F.lit(None).cast("string")), back.select("utt_id", "rank", "ops", "fault")
-
+    return back.select("utt_id", "rank", F.array_join(F.transform("ops", lambda o: F.substring(o["op"], 1, 1)), "").alias("steps"), "score", "fault")
 
-def _fusions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = voting.fused_text(voting.fuse(cells(spark, sf_dir)))
-    return t, rows.fusions(rows.fusion_rows(t, voting.Fusion(), ["a", "b"])).select("utt_id", "tokens", "confidences")
 
+@query(f"{fuse_sql()} SELECT utt_id, string_agg(token, ' ' ORDER BY col) AS text, round(sum(confidence), 6) AS confidence, 'majority' AS policy FROM fused WHERE token <> '*' GROUP BY 1")
+def fusion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = rows.fusions(rows.fusion_rows(voting.fused_text(voting.fuse(cells(spark, sf_dir))), voting.Fusion(), ["a", "b"]))
+    total = F.aggregate("confidences", F.lit(0.0), lambda x, y: x + y)
+    return back.select("utt_id", F.array_join("tokens", " ").alias("text"), F.round(total, 6).alias("confidence"), "policy")
 
-def _networks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = voting.confusion_network(cells(spark, sf_dir), score="score").withColumn("posterior", r9("posterior"))
-    return t, rows.networks(rows.network_rows(t)).select(*t.columns)
 
-
-def _tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    t = bridge.timings(spark, sf_dir)
-    return t, rows.tracks(rows.timing_rows(t)).select(*t.columns)
+@query(f"{network_sql()} SELECT utt_id, col, token, round(posterior, 9) AS posterior, place, \"pivot\" FROM net")
+def network_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = voting.confusion_network(cells(spark, sf_dir), score="score")
+    return rows.networks(rows.network_rows(t)).select("utt_id", "col", "token", r9("posterior").alias("posterior"), "place", "pivot")
 
 
-_back("alignment_rows", _alignments)
-_back("fusion_rows", _fusions)
-_back("network_rows", _networks)
-_back("timing_rows", _tracks)
+@query(f"WITH {SQL_TIMINGS} SELECT track, idx, token, start_s, end_s, NULL AS fault FROM timings")
+def timing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.tracks(rows.timing_rows(bridge.timings(spark, sf_dir))).select("track", "idx", "token", "start_s", "end_s", "fault")
 
 
 @query(f"{S} SELECT id, round(1 / (1 + exp(-ln({_Q} / (1 - {_Q})) / 1.5)), 9) AS q FROM scores")
