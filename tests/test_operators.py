@@ -153,3 +153,60 @@ def test_piecewise_must_not_fall():
     for bad in ([(0.0, -1.0, 0.0)], [(0.0, 1.0, 0.0), (0.5, 1.0, -1.0)], [(0.5, 1.0, 0.0), (0.0, 1.0, 0.0)], []):
         with pytest.raises(ValueError):
             calibration.piecewise(None, bad)
+
+
+def plain_katz(counts, gram):
+    """By the definition, order by order; counts by tuples of words."""
+    total = sum(c for g, c in counts.items() if len(g) == 1)
+    if len(gram) == 1:
+        return counts.get(gram, 1) / total
+    ctx = gram[:-1]
+    if gram in counts:
+        return counts[gram] / counts.get(ctx, counts[gram])
+    left = counts.get(ctx, 0) - sum(c for g, c in counts.items() if len(g) == len(gram) and g[:-1] == ctx)
+    return left / counts[ctx] * plain_katz(counts, ctx) if counts.get(ctx) and left > 0 else 1 / (total + 1)
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_katz_of_three_orders(spark, least):
+    rng = random.Random(5)
+    sentences = [[rng.choice("aaabbc") for _ in range(rng.randint(0, 6))] for _ in range(30)]
+    model = ngram.train(spark.createDataFrame([(s,) for s in sentences], "tokens array<string>"), 3)
+    model = ngram.prune(model, least)
+    counts = {tuple(r["ngram"].split(" ")): r["c"] for r in model.counts.collect()}
+    grams = [(a, b, c) for a in ("a", "b", "c", "<s>", "q") for b in ("a", "b", "c", "q") for c in ("a", "c", "</s>", "q")]
+    for n in (1, 2, 3):
+        asked = sorted({g[-n:] for g in grams})
+        got = ngram.katz(spark.createDataFrame([(" ".join(g),) for g in asked + asked], "ngram string"), model, n).collect()
+        assert {tuple(r["ngram"].split(" ")): r["p"] for r in got} == pytest.approx({g: plain_katz(counts, g) for g in asked})
+
+
+def test_scores_with_unknown_words(spark):
+    model = ngram.train(spark.createDataFrame([(["a", "b"],), (["a", "<unk>"],)], "tokens array<string>"), 2)
+    counts = {tuple(r["ngram"].split(" ")): r["c"] for r in model.counts.collect()}
+    rows = [(1, ["a", "x y"]), (2, []), (3, ["zz", "b"]), (4, ["a", "b"]), (5, ["a", "b"])]
+    got = {r["k"]: r for r in ngram.perplexity(spark.createDataFrame(rows, "k int, tokens array<string>"), model, "k").collect()}
+    for k, tokens in rows:
+        seq = ["<s>", *(t if (t,) in counts else "<unk>" for t in tokens), "</s>"]
+        p = [plain_katz(counts, tuple(seq[i : i + 2])) for i in range(len(seq) - 1)]
+        assert got[k]["perplexity"] == pytest.approx(math.exp(-sum(map(math.log, p)) / len(p)) if tokens else 1.0)
+
+
+def test_parts_of_ngrams(spark):
+    df = spark.createDataFrame([("a",), ("a b",), ("ab c de",), ("",)], "g string")
+    got = df.select("g", ngram.context(F.col("g")), ngram.suffix(F.col("g")), ngram.last_word(F.col("g"))).collect()
+    assert [tuple(r) for r in got] == [("a", "", "", "a"), ("a b", "a", "b", "b"), ("ab c de", "ab c", "c de", "de"), ("", "", "", "")]
+
+
+def test_grids_of_all_rotations(spark):
+    rng = random.Random(9)
+    groups = {u: [[rng.choice("ab") for _ in range(rng.randint(0, 4))] for _ in range(1 + u % 4)] for u in range(24)}
+    df = spark.createDataFrame([(u, k, h) for u, hs in groups.items() for k, h in enumerate(hs)], "utt_id int, rank int, hyp array<string>")
+    got = {r["utt_id"]: r for r in grid.order_effects(df).collect()}
+    for u, hs in groups.items():
+        n, seen = len(hs), set()
+        for turn in range(n):
+            columns = grid.columns_of(hs[turn:] + hs[:turn])
+            seen.add(tuple(tuple(c[(k - turn) % n] for k in range(n)) for c in columns))
+        assert (got[u]["orders"], got[u]["grids"], got[u]["sorted_grids"]) == (n, len(seen), 1)
+    assert max(r["grids"] for r in got.values()) > 1
