@@ -922,7 +922,7 @@ def migrate_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rows of manifests, and the rest ----------------------------------------------------------------------------
 
 
-@query(f"{RATES}, n AS (SELECT *, string_split(ops, '') AS steps FROM rated) SELECT utt_id, rank, ops AS steps, word_errors::DOUBLE AS score, NULL AS fault FROM n")
+@query(f"{RATES} SELECT utt_id, rank, ops AS steps, word_errors::DOUBLE AS score, NULL AS fault FROM rated")
 def alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps and scores as they are read from rows that were written."""
     t = hyps(spark, sf_dir).select("utt_id", "rank", alignment.edit_ops(F.col("ref"), F.col("hyp")).alias("ops"))
