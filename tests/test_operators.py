@@ -210,3 +210,53 @@ def test_grids_of_all_rotations(spark):
             seen.add(tuple(tuple(c[(k - turn) % n] for k in range(n)) for c in columns))
         assert (got[u]["orders"], got[u]["grids"], got[u]["sorted_grids"]) == (n, len(seen), 1)
     assert max(r["grids"] for r in got.values()) > 1
+
+
+@pytest.mark.parametrize("config", [{}, {"policy": "lm", "alpha": 0.1}, {"policy": "posterior", "gaps": "vote"}, {"policy": "confidence", "gaps": "drop"}, {"policy": "score", "tie_break": "highest_score"}, {"tie_break": "first"}, {"tie_break": "first", "order": "sorted"}, {"tie_break": "seeded", "seed": 3}, {"policy": lambda w: w * F.col("hyp")}])
+def test_columns_and_cells_give_the_same_votes(spark, config):
+    rng = random.Random(8)
+    rows = [(u, r, [rng.choice("abc") for _ in range(rng.randint(1, 6))], rng.choice([0.0, 0.5, 1.0]), -rng.random(), rng.random(), 1 / r) for u in range(30) for r in (1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "utt_id int, rank int, hyp array<string>, score double, lm double, posterior double, hyp_weight double")
+    columns = grid.columns(df, keep=("score", "lm", "posterior", "hyp_weight")).persist()
+    cells = grid.flat(columns).repartition(3)
+    assert {(r["utt_id"], r["hyp"] + 1): r["score"] for r in cells.collect()} == {(r[0], r[1]): r[3] for r in rows}
+    both = lambda f: [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in f(t).collect()) for t in (columns, cells)]
+    a, b = both(lambda t: voting.fuse(t, voting.Fusion(**config), score="score" if config.get("policy") == "score" else None))
+    assert a == b and a
+    for keep in (False, True):
+        a, b = both(lambda t, keep=keep: voting.confusion_network(t, score="posterior", keep_gaps=keep))
+        assert a == b and a
+    columns.unpersist()
+
+
+def test_voting_over_grids_joins_nothing(spark, sf_dir):
+    from voxweft.plans import queries
+
+    for name in ("confusion_network", "fuse_score", "fuse_lm", "fuse_majority", "network_one_best"):
+        plan = queries.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Broadcast" not in plan and "Window" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_streams_of_chosen_tokens_are_joined_as_wholes(spark):
+    chosen = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"]), (3, [])], "utt_id int, tokens array<string>")
+    hyps = spark.createDataFrame([(1, ["a", "x"]), (1, ["b", "b", "d"]), (1, []), (4, ["a"])], "utt_id int, hyp array<string>")
+    df = voting.vote_confidence(chosen, hyps)
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 0.5), (1, 1, 0.5), (1, 2, 0.0), (2, 0, 0.0)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "[utt_id, pos" not in plan.replace("#", " ")
+
+
+def test_faults_of_fusion(spark):
+    cells = spark.createDataFrame([(1, 0, "a"), (1, 0, "a"), (1, 1, "b")], "utt_id int, col int, token string")
+    fused = spark.createDataFrame([(1, 0, "a", 1.0, 1.0), (1, 1, "c", 0.5, 0.5), (1, 1, "b", 2.0, 0.5)], "utt_id int, col int, token string, confidence double, agreement double")
+    df = voting.fusion_faults(fused, cells)
+    assert sorted((r["col"], r["fault"]) for r in df.collect()) == [(1, "range"), (1, "token")]
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_orders_met_again_are_aligned_once(spark):
+    rows = [(u, r, h) for u, hs in enumerate([[["b"], ["a", "b"], ["a"]], [["a"]] * 3, [["c", "a"], [], ["c"]]]) for r, h in enumerate(hs)]
+    df = spark.createDataFrame(rows, "utt_id int, rank int, hyp array<string>")
+    out = grid.order_effects(df)
+    assert "ArrowEvalPython" in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("grid(") == 0
+    assert {r["utt_id"]: r["sorted_grids"] for r in out.collect()} == {0: 1, 1: 1, 2: 1}
