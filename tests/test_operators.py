@@ -260,3 +260,25 @@ def test_orders_met_again_are_aligned_once(spark):
     out = grid.order_effects(df)
     assert "ArrowEvalPython" in (plan := out._jdf.queryExecution().executedPlan().toString()) and plan.count("grid(") == 0
     assert {r["utt_id"]: r["sorted_grids"] for r in out.collect()} == {0: 1, 1: 1, 2: 1}
+
+
+def test_bootstrap_sums_are_made_by_tasks(spark):
+    from hashlib import md5
+
+    rng = random.Random(11)
+    rows = [(rng.choice("pq"), f"u{k}" if k != 7 else None, rng.random(), rng.random() if k != 9 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "g string, id string, a double, b double").coalesce(1)
+    got = {(r["g"], r["rep"]): r["delta"] for r in analysis.bootstrap(df, "id", "a", "b", 20, 3, ("g",)).collect()}
+    for g in "pq":
+        for rep in range(20):
+            total = drawn = 0.0
+            for group, i, a, b in rows:
+                u = int(md5(":".join(["3", str(rep), *([i] if i is not None else [])]).encode()).hexdigest()[:8], 16) / 2**32
+                w = sum(u >= c for c in analysis.POISSON)
+                if group == g:
+                    drawn += w
+                    total += w * (b - a) if b is not None else 0
+            assert got[g, rep] == pytest.approx(total / drawn)
+    plan = analysis.bootstrap(df, "id", "a", "b", 20, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "REPARTITION_BY_NUM" in plan
+    assert analysis.bootstrap(df.limit(0), "id", "a", "b", 20, 3).collect() == []
