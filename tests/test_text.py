@@ -112,3 +112,16 @@ def test_number_expressions(spark):
 @pytest.mark.parametrize("value", ["12", "-3.5", "1.2.3", "abc", "", "1000000"])
 def test_roundtrip(spark, value):
     assert one(spark, value, N.roundtrip_stable)
+
+
+def test_texts_without_marks(spark, odd_texts):
+    want = F.regexp_replace(T.with_form(F.col("t"), "NFD"), r"\p{M}", "")
+    assert not odd_texts[1].filter(~want.eqNullSafe(forms.without_marks(F.col("t")))).limit(3).collect()
+    assert one(spark, "Ǻ가ǭ ﬁ", forms.without_marks) == "A" + unicodedata.normalize("NFD", "가") + "o ﬁ"
+
+
+def test_query_of_forms_composes_the_text_itself(spark, sf_dir):
+    from voxweft.plans.queries import QUERIES
+
+    plan = QUERIES["unicode_forms"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "nfd" not in plan
