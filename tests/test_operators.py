@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -282,3 +283,43 @@ def test_bootstrap_sums_are_made_by_tasks(spark):
     plan = analysis.bootstrap(df, "id", "a", "b", 20, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "REPARTITION_BY_NUM" in plan
     assert analysis.bootstrap(df.limit(0), "id", "a", "b", 20, 3).collect() == []
+
+
+def test_grid_faults_of_hypotheses_and_columns(spark):
+    hyps = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["a"]), (2, 1, []), (3, 1, ["x"])], "utt_id int, rank int, hyp array<string>")
+    cells = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, "*"), (1, 1, 0, "b"), (1, 1, 1, "*"), (1, 2, 0, "*"), (1, 2, 1, "*"), (4, 0, 0, "*")], "utt_id int, col int, hyp int, token string")
+    assert sorted(map(tuple, grid.inconsistent(cells, hyps).collect())) == [(1, -1, "column"), (1, 1, "row"), (3, 0, "row"), (4, -1, "column")]
+    assert sorted(map(tuple, grid.audit(grid.columns(hyps), hyps).collect())) == [(1, 2, 2, [], []), (2, 0, 0, [], []), (3, 1, 1, [], [])]
+
+
+def test_grid_query_shuffles_rows_of_utterances_only(spark, sf_dir):
+    from voxweft.plans.queries import QUERIES
+
+    plan = plan_of(QUERIES["grid_consistent"](spark, sf_dir))
+    dealt = [x for x in re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan) if "conv_id" not in x]
+    assert dealt and not any("," in x for x in dealt) and "Window" not in plan and "Broadcast" not in plan
+
+
+def test_arrays_are_compared_as_wholes(spark):
+    a, b = (spark.createDataFrame(t, "utt_id int, tokens array<string>") for t in ([(1, ["a", "b"]), (2, ["c"]), (3, []), (5, [None, "x"])], [(1, ["a", "d", "e"]), (3, []), (4, ["f"]), (5, [None, "y"])]))
+    t = voting.differing_positions(a, b)
+    assert sorted(map(tuple, t.collect()), key=str) == [(1, 1, "b", "d"), (1, 2, None, "e"), (2, 0, "c", None), (4, 0, None, "f"), (5, 1, "x", "y")]
+    assert not re.search(r"Exchange hashpartitioning\(.*pos#", plan_of(t))
+
+
+def test_invariants_of_fusion_are_counted_without_a_join(spark, sf_dir):
+    from voxweft.plans.queries import QUERIES
+
+    assert "Join" not in plan_of(QUERIES["fusion_invariants"](spark, sf_dir))
+
+
+def test_hypotheses_are_made_once_for_their_ngrams(spark, sf_dir):
+    from voxweft.plans import queries
+
+    t = ngram.positions(queries.hyps(spark, sf_dir), 2, tokens="hyp")
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and plan.count("regexp_extract_all(") == 1
+
+
+def plan_of(t):
+    return t._jdf.queryExecution().executedPlan().toString()
