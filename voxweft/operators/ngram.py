@@ -109,7 +109,8 @@ def prune(model: Model, min_count: int) -> Model:
 
 def positions(sentences: DataFrame, order: int, keys: Sequence[str] = (), tokens: str = "tokens", start: str = BOS) -> DataFrame:
     """(keys, asked): the n-gram that ends at each position of padded sentences, words apart by ``UNIT``; none of empty ones."""
-    t = sentences.filter(F.size(tokens) > 0).select(*keys, padded(F.col(tokens), order, start).alias("sequence"))
+    # no filter on tokens, which Spark would make, with all that the tokens come from, a second time before the column
+    t = sentences.select(*keys, F.when(F.size(tokens) > 0, padded(F.col(tokens), order, start)).alias("sequence"))
     return t.select(*keys, F.explode(grams(F.col("sequence"), order, UNIT)).alias("asked"))
 
 
@@ -127,9 +128,9 @@ def readable(asked: DataFrame, model: Model) -> DataFrame:
 
 
 def position_scores(sentences: DataFrame, model: Model, keys: Sequence[str], tokens: str, method: str, start: str = BOS) -> DataFrame:
-    """(keys, p): the probability of each position of sentences that aren't empty. Each different n-gram is looked up once."""
-    kept = saved(sentences.select(*keys, tokens), "sentences")
-    asked = positions(kept, model.order, keys, tokens, start)
+    """(keys, p): the probability of each position of sentences that aren't empty. Each different n-gram is looked up once. The
+    sentences are read twice, so they should be a table."""
+    asked = positions(sentences, model.order, keys, tokens, start)
     known = saved(readable(asked, model), "readable")
     if method == "arpa":
         p = backoff(known.select("ngram").distinct(), model.arpa.select("n", "ngram", "logp"), model.arpa.select("n", "ngram", "bow"), model.order)
@@ -214,9 +215,10 @@ def fit_weights(sentences: DataFrame, model: Model, iterations: int = 5, tokens:
 
 def perplexity(sentences: DataFrame, model: Model, key: str, tokens: str = "tokens", method: str = "katz") -> DataFrame:
     """(key, perplexity): exp of the mean negative log probability of each sentence's positions; 1 for an empty one."""
-    p = position_scores(sentences, model, [key], tokens, method)
+    kept = saved(sentences.select(key, tokens), "sentences")
+    p = position_scores(kept, model, [key], tokens, method)
     got = p.groupBy(key).agg(F.exp(F.avg(-F.log(F.greatest("p", F.lit(FLOOR))))).alias("perplexity"))
-    return sentences.select(key).join(got, key, "left").na.fill(1.0, ["perplexity"])
+    return kept.select(key).join(got, key, "left").na.fill(1.0, ["perplexity"])
 
 
 def arpa_tables(model: Model) -> DataFrame:
@@ -254,7 +256,9 @@ def backoff(asked: DataFrame, logps: DataFrame, bows: DataFrame | None, n: int)
 
 
 def lm_scores(hyps: DataFrame, model: Model, keys: Sequence[str], tokens: str = "tokens", method: str = "katz") -> DataFrame:
-    """(keys, lm_score): sum of log10 probabilities of each hypothesis. The start is padded with sentence ends here."""
-    p = position_scores(hyps, model, keys, tokens, method, EOS)
+    """(keys, lm_score): sum of log10 probabilities of each hypothesis. The start is padded with sentence ends here. Hypotheses
+    are written once, with their other columns, not made again for the join."""
+    kept = saved(hyps, "sentences")
+    p = position_scores(kept, model, keys, tokens, method, EOS)
     got = p.groupBy(*keys).agg(F.sum(F.log10(F.greatest("p", F.lit(FLOOR)))).alias("lm_score"))
-    return hyps.join(got, list(keys), "left").na.fill(0.0, ["lm_score"])
+    return kept.join(got, list(keys), "left").na.fill(0.0, ["lm_score"])
