@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxweft.operators import analysis, calibration, draws, grid, ngram, timings, voting
+from voxweft.operators import alignment, analysis, calibration, draws, grid, ngram, timings, voting
 from voxweft.sources import models
 
 
@@ -323,3 +323,16 @@ def test_hypotheses_are_made_once_for_their_ngrams(spark, sf_dir):
 
 def plan_of(t):
     return t._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [0, 3, 11])
+def test_seeded_draws_are_those_of_the_standard_library(spark, seed):
+    sizes = [*range(1, 140), 255, 256, 257, 4095, 4096, 70_000, 2**31 - 1]
+    got = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", voting.seeded_draw(F.col("n"), seed).alias("k")).collect()
+    assert {r["n"]: r["k"] for r in got} == {n: random.Random(seed).choice(range(1, n + 1)) for n in sizes}
+
+
+def test_seeded_ties_go_to_python_with_their_grids_only(spark, sf_dir):
+    from voxweft.plans.queries import QUERIES
+
+    assert plan_of(QUERIES["fuse_tie_seeded"](spark, sf_dir)).count("ArrowEvalPython") == 1
