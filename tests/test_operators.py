@@ -336,3 +336,11 @@ def test_seeded_ties_go_to_python_with_their_grids_only(spark, sf_dir):
     from voxweft.plans.queries import QUERIES
 
     assert plan_of(QUERIES["fuse_tie_seeded"](spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name,kept", [("fuse_majority", ()), ("fuse_tie_seeded", ()), ("fused_text", ()), ("fusion_summary", ()), ("fuse_lm", ("lm",)), ("fuse_posterior", ("posterior",)), ("fuse_tie_highest", ("score",)), ("fuse_confidence", ("score", "hyp_weight")), ("network_one_best", ("score",))])
+def test_scores_that_no_vote_needs_are_not_shuffled(spark, sf_dir, name, kept):
+    from voxweft.plans.queries import QUERIES
+
+    listed = re.search(r"partial_collect_list\(struct\(rank, rank#\d+, hyp, hyp#\d+(.*?)\), 0", plan_of(QUERIES[name](spark, sf_dir)))[1]
+    assert re.findall(r", (\w+), \w+#\d+", listed) == list(kept)
