@@ -344,3 +344,12 @@ def test_scores_that_no_vote_needs_are_not_shuffled(spark, sf_dir, name, kept):
 
     listed = re.search(r"partial_collect_list\(struct\(rank, rank#\d+, hyp, hyp#\d+(.*?)\), 0", plan_of(QUERIES[name](spark, sf_dir)))[1]
     assert re.findall(r", (\w+), \w+#\d+", listed) == list(kept)
+
+
+@pytest.mark.parametrize("a,b", [("", ""), ("ab", ""), ("", "ab"), ("abab", "baba"), ("aab", "ab"), ("ab", "aab"), ("xaya", "ayax")])
+def test_places_of_paths(a, b):
+    olds, news = alignment.unit_places(a, b)
+    assert [k for k in olds if k >= 0] == [*range(len(a))] and [k for k in news if k >= 0] == [*range(len(b))]
+    steps = [(op, i if op == alignment.INS else a[i], j if op == alignment.DEL else b[j]) for op, i, j in alignment.unit_path(a, b)]
+    assert steps == alignment.best_path(list(a), list(b))[0]
+    assert grid.grid_rows([a, b]) == [["*" if k < 0 else a[k] for k in olds], ["*" if k < 0 else b[k] for k in news]]
